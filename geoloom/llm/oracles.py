@@ -1,3 +1,91 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express. Written apart from the operators: no pattern is imported."""
 
-SQL: dict[str, str] = {}
+LINE_RUNS = r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+keyed AS (
+  SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM split),
+hot AS (
+  SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT keyed.*, coalesce(doc_id < top, false) AS gone FROM keyed LEFT JOIN hot ON hot.k = keyed.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+QUALITY = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+l AS (
+  SELECT doc_id, count(*) AS n_lines, count(DISTINCT x) AS n_distinct
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM t)
+  WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS x FROM w, unnest(range(1, len(ws) - 6)) AS r(i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY doc_id),
+f AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(n_lines - n_distinct, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, text
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN cov ON cov.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed
+    OR n_symbols > 0.25 * n_words
+    OR word_chars < 2 * n_words OR word_chars > 14 * n_words
+    OR n_dup_lines > 0.6 * len(string_split(text, chr(10)))
+    OR length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > 0.5 * word_chars
+    OR length(regexp_replace(text, '[^\p{L}]', '', 'g')) < 0.5 * word_chars
+    OR (length(text) - length(replace(text, '!!', ''))) / 2 > 0.3 * n_words
+    OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*[-*•]'))) > 0.9 * len(string_split(text, chr(10)))
+    OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) > 0.3 * len(string_split(text, chr(10)))
+  ) AS kept
+FROM b
+"""
+
+SECRETS = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+pat(kind, rank, p) AS (VALUES
+  ('assign', 0, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('access', 1, 'AKIA[A-Z0-9]+'),
+  ('hex', 2, '[0-9a-f]+'),
+  ('id', 3, '(?i:client_?id|access_?key(?:_?id)?|account_?id|user_?name|login)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9._@-]{3,}'),
+  ('key', 4, '[A-Za-z0-9+/]{20,}={0,2}'),
+  ('endpoint', 5, 'https?://[^\x00-\x20"''<>]+')),
+found AS (
+  SELECT doc_id, kind, rank, regexp_extract_all(text, p) AS m, string_split_regex(text, p) AS b
+  FROM t, pat WHERE regexp_matches(text, p)),
+each AS (SELECT doc_id, kind, rank, unnest(range(1, len(m) + 1)) AS i, m, b FROM found),
+one AS (SELECT doc_id, kind, rank, i, m[i] AS m, length(m[i]) AS n, length(b[i]) AS b FROM each),
+placed AS (SELECT *, sum(b + n) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM one),
+part AS (
+  SELECT doc_id, kind, rank, (e - n)::BIGINT AS s, e::BIGINT AS e FROM placed
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 6
+    WHEN 'access' THEN n >= 20 WHEN 'hex' THEN n >= 24
+    WHEN 'key' THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') ELSE true END),
+met AS (
+  SELECT w.doc_id, w.kind, w.rank, w.s, w.e, bool_or(o.kind = 'access') AS sure_id, bool_or(o.kind = 'id') AS weak_id,
+    bool_or(o.kind IN ('assign', 'hex')) AS sure_secret, bool_or(o.kind = 'key') AS weak_secret,
+    bool_or(o.kind = 'endpoint') AS place, bool_or(o.rank < 3 AND o.s < w.e AND o.e > w.s) AS inside
+  FROM part w JOIN part o ON o.doc_id = w.doc_id AND o.s >= w.s - 200 AND o.s < w.e + 200
+  WHERE w.rank > 2 GROUP BY ALL),
+linked AS (
+  SELECT doc_id, kind, rank, s, e FROM met WHERE CASE kind
+    WHEN 'id' THEN sure_secret OR (weak_secret AND place)
+    WHEN 'key' THEN (sure_id OR (weak_id AND place)) AND NOT inside
+    ELSE (sure_id OR weak_id) AND (sure_secret OR weak_secret) END),
+every AS (SELECT doc_id, kind, rank, s, e FROM part WHERE rank < 3 UNION ALL SELECT * FROM linked),
+doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM every GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN doc ON doc.doc_id = t.doc_id
+"""
+
+SQL: dict[str, str] = {"op3_secret_linking": SECRETS, "op8_line_runs": LINE_RUNS, "op9_quality_cascade": QUALITY}
