@@ -88,4 +88,18 @@ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM t LEFT JOIN doc ON doc.doc_id = t.doc_id
 """
 
-SQL: dict[str, str] = {"op3_secret_linking": SECRETS, "op8_line_runs": LINE_RUNS, "op9_quality_cascade": QUALITY}
+WARC = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+d AS (
+  SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::BIGINT) AS five FROM f)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((five[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+SQL: dict[str, str] = {"op1_warc_index_merge": WARC, "op3_secret_linking": SECRETS, "op8_line_runs": LINE_RUNS, "op9_quality_cascade": QUALITY}

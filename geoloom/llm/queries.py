@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontam, langid, line_dedup, mix, quality, secrets, simhash, wavelet
+from geoloom.llm import decontam, langid, line_dedup, mix, quality, secrets, simhash, warc, wavelet
 
 #: The public vocabulary file that documents are encoded with; it is read in place.
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE))
