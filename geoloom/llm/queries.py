@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontam, langid, line_dedup, mix, quality, secrets, simhash, warc, wavelet
+from geoloom.llm import decontam, html_extract, langid, line_dedup, mix, quality, secrets, simhash, warc, wavelet
 
 #: The public vocabulary file that documents are encoded with; it is read in place.
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +24,10 @@ def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE))
