@@ -1,13 +1,61 @@
-"""A corpus pipeline of five stages, each of which applies one operator to all that the stage before it kept."""
+"""A corpus pipeline of five stages, each of which applies one operator to all that the stage before it kept.
+
+Stages take (spark, docs, sf_dir); each result is written as Parquet to the shared folder and read again as the next
+stage's documents. All but the last return the columns of ``documents``.
+
+1. language_id: documents in no learned language, or without a letter, go.
+2. simhash_near_dedup: of each class of near copies the document with the smallest id stays.
+3. decontaminate: documents that contain a benchmark item go.
+4. mix_sources: documents are taken as often as their source's budget says; the last one taken is cut to fit.
+5. token_output: documents are encoded into wavelet shards and described as read back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoloom.llm import common, decontam, langid, mix, simhash, wavelet
+from geoloom.llm.queries import table, tokenizer_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accept(docs, langid.train(docs.where(~langid.held_out(F.col("doc_id")))))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(docs)
+    others = common.materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
+    # Exact repeats of a row share its id: one of them stays.
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    leaks = decontam.contained_items(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(common.materialize(leaks.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix.mixed_rows(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return wavelet.token_output(docs, tokenizer_path())
+
 
-STAGES: list = []
-#: Language ID, fingerprints and token ids are beyond SQL; tests hold the stages against brute force.
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("token_output", token_output),
+]
+#: N-gram filters, fingerprints and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = common.materialize(stage(spark, docs, sf_dir))
+    return docs

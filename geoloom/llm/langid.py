@@ -169,3 +169,22 @@ def identify(df: DataFrame, model: BloomPlanes, text: str = "text", doc_id: str
 def held_out(doc_id: Column) -> Column:
     """Rows that are never learned from: crc32 of the id as text leaves 2 when divided by 4. A null id is held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
+
+
+#: A text whose best language has less than this share of its n-grams is in none of the languages learned.
+MIN_COVERAGE = 0.2
+
+
+def accept(df: DataFrame, model: BloomPlanes, text: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose text is in a language that the model knows."""
+    spark = df.sparkSession
+    common.ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+    place = df.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            found = [classify(shared.value, t) for t in b.column(place).to_pylist()]
+            yield b.filter(pa.array([lang != UNDETERMINED and coverage >= min_coverage for lang, _, coverage in found], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

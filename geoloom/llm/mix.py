@@ -13,9 +13,12 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from itertools import islice
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm import common
@@ -24,6 +27,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MAX_EPOCHS = 3
 SEED = 42
 ROWS_PER_TASK = 2_000_000
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def targets(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -65,3 +69,34 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
     cut = F.greatest(F.lit(0), F.least(F.col("size"), budget - passes * F.col("source_size") - inside)).cast("long")
     out = out.withColumn("epochs", passes).withColumn("cut", cut)
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "cut", (F.col("size") * F.col("epochs") + F.col("cut")).alias("taken"))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word. Only the one document that a source's budget cuts needs it."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        def one(t, k):
+            end = 0
+            for m in islice(_WORD.finditer(t or ""), int(k)):
+                end = m.end()
+            return (t or "")[:end]
+
+        return pd.Series([one(t, k) for t, k in zip(texts, counts)], dtype=object)
+
+    return cut(text, n)
+
+
+def mixed_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The mix itself: every row of ``df`` as often as its source's budget takes it, and in its last taking cut to the
+    words that the budget still holds. Columns are those of ``df``; rows that nothing is taken of are absent.
+    Ids are expected to be unique; rows with an equal id, source and size are given equal shares."""
+    plan = mix(df, text, doc_id, source, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"), F.col("size").alias("_size"))
+    plan = common.materialize(plan.groupBy("_id", "_size").agg(F.max("_epochs").alias("_epochs"), F.max("_cut").alias("_cut")))
+    sized = df.withColumn("_words", common.count_words(F.col(text)))
+    rows = sized.join(plan, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    whole = F.col("_epochs") + (F.col("_cut") == F.col("_size")).cast("long")
+    full = rows.where(whole > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), whole)))
+    part = rows.where((F.col("_cut") > 0) & (F.col("_cut") < F.col("_size")))
+    part = part.withColumn(text, first_words(F.col(text), F.col("_cut")))
+    return full.select(*df.columns).unionAll(part.select(*df.columns))
