@@ -1 +1 @@
-
+"""Column expressions for coordinates, geometry and rasters. All stay inside generated code."""

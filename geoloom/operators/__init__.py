@@ -1 +1 @@
-
+"""Relational operators on points, paths, intervals and rasters."""

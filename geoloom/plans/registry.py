@@ -1,17 +1,680 @@
-"""Every registered query of the geospatial engine and its SQL."""
+"""Every registered query of the geospatial engine, each beside its SQL.
+
+Columns that come from trigonometry are rounded alike on both sides: two engines' functions differ in the last bit.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from geoloom.functions import geometry as G
+from geoloom.functions import scalar as S
+from geoloom.operators import intervals, joins, paths, raster, sequence
+from geoloom.plans import derive as D
+from geoloom.runtime import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str = "", *, uses: str = "") -> Callable[[Query], Query]:
+    """Registers a query under its name; ``uses`` names the derived tables of its SQL."""
+
+    def add(f: Query) -> Query:
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            given = [D.SQL[u] for u in uses.split()]
+            SQL[f.__name__] = ("WITH " + ", ".join(given) + (", " if sql.startswith("+") else " ") if given else "") + sql.removeprefix("+")
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def rnd(c: Column, name: str, digits: int = 6) -> Column:
+    """Rounded, without a negative zero."""
+    return (F.round(c, digits) + F.lit(0.0)).alias(name)
+
+
+def r_(expr: str, name: str, digits: int = 6) -> str:
+    return f"round({expr}, {digits}) + 0.0 AS {name}"
+
+
+RADIUS_M = 900_000.0
+
+
+# --- scalars -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT supp, count(*) AS n, min(cust) AS first_cust, " + r_("min(d)", "nearest_m", 3) + " FROM (SELECT supp, cust, " + D.haversine_sql("lon", "lat", "lon2", "lat2") + f" AS d FROM cust, supp) WHERE d <= {RADIUS_M} GROUP BY supp", uses="cust supp")
+def radius_join(spark: SparkSession, sf: str) -> DataFrame:
+    met = joins.radius_join(D.customers(spark, sf), D.suppliers(spark, sf), RADIUS_M)
+    return met.groupBy("supp").agg(F.count("*").alias("n"), F.min("cust").alias("first_cust"), rnd(F.min("distance_m"), "nearest_m", 3))
+
+
+def _matched(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer with one supplier, by key."""
+    n = D.suppliers(spark, sf)
+    return D.customers(spark, sf).withColumn("supp", F.col("cust") % 10).join(n, "supp")
+
+
+_MATCHED = "+m AS (SELECT * FROM (SELECT *, cust % 10 AS k FROM cust) JOIN supp ON supp = k) "
+
+
+@query(_MATCHED + "SELECT cust, " + r_(D.haversine_sql("lon", "lat", "lon2", "lat2"), "distance_m", 3) + " FROM m", uses="cust supp")
+def haversine_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _matched(spark, sf).select("cust", rnd(S.haversine_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), "distance_m", 3))
+
+
+@query(_MATCHED + "SELECT cust, " + r_(D.bearing_sql("lon", "lat", "lon2", "lat2"), "bearing_deg") + " FROM m", uses="cust supp")
+def bearing(spark: SparkSession, sf: str) -> DataFrame:
+    return _matched(spark, sf).select("cust", rnd(S.bearing_deg(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), "bearing_deg"))
+
+
+@query(_MATCHED + "SELECT cust, " + r_(D.pmod_sql("lon - lat2 * 3 + 180", "360.0") + " - 180", "diff_deg") + ", " + r_(D.pmod_sql("lon", "6.283185307179586"), "norm_rad") + ", " + D.pmod_sql("lon - lat", "360.0") + " <= " + D.pmod_sql("lon2 - lat", "360.0") + " + 1e-6 AS in_window FROM m", uses="cust supp")
+def angle_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return _matched(spark, sf).select("cust", rnd(S.angle_diff_deg(F.col("lon"), F.col("lat2") * 3), "diff_deg"), rnd(S.norm_angle(F.col("lon")), "norm_rad"), S.in_angle_window(F.col("lon"), F.col("lat"), F.col("lon2")).alias("in_window"))
+
+
+@query("SELECT cust, " + r_("6378137.0 * radians(lon)", "x", 3) + ", " + r_("6378137.0 * ln(tan(pi() / 4 + radians(least(greatest(lat, -85.06), 85.06)) / 2))", "y", 3) + ", " + r_("(lon + 180) / 360", "tile_x") + ", " + r_("(1 - asinh(tan(radians(least(greatest(lat, -85.05112878), 85.05112878)))) / pi()) / 2", "tile_y") + ", " + r_("lon", "lon_back") + ", " + r_("lat", "lat_back") + " FROM cust", uses="cust")
+def web_mercator(spark: SparkSession, sf: str) -> DataFrame:
+    lon, lat = F.col("lon"), F.col("lat")
+    x, y = S.web_mercator(lon, lat)
+    (tx, ty), (lon_back, lat_back) = S.tile_mercator(lon, lat), S.web_mercator_inverse(x, y)
+    return D.customers(spark, sf).select("cust", rnd(x, "x", 3), rnd(y, "y", 3), rnd(tx, "tile_x"), rnd(ty, "tile_y"), rnd(lon_back, "lon_back"), rnd(lat_back, "lat_back"))
+
+
+_E2, _EP2 = S.WGS84.e2, S.WGS84.ep2
+_TM = f"""+z AS (SELECT *, least(greatest(floor((lon + 180) / 6) + 1, 1), 60)::INT AS zone, radians(lat) AS p FROM cust),
+q AS (SELECT *, 6378137.0 / sqrt(1 - {_E2!r} * pow(sin(p), 2)) AS n, pow(tan(p), 2) AS t, {_EP2!r} * pow(cos(p), 2) AS c,
+  radians(lon - (zone * 6 - 183.0)) * cos(p) AS a,
+  6378137.0 * ({1 - _E2 / 4 - 3 * _E2**2 / 64 - 5 * _E2**3 / 256!r} * p - {3 * _E2 / 8 + 3 * _E2**2 / 32 + 45 * _E2**3 / 1024!r} * sin(2 * p)
+    + {15 * _E2**2 / 256 + 45 * _E2**3 / 1024!r} * sin(4 * p) - {35 * _E2**3 / 3072!r} * sin(6 * p)) AS m FROM z)
+SELECT cust, zone, round(0.9996 * n * (a + (1 - t + c) * pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {_EP2!r}) * pow(a, 5) / 120) + 500000.0, 3) AS easting,
+  round(0.9996 * (m + n * tan(p) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * {_EP2!r}) * pow(a, 6) / 720)), 3) + 0.0 AS northing,
+  round(lon, 5) + 0.0 AS lon_back, round(lat, 5) + 0.0 AS lat_back FROM q"""
+
+
+@query(_TM, uses="cust")
+def tm_forward(spark: SparkSession, sf: str) -> DataFrame:
+    """UTM and back: the way back must end where it began."""
+    zone = S.utm_zone(F.col("lon"))
+    df = D.customers(spark, sf).withColumn("zone", zone)
+    meridian = F.col("zone") * 6 - 183.0
+    east, north = S.TransverseMercator().forward(F.col("lon"), F.col("lat"), meridian)
+    df = df.withColumn("e", east).withColumn("n", north)
+    lon, lat = S.TransverseMercator().inverse(F.col("e"), F.col("n"), meridian)
+    return df.select("cust", "zone", rnd(F.col("e"), "easting", 3), rnd(F.col("n"), "northing", 3), rnd(lon, "lon_back", 5), rnd(lat, "lat_back", 5))
+
+
+@query("SELECT cust, least(greatest(floor((lon + 180) / 6) + 1, 1), 60)::INT AS zone FROM cust", uses="cust")
+def utm_zone(spark: SparkSession, sf: str) -> DataFrame:
+    return D.customers(spark, sf).select("cust", S.utm_zone(F.col("lon")).alias("zone"))
+
+
+@query("SELECT cust, " + r_("6378137.0 * radians(lon - 10) * cos(radians(20.0))", "east", 3) + ", " + r_("6378137.0 * radians(lat - 20)", "north", 3) + ", " + r_("bal - 50", "up", 3) + ", " + r_("lon", "lon_back") + ", " + r_("lat", "lat_back") + " FROM cust", uses="cust")
+def enu(spark: SparkSession, sf: str) -> DataFrame:
+    e, n, u = S.enu(F.col("lon"), F.col("lat"), F.col("bal"), 10.0, 20.0, 50.0)
+    lon, lat, _ = S.enu_inverse(e, n, u, 10.0, 20.0, 50.0)
+    return D.customers(spark, sf).select("cust", rnd(e, "east", 3), rnd(n, "north", 3), rnd(u, "up", 3), rnd(lon, "lon_back"), rnd(lat, "lat_back"))
+
+
+@query("SELECT cust, " + r_("radians(lon - 5) * cos(radians(40.0)) * 6371000.0", "x", 3) + ", " + r_("radians(lat - 40) * 6371000.0", "y", 3) + " FROM cust", uses="cust")
+def local_projection(spark: SparkSession, sf: str) -> DataFrame:
+    x, y = S.local_xy(F.col("lon"), F.col("lat"), F.lit(5.0), F.lit(40.0))
+    return D.customers(spark, sf).select("cust", rnd(x, "x", 3), rnd(y, "y", 3))
+
+
+@query("SELECT cust, " + r_("pow(50 + cust % 200, 2) / (9.80665 * tan(radians(10.0 + cust % 50)))", "radius_m", 3) + " FROM cust", uses="cust")
+def turn_radius(spark: SparkSession, sf: str) -> DataFrame:
+    return D.customers(spark, sf).select("cust", rnd(S.turn_radius_m((F.col("cust") % 200 + 50).cast("double"), F.col("cust") % 50 + 10.0), "radius_m", 3))
+
+
+@query("SELECT cust, lon BETWEEN -180 AND 180 AND lat * 1.1 BETWEEN -90 AND 90 AS valid, lon BETWEEN -10 AND 60 AND lat BETWEEN -30 AND 30 AS in_box, least(greatest(floor((lat + 90) / 2.5), 0), 71)::INT AS r, least(greatest(floor((lon + 180) / 2.5), 0), 143)::INT AS c FROM cust", uses="cust")
+def coordinate_checks(spark: SparkSession, sf: str) -> DataFrame:
+    lon, lat = F.col("lon"), F.col("lat")
+    r, c = S.cell_of(lon, lat, -180.0, -90.0, 2.5, 72, 144)
+    return D.customers(spark, sf).select("cust", S.valid_coordinate(lon, lat * 1.1).alias("valid"), (lon.between(-10, 60) & lat.between(-30, 30)).alias("in_box"), r.alias("r"), c.alias("c"))
+
+
+@query()
+def geodesic(spark: SparkSession, sf: str) -> DataFrame:
+    return _matched(spark, sf).select("cust", paths.geodesic_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")).alias("geodesic_m"))
+
+
+# --- predicates and distances ----------------------------------------------------------------------------------
+
+_RAY = "(by_ > lat) <> (ay > lat) AND lon < (ax - bx) * (lat - by_) / (ay - by_) + bx"
+
+
+@query("+" + D.edges_sql("e", D.POLYGON) + f" SELECT cust, count(*) FILTER (WHERE {_RAY}) % 2 = 1 AS inside FROM cust, e GROUP BY cust", uses="cust")
+def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
+    return D.customers(spark, sf).select("cust", G.point_in_polygon(F.col("lon"), F.col("lat"), D.polygon(D.POLYGON)).alias("inside"))
+
+
+def _meet_sql(a: str, b: str) -> str:
+    (ax, ay, bx, by), (cx, cy, dx, dy) = a.split(), b.split()
+    cross = lambda px, py, qx, qy, rx, ry: f"(({rx} - {px}) * ({qy} - {py}) - ({ry} - {py}) * ({qx} - {px}))"
+    d1, d2, d3, d4 = cross(ax, ay, bx, by, cx, cy), cross(ax, ay, bx, by, dx, dy), cross(cx, cy, dx, dy, ax, ay), cross(cx, cy, dx, dy, bx, by)
+    on = lambda d, px, py, ux, uy, vx, vy: f"({d} = 0 AND {px} BETWEEN least({ux}, {vx}) - 1e-9 AND greatest({ux}, {vx}) + 1e-9 AND {py} BETWEEN least({uy}, {vy}) - 1e-9 AND greatest({uy}, {vy}) + 1e-9)"
+    return f"((sign({d1}) * sign({d2}) < 0 AND sign({d3}) * sign({d4}) < 0) OR {on(d1, cx, cy, ax, ay, bx, by)} OR {on(d2, dx, dy, ax, ay, bx, by)} OR {on(d3, ax, ay, cx, cy, dx, dy)} OR {on(d4, bx, by, cx, cy, dx, dy)})"
+
+
+_CORNER = "(SELECT count(*) FILTER (WHERE (by_ > {y}) <> (ay > {y}) AND {x} < (ax - bx) * ({y} - by_) / (ay - by_) + bx) % 2 = 1 FROM e)"
+_SIDES = ("x0 y0 x1 y0", "x1 y0 x1 y1", "x1 y1 x0 y1", "x0 y1 x0 y0")
+
+
+@query(
+    "+" + D.edges_sql("e", D.POLYGON) + ", b AS (SELECT cust, lon AS x0, lat AS y0, lon + 15 AS x1, lat + 9 AS y1 FROM cust) SELECT cust, "
+    + "bool_or(bx BETWEEN x0 AND x1 AND by_ BETWEEN y0 AND y1 OR " + " OR ".join(_meet_sql("ax ay bx by_", s) for s in _SIDES) + ")"
+    + "".join(f" OR count(*) FILTER (WHERE (by_ > {y}) <> (ay > {y}) AND {x} < (ax - bx) * ({y} - by_) / (ay - by_) + bx) % 2 = 1" for x in ("x0", "x1") for y in ("y0", "y1"))
+    + " AS meets FROM b, e GROUP BY cust",
+    uses="cust",
+)
+def rect_polygon(spark: SparkSession, sf: str) -> DataFrame:
+    x0, y0 = F.col("lon"), F.col("lat")
+    return D.customers(spark, sf).select("cust", G.rect_intersects_polygon(x0, y0, x0 + 15, y0 + 9, D.polygon(D.POLYGON)).alias("meets"))
+
+
+_LINE = ("100.0", "30.1", "101.0", "30.8")
+
+
+@query("SELECT path, seq, " + _meet_sql("lon lat lon2 lat2", " ".join(f"{v}::DOUBLE" for v in _LINE)) + " AS meets FROM seg", uses="pts seg")
+def seg_seg_intersect(spark: SparkSession, sf: str) -> DataFrame:
+    s = sequence.with_segments(D.points(spark, sf))
+    return s.select("path", "seq", G.segments_intersect(*(F.col(c) for c in ("lon", "lat", "lon2", "lat2")), *(F.lit(float(v)) for v in _LINE)).alias("meets"))
+
+
+def _plane_sql(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
+    vx, vy = f"({bx} - {ax})", f"({by} - {ay})"
+    t = f"(CASE WHEN {vx} * {vx} + {vy} * {vy} > 0 THEN least(greatest((({px} - {ax}) * {vx} + ({py} - {ay}) * {vy}) / ({vx} * {vx} + {vy} * {vy}), 0), 1) ELSE 0 END)"
+    return f"sqrt(pow({px} - ({ax} + {t} * {vx}), 2) + pow({py} - ({ay} + {t} * {vy}), 2))"
+
+
+_K = "greatest(cos(radians((lat + lat2) / 2)), 1e-6)"
+
+
+@query("SELECT path, seq, " + r_("111194.92664455873 * " + _plane_sql(f"(100.5 * {_K})", "30.5", f"(lon * {_K})", "lat", f"(lon2 * {_K})", "lat2"), "metres", 3) + ", " + r_(_plane_sql("(100.5 * 111.32 * cos(radians(lat)))", "(30.5 * 111.0)", "(lon * 111.32 * cos(radians(lat)))", "(lat * 111.0)", "(lon2 * 111.32 * cos(radians(lat)))", "(lat2 * 111.0)"), "kilometres") + " FROM seg", uses="pts seg")
+def point_seg_distance(spark: SparkSession, sf: str) -> DataFrame:
+    a = [F.lit(100.5), F.lit(30.5), *(F.col(c) for c in ("lon", "lat", "lon2", "lat2"))]
+    return sequence.with_segments(D.points(spark, sf)).select("path", "seq", rnd(G.point_segment_m(*a), "metres", 3), rnd(G.point_segment_km(*a), "kilometres"))
+
+
+def _seg_seg_km_sql(a: str, b: str) -> str:
+    (ax, ay, bx, by), (cx, cy, dx, dy) = a.split(), b.split()
+    k = f"(111.32 * cos(radians(({ay} + {cy}) / 2)))"
+    X = lambda v: f"({v} * {k})"
+    Y = lambda v: f"({v} * 111.0)"
+    p, q, u, v = (X(ax), Y(ay)), (X(bx), Y(by)), (X(cx), Y(cy)), (X(dx), Y(dy))
+    four = ", ".join(_plane_sql(*m, *s, *e) for m, s, e in ((p, u, v), (q, u, v), (u, p, q), (v, p, q)))
+    return f"(CASE WHEN {_meet_sql(a, b)} THEN 0 ELSE least({four}) END)"
+
+
+@query("+" + D.edges_sql("e", D.LOCAL) + ", d AS (SELECT path, seq, CASE WHEN count(*) FILTER (WHERE " + _RAY + ") % 2 = 1 OR count(*) FILTER (WHERE (by_ > lat2) <> (ay > lat2) AND lon2 < (ax - bx) * (lat2 - by_) / (ay - by_) + bx) % 2 = 1 THEN 0 ELSE min(" + _seg_seg_km_sql("lon lat lon2 lat2", "ax ay bx by_") + ") END AS km FROM seg, e GROUP BY path, seq) SELECT path, seq, " + r_("km", "clearance_km") + " FROM d", uses="pts seg")
+def segment_zone_clearance(spark: SparkSession, sf: str) -> DataFrame:
+    s = [F.col(c) for c in ("lon", "lat", "lon2", "lat2")]
+    return sequence.with_segments(D.points(spark, sf)).select("path", "seq", rnd(G.segment_polygon_km(*s, D.polygon(D.LOCAL)), "clearance_km"))
+
+
+_IV = "+k AS (SELECT path, seq, (lon2 - lon) * kx AS dx, (lat2 - lat) * 111.32 AS dy, (100.5 - lon) * kx AS ox, (30.5 - lat) * 111.32 AS oy FROM (SELECT *, cos(radians((lat + lat2) / 2)) * 111.32 AS kx FROM seg)), j AS (SELECT *, dx * dx + dy * dy AS aa, dx * ox + dy * oy AS hb FROM k), i AS (SELECT *, hb * hb - aa * (ox * ox + oy * oy - pow(20 + greatest(sqrt(aa) * 0.005, 1), 2)) AS disc FROM j WHERE aa >= 1e-12), t AS (SELECT path, seq, least(greatest((hb - sqrt(disc)) / aa, 0), 1) AS t0, least(greatest((hb + sqrt(disc)) / aa, 0), 1) AS t1 FROM i WHERE disc > 0) SELECT path, seq, " + r_("t0", "t0") + ", " + r_("t1", "t1") + " FROM t WHERE t1 > 0 AND t0 < 1"
+
+
+@query(_IV, uses="pts seg")
+def segment_circle(spark: SparkSession, sf: str) -> DataFrame:
+    s = sequence.with_segments(D.points(spark, sf)).withColumn("iv", G.segment_circle_interval(*(F.col(c) for c in ("lon", "lat", "lon2", "lat2")), F.lit(100.5), F.lit(30.5), F.lit(20.0)))
+    return s.where("iv IS NOT NULL").select("path", "seq", rnd(F.col("iv.t0"), "t0"), rnd(F.col("iv.t1"), "t1"))
+
+
+@query("SELECT cust, coalesce(bal BETWEEN 0 AND CASE WHEN cust % 5 > 0 THEN 5000 END, true) AS in_band FROM cust", uses="cust")
+def altitude_band(spark: SparkSession, sf: str) -> DataFrame:
+    return D.customers(spark, sf).select("cust", G.in_band(F.col("bal"), F.lit(0.0), F.when(F.col("cust") % 5 > 0, 5000.0)).alias("in_band"))
+
+
+# --- joins -----------------------------------------------------------------------------------------------------
+
+_CIRCLES = "circ AS (SELECT supp, lon2 AS clon, lat2 AS clat, 100.0 + (supp * 37) % 1500 AS radius_km FROM supp)"
+
+
+@query(f"+{_CIRCLES} SELECT cust, count(*) AS n, min(supp) AS first_supp FROM cust, circ WHERE " + D.haversine_sql("lon", "lat", "clon", "clat") + " <= radius_km * 1000 GROUP BY cust", uses="cust supp")
+def circle_contains_join(spark: SparkSession, sf: str) -> DataFrame:
+    circles = D.suppliers(spark, sf).select("supp", F.col("lon2").alias("clon"), F.col("lat2").alias("clat"), (F.lit(100.0) + F.col("supp") * 37 % 1500).alias("radius_km"))
+    return joins.circles_containing(D.customers(spark, sf), circles, 5.0).groupBy("cust").agg(F.count("*").alias("n"), F.min("supp").alias("first_supp"))
+
+
+@query("+d AS (SELECT cust, supp, pow(lon - lon2, 2) + pow(lat - lat2, 2) AS d2 FROM cust, supp), f AS (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY d2, supp) AS n FROM d) SELECT cust, supp, " + r_("d2", "d2") + " FROM f WHERE n = 1", uses="cust supp")
+def nearest_supplier(spark: SparkSession, sf: str) -> DataFrame:
+    return joins.nearest(D.customers(spark, sf), D.suppliers(spark, sf), "cust", "supp", 12.0).select("cust", "supp", rnd(F.col("d2"), "d2"))
+
+
+_SUB = "sub AS (SELECT path, seq, lon AS ax, lat AS ay, lon2 AS bx, lat2 AS by_, alt_m, alt2 FROM seg WHERE path % 40 = 0)"
+
+
+@query(f"+{_SUB} SELECT a.path AS path_1, count(*) AS n, min(greatest(abs(a.alt_m - b.alt_m), abs(a.alt2 - b.alt2))) AS least_gap FROM sub a JOIN sub b ON a.path < b.path AND " + _meet_sql("a.ax a.ay a.bx a.by_", "b.ax b.ay b.bx b.by_") + " GROUP BY a.path", uses="pts seg")
+def crossings_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Crossings among every 40th path: the paths of a sector."""
+    s = sequence.with_segments(D.points(spark, sf)).where("path % 40 = 0")
+    s = s.select("path", "seq", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("lon2").alias("bx"), F.col("lat2").alias("by"), "alt_m", "alt2")
+    met = joins.crossings(s, "path", "seq", "alt_m", "alt2", 0.25)
+    return met.groupBy("path_1").agg(F.count("*").alias("n"), F.min("height_gap").alias("least_gap"))
+
+
+@query("+b AS (SELECT supp, lon2 AS x0, lat2 AS y0, lon2 + 4 + supp % 7 AS x1, lat2 + 3 + supp % 4 AS y1 FROM supp) SELECT supp, col AS tile_col, row AS tile_row FROM b, unnest(range(floor((x0 + 180) / 2.5)::BIGINT, floor((x1 + 180) / 2.5)::BIGINT + 1)) AS t(col), unnest(range(floor((y0 + 90) / 2.5)::BIGINT, floor((y1 + 90) / 2.5)::BIGINT + 1)) AS u(row)", uses="supp")
+def tile_cover(spark: SparkSession, sf: str) -> DataFrame:
+    b = D.suppliers(spark, sf).select("supp", F.col("lon2").alias("min_lon"), F.col("lat2").alias("min_lat"), (F.col("lon2") + 4 + F.col("supp") % 7).alias("max_lon"), (F.col("lat2") + 3 + F.col("supp") % 4).alias("max_lat"))
+    return joins.tile_cover(b, 2.5).select("supp", "tile_col", "tile_row")
+
+
+def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return D.table(spark, sf, "customer").select(k.alias("cust"), ((k * 7919 % 2900) / F.lit(100.0)).alias("y"), ((k * 104729 % 6400) / F.lit(100.0)).alias("x"))
+
+
+_SAMPLES = "s AS (SELECT c_custkey AS cust, ((c_custkey * 7919) % 2900)::DOUBLE / 100 AS y, ((c_custkey * 104729) % 6400)::DOUBLE / 100 AS x FROM customer)"
+_CORNERS = " ".join(f"LEFT JOIN grid g{i}{j} ON g{i}{j}.r = floor(y) + {i} AND g{i}{j}.c = floor(x) + {j}" for i in (0, 1) for j in (0, 1))
+
+
+@query(f"+{_SAMPLES} SELECT cust, " + r_("(g00.h + (g01.h - g00.h) * (x - floor(x))) + ((g10.h + (g11.h - g10.h) * (x - floor(x))) - (g00.h + (g01.h - g00.h) * (x - floor(x)))) * (y - floor(y))", "height") + f" FROM s {_CORNERS}", uses="grid")
+def bilinear_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    met = joins.raster_corners(_samples(spark, sf), D.grid(spark, sf), "cust")
+    return met.select("cust", rnd(S.bilinear(*(F.col(c) for c in ("h00", "h01", "h10", "h11", "fr", "fc"))), "height"))
+
+
+_MASKED = f"{_SAMPLES}, hit AS (SELECT cust, row, col, (SELECT m.class FROM mask m WHERE m.row = p.row AND p.col >= c0 AND p.col < c1 ORDER BY class, c0 LIMIT 1) AS k FROM (SELECT cust, floor(y)::BIGINT AS row, floor(x)::BIGINT AS col FROM s) p), masked AS (SELECT cust, row, col, coalesce(k, 0) AS mask_class FROM hit)"
+
+
+@query(f"+{_MASKED} SELECT cust, mask_class FROM masked", uses="mask")
+def mask_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    p = _samples(spark, sf).select("cust", F.floor("y").alias("row"), F.floor("x").alias("col"))
+    return joins.mask_lookup(p, D.segments_of_mask(spark, sf)).select("cust", "mask_class")
+
+
+@query(f"+{_MASKED} SELECT cust, CASE WHEN r IS NULL THEN 'OutOfBounds' WHEN mask_class = 0 THEN 'Water' WHEN h IS NULL THEN 'NoData' WHEN mask_class = 2 THEN 'Lake' ELSE 'Land' END AS surface FROM masked LEFT JOIN grid ON r = row AND c = col", uses="grid mask")
+def surface_class(spark: SparkSession, sf: str) -> DataFrame:
+    p = _samples(spark, sf).select("cust", F.floor("y").alias("row"), F.floor("x").alias("col"))
+    m = joins.mask_lookup(p, D.segments_of_mask(spark, sf))
+    g = D.grid(spark, sf).select(F.col("r").alias("row"), F.col("c").alias("col"), "h", F.lit(True).alias("known"))
+    return m.join(g, ["row", "col"], "left").select("cust", G.surface_class(F.col("mask_class"), F.col("h"), F.coalesce("known", F.lit(False))).alias("surface"))
+
+
+_CLEAR = "CASE WHEN h IS NULL THEN 'unknown' WHEN size % 6 = 0 THEN CASE WHEN alt >= 100 THEN 'ok' ELSE 'fail' END WHEN alt >= h + 100 THEN 'ok' ELSE 'fail' END"
+
+
+@query(f"SELECT r, c, {_CLEAR} AS verdict FROM (SELECT *, ((r * 53 + c * 17) % 1200)::DOUBLE AS alt FROM grid)", uses="grid")
+def terrain_clearance(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("h").isNull(), "NoData").when(F.col("size") % 6 == 0, "Water").otherwise("Land")
+    alt = ((F.col("r") * 53 + F.col("c") * 17) % 1200).cast("double")
+    return D.grid(spark, sf).select("r", "c", G.point_clearance(kind, F.col("h"), alt, F.lit(100.0)).alias("verdict"))
+
+
+# --- sequences ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT path, " + r_("sum(" + D.haversine_sql("lon", "lat", "lon2", "lat2") + ")", "length_m", 2) + ", count(*) AS n_segments FROM seg GROUP BY path", uses="pts seg")
+def path_length(spark: SparkSession, sf: str) -> DataFrame:
+    return sequence.path_lengths(D.points(spark, sf)).select("path", rnd(F.col("length_m"), "length_m", 2), "n_segments")
+
+
+@query("SELECT path, seq, " + r_(D.bearing_sql("lon", "lat", "lon2", "lat2"), "heading_deg", 5) + " FROM seg", uses="pts seg")
+def heading(spark: SparkSession, sf: str) -> DataFrame:
+    return sequence.headings(D.points(spark, sf)).select("path", "seq", rnd(F.col("heading_deg"), "heading_deg", 5))
+
+
+_TURNS = "h AS (SELECT path, seq, " + D.bearing_sql("lon", "lat", "lon2", "lat2") + " AS hd FROM seg), tn AS (SELECT path, seq, " + D.pmod_sql("hd - lag(hd) OVER (PARTITION BY path ORDER BY seq) + 180", "360.0") + " - 180 AS turn FROM h)"
+
+
+@query(f"+{_TURNS} SELECT path, seq, " + r_("abs(turn)", "turn_deg", 4) + " FROM tn WHERE turn IS NOT NULL", uses="pts seg")
+def turn_angle(spark: SparkSession, sf: str) -> DataFrame:
+    return sequence.turn_angles(D.points(spark, sf)).select("path", "seq", rnd(F.abs("turn_deg"), "turn_deg", 4))
+
+
+_CLIMB = "cl AS (SELECT path, seq, CASE WHEN run > 1e-9 THEN degrees(atan(abs(alt2 - alt_m) / run)) END AS climb FROM (SELECT *, " + D.haversine_sql("lon", "lat", "lon2", "lat2") + " AS run FROM seg))"
+
+
+@query(f"+{_CLIMB} SELECT path, seq, " + r_("climb", "climb_deg") + " FROM cl", uses="pts seg")
+def climb(spark: SparkSession, sf: str) -> DataFrame:
+    return sequence.climb_angles(D.points(spark, sf)).select("path", "seq", rnd(F.col("climb_deg"), "climb_deg"))
+
+
+_RADII = """v AS (SELECT *, lag(lon) OVER w AS x1, lag(lat) OVER w AS y1, lead(lon) OVER w AS x3, lead(lat) OVER w AS y3 FROM pts WINDOW w AS (PARTITION BY path ORDER BY seq)),
+k AS (SELECT path, seq, cos(radians((y1 + lat + y3) / 3)) AS k, (x1 + lon + x3) / 3 AS cx, (y1 + lat + y3) / 3 AS cy, * EXCLUDE (path, seq) FROM v WHERE x1 IS NOT NULL AND x3 IS NOT NULL),
+xy AS (SELECT path, seq, radians(x1 - cx) * k * 6371000.0 AS ax, radians(y1 - cy) * 6371000.0 AS ay, radians(lon - cx) * k * 6371000.0 AS bx, radians(lat - cy) * 6371000.0 AS by_, radians(x3 - cx) * k * 6371000.0 AS dx, radians(y3 - cy) * 6371000.0 AS dy FROM k),
+uv AS (SELECT path, seq, bx - ax AS ux, by_ - ay AS uy, dx - ax AS vx, dy - ay AS vy FROM xy),
+rad AS (SELECT path, seq, CASE WHEN abs(ux * vy - uy * vx) >= 1e-12 THEN sqrt(pow((vy * (ux * ux + uy * uy) - uy * (vx * vx + vy * vy)) / (2 * (ux * vy - uy * vx)), 2) + pow((ux * (vx * vx + vy * vy) - vx * (ux * ux + uy * uy)) / (2 * (ux * vy - uy * vx)), 2)) END AS radius, abs(ux * vy - uy * vx) AS det FROM uv)"""
+
+
+@query(f"+{_RADII} SELECT path, seq, " + r_("radius", "radius_m", 0) + " FROM rad WHERE det > 1e5", uses="pts seg")
+def circumradius(spark: SparkSession, sf: str) -> DataFrame:
+    """Radii at vertices that are not close to straight, where the last bits of the projection would decide."""
+    p = sequence.vertex_radii(D.points(spark, sf))
+    lon0, lat0 = (F.col("lon_a") + F.col("lon") + F.col("lon_b")) / 3, (F.col("lat_a") + F.col("lat") + F.col("lat_b")) / 3
+    (ax, ay), (bx, by), (cx, cy) = (S.local_xy(F.col(f"lon{s}"), F.col(f"lat{s}"), lon0, lat0) for s in ("_a", "", "_b"))
+    return p.where(F.abs(S.cross(bx - ax, by - ay, cx - ax, cy - ay)) > 1e5).select("path", "seq", rnd(F.col("radius_m"), "radius_m", 0))
+
+
+@query("+st AS (SELECT *, coalesce(" + D.haversine_sql("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat") + ", 0) AS step FROM pts WINDOW w AS (PARTITION BY path ORDER BY seq)) SELECT path, seq, " + r_("sum(step) OVER (PARTITION BY path ORDER BY seq)", "along_m", 2) + " FROM st", uses="pts")
+def cumulative_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return sequence.cumulative_distance(D.points(spark, sf)).select("path", "seq", rnd(F.col("along_m"), "along_m", 2))
+
+
+_ANCH = "an AS (SELECT path, seq, seq::DOUBLE AS at_, CASE WHEN seq % 3 = 1 THEN alt_m END AS a FROM pts), iv AS (SELECT *, last_value(a IGNORE NULLS) OVER b AS v0, first_value(a IGNORE NULLS) OVER f AS v1, last_value(CASE WHEN a IS NOT NULL THEN at_ END IGNORE NULLS) OVER b AS a0, first_value(CASE WHEN a IS NOT NULL THEN at_ END IGNORE NULLS) OVER f AS a1 FROM an WINDOW b AS (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY path ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+
+
+@query(f"+{_ANCH} SELECT path, seq, " + r_("greatest(coalesce(v0 + (v1 - v0) * CASE WHEN a1 > a0 THEN (at_ - a0) / (a1 - a0) ELSE 0 END, v0, v1), 150)", "alt_m") + " FROM iv", uses="pts")
+def anchor_interpolate(spark: SparkSession, sf: str) -> DataFrame:
+    p = D.points(spark, sf).withColumn("a", F.when(F.col("seq") % 3 == 1, F.col("alt_m"))).withColumn("at", F.col("seq").cast("double"))
+    return sequence.anchor_interpolate(p, "a", "at", F.lit(150.0)).select("path", "seq", rnd(F.col("value"), "alt_m"))
+
+
+_WRAP = "((({0}) + 32768) - 65536 * floor((({0}) + 32768) / 65536.0)::BIGINT - 32768)::SMALLINT"
+_SER = "ser AS (SELECT o_custkey AS k, o_orderkey AS i, ((o_orderkey * 7919) % 60000 - 30000)::BIGINT AS v FROM orders)"
+
+
+@query(f"WITH {_SER}, d AS (SELECT k, i, v - coalesce(lag(v) OVER (PARTITION BY k ORDER BY i), 0) AS x FROM ser) SELECT k, i, {_WRAP.format('x')} AS delta FROM d")
+def delta_encode(spark: SparkSession, sf: str) -> DataFrame:
+    return sequence.delta_encode(_series(spark, sf), "v", "k", "i").select("k", "i", "delta")
+
+
+@query(f"WITH {_SER} SELECT k, i, v::SMALLINT AS value FROM ser")
+def delta_decode(spark: SparkSession, sf: str) -> DataFrame:
+    coded = sequence.delta_encode(_series(spark, sf), "v", "k", "i")
+    return sequence.delta_decode(coded, "delta", "k", "i").select("k", "i", "value")
+
+
+def _series(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return D.table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), k.alias("i"), (k * 7919 % 60000 - 30000).alias("v"))
+
+
+# --- intervals ---------------------------------------------------------------------------------------------------
+
+_DAYS = "days AS (SELECT DISTINCT user_id AS key, epoch(date_trunc('hour', ts))::BIGINT // 3600 AS v FROM events)"
+_SPANS = "a AS (SELECT user_id % 40 AS key, s AS c0, s + 1 + n AS c1 FROM (SELECT user_id, (event_id * 7919) % 2000 AS s, (event_id * 31) % 17 AS n FROM events WHERE event_id % 2 = 0)), b AS (SELECT user_id % 40 AS key, s AS c0, s + 1 + n AS c1 FROM (SELECT user_id, (event_id * 7919) % 2000 AS s, (event_id * 31) % 17 AS n FROM events WHERE event_id % 2 = 1))"
+_POINTS = "pa AS (SELECT DISTINCT key, unnest(range(c0, c1)) AS v FROM a), pb AS (SELECT DISTINCT key, unnest(range(c0, c1)) AS v FROM b)"
+_RUNS = "SELECT key, min(v) AS c0, max(v) + 1 AS c1 FROM (SELECT key, v, v - row_number() OVER (PARTITION BY key ORDER BY v) AS g FROM ({})) GROUP BY key, g"
+
+
+def _spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = F.col("event_id")
+    s = D.table(spark, sf, "events").select((F.col("user_id") % 40).alias("key"), (e * 7919 % 2000).alias("c0"), (e * 7919 % 2000 + 1 + e * 31 % 17).alias("c1"), (e % 2).alias("side"))
+    return tuple(s.where(F.col("side") == i).select("key", "c0", "c1") for i in (0, 1))
+
+
+@query(f"WITH {_DAYS} " + _RUNS.format("SELECT key, v FROM days"))
+def rle_islands(spark: SparkSession, sf: str) -> DataFrame:
+    e = D.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.floor(F.unix_timestamp(F.date_trunc("hour", F.col("ts")).cast("timestamp")) / 3600).alias("v"))
+    return intervals.islands(e, "key", "v")
+
+
+@query(f"WITH {_SPANS}, {_POINTS} " + _RUNS.format("SELECT * FROM pa"))
+def interval_union(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.union(_spans(spark, sf)[0])
+
+
+@query(f"WITH {_SPANS}, {_POINTS} " + _RUNS.format("SELECT * FROM pa EXCEPT SELECT * FROM pb"))
+def interval_difference(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.difference(*_spans(spark, sf))
+
+
+@query(f"WITH {_SPANS}, {_POINTS} " + _RUNS.format("SELECT * FROM pa INTERSECT SELECT * FROM pb"))
+def interval_intersect(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.intersection(*_spans(spark, sf))
+
+
+@query(f"WITH {_SPANS} SELECT key, greatest(c0, 300) AS c0, least(c1, 1200) AS c1 FROM a WHERE greatest(c0, 300) < least(c1, 1200)")
+def interval_clip(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.clip(_spans(spark, sf)[0], 300, 1200)
+
+
+_TRI = "tri AS (SELECT supp AS key, (supp * 7) % 40 + 0.25 AS x, (supp * 13) % 30 + 0.125 AS y FROM supp), ed AS (SELECT key, x AS ax, y AS ay, x + 20 AS bx, y + 5 AS by_ FROM tri UNION ALL SELECT key, x + 20, y + 5, x + 6, y + 17 FROM tri UNION ALL SELECT key, x + 6, y + 17, x, y FROM tri)"
+
+
+@query(f"+{_TRI}, cr AS (SELECT key, row, ax + (row + 0.5 - ay) / (by_ - ay) * (bx - ax) AS x FROM ed, unnest(range(0, 40)) AS t(row) WHERE row + 0.5 >= least(ay, by_) AND row + 0.5 < greatest(ay, by_)), pr AS (SELECT *, row_number() OVER w AS n, lead(x) OVER w AS x1 FROM cr WINDOW w AS (PARTITION BY key, row ORDER BY x)) SELECT key, row, " + r_("x", "x0") + ", " + r_("x1", "x1") + " FROM pr WHERE n % 2 = 1 AND x1 IS NOT NULL", uses="supp")
+def scanline_fill(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("supp")
+    tri = D.suppliers(spark, sf).select(k.alias("key"), (k * 7 % 40 + F.lit(0.25)).alias("x"), (k * 13 % 30 + F.lit(0.125)).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    ring = [(x, y), (x + 20, y + 5), (x + 6, y + 17)]
+    sides = F.array(*[F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")) for a, b in zip(ring, ring[1:] + ring[:1])])
+    edges = tri.select("key", F.explode(sides).alias("e")).select("key", "e.*")
+    return intervals.scanline_fill(edges, 40).select("key", "row", rnd(F.col("x0"), "x0"), rnd(F.col("x1"), "x1"))
+
+
+# --- rasters -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT r, c, (CASE WHEN h IS NULL THEN 5 WHEN size = 50 THEN 'infinity'::FLOAT ELSE 1 END)::FLOAT AS cost FROM grid", uses="grid")
+def grid_classify(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("h").isNull(), "NoData").when(F.col("size") == 50, "Forbidden").otherwise("Land")
+    return raster.classify(D.grid(spark, sf), kind, 5.0).select("r", "c", "cost")
+
+
+_BOX = "dim AS (SELECT max(r) AS mr FROM grid), wall AS (SELECT r, c FROM grid WHERE size = 50)"
+
+
+def _walls(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    g = D.grid(spark, sf)
+    return g.where("size = 50").select("r", "c"), int(g.agg(F.max("r")).first()[0]) + 1
+
+
+@query(f"+{_BOX} SELECT DISTINCT r + dr AS r, c + dc AS c FROM wall, dim, unnest(range(-2, 3)) AS a(dr), unnest(range(-2, 3)) AS b(dc) WHERE r + dr BETWEEN 0 AND mr AND c + dc BETWEEN 0 AND 63", uses="grid")
+def dilate(spark: SparkSession, sf: str) -> DataFrame:
+    walls, rows = _walls(spark, sf)
+    return raster.dilate(walls, 2, rows, D.GRID_COLS)
+
+
+@query(f"+{_BOX} SELECT r + dr AS r, c + dc AS c, min(greatest(abs(dr), abs(dc))) AS d FROM wall, dim, unnest(range(-3, 4)) AS a(dr), unnest(range(-3, 4)) AS b(dc) WHERE r + dr BETWEEN 0 AND mr AND c + dc BETWEEN 0 AND 63 GROUP BY ALL", uses="grid")
+def distance_band(spark: SparkSession, sf: str) -> DataFrame:
+    walls, rows = _walls(spark, sf)
+    return raster.distance_band(walls, 3, rows, D.GRID_COLS)
+
+
+@query("SELECT r // 4 AS r, c // 4 AS c, " + r_("avg(h)", "mean") + ", " + r_("avg(CASE WHEN h IS NULL THEN 1.0 ELSE 0.0 END)", "void_share") + " FROM grid GROUP BY ALL", uses="grid")
+def downsample(spark: SparkSession, sf: str) -> DataFrame:
+    return raster.downsample(D.grid(spark, sf), 4).select("r", "c", rnd(F.col("mean"), "mean"), rnd(F.col("void_share"), "void_share"))
+
+
+@query("SELECT r, c, (CASE WHEN h + 100 >= 600 + 300 THEN 'infinity'::FLOAT ELSE 1 END)::FLOAT AS cost FROM grid", uses="grid")
+def ceiling_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return raster.ceiling_filter(D.grid(spark, sf).withColumn("cost", F.lit(1.0)), "h", 600.0, 100.0).select("r", "c", "cost")
+
+
+_CELLS = "cell AS (SELECT r, c, 100 + c * 0.01 AS x0, 30 + r * 0.01 AS y0 FROM grid)"
+
+
+@query("+" + D.edges_sql("e", D.LOCAL) + f", cell AS (SELECT r, c, (100 + c * 0.015)::DOUBLE AS x0, (30 + r * 0.03)::DOUBLE AS y0, (100 + c * 0.015)::DOUBLE + 0.015 AS x1, (30 + r * 0.03)::DOUBLE + 0.015 AS y1 FROM grid), hit AS (SELECT r, c, bool_or(bx BETWEEN x0 AND x1 AND by_ BETWEEN y0 AND y1 OR " + " OR ".join(_meet_sql("ax ay bx by_", s) for s in _SIDES) + ")" + "".join(f" OR count(*) FILTER (WHERE (by_ > {y}) <> (ay > {y}) AND {x} < (ax - bx) * ({y} - by_) / (ay - by_) + bx) % 2 = 1" for x in ("x0", "x1") for y in ("y0", "y1")) + " AS ok FROM cell, e GROUP BY r, c) SELECT r, c FROM hit WHERE ok", uses="grid")
+def rasterise_zone(spark: SparkSession, sf: str) -> DataFrame:
+    cells = D.grid(spark, sf).select("r", "c", (F.lit(100.0) + F.col("c") * F.lit(0.015)).alias("x0"), (F.lit(30.0) + F.col("r") * F.lit(0.03)).alias("y0"))
+    zones = spark.range(1).select(F.lit("z").alias("zone"), D.polygon(D.LOCAL).alias("polygon"))
+    return raster.rasterise_polygons(cells, zones, 0.015).select("r", "c")
+
+
+@query("SELECT count(*) AS cells, sum(CASE WHEN h IS NULL THEN 1 ELSE 0 END)::BIGINT AS voids, " + r_("avg(CASE WHEN h IS NULL THEN 1.0 ELSE 0.0 END)", "void_share") + ", min(h) AS low, max(h) AS high, " + r_("avg(h)", "mean") + " FROM grid", uses="grid")
+def void_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    v = raster.void_statistics(D.grid(spark, sf))
+    return v.select("cells", "voids", rnd(F.col("void_share"), "void_share"), "low", "high", rnd(F.col("mean"), "mean"))
+
+
+@query("SELECT class, " + r_("sum(c1 - c0) / (31 * 64.0)", "share") + " FROM mask GROUP BY class", uses="mask")
+def mask_area_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return raster.mask_area(D.segments_of_mask(spark, sf), 31, 64).select("class", rnd(F.col("share"), "share"))
+
+
+@query("+b AS (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM cust WHERE nation < 3) SELECT " + r_("(x0 + x1) / 2 - h", "min_lon") + ", " + r_("(x0 + x1) / 2 + h", "max_lon") + ", " + r_("(y0 + y1) / 2 - h", "min_lat") + ", " + r_("(y0 + y1) / 2 + h", "max_lat") + " FROM (SELECT *, greatest(x1 - x0, y1 - y0) / 2 + 0.15 AS h FROM b)", uses="cust")
+def bbox_region(spark: SparkSession, sf: str) -> DataFrame:
+    b = D.customers(spark, sf).where("nation < 3").agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
+    h = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 2 + 0.15
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    return b.select(rnd(x - h, "min_lon"), rnd(x + h, "max_lon"), rnd(y - h, "min_lat"), rnd(y + h, "max_lat"))
+
+
+_RAYS = "ray AS (SELECT c_custkey AS cust, ((c_custkey * 7919) % 28)::DOUBLE + 0.3 AS y1, ((c_custkey * 31) % 60)::DOUBLE + 0.4 AS x1, ((c_custkey * 104729) % 28)::DOUBLE + 0.6 AS y2, ((c_custkey * 17) % 60)::DOUBLE + 0.7 AS x2, 900.0 + c_custkey % 300 AS z1, 700.0 + c_custkey % 400 AS z2 FROM customer)"
+
+
+@query(f"+{_RAYS} SELECT cust, bool_or(coalesce(z1 + (z2 - z1) * (i / 24.0) <= h, false)) AS blocked FROM ray, unnest(range(1, 25)) AS t(i) LEFT JOIN grid ON r = floor(y1 + (y2 - y1) * (i / 24.0)) AND c = floor(x1 + (x2 - x1) * (i / 24.0)) GROUP BY cust", uses="grid")
+def line_of_sight(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rays = D.table(spark, sf, "customer").select(k.alias("cust"), (k * 7919 % 28 + F.lit(0.3)).alias("y1"), (k * 31 % 60 + F.lit(0.4)).alias("x1"), (k * 104729 % 28 + F.lit(0.6)).alias("y2"), (k * 17 % 60 + F.lit(0.7)).alias("x2"), (F.lit(900.0) + k % 300).alias("z1"), (F.lit(700.0) + k % 400).alias("z2"))
+    return raster.line_of_sight(rays, D.grid(spark, sf), 24, "cust")
+
+
+# --- polylines ---------------------------------------------------------------------------------------------------
+
+_CUT = "nn AS (SELECT *, count(*) OVER (PARTITION BY path) AS n, lead(lon) OVER w AS bx, lead(lat) OVER w AS by_, lead(alt_m) OVER w AS bz FROM pts WINDOW w AS (PARTITION BY path ORDER BY seq)), cut AS (SELECT path, lon, lat, alt_m, seq AS i, 0.0 AS t FROM nn WHERE n < 3 OR seq = 1 OR bx IS NULL UNION ALL SELECT path, lon + (bx - lon) * t, lat + (by_ - lat) * t, alt_m + (bz - alt_m) * t, seq, t FROM nn, (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) AS q(t) WHERE n >= 3 AND bx IS NOT NULL)"
+
+
+@query(f"+{_CUT} SELECT path, row_number() OVER (PARTITION BY path ORDER BY i, t) - 1 AS seq, " + ", ".join(r_(c, c) for c in ("lon", "lat", "alt_m")) + " FROM cut", uses="pts")
+def chaikin(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.chaikin(D.points(spark, sf)).select("path", "seq", *(rnd(F.col(c), c) for c in ("lon", "lat", "alt_m")))
+
+
+def _cr(c: str) -> str:
+    return r_(f"0.5 * (2 * {c} + ({c}_2 - {c}_0) * t + (2 * {c}_0 - 5 * {c} + 4 * {c}_2 - {c}_3) * t * t + (3 * {c} - {c}_0 - 3 * {c}_2 + {c}_3) * t * t * t)", c, 10)
+
+
+_SPL = "sp AS (SELECT *, count(*) OVER (PARTITION BY path) AS n, " + ", ".join(f"coalesce(lag({c}) OVER w, {c}) AS {c}_0, lead({c}) OVER w AS {c}_2, coalesce(lead({c}, 2) OVER w, lead({c}) OVER w) AS {c}_3" for c in ("lon", "lat", "alt_m")) + " FROM pts WINDOW w AS (PARTITION BY path ORDER BY seq))"
+
+
+@query(f"+{_SPL}, cv AS (SELECT path, seq AS i, k, {_cr('lon')}, {_cr('lat')}, {_cr('alt_m')} FROM (SELECT *, k / 4.0 AS t FROM sp, unnest(range(1, 5)) AS u(k)) WHERE n >= 3 AND lon_2 IS NOT NULL UNION ALL SELECT path, seq, 0, {r_('lon', 'lon', 10)}, {r_('lat', 'lat', 10)}, {r_('alt_m', 'alt_m', 10)} FROM sp WHERE n < 3 OR seq = 1) SELECT path, row_number() OVER (PARTITION BY path ORDER BY i, k) - 1 AS seq, lon, lat, alt_m FROM cv", uses="pts")
+def catmull_rom(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.catmull_rom(D.points(spark, sf), 4).select("path", "seq", *(rnd(F.col(c), c, 10) for c in ("lon", "lat", "alt_m")))
+
+
+@query("+nd AS (SELECT *, least(greatest(ceil(" + D.haversine_sql("lon", "lat", "lon2", "lat2") + " / 20000), 2), 8)::INT AS n FROM seg) SELECT path, seq, i::INT AS i, " + ", ".join(r_(f"{a} + ({b} - {a}) * (i / n::DOUBLE)", a) for a, b in (("lon", "lon2"), ("lat", "lat2"), ("alt_m", "alt2"))) + " FROM nd, unnest(range(1, n + 1)) AS t(i)", uses="pts seg")
+def densify(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.densify(D.points(spark, sf), 20_000.0, 2, 8).select("path", "seq", "i", *(rnd(F.col(c), c) for c in ("lon", "lat", "alt_m")))
+
+
+@query(f"+{_TURNS}, {_CLIMB}, {_RADII}, f AS (SELECT path, 'turn' AS rule, CASE WHEN abs(turn) > 92.0003 THEN 'issue' WHEN abs(turn) > 90.0003 THEN 'warning' END AS severity, seq FROM tn UNION ALL SELECT path, 'climb', CASE WHEN climb > 2.5003 THEN 'issue' WHEN climb > 0.5003 THEN 'warning' END, seq FROM cl UNION ALL SELECT path, 'radius', CASE WHEN radius < 9500.03 THEN 'issue' WHEN radius < 9900.0 THEN 'warning' END, seq FROM rad UNION ALL SELECT path, 'too_short', 'issue', min(seq) FROM pts GROUP BY path HAVING count(*) < 2) SELECT * FROM f WHERE severity IS NOT NULL", uses="pts seg")
+def validate_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.validate(D.points(spark, sf), 90.0003, 10000.0316, 0.5003).select("path", "rule", "severity", "seq")
+
+
+@query("+st AS (SELECT path, seq % 4 AS stage, count(*) AS n_points, sum(alt_m) < 1500 AS ok FROM pts GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n_points, stage DESC) AS n FROM st WHERE ok) SELECT path, stage, n_points FROM b WHERE n = 1", uses="pts")
+def stage_gate(spark: SparkSession, sf: str) -> DataFrame:
+    s = D.points(spark, sf).groupBy("path", (F.col("seq") % 4).cast("long").alias("stage")).agg(F.count("*").alias("n_points"), (F.sum("alt_m") < 1500).alias("ok"))
+    return paths.choose_stage(s)
+
+
+@query("SELECT path, " + r_("min(111194.92664455873 * " + _plane_sql(f"(100.5 * {_K})", "30.5", f"(lon * {_K})", "lat", f"(lon2 * {_K})", "lat2") + ")", "distance_m", 3) + " FROM seg GROUP BY path", uses="pts seg")
+def point_polyline(spark: SparkSession, sf: str) -> DataFrame:
+    p = D.points(spark, sf)
+    probe = p.select("path").distinct().select("path", F.col("path").alias("probe"), F.lit(100.5).alias("plon"), F.lit(30.5).alias("plat"))
+    return paths.point_to_path(probe, p, "probe").select("path", rnd(F.col("distance_m"), "distance_m", 3))
+
+
+# --- scenarios ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS cust, CASE WHEN c_acctbal > 1 THEN c_acctbal ELSE 1.25 END AS inflation, CASE WHEN c_acctbal / 10000 BETWEEN 0 AND 1 THEN c_acctbal / 10000 ELSE 0.5 END AS share FROM customer")
+def param_merge(spark: SparkSession, sf: str) -> DataFrame:
+    from geoloom.plans import scenario
+
+    b = F.col("c_acctbal")
+    return D.table(spark, sf, "customer").select(F.col("c_custkey").alias("cust"), scenario.merged(b, b > 1, 1.25).alias("inflation"), scenario.merged(b / 10000, (b / 10000).between(0, 1), 0.5).alias("share"))
+
+
+@query("SELECT cust, CASE WHEN bal < 0 THEN 'out_of_bounds' WHEN " + D.haversine_sql("lon", "lat", "lon + (cust % 50) / 1e4", "lat") + " < 100 THEN 'degenerate_start_equals_target' WHEN " + D.haversine_sql("lon", "lat", "20.0", "10.0") + " <= 2500000 THEN 'target_in_no_fly' ELSE 'ok' END AS reason FROM cust", uses="cust")
+def input_validate(spark: SparkSession, sf: str) -> DataFrame:
+    from geoloom.plans import scenario
+
+    lon, lat = F.col("lon"), F.col("lat")
+    return D.customers(spark, sf).select("cust", scenario.reason(lon, lat, lon + F.col("cust") % 50 / F.lit(1e4), lat, F.col("bal"), F.lit(20.0), F.lit(10.0), F.lit(2500.0)).alias("reason"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k, len(json_keys(props)) = 1 AND json_keys(props)[1] = 'k' AS strict FROM events")
+def json_scenario(spark: SparkSession, sf: str) -> DataFrame:
+    from geoloom.plans import scenario
+
+    e = D.table(spark, sf, "events").select("event_id", "props")
+    return e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), scenario.only_keys(F.col("props"), ["k"]).alias("strict"))
+
+
+# --- searches and sequential kernels (no SQL) ---------------------------------------------------------------------
+
+
+def _fields(spark: SparkSession, sf: str) -> DataFrame:
+    g = D.grid(spark, sf).withColumn("field", F.floor(F.col("r") / 16))
+    cost = F.when(F.col("h").isNull(), 5.0).otherwise(1 + F.col("h") / 1000)
+    return g.select("field", (F.col("r") % 16).cast("int").alias("r"), F.col("c").cast("int").alias("c"), cost.alias("cost"))
+
+
+def _ends(fields: DataFrame) -> DataFrame:
+    return fields.select("field").distinct().select("field", F.lit(0).alias("src_r"), F.lit(0).alias("src_c"), F.lit(7).alias("dst_r"), F.lit(40).alias("dst_c"))
+
+
+@query()
+def fmm_arrival(spark: SparkSession, sf: str) -> DataFrame:
+    f = _fields(spark, sf)
+    return paths.arrivals(f, _ends(f))
+
+
+@query()
+def backtrace(spark: SparkSession, sf: str) -> DataFrame:
+    f = _fields(spark, sf)
+    return paths.traces(paths.arrivals(f, _ends(f)), _ends(f))
+
+
+@query()
+def convex_hull(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.hulls(D.customers(spark, sf).select("nation", "lon", "lat"), "nation")
+
+
+@query()
+def visibility_path(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("cust")
+    legs = D.customers(spark, sf).select(k.alias("leg"), F.lit(100.0).alias("x1"), (F.lit(30.0) + k % 97 / F.lit(100.0)).alias("y1"), F.lit(101.0).alias("x2"), (F.lit(30.0) + k * 7 % 97 / F.lit(100.0)).alias("y2"))
+    return paths.visibility(legs, [[tuple(v) for v in D.LOCAL]], 0.02)
+
+
+@query()
+def dubins(spark: SparkSession, sf: str) -> DataFrame:
+    m = _matched(spark, sf)
+    legs = m.select(F.col("cust").alias("leg"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.radians(F.lit(90.0) - F.col("bal") % 360).alias("a1"), F.col("lon2").alias("x2"), F.col("lat2").alias("y2"), F.radians(F.lit(90.0) - F.col("sbal") % 360).alias("a2"))
+    return paths.dubins_paths(legs, 8.0)
+
+
+@query()
+def greedy_simplify(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.simplify(D.points(spark, sf), 20_000.0)
+
+
+@query()
+def theta_shortcut(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.shortcut(D.points(spark, sf), [[tuple(v) for v in D.LOCAL]])
+
+
+@query()
+def grade_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.grade_limit(D.points(spark, sf), 1.0, 150.0)
+
+
+@query()
+def fillet(spark: SparkSession, sf: str) -> DataFrame:
+    return paths.fillet(D.points(spark, sf), 3_000.0)
+
+
+@query()
+def scenario_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Scenarios in JSON, one for each nation, through the whole planning pipeline."""
+    from geoloom.plans import scenario
+
+    return scenario.plan(scenario.from_customers(D.customers(spark, sf)))
+
+
