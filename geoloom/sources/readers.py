@@ -181,3 +181,9 @@ def decode_blocks(blocks: DataFrame, codec: str = "deflate", void: int = codecs.
                 yield pa.record_batch([pa.array(r + br * codecs.BLOCK, pa.int32()), pa.array(c + bc * codecs.BLOCK, pa.int32()), pa.array(h, pa.int16(), mask=h == void)], names=["r", "c", "h"])
 
     return blocks.select("block_row", "block_col", "data").mapInArrow(run, "r int, c int, h smallint")
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``packed_raster`` known to the session, with filters pushed to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PackedRaster)
