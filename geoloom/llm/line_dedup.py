@@ -121,7 +121,8 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_c
     losing = held.join(found.select("line", "top"), "line").where(F.col("holder") < F.col("top"))
     drops = common.materialize(losing.groupBy("holder").agg(F.collect_set("line").alias("drop")))
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOWEST)).alias("holder"))
-    out = docs.join(drops, "holder", "left").withColumn("all", lines(F.col("text")))
+    # By sort-merge at every size: the drops grow with the documents, and one plan costs alike throughout.
+    out = docs.join(drops.hint("merge"), "holder", "left").withColumn("all", lines(F.col("text")))
     stay = F.when(F.col("drop").isNull(), F.col("all")).otherwise(F.filter("all", lambda x: ~((F.char_length(key(x)) >= min_chars) & F.array_contains(F.col("drop"), digest(key(x))))))
     out = out.withColumn("stay", stay)
     return out.select("doc_id", F.size("all").cast("long").alias("n_lines"), (F.size("all") - F.size("stay")).cast("long").alias("n_dropped"), F.array_join("stay", "\n").alias("kept"))
