@@ -18,7 +18,7 @@ _POINT = "path {kind}, seq long, lon double, lat double, alt_m double"
 
 
 def _numbered(points: DataFrame, order: list[str]) -> DataFrame:
-    return points.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy(*order)) - 1)
+    return points.withColumn("seq", (F.row_number().over(Window.partitionBy("path").orderBy(*order)) - 1).cast("long"))
 
 
 def chaikin(points: DataFrame) -> DataFrame:

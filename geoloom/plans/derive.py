@@ -40,7 +40,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     lon = F.lit(100.0) + (F.col("l_partkey") * 7919 % 1000) / F.lit(1000.0)
     lat = F.lit(30.0) + (F.col("l_suppkey") * 104729 % 997) / F.lit(1000.0)
-    return li.select(F.col("l_orderkey").alias("path"), F.row_number().over(w).alias("seq"), lon.alias("lon"), lat.alias("lat"), (F.col("l_quantity") * 20).alias("alt_m"))
+    return li.select(F.col("l_orderkey").alias("path"), F.row_number().over(w).cast("long").alias("seq"), lon.alias("lon"), lat.alias("lat"), (F.col("l_quantity") * 20).alias("alt_m"))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
