@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.functions import scalar as S
-from geoloom.operators import intervals, joins, paths, raster, sequence
+from geoloom.operators import intervals, joins, paths, profile, raster, sequence
 from geoloom.plans import derive as D
 from geoloom.runtime import ship
 
@@ -678,3 +678,70 @@ def scenario_plan(spark: SparkSession, sf: str) -> DataFrame:
     return scenario.plan(scenario.from_customers(D.customers(spark, sf)))
 
 
+
+
+# --- profiles, bands and failures -----------------------------------------------------------------------------------
+
+
+@query("SELECT cust, CASE WHEN lo - 500 >= 0 AND lo - 500 >= ground + 100 AND 50000 >= w1 AND 50000 >= w2 THEN 'below' WHEN hi + 500 <= 9000 AND hi + 500 >= ground + 100 AND 50000 >= w3 AND 50000 >= w4 THEN 'above' ELSE 'detour' END AS decision FROM (SELECT *, 1.25 * abs(lo - 500 - 1000) / tan(radians(5.0)) AS w1, 1.25 * abs(lo - 500 - 1500) / tan(radians(5.0)) AS w2, 1.25 * abs(hi + 500 - 1000) / tan(radians(5.0)) AS w3, 1.25 * abs(hi + 500 - 1500) / tan(radians(5.0)) AS w4 FROM (SELECT cust, (cust * 37) % 4000 AS lo, (cust * 37) % 4000 + 300 + cust % 5000 AS hi, (cust * 13) % 2500 AS ground FROM cust))", uses="cust")
+def band_decision(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("cust")
+    lo, hi, ground = k * 37 % 4000, k * 37 % 4000 + 300 + k % 5000, k * 13 % 2500
+    d = profile.band_decision(lo, hi, F.lit(9000.0), ground, F.lit(50_000.0), F.lit(50_000.0), F.lit(1000.0), F.lit(1500.0), F.lit(5.0))
+    return D.customers(spark, sf).select("cust", d.alias("decision"))
+
+
+@query("SELECT event_id, TRY_CAST(regexp_extract(m, 'lon=([-+0-9.eE]+)', 1) AS DOUBLE) AS lon, TRY_CAST(regexp_extract(m, 'lat=([-+0-9.eE]+)', 1) AS DOUBLE) AS lat FROM (SELECT event_id, 'sample (lon=' || (event_id % 360) || '.5,lat=-' || (event_id % 90) || ') blocked' AS m FROM events)")
+def message_coordinates(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    m = F.concat(F.lit("sample (lon="), e % 360, F.lit(".5,lat=-"), e % 90, F.lit(") blocked"))
+    c = profile.coordinates_in(m)
+    return D.table(spark, sf, "events").select("event_id", c["lon"].alias("lon"), c["lat"].alias("lat"))
+
+
+@query("SELECT user_id, list_extract(['none', 'turn', 'climb', 'terrain', 'zone', 'wall'], max(greatest(list_position(['none', 'turn', 'climb', 'terrain', 'zone', 'wall'], CASE event_id % 9 WHEN 0 THEN 'zone' WHEN 1 THEN 'turn' WHEN 2 THEN 'odd' ELSE 'climb' END), 1))) AS kind FROM events GROUP BY user_id")
+def failure_category(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id") % 9
+    kind = F.when(e == 0, "zone").when(e == 1, "turn").when(e == 2, "odd").otherwise("climb")
+    return profile.failure_category(D.table(spark, sf, "events").select("user_id", kind.alias("kind")), "user_id")
+
+
+@query("+st AS (SELECT *, coalesce(" + D.haversine_sql("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat") + ", 0) AS step FROM pts WINDOW w AS (PARTITION BY path ORDER BY seq)), al AS (SELECT path, seq, alt_m, sum(step) OVER (PARTITION BY path ORDER BY seq) AS along FROM st), fa AS (SELECT path, round(along, 2) AS along_m FROM al WHERE alt_m < 700), cl AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY along_m ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN along_m - lag(along_m) OVER (PARTITION BY path ORDER BY along_m) <= 60000 THEN 0 ELSE 1 END AS n FROM fa)) SELECT path, cluster::BIGINT AS cluster, min(along_m) AS first_m, max(along_m) AS last_m, count(*) AS n FROM cl GROUP BY path, cluster", uses="pts")
+def failure_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    p = sequence.cumulative_distance(D.points(spark, sf)).where("alt_m < 700").select("path", F.round("along_m", 2).alias("along_m"))
+    return profile.cluster_along(p, 60_000.0)
+
+
+@query("+nd AS (SELECT *, least(greatest(ceil(" + D.haversine_sql("lon", "lat", "lon2", "lat2") + " / 20000), 2), 8)::INT AS n FROM seg), sm AS (SELECT path, seq, floor((lat + (lat2 - lat) * (i / n::DOUBLE) - 30) / 0.0371) AS r, floor((lon + (lon2 - lon) * (i / n::DOUBLE) - 100) / 0.0371) AS c FROM nd, unnest(range(1, n + 1)) AS t(i)) SELECT path, seq, max(h) AS terrain_max FROM sm LEFT JOIN grid ON grid.r = sm.r AND grid.c = sm.c GROUP BY path, seq", uses="pts seg grid")
+def max_terrain(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.terrain_along(D.points(spark, sf), D.grid(spark, sf), 100.0, 30.0, 0.0371, 20_000.0, 8)
+
+
+@query("+" + D.edges_sql("e", D.LOCAL) + ", cr AS (SELECT path, seq, ((ax - lon) * (by_ - ay) - (ay - lat) * (bx - ax)) / det AS t, ((ax - lon) * (lat2 - lat) - (ay - lat) * (lon2 - lon)) / det AS u FROM (SELECT *, (lon2 - lon) * (by_ - ay) - (lat2 - lat) * (bx - ax) AS det FROM seg, e) WHERE det <> 0), cu AS (SELECT path, seq, t FROM cr WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 UNION SELECT path, seq, 0 FROM seg UNION SELECT path, seq, 1 FROM seg), pr AS (SELECT path, seq, t AS t0, lead(t) OVER (PARTITION BY path, seq ORDER BY t) AS t1 FROM cu), md AS (SELECT pr.*, lon + (lon2 - lon) * (t0 + t1) / 2 AS lon, lat + (lat2 - lat) * (t0 + t1) / 2 AS lat FROM pr JOIN seg USING (path, seq) WHERE t1 IS NOT NULL), ok AS (SELECT path, seq, t0, t1 FROM md, e GROUP BY ALL HAVING count(*) FILTER (WHERE " + _RAY + ") % 2 = 1) SELECT path, seq, " + r_("sum(t1 - t0)", "inside_share", 5) + " FROM ok GROUP BY path, seq HAVING sum(t1 - t0) > 1e-6", uses="pts seg")
+def segment_bands(spark: SparkSession, sf: str) -> DataFrame:
+    s = sequence.with_segments(D.points(spark, sf))
+    bands = profile.segment_bands(*(F.col(c) for c in ("lon", "lat", "lon2", "lat2")), D.polygon(D.LOCAL))
+    s = s.withColumn("inside", profile.band_length(bands, F.lit(1.0))).where("inside > 1e-6")
+    return s.select("path", "seq", rnd(F.col("inside"), "inside_share", 5))
+
+
+@query(f"+{_TRI}, lv AS (SELECT *, 1 + key % 2 AS level FROM ed), cr AS (SELECT key, level, row, ax + (row + 0.5 - ay) / (by_ - ay) * (bx - ax) AS x FROM lv, unnest(range(0, 40)) AS t(row) WHERE row + 0.5 >= least(ay, by_) AND row + 0.5 < greatest(ay, by_)), pr AS (SELECT *, row_number() OVER w AS n, lead(x) OVER w AS x1 FROM cr WINDOW w AS (PARTITION BY key, row ORDER BY x)), ce AS (SELECT DISTINCT row, level, unnest(range(greatest(ceil(x - 0.5), 0)::BIGINT, least(ceil(x1 - 0.5), 50)::BIGINT)) AS v FROM pr WHERE n % 2 = 1), k AS (SELECT row, v, bool_or(level = 1) AS p, bool_or(level = 2) AS m FROM ce GROUP BY row, v), g AS (SELECT row, CASE WHEN m THEN 2 ELSE 1 END AS class, v FROM k WHERE p) SELECT row, class, min(v) AS c0, max(v) + 1 AS c1 FROM (SELECT *, v - row_number() OVER (PARTITION BY row, class ORDER BY v) AS grp FROM g) GROUP BY row, class, grp", uses="supp")
+def mask_build(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("supp")
+    tri = D.suppliers(spark, sf).select(k.alias("polygon"), (F.lit(1) + k % 2).alias("level"), (k * 7 % 40 + F.lit(0.25)).alias("x"), (k * 13 % 30 + F.lit(0.125)).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    ring = [(x, y), (x + 20, y + 5), (x + 6, y + 17)]
+    sides = F.array(*[F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")) for a, b in zip(ring, ring[1:] + ring[:1])])
+    return profile.build_mask(tri.select("polygon", "level", F.explode(sides).alias("e")).select("polygon", "level", "e.*"), 40, 50)
+
+
+@query("SELECT path, greatest(min(seq) - 1, 0) AS first, max(seq) + 1 AS last FROM pts WHERE lon BETWEEN 100.3 AND 100.7 AND lat BETWEEN 30.2 AND 30.6 GROUP BY path", uses="pts")
+def patch_range(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.patch_range(D.points(spark, sf), F.lit(100.3), F.lit(30.2), F.lit(100.7), F.lit(30.6))
+
+
+@query("+a AS (SELECT path, seq, lon, lat, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, alt_m, lead(alt_m) OVER w AS alt2 FROM pts WINDOW w AS (PARTITION BY path ORDER BY seq)), d AS (SELECT path, seq, alt_m, alt2, round(111194.92664455873 * " + _plane_sql(f"(100.5 * {_K})", "30.5", f"(lon * {_K})", "lat", f"(lon2 * {_K})", "lat2") + ", 6) AS d, least(greatest((((100.5 - lon) * kk) * ((lon2 - lon) * kk) + (30.5 - lat) * (lat2 - lat)) / nullif(pow((lon2 - lon) * kk, 2) + pow(lat2 - lat, 2), 0), 0), 1) AS t FROM (SELECT *, cos(radians((lat + lat2) / 2)) AS kk FROM a WHERE lon2 IS NOT NULL)), f AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY d, seq) AS n FROM d) SELECT path, " + r_("alt_m + (alt2 - alt_m) * coalesce(t, 0)", "alt_m", 3) + " FROM f WHERE n = 1", uses="pts")
+def height_on_path(spark: SparkSession, sf: str) -> DataFrame:
+    p = D.points(spark, sf)
+    probe = p.select("path").distinct().select("path", F.col("path").alias("probe"), F.lit(100.5).alias("plon"), F.lit(30.5).alias("plat"))
+    return profile.height_on_path(probe, p, "probe").select("path", rnd(F.col("alt_m"), "alt_m", 3))

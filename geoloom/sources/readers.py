@@ -187,3 +187,71 @@ def register(spark: SparkSession) -> None:
     """Makes ``packed_raster`` known to the session, with filters pushed to it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PackedRaster)
+
+
+def write_packed(cells: DataFrame, path: str, rows: int, cols: int, lon: float, lat: float, cell_lon: float, cell_lat: float, codec: str = "deflate", void: int = codecs.VOID) -> None:
+    """One packed raster file from cells (r, c, h). Blocks are encoded on the executors; the driver streams them into
+    the file a partition at a time, in block order, and then fills in the index and the checksum."""
+    import hashlib
+    import struct
+
+    br, bc = -(-rows // codecs.BLOCK), -(-cols // codecs.BLOCK)
+    empty = codecs.write_pack(codecs.Grid(np.full((1, 1), void, np.int16), lon, lat, cell_lon, cell_lat), codec, void)
+    blank = empty[codecs.PACK_HEADER + 32 + 12 :]
+    fs, where = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    body = where + ".body"
+    index, at, start = [], codecs.PACK_HEADER + 32 + 12 * br * bc, 0
+    with fs.open_output_stream(body, compression=None) as f:
+
+        def put(data: bytes) -> None:
+            nonlocal at
+            f.write(data)
+            index.append(struct.pack("<QI", at, len(data)))
+            at += len(data)
+
+        for row in encode_blocks(cells, codec, void).orderBy("block_row", "block_col").toLocalIterator():
+            k = row["block_row"] * bc + row["block_col"]
+            for _ in range(start, k):
+                put(blank)
+            put(bytes(row["data"]))
+            start = k + 1
+        for _ in range(start, br * bc):
+            put(blank)
+    head = codecs._HEAD.pack(codecs.PACK_MAGIC, codecs.PACK_VERSION, 1, rows, cols, lon, lat, cell_lon, cell_lat, 1.0, 1, 0, codecs.CODECS[codec], 0, codecs.BLOCK, br, bc, void, b"").ljust(codecs.PACK_HEADER, b"\0")
+
+    def pieces():
+        yield b"".join(index)
+        with fs.open_input_stream(body, compression=None) as f:
+            while data := f.read(1 << 20):
+                yield data
+
+    digest = hashlib.sha256()
+    for data in pieces():
+        digest.update(data)
+    with fs.open_output_stream(where, compression=None) as out:
+        out.write(head + digest.digest())
+        for data in pieces():
+            out.write(data)
+    fs.delete_file(body)
+
+
+def read_float_grid(spark: SparkSession, path: str, meta_path: str) -> DataFrame:
+    """Cells of a raw float32 grid whose text file ``meta_path`` has its six numbers."""
+    meta = spark.read.text(meta_path, wholetext=True).first()[0]
+
+    def run(batches):
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield from _cells(codecs.read_float_grid(data, meta), name)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CELL_DDL)
+
+
+def tile_index(spark: SparkSession, path: str) -> DataFrame:
+    """SRTM tiles of a folder by the corner in their names: path, tile_lon, tile_lat; points join on their floors."""
+    found = r"([NS])(\d{1,2})([EW])(\d{1,3})\.HGT$"
+    name = F.upper(F.regexp_extract("path", r"([^/]+)$", 1))
+    part = lambda i: F.regexp_extract(name, found, i)
+    sign = lambda i, minus: F.when(part(i) == minus, -1).otherwise(1)
+    files = list_files(spark, path).where("kind = 'srtm'")
+    return files.select("path", (sign(3, "W") * part(4).cast("int")).alias("tile_lon"), (sign(1, "S") * part(2).cast("int")).alias("tile_lat"))
