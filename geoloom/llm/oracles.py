@@ -102,4 +102,19 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-SQL: dict[str, str] = {"op1_warc_index_merge": WARC, "op3_secret_linking": SECRETS, "op8_line_runs": LINE_RUNS, "op9_quality_cascade": QUALITY}
+DECONTAMINATE = r"""
+WITH i AS (
+  SELECT item_id, w, least(5, len(w)) AS k
+  FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0),
+ig AS (SELECT DISTINCT item_id, k, array_to_string(w[j:j+k-1], ' ') AS g FROM i, unnest(range(1, len(w) - k + 2)) AS t(j)),
+q AS (SELECT item_id, k, count(*) AS n FROM ig GROUP BY item_id, k),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+dg AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[j:j+k-1], ' ') AS g
+  FROM d, (SELECT DISTINCT k FROM i), unnest(range(1, len(w) - k + 2)) AS t(j))
+SELECT doc_id, item_id, count(*) AS n_shared, max(n) AS n_shingles, count(*) / max(n) AS containment
+FROM dg JOIN ig USING (k, g) JOIN q USING (item_id, k)
+GROUP BY doc_id, item_id HAVING count(*) >= ceil(0.8 * max(n) - 1e-9)
+"""
+
+SQL: dict[str, str] = {"op10_decontaminate": DECONTAMINATE, "op1_warc_index_merge": WARC, "op3_secret_linking": SECRETS, "op8_line_runs": LINE_RUNS, "op9_quality_cascade": QUALITY}
