@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each of which applies one operator to all that the stage before it kept.
 
 Stages take (spark, docs, sf_dir); each result is written as Parquet to the shared folder and read again as the next
-stage's documents. All but the last return the columns of ``documents``.
+stage's documents. All but the last return the columns of ``documents``. Joins of documents with what a stage found
+are sort-merge joins at every size, since both sides grow with the corpus.
 
 1. language_id: documents in no learned language, or without a letter, go.
 2. simhash_near_dedup: of each class of near copies the document with the smallest id stays.
@@ -27,12 +28,13 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     found = simhash.near_duplicates(docs)
     others = common.materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
     # Exact repeats of a row share its id: one of them stays.
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     leaks = decontam.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(common.materialize(leaks.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    found = common.materialize(leaks.select("doc_id").distinct())
+    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

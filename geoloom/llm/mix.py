@@ -94,7 +94,7 @@ def mixed_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source
     plan = mix(df, text, doc_id, source, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"), F.col("size").alias("_size"))
     plan = common.materialize(plan.groupBy("_id", "_size").agg(F.max("_epochs").alias("_epochs"), F.max("_cut").alias("_cut")))
     sized = df.withColumn("_words", common.count_words(F.col(text)))
-    rows = sized.join(plan, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    rows = sized.join(plan.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
     whole = F.col("_epochs") + (F.col("_cut") == F.col("_size")).cast("long")
     full = rows.where(whole > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), whole)))
     part = rows.where((F.col("_cut") > 0) & (F.col("_cut") < F.col("_size")))
