@@ -43,6 +43,17 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("path"), F.row_number().over(w).cast("long").alias("seq"), lon.alias("lon"), lat.alias("lat"), (F.col("l_quantity") * 20).alias("alt_m"))
 
 
+def spread_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same paths spread over the globe, twenty to a square of half a degree: each meets its neighbours only."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    k = F.col("l_orderkey")
+    square = F.floor(k / 20)
+    lon = lon_of(square) + (F.col("l_partkey") * 7919 % 1000) / F.lit(2000.0)
+    lat = lat_of(square) + (F.col("l_suppkey") * 104729 % 997) / F.lit(2000.0)
+    return li.select(k.alias("path"), F.row_number().over(w).cast("long").alias("seq"), lon.alias("lon"), lat.alias("lat"), (F.col("l_quantity") * 20).alias("alt_m"))
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raster of GRID_COLS columns from the parts: height, null in every 13th; surface by size."""
     k = F.col("p_partkey")
@@ -53,8 +64,8 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segments_of_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mask segments from the orders: row, class 1 or 2, c0, c1."""
     k = F.col("o_orderkey")
-    c0 = k * 37 % 50
-    return table(spark, sf_dir, "orders").where(k % 7 == 0).select((k % 31).alias("row"), (F.lit(1) + k % 2).cast("int").alias("class"), c0.alias("c0"), (c0 + 1 + k * 13 % 9).alias("c1"))
+    c0 = k * 37 % 500
+    return table(spark, sf_dir, "orders").select((k % 311).alias("row"), (F.lit(1) + k % 2).cast("int").alias("class"), c0.alias("c0"), (c0 + 1 + k * 13 % 9).alias("c1"))
 
 
 #: Fixed test polygons and circles, in the region of the points or of the globe.
@@ -71,8 +82,9 @@ SQL = {
     "supp": "supp AS (SELECT s_suppkey AS supp, (((s_suppkey * 31 + 7) * 7919) % 36000)::DOUBLE / 100 - 180 AS lon2, (((s_suppkey * 31 + 7) * 104729) % 17000)::DOUBLE / 100 - 85 AS lat2, s_acctbal AS sbal FROM supplier)",
     "pts": "pts AS (SELECT l_orderkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq, 100 + ((l_partkey * 7919) % 1000)::DOUBLE / 1000 AS lon, 30 + ((l_suppkey * 104729) % 997)::DOUBLE / 1000 AS lat, (l_quantity * 20)::DOUBLE AS alt_m FROM lineitem)",
     "seg": "seg AS (SELECT * FROM (SELECT *, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, lead(alt_m) OVER w AS alt2 FROM pts WINDOW w AS (PARTITION BY path ORDER BY seq)) WHERE lon2 IS NOT NULL)",
+    "xp": "xp AS (SELECT l_orderkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS seq, (((l_orderkey // 20) * 7919) % 36000)::DOUBLE / 100 - 180 + ((l_partkey * 7919) % 1000)::DOUBLE / 2000 AS lon, (((l_orderkey // 20) * 104729) % 17000)::DOUBLE / 100 - 85 + ((l_suppkey * 104729) % 997)::DOUBLE / 2000 AS lat, (l_quantity * 20)::DOUBLE AS alt_m FROM lineitem)",
     "grid": f"grid AS (SELECT p_partkey // {GRID_COLS} AS r, p_partkey % {GRID_COLS} AS c, CASE WHEN p_partkey % 13 <> 0 THEN (p_size * 20 + (p_partkey * 31) % 50)::DOUBLE END AS h, p_size::BIGINT AS size FROM part)",
-    "mask": "mask AS (SELECT o_orderkey % 31 AS row, (1 + o_orderkey % 2)::INT AS class, (o_orderkey * 37) % 50 AS c0, (o_orderkey * 37) % 50 + 1 + (o_orderkey * 13) % 9 AS c1 FROM orders WHERE o_orderkey % 7 = 0)",
+    "mask": "mask AS (SELECT o_orderkey % 311 AS row, (1 + o_orderkey % 2)::INT AS class, (o_orderkey * 37) % 500 AS c0, (o_orderkey * 37) % 500 + 1 + (o_orderkey * 13) % 9 AS c1 FROM orders)",
 }
 
 

@@ -263,13 +263,12 @@ def nearest_supplier(spark: SparkSession, sf: str) -> DataFrame:
     return joins.nearest(D.customers(spark, sf), D.suppliers(spark, sf), "cust", "supp", 12.0).select("cust", "supp", rnd(F.col("d2"), "d2"))
 
 
-_SUB = "sub AS (SELECT path, seq, lon AS ax, lat AS ay, lon2 AS bx, lat2 AS by_, alt_m, alt2 FROM seg WHERE path % 40 = 0)"
+_SUB = "sub AS (SELECT *, least(ax, bx) AS x0, greatest(ax, bx) AS x1 FROM (SELECT path, seq, lon AS ax, lat AS ay, lead(lon) OVER w AS bx, lead(lat) OVER w AS by_, alt_m, lead(alt_m) OVER w AS alt2 FROM xp WINDOW w AS (PARTITION BY path ORDER BY seq)) WHERE bx IS NOT NULL)"
 
 
-@query(f"+{_SUB} SELECT a.path AS path_1, count(*) AS n, min(greatest(abs(a.alt_m - b.alt_m), abs(a.alt2 - b.alt2))) AS least_gap FROM sub a JOIN sub b ON a.path < b.path AND " + _meet_sql("a.ax a.ay a.bx a.by_", "b.ax b.ay b.bx b.by_") + " GROUP BY a.path", uses="pts seg")
+@query(f"+{_SUB} SELECT a.path AS path_1, count(*) AS n, min(greatest(abs(a.alt_m - b.alt_m), abs(a.alt2 - b.alt2))) AS least_gap FROM sub a JOIN sub b ON a.x0 <= b.x1 AND b.x0 <= a.x1 WHERE a.path < b.path AND " + _meet_sql("a.ax a.ay a.bx a.by_", "b.ax b.ay b.bx b.by_") + " GROUP BY a.path", uses="xp")
 def crossings_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Crossings among every 40th path: the paths of a sector."""
-    s = sequence.with_segments(D.points(spark, sf)).where("path % 40 = 0")
+    s = sequence.with_segments(D.spread_points(spark, sf))
     s = s.select("path", "seq", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("lon2").alias("bx"), F.col("lat2").alias("by"), "alt_m", "alt2")
     met = joins.crossings(s, "path", "seq", "alt_m", "alt2", 0.25)
     return met.groupBy("path_1").agg(F.count("*").alias("n"), F.min("height_gap").alias("least_gap"))
@@ -359,13 +358,14 @@ uv AS (SELECT path, seq, bx - ax AS ux, by_ - ay AS uy, dx - ax AS vx, dy - ay A
 rad AS (SELECT path, seq, CASE WHEN abs(ux * vy - uy * vx) >= 1e-12 THEN sqrt(pow((vy * (ux * ux + uy * uy) - uy * (vx * vx + vy * vy)) / (2 * (ux * vy - uy * vx)), 2) + pow((ux * (vx * vx + vy * vy) - vx * (ux * ux + uy * uy)) / (2 * (ux * vy - uy * vx)), 2)) END AS radius, abs(ux * vy - uy * vx) AS det FROM uv)"""
 
 
-@query(f"+{_RADII} SELECT path, seq, " + r_("radius", "radius_m", 0) + " FROM rad WHERE det > 1e5", uses="pts seg")
+@query(f"+{_RADII} SELECT path, seq, " + r_("CASE WHEN det > 1e5 THEN radius END", "radius_m", 0) + " FROM rad", uses="pts seg")
 def circumradius(spark: SparkSession, sf: str) -> DataFrame:
-    """Radii at vertices that are not close to straight, where the last bits of the projection would decide."""
+    """Null at vertices so close to straight that the last bits of the projection would decide."""
     p = sequence.vertex_radii(D.points(spark, sf))
     lon0, lat0 = (F.col("lon_a") + F.col("lon") + F.col("lon_b")) / 3, (F.col("lat_a") + F.col("lat") + F.col("lat_b")) / 3
     (ax, ay), (bx, by), (cx, cy) = (S.local_xy(F.col(f"lon{s}"), F.col(f"lat{s}"), lon0, lat0) for s in ("_a", "", "_b"))
-    return p.where(F.abs(S.cross(bx - ax, by - ay, cx - ax, cy - ay)) > 1e5).select("path", "seq", rnd(F.col("radius_m"), "radius_m", 0))
+    bent = F.abs(S.cross(bx - ax, by - ay, cx - ax, cy - ay)) > 1e5
+    return p.select("path", "seq", rnd(F.when(bent, F.col("radius_m")), "radius_m", 0))
 
 
 @query("+st AS (SELECT *, coalesce(" + D.haversine_sql("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat") + ", 0) AS step FROM pts WINDOW w AS (PARTITION BY path ORDER BY seq)) SELECT path, seq, " + r_("sum(step) OVER (PARTITION BY path ORDER BY seq)", "along_m", 2) + " FROM st", uses="pts")
@@ -422,9 +422,10 @@ def rle_islands(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.islands(e, "key", "v")
 
 
-@query(f"WITH {_SPANS}, {_POINTS} " + _RUNS.format("SELECT * FROM pa"))
+@query(f"WITH {_SPANS}, {_POINTS} " + _RUNS.format("SELECT * FROM pa UNION SELECT * FROM pb"))
 def interval_union(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.union(_spans(spark, sf)[0])
+    a, b = _spans(spark, sf)
+    return intervals.union(a.unionByName(b))
 
 
 @query(f"WITH {_SPANS}, {_POINTS} " + _RUNS.format("SELECT * FROM pa EXCEPT SELECT * FROM pb"))
@@ -437,9 +438,10 @@ def interval_intersect(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.intersection(*_spans(spark, sf))
 
 
-@query(f"WITH {_SPANS} SELECT key, greatest(c0, 300) AS c0, least(c1, 1200) AS c1 FROM a WHERE greatest(c0, 300) < least(c1, 1200)")
+@query(f"WITH {_SPANS} SELECT key, greatest(c0, 300) AS c0, least(c1, 1200) AS c1 FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE greatest(c0, 300) < least(c1, 1200)")
 def interval_clip(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.clip(_spans(spark, sf)[0], 300, 1200)
+    a, b = _spans(spark, sf)
+    return intervals.clip(a.unionByName(b), 300, 1200)
 
 
 _TRI = "tri AS (SELECT supp AS key, (supp * 7) % 40 + 0.25 AS x, (supp * 13) % 30 + 0.125 AS y FROM supp), ed AS (SELECT key, x AS ax, y AS ay, x + 20 AS bx, y + 5 AS by_ FROM tri UNION ALL SELECT key, x + 20, y + 5, x + 6, y + 17 FROM tri UNION ALL SELECT key, x + 6, y + 17, x, y FROM tri)"
@@ -511,14 +513,14 @@ def void_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("cells", "voids", rnd(F.col("void_share"), "void_share"), "low", "high", rnd(F.col("mean"), "mean"))
 
 
-@query("SELECT class, " + r_("sum(c1 - c0) / (31 * 64.0)", "share") + " FROM mask GROUP BY class", uses="mask")
+@query("SELECT class, " + r_("sum(c1 - c0) / (311 * 500.0)", "share") + " FROM mask GROUP BY class", uses="mask")
 def mask_area_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return raster.mask_area(D.segments_of_mask(spark, sf), 31, 64).select("class", rnd(F.col("share"), "share"))
+    return raster.mask_area(D.segments_of_mask(spark, sf), 311, 500).select("class", rnd(F.col("share"), "share"))
 
 
-@query("+b AS (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM cust WHERE nation < 3) SELECT " + r_("(x0 + x1) / 2 - h", "min_lon") + ", " + r_("(x0 + x1) / 2 + h", "max_lon") + ", " + r_("(y0 + y1) / 2 - h", "min_lat") + ", " + r_("(y0 + y1) / 2 + h", "max_lat") + " FROM (SELECT *, greatest(x1 - x0, y1 - y0) / 2 + 0.15 AS h FROM b)", uses="cust")
+@query("+b AS (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM cust) SELECT " + r_("(x0 + x1) / 2 - h", "min_lon") + ", " + r_("(x0 + x1) / 2 + h", "max_lon") + ", " + r_("(y0 + y1) / 2 - h", "min_lat") + ", " + r_("(y0 + y1) / 2 + h", "max_lat") + " FROM (SELECT *, greatest(x1 - x0, y1 - y0) / 2 + 0.15 AS h FROM b)", uses="cust")
 def bbox_region(spark: SparkSession, sf: str) -> DataFrame:
-    b = D.customers(spark, sf).where("nation < 3").agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
+    b = D.customers(spark, sf).agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
     h = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 2 + 0.15
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     return b.select(rnd(x - h, "min_lon"), rnd(x + h, "max_lon"), rnd(y - h, "min_lat"), rnd(y + h, "max_lat"))
