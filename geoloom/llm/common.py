@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoloom import runtime
+
 #: Used only where the session names no shared folder, as in tests on one machine.
 DEFAULT_SHARED_DIR = "file:///tmp/checkpoints"
 #: Rows of an Arrow batch: long documents make batches of many rows large.
@@ -47,32 +46,12 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers and bound their Arrow batches."""
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if rows <= 0 or rows > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
-
-
-def schema_of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+    runtime.ship(spark)
 
 
 def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
@@ -108,7 +87,5 @@ def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str, partiti
 
     local = materialize(ranged.mapInArrow(add, schema))
     sums = local.groupBy("_part").agg(F.max(F.col("_local") + F.col(value)).alias("_sum"))
-    from pyspark.sql import Window
-
     sums = sums.select(F.col("_part"), F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return local.join(sums, "_part").withColumn(out, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")

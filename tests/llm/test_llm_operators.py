@@ -227,8 +227,6 @@ def test_links_lose_nothing_in_crowded_buckets(spark, blocks_n):
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
     got = {o["node"] % (1 << 64): o["root"] for o in simhash.components(simhash.links(df, blocks_n, bucket=20)).collect()}
     want = brute_components(fps)
-    for name, members in defaultdict(set, {}).items():
-        pass
     groups = defaultdict(set)
     for f, c in want.items():
         groups[c].add(f)
