@@ -5,7 +5,8 @@ stage's documents. All but the last return the columns of ``documents``. Joins o
 are sort-merge joins at every size, since both sides grow with the corpus.
 
 1. language_id: documents in no learned language, or without a letter, go.
-2. simhash_near_dedup: of each class of near copies the document with the smallest id stays.
+2. simhash_near_dedup: of each class of near copies (five-word shingles, similarity 0.8 or more, exact) the document with
+   the smallest id stays.
 3. decontaminate: documents that contain a benchmark item go.
 4. mix_sources: documents are taken as often as their source's budget says; the last one taken is cut to fit.
 5. token_output: documents are encoded into wavelet shards and described as read back.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import common, decontam, langid, mix, simhash, wavelet
+from geoloom.llm import common, decontam, langid, mix, near, wavelet
 from geoloom.llm.queries import table, tokenizer_path
 
 
@@ -25,10 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    others = common.materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
-    # Exact repeats of a row share its id: one of them stays.
-    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return near.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from geoloom.llm import common, decontam, html_blocks, html_extract, langid, line_dedup, mix, quality, queries, secrets, simhash, warc, wavelet
+from geoloom.llm import common, decontam, html_blocks, html_extract, langid, line_dedup, mix, near, quality, queries, secrets, simhash, warc, wavelet
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size long, fp long, rid long"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -237,6 +237,45 @@ def test_links_lose_nothing_in_crowded_buckets(spark, blocks_n):
             assert not g & got.keys()
 
 
+# --- near copies of the pipeline ------------------------------------------------------------------------------
+
+
+def brute_sets(texts):
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    words = [re.findall(SPACE, low(t)) for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+@pytest.mark.parametrize("seed, sample", [(1, 32_768), (2, 0), (3, 32_768)])
+def test_near_copies_match_brute_force(spark, monkeypatch, seed, sample):
+    monkeypatch.setattr(near, "SAMPLE_DOCS", sample)
+    r = random.Random(seed)
+    fresh = lambda: f"w{r.randrange(10**6)}"
+    common_part = [fresh() for _ in range(60)]
+    texts = [None, "", " ", "One two", "one  TWO", "one two three"]
+    for _ in range(12):
+        w = [fresh() for _ in range(r.choice([6, 12, 50, 150, 400]))] + (common_part if r.random() < 0.5 else [])
+        texts.append(" ".join(w))
+        for _ in range(r.randint(1, 9)):
+            v = list(w)
+            for _ in range(r.randint(0, max(1, len(w) // 40))):
+                v[r.randrange(len(v))] = fresh()
+            texts.append(" ".join(v).upper() if r.random() < 0.2 else " ".join(v))
+            if r.random() < 0.3:
+                w = v  # a chain
+    r.shuffle(texts)
+    sets, parent = brute_sets(texts), list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                old, new = sorted((parent[i], parent[j]), reverse=True)
+                parent = [new if p == old else p for p in parent]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    got = sorted(o["doc_id"] for o in near.representatives(df).collect())
+    assert got == sorted(set(parent)) and len(got) < len(texts)
+    assert near.representatives(df.limit(0)).isEmpty()
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------
 
 
