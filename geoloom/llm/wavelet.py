@@ -60,7 +60,8 @@ class Encoder:
 
     A byte-level tokenizer without a normalizer splits a text at each space that stands between two characters that
     are not white space, with the space at the front of what follows. So such words encode alike wherever they are.
-    Texts with any other space, and other kinds of tokenizers, are encoded whole.
+    Texts with any other space or with the content of an added token (which is one id, as the file says), and other
+    kinds of tokenizers, are encoded whole.
     """
 
     _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -69,10 +70,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        added = spec.get("added_tokens") or []
+        # Words of different texts are learned side by side: an added token with a space could arise between them.
+        self.by_word = self.by_word and not any(re.search(r"\s", a["content"]) for a in added)
+        self._added = re.compile("|".join(re.escape(a["content"]) for a in added)) if added else None
         vocab = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of a token: a character of its name for each
         for piece, i in vocab.items():
@@ -89,8 +93,8 @@ class Encoder:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _regular(self, text: str) -> bool:
-        """Whether every space stands between characters that are not white space."""
-        return not ("  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self._OTHER_SPACE.search(text))
+        """Whether every space stands between characters that are not white space, and no added token occurs."""
+        return not (self._added and self._added.search(text) or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self._OTHER_SPACE.search(text))
 
     def _learn(self) -> None:
         """Ids of the words numbered since the last call, in the order of their numbers."""

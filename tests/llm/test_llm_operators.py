@@ -345,6 +345,21 @@ def test_encoder_matches_library():
         assert [x.tolist() for x in enc.encode(texts)] == want
 
 
+def test_encoder_keeps_the_files_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["<|endoftext|>", "a b<|endoftext|>c d", "word <|endoftext|> word", "two  spaces <|endoftext|>", "<|endoftext|", "plain words here", "a b c<|endoftext|>"]
+    want = [fresh.encode(x, add_special_tokens=False).ids for x in texts]
+    assert 50256 in want[1] and 50256 not in want[4]
+    enc = wavelet.encoder(queries.tokenizer_path())
+    for _ in range(2):
+        assert [x.tolist() for x in enc.encode(texts)] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {o["doc_id"]: (o["n_tokens"], o["ids_crc32"]) for o in wavelet.token_output(df, queries.tokenizer_path()).collect()}
+    assert out == {i: (len(w) + 1, zlib.crc32(np.array([*w, 2], "<u4").tobytes())) for i, w in enumerate(want)}
+
+
 def test_token_output(docs, rows):
     enc = wavelet.encoder(queries.tokenizer_path())
     one = docs.dropDuplicates(["doc_id"])
