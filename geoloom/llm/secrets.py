@@ -3,8 +3,9 @@
 Patterns of high confidence (base kinds) are reported wherever they match. Weak parts, which on their own are
 everyday text, are reported only when complementary parts lie in their scope, ``SCOPE`` code points to either side:
 an identifier needs a secret, a secret-like key needs an identifier, each either of a base kind or, if weak itself,
-backed by an endpoint; an endpoint needs an identifier and a secret. Scopes and parts meet in an interval join: a
-part lies in one bucket of its text, a scope in the few that it touches, and rows join on (text, bucket).
+backed by an endpoint; an endpoint needs an identifier and a secret. A part of any length lies in a scope that it
+overlaps. Scopes and parts meet in an interval join: each lies in the buckets of its text that it touches, and rows
+join on (text, bucket); a pair that meets in several buckets counts as one.
 
 A match's place comes from the pieces between matches: regular expressions find and split alike, so running sums of
 the lengths of pieces and matches are the offsets. They run over exploded rows, linear in the number of matches.
@@ -78,8 +79,8 @@ def parts(scanned: DataFrame) -> DataFrame:
 def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak parts of ``found`` that complementary parts in their scope confirm: rid, kind, s, e."""
     weak = found.where(~F.col("kind").isin(*BASE)).withColumn("bucket", F.explode(F.sequence(F.floor((F.col("s") - scope) / _BUCKET), F.floor((F.col("e") + scope) / _BUCKET))))
-    other = found.select(F.col("rid"), F.col("kind").alias("kind2"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.floor(F.col("s") / _BUCKET).alias("bucket"))
-    met = weak.join(other, ["rid", "bucket"]).where((F.col("s2") >= F.col("s") - scope) & (F.col("s2") < F.col("e") + scope))
+    other = found.select(F.col("rid"), F.col("kind").alias("kind2"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.explode(F.sequence(F.floor(F.col("s") / _BUCKET), F.floor((F.col("e") - 1) / _BUCKET))).alias("bucket"))
+    met = weak.join(other, ["rid", "bucket"]).where((F.col("e2") > F.col("s") - scope) & (F.col("s2") < F.col("e") + scope))
     has = lambda *kinds: F.bool_or(F.col("kind2").isin(*kinds))
     inside = F.bool_or(F.col("kind2").isin(*BASE) & (F.col("s2") < F.col("e")) & (F.col("e2") > F.col("s")))
     seen = met.groupBy("rid", "kind", "s", "e").agg(has("access").alias("sure_id"), has("id").alias("weak_id"), has("assign", "hex").alias("sure_secret"), has("key").alias("weak_secret"), has("endpoint").alias("place"), inside.alias("inside"))

@@ -431,6 +431,19 @@ def test_secrets(spark):
     assert secrets.find_secrets(df.limit(0)).isEmpty()
 
 
+def test_secrets_in_scope_by_overlap(spark):
+    key, ident = "aB3dE5gH7jK9mN1pQ2rS4", "login: bob"
+    url = "https://db.example/" + "x" * 240
+    texts = [
+        f"{url}\n{ident}\n{key}", f"token = {'ab-' * 100}\n{ident}", f"https://e.example/{'x' * 2000} {ident} {key}", f"{url}{' ' * 201}{ident}\n{key}",
+        f"{ident} token={'z' * 250}{key}", f"{url}{' ' * 199}{ident}\n{key}",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = {o["doc_id"]: [s[2] for s in o["spans"]] for o in secrets.find_secrets(df).collect()}
+    assert kinds[0] == ["endpoint", "id", "key"] and kinds[1] == ["assign", "id"] and kinds[2] == ["endpoint", "id", "key"]
+    assert kinds[3] == [] and kinds[4] == ["id", "assign"] and kinds[5] == ["id"]
+
+
 # --- 1 -------------------------------------------------------------------------------------------------------
 
 
