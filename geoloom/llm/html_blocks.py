@@ -9,13 +9,18 @@ from __future__ import annotations
 import html as htmllib
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 
 #: Tags whose content is no text of the page.
-SILENT = frozenset("script style template noscript svg math iframe object canvas audio video head select textarea".split())
+SILENT = frozenset("script style template noscript svg math iframe object canvas audio video select textarea".split())
+#: Of these, those whose content runs to the end of the page when their end tag is missing.
+RAW = frozenset("script style iframe textarea".split())
+#: Tags that can be in a head; any other opening tag, or text, ends it.
+HEAD = frozenset("base link meta title script style noscript template html head".split())
 #: Tags that do not end a block. Fixed values.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,8 +55,22 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     link_parts: list[str] = []
     silent = ""
+    absent: set[str] = set()  # tags without an end tag in the rest of the page
+    in_head = False
+    opened: Counter[str] = Counter()
     links = 0
 
+    def push(tag: str, feats: tuple[str, ...]) -> None:
+        opened[tag] += 1
+        stack.append((tag, feats))
+
+    def cut(i: int) -> None:
+        nonlocal links
+        for t, _ in stack[i:]:
+            opened[t] -= 1
+            links -= t == "a"
+        del stack[i:]
+
     def path() -> tuple[str, ...]:
         return tuple(f for tag, feats in stack if tag not in INLINE for f in feats)
 
@@ -66,18 +85,19 @@ def blocks(page: str | None) -> list[Block]:
     at = 0
     while at <= len(page):
         if silent:
-            close = re.compile(rf"</{re.escape(silent)}\b[^>]*>", re.I).search(page, at)
-            if silent == "head" and (body := re.compile(r"<body\b", re.I).search(page, at)) and (not close or body.start() < close.start()):
-                close = None
-                at, silent = body.start(), ""
-                continue
-            if not close:
+            close = None if silent in absent else re.compile(rf"</{re.escape(silent)}\b[^>]*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            elif silent in RAW:
                 break
-            at, silent = close.end(), ""
+            else:
+                absent.add(silent)
+            silent = ""
             continue
         m = _TOKEN.search(page, at)
         raw = page[at : m.start()] if m else page[at:]
         if raw:
+            in_head = in_head and not raw.strip()
             parts.append(raw)
             if links:
                 link_parts.append(raw)
@@ -88,8 +108,14 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         closing, attrs = m[1] or m[4], m[3] if m[2] else m[6] or ""
+        if tag == "head":
+            end_block()
+            in_head = not closing
+            continue
+        if in_head:
+            in_head = tag in HEAD if not closing else tag not in ("body", "html", "br")
         if not closing:
-            if tag in SILENT:
+            if tag in SILENT or (in_head and tag == "title"):
                 if not attrs.rstrip().endswith("/"):
                     silent = tag
                 continue
@@ -101,7 +127,7 @@ def blocks(page: str | None) -> list[Block]:
                 elif tag == "a":
                     links += 1
                 if tag not in VOID:
-                    stack.append((tag, ()))
+                    push(tag, ())
                 continue
             end_block()
             if tag in VOID:
@@ -110,19 +136,17 @@ def blocks(page: str | None) -> list[Block]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] not in INLINE:
                         if stack[i][0] == "p":
-                            links -= sum(t == "a" for t, _ in stack[i:])
-                            del stack[i:]
+                            cut(i)
                         break
             elif stack and stack[-1][0] in CLOSES[tag]:
-                stack.pop()
-            stack.append((tag, (f"<{tag}", *(f".{n}" for n in _names(attrs)))))
+                cut(len(stack) - 1)
+            push(tag, (f"<{tag}", *(f".{n}" for n in _names(attrs))))
         else:
             if tag not in INLINE:
                 end_block()
             for i in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
                 if stack[i][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
+                    cut(i)
                     break
             links = max(links, 0)
     end_block()

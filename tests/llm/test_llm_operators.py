@@ -497,6 +497,16 @@ def test_blocks():
     assert html_blocks.features([]).shape == (0, html_blocks.WIDTH)
 
 
+def test_blocks_go_on_after_open_elements():
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert texts("<html><head><title>t</title><meta charset=x><p>one<p>two") == ["one", "two"]
+    assert texts("<head><title>t</title><style>p</style>plain<p>two") == ["plain", "two"] and texts("<head><title>t<p>x</title></head><p>y") == ["y"]
+    for tag in ("noscript", "svg", "math", "object", "canvas", "audio", "video", "template", "select"):
+        assert texts(f"<p>a<p><{tag}>b<p>c") == ["a", "b", "c"] and texts(f"<p>a<{tag}>b</{tag}><p>c") == ["a", "c"]
+    for tag in ("script", "style", "iframe", "textarea"):
+        assert texts(f"<p>a<{tag}>b<p>c") == ["a"]
+
+
 def test_gradients():
     """Back-propagation through both directions against differences."""
     rng = np.random.default_rng(0)
