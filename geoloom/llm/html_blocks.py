@@ -166,8 +166,11 @@ def path_bucket(feature: str) -> int:
     return n
 
 
-def features(seq: list[Block]) -> np.ndarray:
-    """One row per block: hashed tag path, hashed words (both square-rooted shares), and figures of the text."""
+def features(seq: list[Block], first: int = 0, of: int | None = None, total: int | None = None) -> np.ndarray:
+    """One row per block: hashed tag path, hashed words (both square-rooted shares), and figures of the text.
+
+    ``seq`` may be a part of a page of ``of`` blocks and ``total`` characters that begins at block ``first``."""
+    of = len(seq) if of is None else of
     x = np.zeros((len(seq), WIDTH), np.float32)
     if not seq:
         return x
@@ -184,13 +187,13 @@ def features(seq: list[Block]) -> np.ndarray:
     words = np.bincount(owner * WORD_BUCKETS + hashed.astype(np.int64), minlength=len(seq) * WORD_BUCKETS).reshape(len(seq), WORD_BUCKETS)
     n_words = np.maximum(words.sum(axis=1, keepdims=True), 1)
     x[:, PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS] = np.sqrt(words / n_words)
-    total = max(sum(len(b.text) for b in seq), 1)
+    total = max(sum(len(b.text) for b in seq) if total is None else total, 1)
     for i, b in enumerate(seq):
         for depth, f in enumerate(reversed(b.path)):
             x[i, path_bucket(f)] = max(x[i, path_bucket(f)], 1.0 if depth < 4 else 0.7)
         n = len(b.text)
         x[i, PATH_BUCKETS + WORD_BUCKETS :] = (
             math.log1p(n) / 6, math.log1p(int(n_words[i, 0])) / 4, min(b.link_chars / max(n, 1), 1.0), n / total,
-            sum(map(b.text.count, ".,;?!")) / int(n_words[i, 0]), b.text[-1:] in ".!?\"”", i / len(seq), (len(seq) - i) / len(seq), min(len(b.path), 12) / 12, 1.0,
+            sum(map(b.text.count, ".,;?!")) / int(n_words[i, 0]), b.text[-1:] in ".!?\"”", (first + i) / of, (of - first - i) / of, min(len(b.path), 12) / 12, 1.0,
         )
     return x

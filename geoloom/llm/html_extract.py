@@ -5,8 +5,9 @@ text) and labels each block as article or not, with all of the page as context.
 process, on pages made by a rule: layouts with menus, headers, footers, sidebars, notices, adverts, forms and
 comments around an article, under many tag and class names, with labels known by construction.
 
-Defined results: a null or empty page has an empty text and 0 characters; very long pages are labelled in full, in
-stretches of ``STRETCH`` blocks with ``OVERLAP`` blocks of context at either end; repeated rows give equal results; a
+Defined results: a null or empty page has an empty text and 0 characters; very long pages are labelled in full: both
+directions run over stretches of ``STRETCH`` blocks and carry their states from one to the next, which bounds memory and
+gives what one run over the whole page would; repeated rows give equal results; a
 null id or url is carried; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -27,7 +28,7 @@ from geoloom.llm.html_blocks import PATH_BUCKETS, WIDTH, Block, blocks, features
 HIDDEN = 24
 TRAIN_PAGES = 2000
 EPOCHS = 5
-STRETCH, OVERLAP = 2048, 128
+STRETCH = 2048
 SEED = 7
 
 
@@ -191,10 +192,12 @@ class Lstm:
     """One direction over padded batches (time, batch, 4 x hidden), with gates in the order input, forget, cell, output."""
 
     @staticmethod
-    def forward(z: np.ndarray, u: np.ndarray, mask: np.ndarray):
+    def forward(z: np.ndarray, u: np.ndarray, mask: np.ndarray, state: tuple[np.ndarray, np.ndarray] | None = None):
         t, b, h4 = z.shape
         h = h4 // 4
         hs, cs, gates = np.zeros((t + 1, b, h), np.float32), np.zeros((t + 1, b, h), np.float32), np.zeros((t, b, h4), np.float32)
+        if state:
+            hs[0], cs[0] = state
         for i in range(t):
             g = z[i] + hs[i] @ u
             g[:, : 2 * h], g[:, 3 * h :] = _sigmoid(g[:, : 2 * h]), _sigmoid(g[:, 3 * h :])
@@ -272,17 +275,32 @@ class BlockLabeller:
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page a flag for each block: is it article. Pages of like length are run together."""
         out = [np.zeros(len(s), bool) for s in pages]
-        todo = [(i, a, max(0, a - OVERLAP), min(len(s), a + STRETCH + OVERLAP)) for i, s in enumerate(pages) for a in range(0, len(s), STRETCH)]
-        todo.sort(key=lambda t: t[3] - t[2])
+        todo = sorted((i for i, s in enumerate(pages) if 0 < len(s) <= STRETCH), key=lambda i: len(pages[i]))
         for k in range(0, len(todo), 32):
             group = todo[k : k + 32]
-            x, mask = _padded([features(pages[i][lo:hi]) for i, _, lo, hi in group])
+            x, mask = _padded([features(pages[i]) for i in group])
             logits = self.run(x, mask)[0]
-            for j, (i, a, lo, hi) in enumerate(group):
-                upto = min(a + STRETCH, len(pages[i]))
-                out[i][a:upto] = logits[a - lo : upto - lo, j] > 0
+            for j, i in enumerate(group):
+                out[i] = logits[: len(pages[i]), j] > 0
+        for i, s in enumerate(pages):
+            if len(s) > STRETCH:
+                out[i] = self.long_logits(s) > 0
         return out
 
+    def long_logits(self, seq: list[Block]) -> np.ndarray:
+        """The logits of a page of any length: a pass from the end for one direction, one from the start for the other."""
+        p, total = self.p, sum(len(b.text) for b in seq)
+        logits = np.full(len(seq), p["k"][0], np.float32)
+        starts = range(0, len(seq), STRETCH)
+        for d, v, step, order in (("b", p["v"][HIDDEN:], -1, reversed(starts)), ("f", p["v"][:HIDDEN], 1, starts)):
+            state = None
+            for a in order:
+                x = features(seq[a : a + STRETCH], a, len(seq), total)[::step, None]
+                hs, cs, _ = Lstm.forward(x @ p[f"w{d}"] + p[f"c{d}"], p[f"u{d}"], np.ones(x.shape[:2], np.float32), state)
+                state = hs[-1], cs[-1]
+                logits[a : a + STRETCH] += (hs[1:, 0] @ v)[::step]
+        return logits
+
 
 def _padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     t = max(map(len, xs))

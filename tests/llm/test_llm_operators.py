@@ -507,6 +507,16 @@ def test_blocks_go_on_after_open_elements():
         assert texts(f"<p>a<{tag}>b<p>c") == ["a"]
 
 
+def test_long_pages_are_labelled_as_a_whole(monkeypatch):
+    made, model = html_extract._Maker(3), html_extract.trained()
+    seq = [b for _ in range(30) for b in html_blocks.blocks(made.page()[0])]
+    whole = model.run(html_blocks.features(seq)[:, None], np.ones((len(seq), 1), np.float32))[0][:, 0]
+    monkeypatch.setattr(html_extract, "STRETCH", 100)
+    assert len(seq) > 300 and np.allclose(model.long_logits(seq), whole, atol=1e-3)
+    sure = np.abs(whole) > 1e-3
+    assert (model.label([seq, seq[:50], []])[0] == (whole > 0))[sure].all()
+
+
 def test_gradients():
     """Back-propagation through both directions against differences."""
     rng = np.random.default_rng(0)
