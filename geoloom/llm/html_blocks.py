@@ -138,16 +138,18 @@ def blocks(page: str | None) -> list[Block]:
                         if stack[i][0] == "p":
                             cut(i)
                         break
-            elif stack and stack[-1][0] in CLOSES[tag]:
-                cut(len(stack) - 1)
+            else:  # through inline tags and paragraphs left open
+                i = len(stack) - 1
+                while i >= 0 and (stack[i][0] in CLOSES[tag] or stack[i][0] in INLINE or stack[i][0] == "p"):
+                    if stack[i][0] in CLOSES[tag]:
+                        cut(i)
+                    i -= 1
             push(tag, (f"<{tag}", *(f".{n}" for n in _names(attrs))))
         else:
             if tag not in INLINE:
                 end_block()
-            for i in range(len(stack) - 1, max(-1, len(stack) - 64), -1):
-                if stack[i][0] == tag:
-                    cut(i)
-                    break
+            if opened[tag]:
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             links = max(links, 0)
     end_block()
     return out

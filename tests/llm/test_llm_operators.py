@@ -507,6 +507,14 @@ def test_blocks_go_on_after_open_elements():
         assert texts(f"<p>a<{tag}>b<p>c") == ["a"]
 
 
+def test_end_tags_of_deep_elements():
+    for n in (3, 40, 500):
+        *_, last, article = html_blocks.blocks("<nav><ul>" + "<li><b>x" * n + "</ul></nav><article><p>text</p></article>")
+        assert last.path == ("<nav", "<ul", "<li") and article.path == ("<article", "<p")
+    assert [b.path for b in html_blocks.blocks("<table><tr><td><i>x<td><b>y<tr><td>z</table><p>q")] == [("<table", "<tr", "<td")] * 3 + [("<p",)]
+    assert html_blocks.blocks("<nav>" + "<div>" * 200 + "x</nav><p>y")[1].path == ("<p",)
+
+
 def test_long_pages_are_labelled_as_a_whole(monkeypatch):
     made, model = html_extract._Maker(3), html_extract.trained()
     seq = [b for _ in range(30) for b in html_blocks.blocks(made.page()[0])]
