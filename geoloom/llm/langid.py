@@ -42,7 +42,9 @@ _LETTERS = np.array([c.isalpha() for c in map(chr, range(65536))], bool)
 def ngrams(text: str) -> tuple[np.ndarray, bool]:
     """The text's n-grams as numbers (21 bits a character), and whether it has a letter. All but letters is space."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _LETTERS[np.minimum(codes, 65535)] | (codes > 65535)
+    letter = _LETTERS[np.minimum(codes, 65535)]
+    for i in np.flatnonzero(codes > 65535).tolist():
+        letter[i] = chr(codes[i]).isalpha()
     if not letter.any():
         return np.zeros(0, np.uint64), False
     keep = letter.copy()

@@ -79,7 +79,10 @@ def base_failed(s: Stats) -> bool:
 def _letters(text: str, at_least: int = 1) -> int:
     """Characters that are letters (2: upper-case letters)."""
     codes = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
-    return int(np.count_nonzero(_CLASS[codes] >= at_least))
+    n = int(np.count_nonzero(_CLASS[codes] >= at_least))
+    if ((codes >> 10) == 54).any():  # high surrogates: characters above the basic plane
+        n += sum(str.isalpha(c) + str.isupper(c) >= at_least for c in text if c > "\uffff")
+    return n
 
 
 #: name -> (text, stats) -> is rejected

@@ -171,6 +171,16 @@ def test_language_id(spark):
     assert {o["lang_pred"] for o in langid.identify(df, nothing).collect()} == {"und"}
 
 
+def test_letters_beyond_the_basic_plane():
+    assert not langid.ngrams("😀😀 🎉")[1] and len(langid.ngrams("😀😀 🎉")[0]) == 0
+    assert langid.ngrams("𠀀𠀁𠀂")[1] and len(langid.ngrams("𠀀𠀁𠀂")[0]) == 3
+    model = langid.BloomPlanes.build({"aa": langid.ngrams("abc abd")[0]})
+    assert langid.classify(model, "😀 😀😀")[0] == "und"
+    s = quality.stats("𠀀𠀁𠀂 𞤀𞤁𞤢 😀")
+    assert quality._letters("𠀀𠀁𠀂 𞤀𞤁𞤢 😀 aB") == 8 and quality._letters("𠀀𠀁𠀂 𞤀𞤁𞤢 😀 aB", 2) == 3
+    assert s.word_chars == 7 and not quality.RULES["few_letters"]("𠀀𠀁𠀂 𞤀𞤁𞤢 😀", s)
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------
 
 
