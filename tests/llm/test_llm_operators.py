@@ -286,6 +286,14 @@ def test_near_copies_match_brute_force(spark, monkeypatch, seed, sample):
     assert near.representatives(df.limit(0)).isEmpty()
 
 
+def test_near_copies_keep_one_row_of_a_class_whatever_its_ids(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    near_text, lone = text.replace("w50", "x"), "other words that nothing else here has at all"
+    rows = [(None, text, "a"), (None, near_text, "b"), (None, text, None), (7, text, "c"), (7, near_text, "d"), (9, text, "c"), (None, lone, "a"), (None, lone, "b"), (None, lone, "b")]
+    got = [tuple(o) for o in near.representatives(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()]
+    assert len(got) == 2 and {(i, t == lone) for i, t, _ in got} == {(7, False), (None, True)}
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------
 
 
