@@ -8,7 +8,8 @@ A bit of a set's bitmap is the parity of the shingles that fall on it, so two bi
 sets in shingles: pairs that differ in too many go before sets are fetched. What is left is verified on the sets.
 
 A bucket's nodes are first held against its smallest and its largest node only, and the pairs found contracted; then
-those of its pairs that are not yet in one class are tried, so a large group of near copies costs no square of its size.
+those of its pairs that are not yet in one class are tried. Where a large group's members are mostly unlike both, this
+can still take the square of its size (see README for the check's figures).
 
 Defined results: null texts and texts without a word are one class; texts of fewer words than a shingle are one shingle.
 """
