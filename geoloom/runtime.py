@@ -1,4 +1,4 @@
-"""Code shipping, so that Python workers find the package where it is not installed, and cut lineage."""
+"""Code shipping, so that Python workers find the package where it is not installed, and the shared folder."""
 
 from __future__ import annotations
 
@@ -27,10 +27,51 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's shared folder and read again: it is computed once, and its lineage ends."""
+def run_dir(spark: SparkSession) -> str:
+    """The application's folder below ``spark.checkpoint.dir``, as a URI that driver and executors can both reach.
+
+    Where the setting is missing, a local session gets a temporary folder; on a cluster each executor would write to a
+    disk of its own and rows would be lost, so there it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='geoloom-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    if "://" not in base and not base.startswith("file:"):
+        base = f"file://{os.path.abspath(base)}"
+    return f"{base.rstrip('/')}/geoloom-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder's name below the application's."""
+    return f"{run_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Delete all intermediate tables that this application wrote. Results not yet written elsewhere go with them."""
+    delete(spark, run_dir(spark))
+
+
+def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: it is computed once, lineage ends here, and a lost executor
+    costs no rows."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/geoloom-{uuid.uuid4().hex}"
+    path = path or shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the folders of materialised tables that nothing will read again."""
+    for df in frames:
+        if path := getattr(df, "_folder", None):
+            delete(df.sparkSession, path)
