@@ -7,8 +7,8 @@ bit arrays. A bucket above ``BUCKET`` fingerprints is cut into chunks, and each
 that no task holds more than two chunks; and a task emits a spanning forest of the links it finds rather than all
 pairs, which keeps the output linear in its input and loses no connection.
 
-Classes come from contracting edges to the smallest neighbour until none is left; each round is written to the shared
-folder.
+Classes come from contracting edges until none is left, in a number of rounds that is logarithmic in the longest path
+for any order of the nodes; each round is written to the shared folder.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows and equal ids are
 kept, each as its own row; a row with a null id takes part in links, and a class with nothing but null ids has a null
@@ -36,24 +36,30 @@ BUCKET = 512
 PER_KEY = 64
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64-bit SimHash of the text's word shingles, repeats included."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
-    if not w:
-        return 0
-    if len(w) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(w), seed)]
-    else:
-        joined = b" ".join(w)
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-        starts = np.concatenate([[0], ends[: -shingle]])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist())]
-    h = np.array(hashes, dtype="<u8")
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes ``h``."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 8192):
         ones += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(h)).tolist()))
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the text's word shingles in order, repeats included; none for a text without a word."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
+    if not w:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(w), xxhash.xxh64_intdigest
+    if len(w) <= shingle:
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    starts = np.concatenate([[0], ends[:-shingle]])
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist())], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64-bit SimHash of the text's word shingles, repeats included."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -114,80 +120,44 @@ def links(fps: DataFrame, n: int, max_bits: int = MAX_BITS, bucket: int = BUCKET
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])
     keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.no", "k.key")
-    heavy = common.materialize(keyed.groupBy("no", "key").count().where(F.col("count") > bucket).select("no", "key", F.ceil(F.col("count") / bucket).cast("int").alias("chunks")))
-    if heavy.isEmpty():
-        dealt = keyed.select("no", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "fp")
-    else:
-        # A chunk takes part in each pair of chunks: as the left side, as the right side, or against itself.
-        joined = keyed.join(heavy, ["no", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        joined = joined.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-        dealt = joined.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        dealt = dealt.select("no", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).cast("int").alias("side"), "fp")
-    place = ["no", "key", "i", "j"]
-
-    def compare(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        held: list[np.ndarray] = []
-        current = None
-
-        def solve(rows: np.ndarray, name):
-            if len(rows) < 2:
-                return []
-            left, right = rows[rows[:, 4] == 0, 5].view(np.uint64), rows[rows[:, 4] == 1, 5].view(np.uint64)
-            return forest(left, None if name[2] == name[3] else right, max_bits)
+    dealt = common.chunked(keyed.select(F.col("no").cast("long").alias("no"), "key", "fp"), ["no", "key"], "fp", bucket)
 
-        for b in batches:
-            m = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
-            if not len(m):
-                continue
-            cuts = np.flatnonzero((m[1:, :4] != m[:-1, :4]).any(axis=1)) + 1
-            sizes = np.diff(np.concatenate([[0], cuts, [len(m)]]))
-            out = []
-            starts = np.concatenate([[0], cuts])
-            first, last = tuple(m[0, :4].tolist()), len(starts) - 1
-            for g in {0, last} | set(np.flatnonzero(sizes > 1).tolist()) if last else {0}:
-                rows, name = m[starts[g] : starts[g] + sizes[g]], tuple(m[starts[g], :4].tolist())
-                if g == 0:
-                    if name == current:
-                        held.append(rows)
-                    else:
-                        if held:
-                            out += solve(np.concatenate(held), current)
-                        held, current = [rows], name
-                    if last:  # the group ends inside this batch
-                        out += solve(np.concatenate(held), current)
-                        held, current = [], None
-                elif g != last:
-                    out += solve(rows, name)
-            if last:
-                held, current = [m[starts[last] :]], tuple(m[starts[last], :4].tolist())
-            if out:
-                pairs = np.array(out, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
-        if held and (out := solve(np.concatenate(held), current)):
-            pairs = np.array(out, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
-
-    dealt = dealt.select(*(F.col(c).cast("long").alias(c) for c in (*place, "side", "fp")))
-    return dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(compare, "a long, b long").distinct()
+    def solve(side: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
+        rows = rows.view(np.uint64)
+        found = forest(rows[side == 0], rows[side == 1] if side.any() else None, max_bits)
+        return [tuple(np.array(e, np.uint64).view(np.int64).tolist()) for e in found]
+
+    return common.by_group(dealt, ["no", "key", "i", "j"], solve, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): for every node of ``edges`` (a, b) the smallest node of its class. Edges contract to the smallest
-    neighbour of each end; the smallest node of a class stays until the class is one node."""
+    """(node, root): for every node of ``edges`` (a, b) the smallest node of its class.
+
+    Each round every node points to the smallest of itself and its neighbours; pointers are doubled until they all end at
+    a node that points to itself, and edges contract to those ends. A round halves the nodes at least, whatever their
+    order, and a chain of pointers of length n takes log n doublings."""
     edges = common.materialize(edges.where("a <> b"))
     labels = None
     while not edges.isEmpty():
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = common.materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
+        while True:
+            on = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            ahead = common.materialize(step.join(on, "root").select("node", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved")))
+            common.release(step)
+            step = ahead
+            if ahead.where("moved").isEmpty():
+                break
+        step_to = lambda end: step.select(F.col("node").alias(end), F.col("root").alias(f"{end}2"))  # noqa: E731, B023
         if labels is None:
-            labels = step
+            labels = step.select("node", "root")
         else:
             onward = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
             labels = common.materialize(labels.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
-        half = common.materialize(edges.join(step.select(F.col("node").alias("a"), F.col("root").alias("a2")), "a").select("a2", "b"))
-        edges = half.join(step.select(F.col("node").alias("b"), F.col("root").alias("b2")), "b").where("a2 <> b2")
+        last = edges
+        edges = edges.join(step_to("a"), "a").join(step_to("b"), "b").where("a2 <> b2")
         edges = common.materialize(edges.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct())
+        common.release(last)
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

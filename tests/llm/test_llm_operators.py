@@ -256,9 +256,11 @@ def brute_sets(texts):
     return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
 
 
-@pytest.mark.parametrize("seed, sample", [(1, 32_768), (2, 0), (3, 32_768)])
-def test_near_copies_match_brute_force(spark, monkeypatch, seed, sample):
-    monkeypatch.setattr(near, "SAMPLE_DOCS", sample)
+@pytest.mark.parametrize("seed, bucket, blind", [(1, 1024, False), (2, 4, False), (3, 1024, True), (1, 4, True)])
+def test_near_copies_match_brute_force(spark, monkeypatch, seed, bucket, blind):
+    monkeypatch.setattr(near, "BUCKET", bucket)  # small: groups are compared in chunks
+    if blind:  # bitmaps that tell nothing: likely classes are too large and settled on the sets
+        monkeypatch.setattr(near, "bitmap", lambda grams: np.zeros(16, np.int64))
     r = random.Random(seed)
     fresh = lambda: f"w{r.randrange(10**6)}"
     common_part = [fresh() for _ in range(60)]
@@ -294,6 +296,15 @@ def test_near_copies_keep_one_row_of_a_class_whatever_its_ids(spark):
     assert len(got) == 2 and {(i, t == lone) for i, t, _ in got} == {(7, False), (None, True)}
 
 
+def test_components_of_a_rising_chain_take_few_rounds(spark, monkeypatch):
+    n, writes = 1000, []
+    monkeypatch.setattr(common, "materialize", lambda df, path=None, plain=common.materialize: writes.append(1) or plain(df, path))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(i, i + 1) for i in range(3000, 3005)], "a long, b long")
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert got == {i: 0 for i in range(n + 1)} | {i: 3000 for i in range(3000, 3006)}
+    assert len(writes) <= 15
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------
 
 
