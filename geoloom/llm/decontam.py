@@ -1,124 +1,247 @@
-"""Benchmark decontamination: which documents contain which test items, by exact shingle containment.
+"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Items are partitioned by size. Of an item with q distinct shingles, a document that contains a share c of them lacks
-at most q - ceil(c q); so it holds one at least of any q - ceil(c q) + 1 of the item's shingles. The MinHash sketch
-of an item is its that many shingles of smallest hash, and looking up every shingle of a document in the index of
-sketches finds every document that qualifies, however long it is. Found pairs are verified on the shingles themselves.
+Items are partitioned by their number q of distinct shingles, a class for each power of two. A class has one size of
+MinHash signature: the shingles of smallest hash, one more than its largest item may lack. A document that contains a
+share c of an item lacks q - ceil(c q) of its shingles at most, so of a signature of s entries it holds
+s - (q - ceil(c q)) at least, which is one or more: the search loses no item, however long the document is.
+
+Documents are read once, whatever the number of items: the hash of each shingle is looked up in a bit filter over all
+signatures (``FILTER_BITS`` bits, whatever their number), and documents with hits are joined with the signatures of
+the classes by hash. Pairs with hits enough, of documents long enough, are verified on the shingles of words themselves.
 
 Texts are compared as lower-case words of letters and digits, five words a shingle. Items of one to four words are
-one shingle of their own length. Items go to the executors in blocks of bounded size; each block is one pass.
+one shingle of their own length.
 
-Defined results: null and empty texts and items without a word match nothing; repeated items and documents each give
-their own rows, but one row for equal (doc_id, item_id); empty tables give an empty result; null ids are carried
-through; other columns are ignored.
+Defined results: null and empty texts and items without a word match nothing; one row for equal (doc_id, item_id),
+with the figures of the one pair of texts that shares most; repeated documents without an id are one; empty tables
+give an empty result; ids of any type are carried through, null ones too; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
-from zlib import crc32
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoloom.llm import common
 
 SHINGLE = 5
 MIN_CONTAINMENT = 0.8
-#: Characters of item text that one pass holds in each Python worker.
-BLOCK_CHARS = 8_000_000
+#: Bits of the filter over signatures that each Python worker holds: 16 MB.
+FILTER_BITS = 1 << 27
+#: Bytes of text that are hashed at once.
+PART_BYTES = 1 << 20
 
 _WORD = re.compile(r"[^\W_]+")
+_OTHER = re.compile(r"[\W_]+")
+_ASCII = bytes(c | 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_RANDOM = np.random.default_rng(10)
+_BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
+_BYTE[32] = 0
+_STEP, _NEXT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-class ItemIndex:
-    """Sketches of one block of items, by shingle length and then by size class, with all shingles for the verification."""
-
-    def __init__(self, items: list[tuple[object, str | None]], containment: float = MIN_CONTAINMENT, shingle: int = SHINGLE):
-        self.word_ids: dict[str, int] = {}
-        self.items: list[tuple[object, int, frozenset]] = []
-        sketches: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, text in items:
-            w = words(text)
-            if not w:
-                continue
-            k = min(shingle, len(w))
-            ids = [self.word_ids.setdefault(x, len(self.word_ids) + 1) for x in w]
-            grams = frozenset(zip(*(ids[i:] for i in range(k))))
-            need = math.ceil(containment * len(grams) - 1e-9)
-            hashed = sorted(grams, key=lambda g: (crc32(repr(g).encode()), g))
-            for g in hashed[: len(grams) - need + 1]:
-                sketches[k][g].append(len(self.items))
-            self.items.append((item_id, need, grams))
-        self.sketches = {k: dict(v) for k, v in sketches.items()}
-        #: For each shingle length a filter on the shingle's numbers mixed to 32 bits: sorted, for a fast look-up.
-        self.mixed = {k: np.unique(self._mix(np.array(list(v), np.int64).reshape(len(v), k))) for k, v in self.sketches.items()}
-
-    @staticmethod
-    def _mix(rows: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(rows), np.uint64)
-        for i in range(rows.shape[1]):
-            h = (h ^ rows[:, i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-        return h
-
-    def search(self, text: str | None) -> list[tuple[object, int, int]]:
-        """(item id, shingles in common, the item's shingles) of each item that the text contains."""
-        get = self.word_ids.get
-        w = words(text)
-        ids = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
-        found: list[tuple[object, int, int]] = []
-        for k, sketch in self.sketches.items():
-            if len(ids) < k:
-                continue
-            rows = np.lib.stride_tricks.sliding_window_view(ids, k)
-            known = np.flatnonzero(np.convolve(ids == 0, np.ones(k, np.int64), "valid") == 0)
-            if not len(known):
-                continue
-            rows = rows[known]
-            hit = np.isin(self._mix(rows), self.mixed[k])
-            candidates = {i for g in set(map(tuple, rows[hit].tolist())) for i in sketch.get(g, ())}
-            if candidates:
-                mine = set(map(tuple, rows.tolist()))
-                for i in sorted(candidates):
-                    item_id, need, grams = self.items[i]
-                    if (n := len(grams & mine)) >= need:
-                        found.append((item_id, n, len(grams)))
-        return found
-
-
-def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", containment: float = MIN_CONTAINMENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def word_grams(w: list[str], k: int) -> set[tuple[str, ...]]:
+    return set(zip(*(w[i:] for i in range(k))))
+
+
+def plain(text: str | None) -> bytes:
+    """The words of a text between spaces, in bytes."""
+    text = text or ""
+    if text.isascii():
+        return text.encode().translate(_ASCII)
+    return _OTHER.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
+
+
+def hashed(texts: list[bytes], lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each shingle length: the hashes of all shingles of the ``texts``, and which text each is of."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    starts_of = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    letter = data != 32
+    starts = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
+    if not len(starts):
+        return
+    offset = np.arange(len(data)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(data)]]))) if starts[0] == 0 else None
+    if offset is None:
+        data = data[starts[0] :]
+        starts_of, starts = starts_of - starts[0], starts - starts[0]
+        offset = np.arange(len(data)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(data)]])))
+    power = np.cumprod(np.full(int(offset.max()) + 1, _STEP, np.uint64))
+    word = np.add.reduceat(_BYTE[data] * power[offset], starts)
+    owner = np.searchsorted(starts_of, starts, side="right") - 1
+    for k in lengths:
+        n = len(word) - k + 1
+        if n <= 0:
+            continue
+        h = word[:n].copy()
+        for j in range(1, k):
+            h = h * _NEXT + (word[j : j + n] ^ (word[j : j + n] >> np.uint64(29)))
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        h ^= h >> np.uint64(29)
+        inside = owner[:n] == owner[k - 1 :]
+        yield k, h[inside], owner[:n][inside]
+
+
+def size_class(q: int) -> int:
+    return (q - 1).bit_length()
+
+
+def signature_size(size: int, containment: float = MIN_CONTAINMENT) -> int:
+    """Entries that an item of the largest size of the class may lack, and one."""
+    q = 1 << size
+    return q - math.ceil(containment * q - 1e-9) + 1
+
+
+def _slots(h: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    low = np.uint64(n_bits - 1)
+    return (h & low).astype(np.int64), (h >> np.uint64(33) & low).astype(np.int64)
+
+
+def signatures(items: DataFrame, containment: float) -> DataFrame:
+    """For each item of ``items`` (item, text): item, class, k, q, need, and its signature ``mins``."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = words(text)
+                if w:
+                    k = min(SHINGLE, len(w))
+                    h = np.unique(np.concatenate([x[1] for x in hashed([plain(text)], [k])]))  # sorted: the smallest first
+                    q = len(word_grams(w, k))
+                    size = size_class(q)
+                    mins = h[: signature_size(size, containment)]
+                    out.append((item, size, k, q, math.ceil(containment * q - 1e-9), mins.view(np.int64)))
+            if out:
+                cols = [pa.array(c, pa.int64()) for c in list(zip(*out))[:5]]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([o[5] for o in out], pa.list_(pa.int64()))], names=["item", "class", "k", "q", "need", "mins"])
+
+    return items.select("item", "text").mapInArrow(run, "item long, class long, k long, q long, need long, mins array<long>")
+
+
+def bit_filter(signed: DataFrame) -> Broadcast:
+    """The bits of all signature hashes in 32768-bit pieces, put together in an array of fixed size."""
+    h = signed.select(F.explode("mins").alias("h"))
+    low = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    high = F.shiftrightunsigned("h", 33).bitwiseAND(F.lit(FILTER_BITS - 1))
+    slot = h.select(F.explode(F.array(low, high)).alias("slot")).select((F.col("slot") + 1).alias("slot"))
+    pieces = slot.groupBy(F.bitmap_bucket_number("slot").alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for no, piece in pieces.toLocalIterator():
+        bits[(no - 1) * 4096 : (no - 1) * 4096 + len(piece)] = np.frombuffer(piece, np.uint8)
+    return signed.sparkSession.sparkContext.broadcast(bits)
+
+
+def hits(docs: DataFrame, bits: Broadcast, lengths: list[int], kind: T.DataType) -> DataFrame:
+    """Of ``docs`` (row, doc_id, text) those with a shingle in the filter: row, doc_id, text, n (shingles by length of
+    shingle), found (distinct hashes that the filter knows)."""
+
+    def run(batches):
+        bit = bits.value
+        longs = pa.list_(pa.int64())
+
+        def known(h: np.ndarray) -> np.ndarray:
+            ok = np.ones(len(h), bool)
+            for s in _slots(h, 8 * len(bit)):
+                at = np.flatnonzero(ok)
+                ok[at] = bit[s[at] >> 3] >> (s[at] & 7).astype(np.uint8) & 1
+            return ok
+
+        for b in batches:
+            texts = [plain(t) for t in b.column(2).to_pylist()]
+            found: dict[int, list[np.ndarray]] = {}
+            n = np.zeros((len(texts), SHINGLE + 1), np.int64)
+            a = 0
+            while a < len(texts):
+                z, size = a + 1, len(texts[a])
+                while z < len(texts) and size + len(texts[z]) <= PART_BYTES:
+                    size, z = size + len(texts[z]), z + 1
+                for k, h, owner in hashed(texts[a:z], lengths):
+                    n[a:z, k] = np.bincount(owner, minlength=z - a)
+                    at = np.flatnonzero(known(h))
+                    for i in np.unique(owner[at]).tolist():
+                        found.setdefault(a + i, []).append(h[at[owner[at] == i]])
+                a = z
+            if found:
+                rows = pa.array(sorted(found), pa.int64())
+                lists = [pa.array([n[i] for i in sorted(found)], longs), pa.array([np.unique(np.concatenate(found[i])).view(np.int64) for i in sorted(found)], longs)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in range(3)), *lists], names=["row", "doc_id", "text", "n", "found"])
+
+    schema = T.StructType().add("row", T.LongType()).add("doc_id", kind).add("text", T.StringType()).add("n", T.ArrayType(T.LongType())).add("found", T.ArrayType(T.LongType()))
+    return docs.mapInArrow(run, schema)
+
+
+def _found(docs: DataFrame, items: DataFrame, kind: T.DataType, containment: float) -> DataFrame:
+    """Verified pairs of ``docs`` (doc_id, text) and ``items`` (item, text): doc_id, text, item, n_shared, n_shingles."""
+    common.ship(docs.sparkSession)
+    signed = common.materialize(signatures(items, containment))
+    lengths = [r[0] for r in signed.select("k").distinct().orderBy("k").collect()]  # five at most
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    held = common.materialize(hits(rows, bit_filter(signed), lengths, kind))
+    wanted = signed.select("item", "class", "k", "need", (F.size("mins") - (F.col("q") - F.col("need"))).alias("least"), F.explode("mins").alias("h"))
+    met = held.select("row", "n", F.explode("found").alias("h")).join(wanted, "h").where(F.col("n")[F.col("k").cast("int")] >= F.col("need"))
+    pairs = met.groupBy("row", "item", "k", "need", "least").count().where(F.col("count") >= F.col("least")).select("row", "item", "k", "need")
+    both = common.materialize(pairs).join(held.select("row", "doc_id", "text"), "row").join(items.select("item", F.col("text").alias("item_text")), "item")
+    both = both.select("row", "doc_id", "text", "item", "item_text", "k", "need").sortWithinPartitions("row")
+
+    def verify(batches):
+        last, w, grams = None, [], {}
+        for b in batches:
+            keep, shared, total = [], [], []
+            for i, (row, text, item_text, k, need) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 2, 4, 5, 6)))):
+                if row != last:
+                    last, w, grams = row, words(text), {}
+                if k not in grams:
+                    grams[k] = word_grams(w, k)
+                q = word_grams(words(item_text), k)
+                if (n := len(q & grams[k])) >= need:
+                    keep.append(i)
+                    shared.append(n)
+                    total.append(len(q))
+            if keep:
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in (1, 2, 3)), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["doc_id", "text", "item", "n_shared", "n_shingles"])
+
+    schema = T.StructType().add("doc_id", kind).add("text", T.StringType()).add("item", T.LongType()).add("n_shared", T.LongType()).add("n_shingles", T.LongType())
+    return both.mapInArrow(verify, schema)
+
+
+def _numbered(items: DataFrame, item_text: str, item_id: str) -> DataFrame:
+    """The distinct items that have text, written once so that their numbers stay: item, item_id, text."""
+    own = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where(F.length("text") > 0).distinct()
+    return common.materialize(own.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", containment: float = MIN_CONTAINMENT) -> DataFrame:
     """One row per (doc_id, item_id) whose document contains ``containment`` of the item's shingles or more:
     doc_id, item_id, n_shared, n_shingles, containment."""
-    spark = docs.sparkSession
-    common.ship(spark)
+    own = _numbered(items, item_text, item_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind, item_kind = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, n_shared long, n_shingles long"
-    own = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where(F.length("text") > 0)
-    total = own.agg(F.sum(F.length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    found = None
-    for block in range(blocks):
-        part = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else own
-        index = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in part.orderBy("item_id", "text").collect()], containment))
-
-        def search(batches, index=index):
-            for b in batches:
-                hits = [(i, *hit) for i, t in enumerate(b.column(1).to_pylist()) for hit in index.value.search(t)]
-                at = pa.array([h[0] for h in hits], pa.int64())
-                cols = [b.column(0).take(at), *(pa.array([h[j] for h in hits], t) for j, t in ((1, None if hits else pa.null()), (2, pa.int64()), (3, pa.int64())))]
-                if hits:
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "n_shared", "n_shingles"])
-
-        one = rows.mapInArrow(search, schema)
-        found = one if found is None else found.unionByName(one)
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles")).withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    found = _found(rows, own, docs.schema[doc_id].dataType, containment)
+    share = (F.col("n_shared") / F.col("n_shingles")).alias("containment")
+    named = found.select("doc_id", "item", "n_shared", "n_shingles", share).join(own.select("item", "item_id"), "item")
+    best = named.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_shared", "n_shingles")).alias("best"))
+    return best.select("doc_id", "item_id", "best.n_shared", "best.n_shingles", "best.containment")
+
+
+def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", containment: float = MIN_CONTAINMENT) -> DataFrame:
+    """The rows of ``docs`` whose text contains no item, all columns as they are. A text decides for its rows, so ids
+    may be null or repeated; rows are told apart by 128 bits of hash of their text."""
+    h1, h2 = F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), F.col(text)).alias("h2")
+    own = _numbered(items.withColumn("_none", F.lit(0)), item_text, "_none")
+    found = _found(docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text).alias("text")), own, T.LongType(), containment)
+    leaks = common.materialize(found.select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2")).distinct())
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), h1, h2)
+    # By sort-merge at every size: what is found grows with the documents, and one plan costs alike throughout.
+    return packed.join(leaks.hint("merge"), ["h1", "h2"], "left_anti").select("_row.*")

@@ -1,7 +1,8 @@
 """HTML to a sequence of text blocks, and the numeric features that the block labeller reads.
 
-A page is read leniently: unclosed and crossed tags, attributes without quotes and broken comments all give some
-sequence of blocks. A block is the text between two block-level tags; inline tags and line breaks join their text.
+A page is read leniently and in linear time: unclosed and crossed tags, attributes without quotes and broken comments
+all give some sequence of blocks. A block is the text between two block-level tags; inline tags and line breaks join
+their text.
 """
 
 from __future__ import annotations
@@ -27,11 +28,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: What an opening tag closes, when that is open: paragraphs and list items are often left open. Fixed values.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
+_ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
+_HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 
+#: A block's path tells of so many open elements, the innermost, and of so many names of each: what is described of the
+#: page, not what is read of it.
+DEPTH, NAMES = 12, 12
 PATH_BUCKETS, WORD_BUCKETS, FIGURES = 256, 128, 10
 WIDTH = PATH_BUCKETS + WORD_BUCKETS + FIGURES
 
@@ -44,70 +51,120 @@ class Block:
 
 
 def _names(attrs: str) -> list[str]:
-    return [p.lower() for _, value in _ATTR.findall(attrs) for p in _PART.findall(value)] if "=" in attrs else []
+    if "=" not in attrs:
+        return []
+    return [p.lower() for _, value in _ATTR.findall(attrs) for p in _PART.findall(value)][:NAMES]
+
+
+def unescape(text: str) -> str:
+    """Character references decoded, numbers of any length too."""
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub(r"&#\1", text))
+    return htmllib.unescape(text) if "&" in text else text
+
+
+class Scanner:
+    """Tags of a page from left to right. A character is looked at a bounded number of times: where an end is missing,
+    that is remembered."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.spare = 4 * len(page)  # characters that may be read in vain for the end of quoted values
+        self.absent: set[str] = set()
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``: the first > outside the quotes of values, else the first."""
+        page, first = self.page, at
+        while self.spare > 0:
+            m = _STOP.search(page, at)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            at, before = m.end(), m.start() - 1
+            while before >= first and page[before].isspace():
+                before -= 1
+            if before >= first and page[before] == "=":
+                close = page.find(m[0], at)
+                if close < 0:
+                    break
+                at = close + 1
+        self.spare -= len(page) - first
+        return page.find(">", first)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str]:
+        """The next tag, comment or declaration from ``at`` on: (start, end, name, is it an end tag, attributes); at the
+        end of the page its length twice."""
+        page, i = self.page, at - 1
+        while (i := page.find("<", i + 1)) >= 0:
+            if page.startswith("<!--", i):
+                end = page.find("-->", i + 4)
+                return i, len(page) if end < 0 else end + 3, "", False, ""
+            if i > self.last:
+                break  # no tag ends after this
+            if page[i + 1] in "!?":
+                return i, page.find(">", i) + 1, "", False, ""
+            closing = page[i + 1] == "/"
+            m = _NAME.match(page, i + 1 + closing)
+            if m:
+                end = self._end(m.end())
+                return i, end + 1, m[0].lower(), closing, page[m.end() : end]
+        return len(page), len(page), "", False, ""
+
+    def after(self, tag: str, at: int) -> int:
+        """Where the next end tag of ``tag`` ends; -1 if there is none."""
+        if tag in self.absent:
+            return -1
+        m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(self.page, at)
+        end = self.page.find(">", m.end()) if m else -1
+        if end < 0:
+            self.absent.add(tag)
+        return end + 1 if end >= 0 else -1
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's blocks in order, each with white space turned to single spaces and trimmed; empty ones left out."""
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    scan = Scanner(page)
+    stack: list[str] = []
+    outer: list[tuple[int, str, tuple[str, ...]]] = []  # of these the block-level ones: place in the stack, tag, features
     out: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    silent = ""
-    absent: set[str] = set()  # tags without an end tag in the rest of the page
     in_head = False
     opened: Counter[str] = Counter()
-    links = 0
-
-    def push(tag: str, feats: tuple[str, ...]) -> None:
-        opened[tag] += 1
-        stack.append((tag, feats))
 
     def cut(i: int) -> None:
-        nonlocal links
-        for t, _ in stack[i:]:
+        for t in stack[i:]:
             opened[t] -= 1
-            links -= t == "a"
         del stack[i:]
+        while outer and outer[-1][0] >= i:
+            outer.pop()
 
-    def path() -> tuple[str, ...]:
-        return tuple(f for tag, feats in stack if tag not in INLINE for f in feats)
+    def put(text: str) -> None:
+        parts.append(text)
+        if opened["a"]:
+            link_parts.append(text)
 
     def end_block() -> None:
         if parts:
-            text = _SPACE.sub(" ", htmllib.unescape("".join(parts))).strip()
+            text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append(Block(path(), text, len(_SPACE.sub(" ", htmllib.unescape("".join(link_parts))).strip())))
+                path = tuple(f for _, _, feats in outer[-DEPTH:] for f in feats)
+                out.append(Block(path, text, len(_SPACE.sub(" ", unescape("".join(link_parts))).strip())))
             parts.clear()
             link_parts.clear()
 
     at = 0
-    while at <= len(page):
-        if silent:
-            close = None if silent in absent else re.compile(rf"</{re.escape(silent)}\b[^>]*>", re.I).search(page, at)
-            if close:
-                at = close.end()
-            elif silent in RAW:
-                break
-            else:
-                absent.add(silent)
-            silent = ""
-            continue
-        m = _TOKEN.search(page, at)
-        raw = page[at : m.start()] if m else page[at:]
-        if raw:
-            in_head = in_head and not raw.strip()
-            parts.append(raw)
-            if links:
-                link_parts.append(raw)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    while at < len(page):
+        start, end, tag, closing, attrs = scan.next(at)
+        if start > at:
+            in_head = in_head and page[at:start].isspace()
+            put(page[at:start])
+        at = end
         if not tag:
             continue
-        closing, attrs = m[1] or m[4], m[3] if m[2] else m[6] or ""
         if tag == "head":
             end_block()
             in_head = not closing
@@ -117,40 +174,42 @@ def blocks(page: str | None) -> list[Block]:
         if not closing:
             if tag in SILENT or (in_head and tag == "title"):
                 if not attrs.rstrip().endswith("/"):
-                    silent = tag
+                    found = scan.after(tag, at)
+                    if found >= 0:
+                        at = found
+                    elif tag in RAW:
+                        break
                 continue
             if tag in INLINE:
                 if tag == "br":
-                    parts.append(" ")
-                    if links:
-                        link_parts.append(" ")
-                elif tag == "a":
-                    links += 1
+                    put(" ")
                 if tag not in VOID:
-                    push(tag, ())
+                    opened[tag] += 1
+                    stack.append(tag)
                 continue
             end_block()
             if tag in VOID:
                 continue
             if tag == "p" or tag not in CLOSES:  # block-level tags end an open paragraph
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] not in INLINE:
-                        if stack[i][0] == "p":
-                            cut(i)
-                        break
+                if outer and outer[-1][1] == "p":
+                    cut(outer[-1][0])
             else:  # through inline tags and paragraphs left open
-                i = len(stack) - 1
-                while i >= 0 and (stack[i][0] in CLOSES[tag] or stack[i][0] in INLINE or stack[i][0] == "p"):
-                    if stack[i][0] in CLOSES[tag]:
-                        cut(i)
-                    i -= 1
-            push(tag, (f"<{tag}", *(f".{n}" for n in _names(attrs))))
+                k = len(outer) - 1
+                while k >= 0 and (outer[k][1] in CLOSES[tag] or outer[k][1] == "p"):
+                    if outer[k][1] in CLOSES[tag]:
+                        cut(outer[k][0])
+                    k -= 1
+            opened[tag] += 1
+            outer.append((len(stack), tag, (f"<{tag}", *(f".{n}" for n in _names(attrs)))))
+            stack.append(tag)
         else:
             if tag not in INLINE:
                 end_block()
-            if opened[tag]:
-                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
-            links = max(links, 0)
+            if opened[tag] > 0:
+                i = len(stack) - 1
+                while stack[i] != tag:
+                    i -= 1
+                cut(i)
     end_block()
     return out
 

@@ -59,6 +59,8 @@ _WRAP = {
     "crumb": ["div.breadcrumb", "nav.breadcrumbs", "ul.breadcrumb", "ol.path"],
     "article": ["article", "div.content", "div.article", "main", "div#content", "div.post", "div.entry-content", "section.story", "div.article-body", "main article", "div.main", "div.text", "div", "section", "div.post-body"],
 }
+#: What holds an article's text apart from its headline, at times. Fixed values.
+_BODY = ["div.entry-content", "div.article-body", "div.post-content", "div.text", "div", "section", "div.body", "div.story-text"]
 _OUTER = ["", "div.wrapper", "div#page", "div.container", "div#root div.layout", "section", "div"]
 
 
@@ -116,11 +118,13 @@ class _Maker:
             else:
                 out.append((" ".join(f'<a href="/{w}">{w}</a>' for w in words), 0))
         elif kind == "article":
-            bad = self.style()
+            bad, body = self.style(), _open(r.choice(_BODY)) if r.random() < 0.5 else ("", "")
             if r.random() < 0.8:
-                out.append((f"<h1>{self.sentence(9)}</h1>", 1))
+                tag = r.choice(["h1", "h1", "h2"])
+                out.append((f"<{tag}>{self.sentence(9)}</{tag}>", 1))
             if r.random() < 0.3:
                 out.append((f'<p class="{r.choice(["byline", "meta", "lead", "intro"])}">{self.sentence(8)}</p>', 1))
+            out.append((body[0], -1))
             for i in range(r.choice([1, 2, 3, 4, 6, 9, 14, 25])):
                 p, style = self.paragraph(bad if r.random() < 0.7 else ""), r.random()
                 if style < 0.5:
@@ -141,6 +145,7 @@ class _Maker:
                     out += [("<table><tr>", -1), *((f"<td>{self.sentence(4)}</td>", 1) for _ in range(r.randint(1, 4))), ("</tr></table>", -1)]
                 if i and r.random() < 0.06:
                     out += self.part(r.choice(["ad", "side", "notice"]))
+            out.append((body[1], -1))
         else:
             few = {"comment": (1, 9), "side": (1, 7), "footer": (1, 4), "form": (1, 4)}.get(kind, (1, 2))
             for _ in range(r.randint(*few)):

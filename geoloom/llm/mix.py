@@ -7,8 +7,8 @@ the word. Budgets share the total by the sources' weights; none exceeds ``max_ep
 what that leaves over goes to the others by weight until it is all placed.
 
 Defined results: a null text has size 0 and nothing is taken of it; null is a source of its own, the last; a null id
-is ordered first; repeated rows are each placed (equal keys are ordered by size); an empty table gives an empty
-result; other columns are ignored.
+is ordered first; repeated rows are each placed (equal keys are ordered by size, then text); an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,14 +46,11 @@ def targets(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.least(limit, F.col("weight") * F.lit(level)))
 
 
-def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row per row of ``df``: doc_id, source, size, source_size, target, epochs (whole passes), cut (words of the
-    pass after those), taken. ``weights`` go to the sources in code point order, null last, and repeat."""
-    spark = df.sparkSession
-    sized = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), common.count_words(F.col(text)).alias("size"))
-    sized = common.materialize(sized.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))))
-    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size")]
-    sums = common.materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
+def _planned(rows: DataFrame, weights: Sequence[float], max_epochs: float, seed: int) -> DataFrame:
+    """``rows`` (row, doc_id, source, size, mark, written once) with source_size, target, epochs and cut."""
+    spark = rows.sparkSession
+    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size"), F.col("mark"), F.col("row")]
+    sums = common.materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
     n_sources, n_docs = sums.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
     parts = common.tasks_for(spark, n_docs, ROWS_PER_TASK)
     ranked = common.prefix_sum(sums.withColumn("_one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], "_one", "_rank", 1 + n_sources // ROWS_PER_TASK)
@@ -61,13 +58,26 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
     sources = targets(common.materialize(ranked.withColumn("weight", weight)), max_epochs)
     starts = common.prefix_sum(sources, [F.col("source").asc_nulls_last()], "source_size", "source_start", 1 + n_sources // ROWS_PER_TASK)
     starts = common.materialize(starts.select(F.col("source").alias("of"), "source_size", "target", "source_start"))
-    placed = common.materialize(common.prefix_sum(sized, order, "size", "before", parts))
+    keyed = rows.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)))
+    placed = common.materialize(common.prefix_sum(keyed, order, "size", "before", parts))
     out = placed.join(starts, placed["source"].eqNullSafe(starts["of"]))
     budget = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     inside = F.col("before") - F.col("source_start")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), budget - passes * F.col("source_size") - inside)).cast("long")
-    out = out.withColumn("epochs", passes).withColumn("cut", cut)
+    return out.withColumn("epochs", passes).withColumn("cut", cut)
+
+
+def _row(doc_id: Column, source: Column, text: Column) -> list[Column]:
+    """What a row is known by: its number, given once and written, so that equal ids and equal rows stay apart."""
+    return [F.monotonically_increasing_id().alias("row"), doc_id.alias("doc_id"), source.alias("source"), common.count_words(text).alias("size"), F.xxhash64(text).alias("mark")]
+
+
+def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """One row per row of ``df``: doc_id, source, size, source_size, target, epochs (whole passes), cut (words of the
+    pass after those), taken. ``weights`` go to the sources in code point order, null last, and repeat."""
+    rows = common.materialize(df.select(*_row(F.col(doc_id), F.col(source), F.col(text))))
+    out = _planned(rows, weights, max_epochs, seed)
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "cut", (F.col("size") * F.col("epochs") + F.col("cut")).alias("taken"))
 
 
@@ -87,16 +97,19 @@ def first_words(text: Column, n: Column) -> Column:
     return cut(text, n)
 
 
-def mixed_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
+def mixed_rows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mix itself: every row of ``df`` as often as its source's budget takes it, and in its last taking cut to the
-    words that the budget still holds. Columns are those of ``df``; rows that nothing is taken of are absent.
-    Ids are expected to be unique; rows with an equal id, source and size are given equal shares."""
-    plan = mix(df, text, doc_id, source, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"), F.col("size").alias("_size"))
-    plan = common.materialize(plan.groupBy("_id", "_size").agg(F.max("_epochs").alias("_epochs"), F.max("_cut").alias("_cut")))
-    sized = df.withColumn("_words", common.count_words(F.col(text)))
-    rows = sized.join(plan.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    whole = F.col("_epochs") + (F.col("_cut") == F.col("_size")).cast("long")
-    full = rows.where(whole > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), whole)))
-    part = rows.where((F.col("_cut") > 0) & (F.col("_cut") < F.col("_size")))
-    part = part.withColumn(text, first_words(F.col(text), F.col("_cut")))
-    return full.select(*df.columns).unionAll(part.select(*df.columns))
+    words that the budget still holds. Columns are those of ``df``; rows that nothing is taken of are absent. Rows are
+    numbered and written once, so budgets are met with repeated ids, null ids and equal rows alike."""
+    spark = df.sparkSession
+    common.ship(spark)
+    own = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc")
+    held = common.materialize(df.select(own, F.monotonically_increasing_id().alias("row")))
+    rows = common.materialize(held.select("row", *_row(F.col("doc")[doc_id], F.col("doc")[source], F.col("doc")[text])[1:]))
+    plan = common.materialize(_planned(rows, weights, max_epochs, seed).select("row", "size", "epochs", "cut").where("size > 0 AND (epochs > 0 OR cut > 0)"))
+    taken = held.join(plan.hint("merge"), "row")
+    whole = F.col("epochs") + (F.col("cut") == F.col("size")).cast("long")
+    full = taken.where(whole > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), whole)))
+    part = taken.where((F.col("cut") > 0) & (F.col("cut") < F.col("size")))
+    part = part.withColumn("doc", F.col("doc").withField(f"`{text}`", first_words(F.col("doc")[text], F.col("cut"))))
+    return full.select("doc.*").unionAll(part.select("doc.*"))

@@ -29,7 +29,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm import common
@@ -38,6 +38,8 @@ MAGIC = b"GLWAVE01"
 BLOCK_BITS = 1 << 16
 SHARD_TOKENS = 1 << 20
 END_ID = 2
+#: Characters of text that a task encodes, and rows of the list of shards that a task sums.
+CHARS_PER_TASK, MANIFEST_ROWS = 128 << 20, 1_000_000
 #: Distinct words whose ids a worker keeps before it starts afresh.
 CACHE_WORDS = 1_200_000
 
@@ -291,7 +293,9 @@ def write_shards(df: DataFrame, tokenizer: str, folder: str, text: str = "text",
     common.ship(spark)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    size = rows.agg(F.sum(F.length("text") + 8)).first()[0] or 0
+    parts = common.tasks_for(spark, size, CHARS_PER_TASK)
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged = ranged.withColumn("part", F.spark_partition_id())
 
     def run(batches):
@@ -326,8 +330,8 @@ def write_shards(df: DataFrame, tokenizer: str, folder: str, text: str = "text",
             yield flush(part)
 
     manifest = common.materialize(ranged.mapInArrow(run, "part int, seq int, path string, n_docs long, n_tokens long"))
-    before = F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    return common.materialize(manifest.select("path", "n_docs", "n_tokens", F.coalesce(before, F.lit(0)).alias("start")))
+    starts = common.prefix_sum(manifest, [F.col("part"), F.col("seq")], "n_tokens", "start", 1 + manifest.count() // MANIFEST_ROWS)
+    return common.materialize(starts.select("path", "n_docs", "n_tokens", "start"))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -348,7 +352,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     cols = [pa.array(shard.doc_ids.astype(np.int64), pa.int64(), mask=~shard.valid), pa.array(starts + start, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.select("path", "start").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    spread = manifest.select("path", "start").repartition(common.tasks_for(spark, manifest.count(), 8), "path")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
