@@ -10,6 +10,12 @@ are sort-merge joins at every size, since both sides grow with the corpus.
 3. decontaminate: documents that contain a benchmark item go.
 4. mix_sources: documents are taken as often as their source's budget says; the last one taken is cut to fit.
 5. token_output: documents are encoded into wavelet shards and described as read back.
+
+No stage tells documents apart by doc_id alone, so null and repeated ids lose or keep nothing: stages 1 and 3 judge each
+text, stage 2 keeps one row of a class whatever its ids (the smallest, null last; rows alike in all columns are one), and
+stage 4 numbers its rows. A null or empty text has no letter and goes in stage 1; stages called alone on such rows keep
+one of them in stage 2, all in stage 3, and take none in stage 4. Empty tables give empty results; columns beside those
+of ``documents`` are carried through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +36,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontam.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    found = common.materialize(leaks.select("doc_id").distinct())
-    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return decontam.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
