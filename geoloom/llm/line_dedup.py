@@ -1,6 +1,6 @@
 """Line dedup against levelled sorted runs of line hashes.
 
-A run is a table of (line hash, documents that hold it, largest id among them), sorted by hash. Documents arrive in
+A run is a table of (line hash, documents that hold it, largest id among them), bucketed and sorted by hash. Documents arrive in
 batches of falling id. A batch's lines merge-anti-join the runs: lines that a run already proves common, with a larger
 holder, are settled and add nothing; the rest becomes the batch's own run at level 0. A level that has ``FANOUT`` runs
 is compacted into one run of the next level. After the last batch one more compaction gives the common lines, and
@@ -14,16 +14,19 @@ counts once; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom import runtime
 from geoloom.llm import common
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
 FANOUT = 2
+SALTS = 32
 _BLANK = " \t\n\x0b\x0c\r"
 _LOWEST = -(1 << 63)
 
@@ -42,56 +45,65 @@ def digest(k: Column) -> Column:
 
 
 class RunStore:
-    """Levels of sorted runs in the shared folder."""
+    """Levels of sorted runs: tables bucketed and sorted by line, so that joins merge them as they lie, without a shuffle
+    or a sort. Their files are in the shared folder; ``close`` drops them and gives the session its settings back."""
+
+    _ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = []
+        #: A bucket is what one task of an aggregation by line holds, so each bucket is one file.
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[tuple[str, str]]] = []
+        self.before = spark.conf.get(self._ORDERED, "false")
+        spark.conf.set(self._ORDERED, "true")
 
     def runs(self) -> list[DataFrame]:
-        return [df for level in self.levels for _, df in level]
-
-    def settled(self) -> DataFrame | None:
-        found = [r.where(F.col("n_docs") >= self.min_docs).select("line") for r in self.runs()]
-        for r in found[1:]:
-            found[0] = found[0].unionAll(r)
-        return found[0] if found else None
+        return [self.spark.table(name) for level in self.levels for name, _ in level]
 
     def add(self, batch: DataFrame) -> None:
         """``batch``: rows (line, holder), one for each document that has the line, holders below all added before."""
         own = batch.groupBy("line").agg(F.count("*").alias("n_docs"), F.max("holder").alias("top"))
-        settled = self.settled()
-        if settled is not None:
-            own = own.join(settled, "line", "left_anti")
+        for run in self.runs():
+            # An anti-join by name would be pushed below the aggregation, and a frequent line be shuffled row by row.
+            known = run.where(F.col("n_docs") >= self.min_docs).select("line", F.lit(True).alias("known"))
+            own = own.join(known.hint("merge"), "line", "left").where(F.col("known").isNull()).drop("known")
         self._put(0, own)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             merging, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._merged([df for _, df in merging]))
-            for path, _ in merging:
-                self._remove(path)
+            self._put(level + 1, self._merged([self.spark.table(name) for name, _ in merging]))
+            self._remove(merging)
             level += 1
 
     def merged(self) -> DataFrame:
         return self._merged(self.runs())
 
+    def close(self) -> None:
+        for level in self.levels:
+            self._remove(level)
+        self.levels = []
+        self.spark.conf.set(self._ORDERED, self.before)
+
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        if len(runs) == 1:
-            return runs[0]
-        both = runs[0]
+        out = runs[0]
         for r in runs[1:]:
-            both = both.unionAll(r)
-        return both.groupBy("line").agg(F.sum("n_docs").alias("n_docs"), F.max("top").alias("top"))
+            other = r.select("line", F.col("n_docs").alias("n2"), F.col("top").alias("top2")).hint("merge")
+            n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n2", F.lit(0))
+            out = out.join(other, "line", "full").select("line", n.alias("n_docs"), F.greatest("top", "top2").alias("top"))
+        return out
 
     def _put(self, level: int, rows: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        path = common.shared_dir(self.spark)
-        self.levels[level].append((path, common.materialize(rows.sortWithinPartitions("line"), path)))
+        path, name = common.shared_dir(self.spark), f"line_run_{uuid.uuid4().hex}"
+        rows.write.format("parquet").bucketBy(self.buckets, "line").sortBy("line").option("path", path).saveAsTable(name)
+        self.levels[level].append((name, path))
 
-    def _remove(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def _remove(self, runs: list[tuple[str, str]]) -> None:
+        for name, path in runs:
+            self.spark.sql(f"DROP TABLE {name}")
+            runtime.delete(self.spark, path)
 
 
 def common_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
@@ -109,16 +121,21 @@ def common_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     rows.write.partitionBy("batch").parquet(path)
     held = spark.read.schema(rows.schema).parquet(path)
     store = RunStore(spark, min_docs)
-    for i in range(len(bounds) + 1):
-        store.add(held.where(F.col("batch") == i).select("line", "holder"))
-    found = common.materialize(store.merged().where(F.col("n_docs") >= min_docs))
+    try:
+        for i in range(len(bounds) + 1):
+            store.add(held.where(F.col("batch") == i).select("line", "holder"))
+        found = common.materialize(store.merged().where(F.col("n_docs") >= min_docs))
+    finally:
+        store.close()
     return held.select("line", "holder"), found
 
 
 def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """One row per row of ``df``: doc_id, n_lines, n_dropped, kept (the text of the lines that stay)."""
     held, found = common_lines(df, text, doc_id, min_chars, min_docs, batches)
-    losing = held.join(found.select("line", "top"), "line").where(F.col("holder") < F.col("top"))
+    # A line may be in a third of all documents: its holders are dealt out by a salt, and its row repeated for each.
+    salted = found.select("line", "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    losing = held.withColumn("salt", F.pmod(F.xxhash64("holder"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["line", "salt"]).where(F.col("holder") < F.col("top"))
     drops = common.materialize(losing.groupBy("holder").agg(F.collect_set("line").alias("drop")))
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOWEST)).alias("holder"))
     # By sort-merge at every size: the drops grow with the documents, and one plan costs alike throughout.
