@@ -142,7 +142,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
 
 
 def classify(model: BloomPlanes, text: str | None) -> tuple[str, float, float]:
-    """(language, score from 0 to 1: the margin over the runner-up, share of n-grams the language has)."""
+    """(language, score from 0 to 1: its part of all languages' shares, share of n-grams the language has)."""
     grams, any_letter = ngrams(text or "")
     if not any_letter or not model.langs:
         return UNDETERMINED, 0.0, 0.0

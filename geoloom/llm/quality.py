@@ -128,7 +128,8 @@ def cascade_order(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sam
 
 
 def quality(df: DataFrame, text: str = "text", doc_id: str = "doc_id", order: list[str] | None = None) -> DataFrame:
-    """One row per row of ``df``: its id, the base figures, ``kept`` and ``failed_rule``, the rule that ended the cascade."""
+    """One row per row of ``df``: its id, the base figures, ``kept`` and ``failed_rule``, the rule that ended the
+    cascade (where several fail, which one depends on the order, and so on measured times; ``kept`` does not)."""
     common.ship(df.sparkSession)
     order = cascade_order(df, text, doc_id) if order is None else order
     kind = df.schema[doc_id].dataType.simpleString()

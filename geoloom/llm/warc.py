@@ -147,7 +147,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
     rows = rows.withColumn("sha", F.sha1("html"))
     long_enough = rows.where(F.octet_length("html") >= min_bytes)
     firsts = common.materialize(long_enough.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"))
-    dealt = rows.join(firsts, "sha", "left").select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    # By sort-merge at every size: repeated payloads grow with the pages, and one plan costs alike throughout.
+    dealt = rows.join(firsts.hint("merge"), "sha", "left").select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
     def run(batches):
         fs, base = common.open_fs(folder)
