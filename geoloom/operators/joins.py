@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.geometry import in_circle, segments_intersect
 from geoloom.functions.scalar import EARTH_RADIUS_M, haversine_m
+from geoloom.operators.conflicts import along_cells
+from geoloom.runtime import materialize
 
 _DEG_M = math.pi / 180 * EARTH_RADIUS_M
 
@@ -73,45 +75,49 @@ def circles_containing(points: DataFrame, circles: DataFrame, cell_deg: float =
     return a.join(b, ["_band", "_cell"]).where(in_circle(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat"), F.col("radius_km"))).drop("_band", "_cell")
 
 
-def nearest(queries: DataFrame, sites: DataFrame, query_id: str, site_id: str, cell_deg: float = 4.0, names=("lon", "lat", "lon2", "lat2")) -> DataFrame:
+def nearest(queries: DataFrame, sites: DataFrame, query_id: str, site_id: str, cell_deg: float | None = None, names=("lon", "lat", "lon2", "lat2")) -> DataFrame:
     """Each query's nearest site in degrees (ties: the smaller id), with ``d2``, the squared distance in degrees.
 
-    Rings of cells: a query looks at its own square of cells, then at squares twice as wide, until the best found is
-    nearer than the square's rim. Few queries are left after the first rounds, and no round compares all pairs.
+    A query looks at the nine cells about it; if the best found is further than a cell is wide, or none is, it goes on to
+    the next round, where cells are four times as wide. The first width holds about one site a cell where sites are
+    spread evenly. What is left after a round is written, so that no round computes those before it again; and few
+    queries are left for wide cells, of which each looks at nine.
     """
     lon, lat, lon2, lat2 = names
-    sites = sites.withColumn("_x", F.floor(F.col(lon2) / cell_deg)).withColumn("_y", F.floor(F.col(lat2) / cell_deg))
-    left, done, reach = queries, None, 1
+    if cell_deg is None:
+        n, x0, x1, y0, y1 = sites.agg(F.count(F.lit(1)), F.min(lon2), F.max(lon2), F.min(lat2), F.max(lat2)).first()
+        cell_deg = max(math.sqrt(max(x1 - x0, 1e-3) * max(y1 - y0, 1e-3) / n), 1e-3) if n else 400.0
+    left, done, cell = queries, None, float(cell_deg)
     while True:
-        x, y = F.floor(F.col(lon) / cell_deg), F.floor(F.col(lat) / cell_deg)
-        grid = left.withColumn("_x", F.explode(F.sequence(x - reach, x + reach))).withColumn("_y", F.explode(F.sequence(y - reach, y + reach)))
-        met = grid.join(sites, ["_x", "_y"])
+        x, y = F.floor(F.col(lon) / cell), F.floor(F.col(lat) / cell)
+        grid = left.withColumn("_x", F.explode(F.sequence(x - 1, x + 1))).withColumn("_y", F.explode(F.sequence(y - 1, y + 1)))
+        met = grid.join(sites.withColumn("_x", F.floor(F.col(lon2) / cell)).withColumn("_y", F.floor(F.col(lat2) / cell)), ["_x", "_y"])
         d2 = (F.col(lon) - F.col(lon2)) * (F.col(lon) - F.col(lon2)) + (F.col(lat) - F.col(lat2)) * (F.col(lat) - F.col(lat2))
         best = met.groupBy(query_id).agg(F.min(F.struct(d2.alias("d2"), F.col(site_id).alias(site_id))).alias("_best"))
-        best = best.where(F.col("_best.d2") <= (reach * cell_deg) ** 2).select(query_id, F.col(f"_best.{site_id}").alias(site_id), F.col("_best.d2").alias("d2"))
+        best = best.where(F.col("_best.d2") <= cell**2).select(query_id, F.col(f"_best.{site_id}").alias(site_id), F.col("_best.d2").alias("d2"))
+        if cell >= 400:
+            return best if done is None else done.unionByName(best)
+        best = materialize(best)
         done = best if done is None else done.unionByName(best)
-        if reach * cell_deg >= 400:
-            return done
-        left = left.join(best.select(query_id), query_id, "left_anti")
+        left = materialize(left.join(best.select(query_id), query_id, "left_anti"))
         if left.isEmpty():
             return done
-        reach = min(reach * 4, math.ceil(400 / cell_deg))
+        cell = min(cell * 4, 400.0)
 
 
-def crossings(segments: DataFrame, path: str, seq: str, alt1: str, alt2: str, cell_deg: float = 0.05, pad_deg: float = 0.0) -> DataFrame:
+def crossings(segments: DataFrame, path: str, seq: str, alt1: str, alt2: str, cell_deg: float = 0.05) -> DataFrame:
     """Pairs of segments of different paths that cross in the plane (ax, ay, bx, by), each pair once, with the larger
-    height difference of their ends. Segments meet in the cells of their boxes; a pair counts in its first shared cell."""
-    low_x, high_x = F.floor((F.least("ax", "bx") - pad_deg) / cell_deg), F.floor((F.greatest("ax", "bx") + pad_deg) / cell_deg)
-    low_y, high_y = F.floor((F.least("ay", "by") - pad_deg) / cell_deg), F.floor((F.greatest("ay", "by") + pad_deg) / cell_deg)
-    boxed = segments.withColumn("x0", low_x).withColumn("y0", low_y)
-    cells = boxed.withColumn("_x", F.explode(F.sequence(low_x, high_x))).withColumn("_y", F.explode(F.sequence(low_y, high_y)))
-    a = cells.select("_x", "_y", *(F.col(c).alias(f"{c}_1") for c in ("x0", "y0", path, seq, "ax", "ay", "bx", "by", alt1, alt2)))
-    b = cells.select("_x", "_y", *(F.col(c).alias(f"{c}_2") for c in ("x0", "y0", path, seq, "ax", "ay", "bx", "by", alt1, alt2)))
+    height difference of their ends. Segments meet in the cells along them; boxes are tested before sides."""
+    cells = along_cells(segments, cell_deg)
+    names = (path, seq, "ax", "ay", "bx", "by", alt1, alt2)
+    a, b = (cells.select("_x", "_y", *(F.col(c).alias(f"{c}_{n}") for c in names)) for n in (1, 2))
     met = a.join(b, ["_x", "_y"]).where(F.col(f"{path}_1") < F.col(f"{path}_2"))
-    met = met.where((F.col("_x") == F.greatest("x0_1", "x0_2")) & (F.col("_y") == F.greatest("y0_1", "y0_2")))
+    for v in "xy":
+        met = met.where(f"least(a{v}_1, b{v}_1) <= greatest(a{v}_2, b{v}_2) AND least(a{v}_2, b{v}_2) <= greatest(a{v}_1, b{v}_1)")
     s1, s2 = [F.col(f"{c}_1") for c in ("ax", "ay", "bx", "by")], [F.col(f"{c}_2") for c in ("ax", "ay", "bx", "by")]
     gap = F.greatest(F.abs(F.col(f"{alt1}_1") - F.col(f"{alt1}_2")), F.abs(F.col(f"{alt2}_1") - F.col(f"{alt2}_2")))
-    return met.where(segments_intersect(*s1, *s2)).select(f"{path}_1", f"{seq}_1", f"{path}_2", f"{seq}_2", gap.alias("height_gap"))
+    found = met.where(segments_intersect(*s1, *s2)).select(f"{path}_1", f"{seq}_1", f"{path}_2", f"{seq}_2", gap.alias("height_gap"))
+    return found.distinct()  # a pair may share several cells
 
 
 def tile_cover(boxes: DataFrame, span_deg: float) -> DataFrame:

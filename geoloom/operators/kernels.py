@@ -21,43 +21,43 @@ Point = tuple[float, float]
 
 def fast_march(cost: np.ndarray, src: tuple[int, int]) -> np.ndarray:
     """Arrival times (float32, infinite where unreached) of a front from ``src`` through costs, by upwind updates on the
-    four neighbours; cells of equal time are settled in order of their index."""
+    four neighbours; cells of equal time are settled in order of their index. The field has a rim of walls, so that no
+    neighbour needs a test of bounds, and ``settled`` holds times of settled cells only, so none needs a flag."""
     rows, cols = cost.shape
-    times = np.full(rows * cols, np.inf, np.float32)
-    if not (0 <= src[0] < rows and 0 <= src[1] < cols):
-        return times.reshape(rows, cols)
-    c = cost.astype(np.float32).ravel().tolist()
-    t = [math.inf] * (rows * cols)
-    fixed = bytearray(rows * cols)
-    start = src[0] * cols + src[1]
-    t[start] = 0.0
-    heap = [(0.0, start)]
-    f32 = np.float32
-
-    def least(i: int, j: int) -> float:
-        a = t[i] if i >= 0 and fixed[i] else math.inf
-        b = t[j] if j >= 0 and fixed[j] else math.inf
-        return a if a < b else b
-
+    if not (rows and cols and 0 <= src[0] < rows and 0 <= src[1] < cols):
+        return np.full((rows, cols), np.inf, np.float32)
+    inf, wide, root = math.inf, cols + 2, math.sqrt
+    padded = np.full((rows + 2, wide), inf)
+    padded[1:-1, 1:-1] = cost.astype(np.float32)
+    start = (src[0] + 1) * wide + src[1] + 1
+    padded.ravel()[start] = 0.0  # the source is settled whatever it costs
+    costs = padded.ravel().tolist()
+    settled, best = [inf] * len(costs), [inf] * len(costs)
+    best[start] = 0.0
+    heap, pop, push = [(0.0, start)], heapq.heappop, heapq.heappush
+    around = (-wide, wide, -1, 1)
     while heap:
-        at, i = heapq.heappop(heap)
-        if fixed[i]:
+        at, i = pop(heap)
+        if settled[i] != inf:
             continue
-        fixed[i] = 1
-        r, k = divmod(i, cols)
-        for n, inside in ((i - cols, r > 0), (i + cols, r + 1 < rows), (i - 1, k > 0), (i + 1, k + 1 < cols)):
-            if not inside or fixed[n] or c[n] == math.inf:
+        settled[i] = at
+        for step in around:
+            n = i + step
+            w = costs[n]
+            if w == inf or settled[n] != inf:
                 continue
-            nr, nk = divmod(n, cols)
-            a = least(n - cols if nr else -1, n + cols if nr + 1 < rows else -1)
-            b = least(n - 1 if nk else -1, n + 1 if nk + 1 < cols else -1)
-            gap, w = abs(a - b), c[n]
-            new = (a + b + math.sqrt(2 * w * w - gap * gap)) / 2 if gap * gap <= 2 * w * w else min(a, b) + w
-            new = float(f32(new))
-            if new < t[n]:
-                t[n] = new
-                heapq.heappush(heap, (new, n))
-    return np.array([x if f else math.inf for x, f in zip(t, fixed)], np.float32).reshape(rows, cols)
+            a, x = settled[n - wide], settled[n + wide]
+            if x < a:
+                a = x
+            b, x = settled[n - 1], settled[n + 1]
+            if x < b:
+                b = x
+            low, gap = (a, b - a) if a < b else (b, a - b)
+            new = low + w if gap >= w else low + (gap + root(2 * w * w - gap * gap)) / 2
+            if new < best[n]:
+                best[n] = new
+                push(heap, (new, n))
+    return np.array(settled).reshape(rows + 2, wide)[1:-1, 1:-1].astype(np.float32)
 
 
 def back_trace(times: np.ndarray, dst: tuple[int, int], src: tuple[int, int]) -> list[tuple[int, int]] | None:
@@ -297,13 +297,48 @@ def chord_errors(p: np.ndarray, i: int, j: int) -> np.ndarray:
     return np.hypot(*(w - t[:, None] * v).T) * DEG_M
 
 
+def _sight(p: np.ndarray, i: int, j: int, tolerance_m: float) -> np.ndarray:
+    """Points in (i, j) that may end a chord from ``i``: those in the wedge that the points before leave open, and not
+    nearer than these. None is left out that could; chords are judged afterwards."""
+    k = np.cos(np.radians(p[i : j + 1, 1]))
+    wide = max(float(k.max()), 1e-6) / max(float(k.min()), 1e-6)  # how much the scale of longitudes changes
+    v = (p[i + 1 : j + 1, :2] - p[i, :2]) * (max(float(k[0]), 1e-6), 1.0) * DEG_M
+    d, slack = np.hypot(v[:, 0], v[:, 1]), tolerance_m * wide + 1e-6
+    far = d > 2 * slack
+    ok = np.maximum.accumulate(d) <= (d + slack) * wide + 1e-6
+    if far.any():
+        first = int(np.argmax(far))
+        angle = np.arctan2(v[:, 1], v[:, 0])
+        angle = (angle - angle[first] + math.pi) % (2 * math.pi) - math.pi
+        half = np.where(far, np.arcsin(np.minimum(slack / np.maximum(d, 1e-12), 1.0)) + (wide - 1), math.pi)
+        low, high = np.maximum.accumulate(np.where(far, angle - half, -math.pi)), np.minimum.accumulate(np.where(far, angle + half, math.pi))
+        sure = (np.abs(angle) < math.pi / 2) | ~far  # beyond that the wedge says nothing
+        inside = (angle >= low - half) & (angle <= high + half)
+        closed = np.flatnonzero(low > high + 2 * (wide - 1) + 1e-9)
+        ok &= inside | ~sure
+        if len(closed) and (far[closed[0] :]).all():
+            ok[closed[0] :] = False
+    return np.flatnonzero(ok) + i + 1
+
+
 def simplify(p: np.ndarray, tolerance_m: float) -> list[int]:
-    """Kept points: from each one the furthest whose chord passes all between within the tolerance."""
+    """Kept points: from each one the furthest whose chord passes all between within the tolerance.
+
+    Ends are looked for in stretches of doubling length and given up once a stretch has none that may be in sight."""
     n = len(p)
     keep = [0] if n else []
     while keep and keep[-1] < n - 1:
         i = keep[-1]
-        keep.append(next(j for j in range(n - 1, i, -1) if j == i + 1 or chord_errors(p, i, j).max() <= tolerance_m))
+        best, reach, seen = i + 1, 32, i + 1
+        while seen < n - 1:
+            end = min(n - 1, i + reach)
+            ends = _sight(p, i, end, tolerance_m)
+            found = next((j for j in ends[::-1].tolist() if j > seen and chord_errors(p, i, j).max() <= tolerance_m), None)
+            best = found or best
+            if not (ends > seen).any():
+                break
+            seen, reach = end, reach * 2
+        keep.append(best)
     return keep
 
 

@@ -58,9 +58,12 @@ def vertex_radii(points: DataFrame) -> DataFrame:
     for c in ("lon", "lat"):
         p = p.withColumn(f"{c}_a", prv(c)).withColumn(f"{c}_b", nxt(c))
     p = p.where("lon_a IS NOT NULL AND lon_b IS NOT NULL")
-    lon0, lat0 = (F.col("lon_a") + F.col("lon") + F.col("lon_b")) / 3, (F.col("lat_a") + F.col("lat") + F.col("lat_b")) / 3
-    xy = [v for s in ("_a", "", "_b") for v in local_xy(F.col(f"lon{s}"), F.col(f"lat{s}"), lon0, lat0)]
-    return p.withColumn("radius_m", circumradius(*xy))
+    # In steps that each later one uses more than once, so that no expression is repeated in the generated code.
+    p = p.withColumn("_lon0", (F.col("lon_a") + F.col("lon") + F.col("lon_b")) / 3).withColumn("_lat0", (F.col("lat_a") + F.col("lat") + F.col("lat_b")) / 3)
+    flat = ["_xa", "_ya", "_x", "_y", "_xb", "_yb"]
+    xy = [v for s in ("_a", "", "_b") for v in local_xy(F.col(f"lon{s}"), F.col(f"lat{s}"), F.col("_lon0"), F.col("_lat0"))]
+    p = p.withColumns(dict(zip(flat, xy)))
+    return p.withColumn("radius_m", circumradius(*map(F.col, flat))).drop("_lon0", "_lat0", *flat)
 
 
 def cumulative_distance(points: DataFrame) -> DataFrame:

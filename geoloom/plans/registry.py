@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.functions import scalar as S
-from geoloom.operators import intervals, joins, paths, profile, raster, sequence
+from geoloom.operators import conflicts, intervals, joins, paths, profile, raster, sequence, vehicles
 from geoloom.plans import derive as D
 from geoloom.runtime import ship
+from geoloom.sources import georef
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -260,7 +261,7 @@ def circle_contains_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("+d AS (SELECT cust, supp, pow(lon - lon2, 2) + pow(lat - lat2, 2) AS d2 FROM cust, supp), f AS (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY d2, supp) AS n FROM d) SELECT cust, supp, " + r_("d2", "d2") + " FROM f WHERE n = 1", uses="cust supp")
 def nearest_supplier(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.nearest(D.customers(spark, sf), D.suppliers(spark, sf), "cust", "supp", 12.0).select("cust", "supp", rnd(F.col("d2"), "d2"))
+    return joins.nearest(D.customers(spark, sf), D.suppliers(spark, sf), "cust", "supp").select("cust", "supp", rnd(F.col("d2"), "d2"))
 
 
 _SUB = "sub AS (SELECT *, least(ax, bx) AS x0, greatest(ax, bx) AS x1 FROM (SELECT path, seq, lon AS ax, lat AS ay, lead(lon) OVER w AS bx, lead(lat) OVER w AS by_, alt_m, lead(alt_m) OVER w AS alt2 FROM xp WINDOW w AS (PARTITION BY path ORDER BY seq)) WHERE bx IS NOT NULL)"
@@ -747,3 +748,99 @@ def height_on_path(spark: SparkSession, sf: str) -> DataFrame:
     p = D.points(spark, sf)
     probe = p.select("path").distinct().select("path", F.col("path").alias("probe"), F.lit(100.5).alias("plon"), F.lit(30.5).alias("plat"))
     return profile.height_on_path(probe, p, "probe").select("path", rnd(F.col("alt_m"), "alt_m", 3))
+
+
+def _closest_sql(a: str, b: str, lat: str) -> str:
+    """h, s, t of the closest approach of two segments as the least struct of its candidates."""
+    (ax, ay, bx, by), (cx, cy, dx, dy) = a.split(), b.split()
+    kx = f"(111.32 * greatest(cos(radians({lat})), 1e-6))"
+    ux, uy, vx, vy = f"(({bx} - {ax}) * {kx})", f"(({by} - {ay}) * 111.32)", f"(({dx} - {cx}) * {kx})", f"(({dy} - {cy}) * 111.32)"
+    wx, wy = f"(({cx} - {ax}) * {kx})", f"(({cy} - {ay}) * 111.32)"
+    uu, vv, det = f"({ux} * {ux} + {uy} * {uy})", f"({vx} * {vx} + {vy} * {vy})", f"({vx} * {uy} - {ux} * {vy})"
+    part = lambda num, den: f"(CASE WHEN {den} > 0 THEN least(greatest({num} / {den}, 0), 1) ELSE 0.0 END)"
+    t1, t2 = part(f"(-({wx} * {vx} + {wy} * {vy}))", vv), part(f"(({ux} - {wx}) * {vx} + ({uy} - {wy}) * {vy})", vv)
+    s1, s2 = part(f"({wx} * {ux} + {wy} * {uy})", uu), part(f"(({wx} + {vx}) * {ux} + ({wy} + {vy}) * {uy})", uu)
+    s, t = f"(({vx} * {wy} - {wx} * {vy}) / {det})", f"(({ux} * {wy} - {uy} * {wx}) / {det})"
+    h = lambda p, q: f"sqrt(pow({wx} + {vx} * {q} - {ux} * {p}, 2) + pow({wy} + {vy} * {q} - {uy} * {p}, 2))"
+    ends = [f"{{'h': {h(p, q)}, 'no': {i}, 's': {p}::DOUBLE, 't': {q}::DOUBLE}}" for i, (p, q) in enumerate((("0.0", t1), ("1.0", t2), (s1, "0.0"), (s2, "1.0")))]
+    inner = f"CASE WHEN abs({det}) > 1e-9 AND {s} BETWEEN 0 AND 1 AND {t} BETWEEN 0 AND 1 THEN {{'h': {h(s, t)}, 'no': 4, 's': {s}, 't': {t}}} END"
+    return f"list_min(list_filter([{', '.join(ends)}, {inner}], lambda x: x IS NOT NULL))"
+
+
+_PLUS = "sx AS (SELECT path, seq, lon AS ax, lat AS ay, lon2 AS bx, lat2 AS by_, alt_m, alt2, n, lats FROM (SELECT *, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, lead(alt_m) OVER w AS alt2, count(*) OVER (PARTITION BY path) AS n, sum(lat) OVER (PARTITION BY path) AS lats FROM xp WINDOW w AS (PARTITION BY path ORDER BY seq)) WHERE lon2 IS NOT NULL)"
+
+
+@query(
+    f"+{_PLUS}, near AS (SELECT a.path AS path_1, b.path AS path_2, a.ax, a.ay, a.bx, a.by_, a.alt_m AS p, a.alt2 AS q, b.alt_m AS r, b.alt2 AS s, "
+    + _closest_sql("a.ax a.ay a.bx a.by_", "b.ax b.ay b.bx b.by_", "((a.lats + b.lats) / (a.n + b.n))")
+    + " AS c FROM sx a JOIN sx b ON a.path // 20 BETWEEN b.path // 20 - 1 AND b.path // 20 + 1 AND a.path < b.path AND least(a.ax, a.bx) <= greatest(b.ax, b.bx) + 0.02 AND least(b.ax, b.bx) <= greatest(a.ax, a.bx) + 0.02 AND least(a.ay, a.by_) <= greatest(b.ay, b.by_) + 0.02 AND least(b.ay, b.by_) <= greatest(a.ay, a.by_) + 0.02)"
+    ", hit AS (SELECT *, c.h AS h, abs(p + (q - p) * c.s - (r + (s - r) * c.t)) AS v FROM near)"
+    " SELECT path_1, path_2, " + r_("min(h)", "h_km") + " FROM hit WHERE h <= 1 AND v <= 150 GROUP BY path_1, path_2",
+    uses="xp",
+)
+def path_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    s = sequence.with_segments(D.spread_points(spark, sf))
+    s = s.select("path", "seq", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("lon2").alias("bx"), F.col("lat2").alias("by"), F.col("alt_m").alias("alt1"), "alt2")
+    return conflicts.path_conflicts(s).select("path_1", "path_2", rnd(F.col("h_km"), "h_km"))
+
+
+_NEXT = "nx AS (SELECT path, seq, lon AS ax, lat AS ay, lon2 AS bx, lat2 AS by_, lead(lon) OVER w AS cx, lead(lat) OVER w AS cy, lead(lon2) OVER w AS dx, lead(lat2) OVER w AS dy FROM seg WINDOW w AS (PARTITION BY path ORDER BY seq))"
+
+
+@query(f"+{_NEXT} SELECT path, seq, " + r_("c.h", "h_km") + " FROM (SELECT path, seq, " + _closest_sql("ax ay bx by_", "101.0 cy 100.0 dy", "30.5") + " AS c FROM nx WHERE cx IS NOT NULL)", uses="pts seg")
+def closest_approach(spark: SparkSession, sf: str) -> DataFrame:
+    """Each segment against one from far east to far west at the latitudes of the next."""
+    s = sequence.with_segments(D.points(spark, sf))
+    pairs = s.select("path", "seq", F.col("lon").alias("ax_1"), F.col("lat").alias("ay_1"), F.col("lon2").alias("bx_1"), F.col("lat2").alias("by_1"), F.lit(101.0).alias("ax_2"), sequence.nxt("lat").alias("ay_2"), F.lit(100.0).alias("bx_2"), sequence.nxt("lat2").alias("by_2"))
+    return conflicts.closest_approach(pairs.where("ay_2 IS NOT NULL"), F.lit(30.5)).select("path", "seq", rnd(F.col("h_km"), "h_km"))
+
+
+_EDGE_KM = _plane_sql("(lon * 111.32 * cos(radians(ay)))", "(lat * 111.0)", "(ax * 111.32 * cos(radians(ay)))", "(ay * 111.0)", "(bx * 111.32 * cos(radians(ay)))", "(by_ * 111.0)")
+
+
+@query("+" + D.edges_sql("e", D.POLYGON) + " SELECT cust, " + r_(f"CASE WHEN count(*) FILTER (WHERE (by_ > lat) <> (ay > lat) AND lon < (ax - bx) * (lat - by_) / (ay - by_) + bx) % 2 = 1 THEN 0 ELSE min({_EDGE_KM}) END", "km") + " FROM cust, e GROUP BY cust", uses="cust")
+def polygon_boundary(spark: SparkSession, sf: str) -> DataFrame:
+    return D.customers(spark, sf).select("cust", rnd(G.polygon_boundary_km(F.col("lon"), F.col("lat"), D.polygon(D.POLYGON)), "km"))
+
+
+@query("+" + D.edges_sql("e", D.LOCAL) + " SELECT path, seq, " + r_(f"min(least({_plane_sql('lon', 'lat', 'ax', 'ay', 'bx', 'by_')}, {_plane_sql('lon2', 'lat2', 'ax', 'ay', 'bx', 'by_')}))", "deg") + " FROM seg, e GROUP BY path, seq", uses="pts seg")
+def segment_polygon_deg(spark: SparkSession, sf: str) -> DataFrame:
+    a = [F.col(c) for c in ("lon", "lat", "lon2", "lat2")]
+    return sequence.with_segments(D.points(spark, sf)).select("path", "seq", rnd(G.segment_polygon_deg(*a, D.polygon(D.LOCAL)), "deg"))
+
+
+_PROFILES = """SELECT c_custkey AS vehicle, c_nationkey AS nation, c_custkey % 3 <> 0 AS fixed,
+  CASE WHEN c_custkey % 2 = 0 THEN 40.0 + c_custkey % 90 END AS cruise, CASE WHEN c_custkey % 5 = 0 THEN 30.0 END AS low, CASE WHEN c_custkey % 5 = 0 THEN 70.0 + c_custkey % 20 END AS high,
+  CASE WHEN c_custkey % 7 < 3 THEN 15.0 + c_custkey % 30 END AS bank, CASE WHEN c_custkey % 4 = 1 THEN 300.0 + c_custkey % 1000 * 30 END AS radius, CASE WHEN c_custkey % 6 = 0 THEN 5.0 + c_custkey % 10 END AS climb FROM customer"""
+_OPTIONS = f"p AS ({_PROFILES}), o AS (SELECT *, coalesce(cruise, (low + high) / 2, CASE WHEN fixed THEN 250.0 ELSE 100.0 END) AS speed, coalesce(radius, CASE WHEN fixed THEN 5000.0 ELSE 0.0 END) AS turn FROM p)"
+
+
+def _profiles(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    given = lambda when, value: F.when(when, value)
+    return D.table(spark, sf, "customer").select(
+        k.alias("vehicle"), F.col("c_nationkey").alias("nation"), F.when(k % 3 != 0, "FIXED_WING").otherwise("ROTORCRAFT").alias("aircraft_type"),
+        given(k % 2 == 0, F.lit(40.0) + k % 90).alias("cruise_speed_mps"), given(k % 5 == 0, F.lit(30.0)).alias("speed_low"), given(k % 5 == 0, F.lit(70.0) + k % 20).alias("speed_high"),
+        given(k % 7 < 3, F.lit(15.0) + k % 30).alias("max_bank_deg"), given(k % 4 == 1, F.lit(300.0) + k % 1000 * 30).alias("min_turn_radius_m"), given(k % 6 == 0, F.lit(5.0) + k % 10).alias("max_climb_angle_deg"),
+    )
+
+
+@query(f"WITH {_OPTIONS} SELECT vehicle, speed::DOUBLE AS speed_mps, turn::DOUBLE AS turn_radius_m, coalesce(climb, 15.0)::DOUBLE AS max_climb_deg, " + r_("least(speed * speed / (9.81 * tan(radians(coalesce(bank, 30.0)))), turn)", "least_radius_m") + " FROM o")
+def smooth_options(spark: SparkSession, sf: str) -> DataFrame:
+    return vehicles.smooth_options(_profiles(spark, sf)).select("vehicle", "speed_mps", "turn_radius_m", "max_climb_deg", rnd(F.col("least_radius_m"), "least_radius_m"))
+
+
+@query(f"WITH {_OPTIONS} SELECT nation, max(least(greatest(turn * 0.5, 2000.0), 10000.0))::DOUBLE AS inflation_m FROM o GROUP BY nation")
+def turn_space(spark: SparkSession, sf: str) -> DataFrame:
+    return vehicles.widest_turn_space(vehicles.smooth_options(_profiles(spark, sf)), "nation")
+
+
+@query("SELECT s_suppkey AS supp, CASE WHEN s_suppkey % 4 = 1 THEN 'too_few_numbers' WHEN s_suppkey % 4 = 2 THEN 'rotated' WHEN s_suppkey % 4 = 3 THEN 'bad_pixel_size' END AS error, CASE WHEN s_suppkey % 4 = 0 THEN " + "round(10.0 + s_suppkey - 0.25, 6)::DOUBLE END AS west, CASE WHEN s_suppkey % 4 = 0 THEN round(50.0 - s_suppkey % 40 + 0.125, 6)::DOUBLE END AS north, CASE s_suppkey % 3 WHEN 0 THEN 3857 WHEN 1 THEN 4326 ELSE 0 END::INT AS epsg FROM supplier")
+def georeference(spark: SparkSession, sf: str) -> DataFrame:
+    """World and projection files as text, by supplier: good, too short, rotated, or of negative pixel size."""
+    k = F.col("s_suppkey")
+    six = F.concat_ws("\n", F.when(k % 4 == 3, "-0.5").otherwise("0.5"), F.when(k % 4 == 2, "0.1").otherwise("0.0"), F.lit("x 0.0"), F.lit("-0.25"), (F.lit(10.0) + k).cast("string"), (F.lit(50.0) - k % 40).cast("string"))
+    text = F.when(k % 4 == 1, "0.5 0 0").otherwise(six)
+    prj = F.when(k % 3 == 0, 'PROJCS["WGS_1984_Web_Mercator"]').when(k % 3 == 1, 'GEOGCS["GCS_WGS_1984"]').otherwise('PROJCS["UTM", GEOGCS["x"]]')
+    w = georef.world_file(text)
+    return D.table(spark, sf, "supplier").select(k.alias("supp"), w["error"].alias("error"), rnd(w["west"], "west"), rnd(w["north"], "north"), F.coalesce(georef.projection_of(prj), F.lit(0)).alias("epsg"))

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import intervals, joins, paths, raster
+from geoloom.operators import conflicts, intervals, joins, paths, raster, vehicles
 from geoloom.plans import scenario
+from geoloom.sources import georef
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +78,47 @@ def test_scenarios(spark):
     assert sorted(r["error"] for r in out if r["error"]) == ["degenerate_start_equals_target", "illegal_coordinate", "malformed_json", "missing_aircraft", "target_in_no_fly", "unknown_field"]
     assert '"status":"success"' in "".join(r["json"] for r in scenario.output_json(df.where("error IS NULL")).collect())
     assert "aircraft" in scenario.schema_json()
+
+
+def test_nearest_matches_brute_force(spark):
+    """Clustered sites, lone queries and ties: the nearest, then the smaller id, whatever the first cells' width."""
+    r = random.Random(4)
+    sites = [(i, r.gauss(0, 3), r.gauss(0, 3)) for i in range(60)] + [(60, 170.0, 80.0), (61, 170.0, 80.0)]
+    asks = [(i, r.uniform(-180, 180), r.uniform(-85, 85)) for i in range(40)] + [(40, 171.0, 80.0)]
+    want = {q: min(((x - a) ** 2 + (y - b) ** 2, s) for s, a, b in sites) for q, x, y in asks}
+    q, s = spark.createDataFrame(asks, "q long, lon double, lat double"), spark.createDataFrame(sites, "s long, lon2 double, lat2 double")
+    for cell in (None, 0.5, 50.0):
+        got = {o["q"]: (o["d2"], o["s"]) for o in joins.nearest(q, s, "q", "s", cell).collect()}
+        assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+        assert all(abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+    assert joins.nearest(q, s.limit(0), "q", "s").isEmpty() and joins.nearest(q.limit(0), s, "q", "s").isEmpty()
+
+
+def test_path_conflicts(spark):
+    """Two paths that cross at one height, one above them, one that runs beside the first, and one far away."""
+    rows = [("a", 0, 100.0, 30.0, 101.0, 30.0, 1000.0, 1000.0), ("b", 0, 100.5, 29.5, 100.5, 30.5, 1100.0, 1100.0), ("c", 0, 100.5, 29.5, 100.5, 30.5, 2000.0, 2000.0), ("d", 0, 100.2, 30.005, 100.9, 30.005, 900.0, 1000.0), ("e", 0, 50.0, 30.0, 51.0, 30.0, 1000.0, 1000.0)]
+    s = spark.createDataFrame(rows, "path string, seq long, ax double, ay double, bx double, by double, alt1 double, alt2 double")
+    got = {(o["path_1"], o["path_2"]): o for o in conflicts.path_conflicts(s).collect()}
+    assert set(got) == {("a", "b"), ("a", "d")}  # b is more than 150 m above d where they meet
+    ab = got["a", "b"]
+    assert abs(ab["h_km"]) < 1e-9 and abs(ab["v_m"] - 100) < 1e-6 and abs(ab["lon"] - 100.5) < 1e-9 and abs(ab["lat"] - 30) < 1e-9
+    assert abs(got["a", "d"]["h_km"] - 0.005 * 111.32) < 1e-6
+    told = conflicts.conflict_warnings(conflicts.path_conflicts(s)).collect()
+    assert sorted((o["path"], o["other"]) for o in told) == [("a", "b"), ("a", "d"), ("b", "a"), ("d", "a")]
+
+
+def test_georefs_from_files(spark, tmp_path):
+    (tmp_path / "a.tfw").write_text("0.5\n0\n0\n-0.25\n10\n50\n")
+    (tmp_path / "a.prj").write_text('GEOGCS["GCS_WGS_1984"]')
+    (tmp_path / "b.tfw").write_text("0.5 0.2 0 -0.25 10 50")
+    got = {o["name"].rsplit("/", 1)[1]: o for o in georef.read_georefs(spark, f"file://{tmp_path}").collect()}
+    a, b = got["a"], got["b"]
+    assert (a["px"], a["py"], a["west"], a["north"], a["error"], a["epsg"]) == (0.5, 0.25, 9.75, 50.125, None, 4326)
+    assert b["error"] == "rotated" and b["west"] is None and b["epsg"] is None
+    keys = spark.createDataFrame([(1, 4326, 0), (2, 0, 3857), (0, 4326, 0), (2, 0, 32633)], "m int, g int, p int")
+    assert [o[0] for o in keys.select(georef.geo_keys(F.col("m"), F.col("g"), F.col("p"))).collect()] == [4326, 3857, 4326, None]
+
+
+def test_curve_success(spark):
+    c = spark.createDataFrame([("x", 1.0), ("x", 3.0), ("x", None), ("y", None)], "k string, length double")
+    assert {o["k"]: (o["n_ok"], o["n_all"], o["mean_length"]) for o in vehicles.curve_success(c, "k").collect()} == {"x": (2, 3, 2.0), "y": (0, 1, 0.0)}
