@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import numpy as np
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from geoloom.functions import geometry as G
 from geoloom.functions import scalar as S
 from geoloom.operators import conflicts, intervals, joins, paths, profile, raster, sequence, vehicles
 from geoloom.plans import derive as D
-from geoloom.runtime import ship
-from geoloom.sources import georef
+from geoloom.runtime import shared_dir, ship
+from geoloom.sources import codecs, georef, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +37,7 @@ def query(sql: str = "", *, uses: str = "") -> Callable[[Query], Query]:
         QUERIES[f.__name__] = run
         if sql:
             given = [D.SQL[u] for u in uses.split()]
-            SQL[f.__name__] = ("WITH " + ", ".join(given) + (", " if sql.startswith("+") else " ") if given else "") + sql.removeprefix("+")
+            SQL[f.__name__] = ("WITH RECURSIVE " + ", ".join(given) + (", " if sql.startswith("+") else " ") if given else "") + sql.removeprefix("+")
         return f
 
     return add
@@ -73,10 +75,10 @@ def radius_join(spark: SparkSession, sf: str) -> DataFrame:
 def _matched(spark: SparkSession, sf: str) -> DataFrame:
     """Every customer with one supplier, by key."""
     n = D.suppliers(spark, sf)
-    return D.customers(spark, sf).withColumn("supp", F.col("cust") % 10).join(n, "supp")
+    return D.customers(spark, sf).withColumn("supp", F.col("cust") % n.count()).join(n, "supp")
 
 
-_MATCHED = "+m AS (SELECT * FROM (SELECT *, cust % 10 AS k FROM cust) JOIN supp ON supp = k) "
+_MATCHED = "+m AS (SELECT * FROM (SELECT *, cust % (SELECT count(*) FROM supp) AS k FROM cust) JOIN supp ON supp = k) "
 
 
 @query(_MATCHED + "SELECT cust, " + r_(D.haversine_sql("lon", "lat", "lon2", "lat2"), "distance_m", 3) + " FROM m", uses="cust supp")
@@ -155,9 +157,33 @@ def coordinate_checks(spark: SparkSession, sf: str) -> DataFrame:
     return D.customers(spark, sf).select("cust", S.valid_coordinate(lon, lat * 1.1).alias("valid"), (lon.between(-10, 60) & lat.between(-30, 30)).alias("in_box"), r.alias("r"), c.alias("c"))
 
 
-@query()
+_FLAT, _AXIS = "(1 / 298.257223563)", "6378137.0"
+_VINCENTY = (
+    _MATCHED.removeprefix("+").rstrip()
+    + f""", p AS (SELECT cust, lon, lat, lon2, lat2, radians(lon2) - radians(lon) AS big, atan((1 - {_FLAT}) * tan(radians(lat))) AS u1, atan((1 - {_FLAT}) * tan(radians(lat2))) AS u2 FROM m),
+it AS (
+  SELECT cust, big, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, 0 AS n, big AS lam, false AS settled, 0.0::DOUBLE AS ss, 0.0::DOUBLE AS cs, 0.0::DOUBLE AS sigma, 0.0::DOUBLE AS cos2, 0.0::DOUBLE AS c2m FROM p
+  UNION ALL
+  SELECT cust, big, s1, c1, s2, c2, n + 1, new, abs(new - lam) < 1e-12, ss, cs, sigma, cos2, c2m FROM (
+    SELECT *, big + (1 - k) * {_FLAT} * sa * (sigma + k * ss * (c2m + k * cs * (2 * c2m * c2m - 1))) AS new FROM (
+      SELECT *, {_FLAT} / 16 * cos2 * (4 + {_FLAT} * (4 - 3 * cos2)) AS k FROM (
+        SELECT *, CASE WHEN cos2 > 1e-15 THEN cs - 2 * s1 * s2 / cos2 ELSE 0 END AS c2m FROM (
+          SELECT *, 1 - sa * sa AS cos2 FROM (
+            SELECT *, atan2(ss, cs) AS sigma, CASE WHEN ss > 0 THEN c1 * c2 * sin(lam) / ss ELSE 0 END AS sa FROM (
+              SELECT cust, big, s1, c1, s2, c2, n, lam, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM it WHERE NOT settled AND n < 200))))))),
+last AS (SELECT * FROM it WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY cust ORDER BY n DESC) = 1),
+w AS (SELECT *, cos2 * (6378137.0 * 6378137.0 - 6378137.0 * 6378137.0 * pow(1 - {_FLAT}, 2)) / (6378137.0 * 6378137.0 * pow(1 - {_FLAT}, 2)) AS w FROM last),
+ab AS (SELECT *, 1 + w / 16384 * (4096 + w * (w * (320 - 175 * w) - 768)) AS A, w / 1024 * (256 + w * (w * (74 - 47 * w) - 128)) AS B FROM w),
+turned AS (SELECT *, B * ss * (c2m + B / 4 * (cs * (2 * c2m * c2m - 1) - B / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3))) AS turn FROM ab)
+SELECT cust, """
+    + r_("CASE WHEN NOT settled THEN " + D.haversine_sql("lon", "lat", "lon2", "lat2") + f" WHEN ss = 0 AND cs > 0 THEN 0 ELSE {_AXIS} * (1 - {_FLAT}) * A * (sigma - turn) END", "geodesic_m", 2)
+    + " FROM turned JOIN p USING (cust)"
+)
+
+
+@query("+" + _VINCENTY, uses="cust supp")
 def geodesic(spark: SparkSession, sf: str) -> DataFrame:
-    return _matched(spark, sf).select("cust", paths.geodesic_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")).alias("geodesic_m"))
+    return _matched(spark, sf).select("cust", rnd(paths.geodesic_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), "geodesic_m", 2))
 
 
 # --- predicates and distances ----------------------------------------------------------------------------------
@@ -663,9 +689,13 @@ def theta_shortcut(spark: SparkSession, sf: str) -> DataFrame:
     return paths.shortcut(D.points(spark, sf), [[tuple(v) for v in D.LOCAL]])
 
 
-@query()
+@query(
+    "+st AS (SELECT *, coalesce(" + D.haversine_sql("lag(lon) OVER w", "lag(lat) OVER w", "lon", "lat") + ", 0.0) AS step FROM pts WINDOW w AS (PARTITION BY path ORDER BY seq)), al AS (SELECT *, sum(step) OVER (PARTITION BY path ORDER BY seq) AS along, row_number() OVER (PARTITION BY path ORDER BY seq) - 1 AS no FROM st)"
+    " SELECT a.path, a.no::BIGINT AS seq, a.lon, a.lat, " + r_("max(greatest(b.alt_m, 150.0) - tan(radians(1.0)) * abs(a.along - b.along))", "alt_m") + " FROM al a JOIN al b USING (path) GROUP BY a.path, a.no, a.lon, a.lat",
+    uses="pts",
+)
 def grade_limit(spark: SparkSession, sf: str) -> DataFrame:
-    return paths.grade_limit(D.points(spark, sf), 1.0, 150.0)
+    return paths.grade_limit(D.points(spark, sf), 1.0, 150.0).select("path", "seq", "lon", "lat", rnd(F.col("alt_m"), "alt_m"))
 
 
 @query()
@@ -844,3 +874,99 @@ def georeference(spark: SparkSession, sf: str) -> DataFrame:
     prj = F.when(k % 3 == 0, 'PROJCS["WGS_1984_Web_Mercator"]').when(k % 3 == 1, 'GEOGCS["GCS_WGS_1984"]').otherwise('PROJCS["UTM", GEOGCS["x"]]')
     w = georef.world_file(text)
     return D.table(spark, sf, "supplier").select(k.alias("supp"), w["error"].alias("error"), rnd(w["west"], "west"), rnd(w["north"], "north"), F.coalesce(georef.projection_of(prj), F.lit(0)).alias("epsg"))
+
+
+# --- files written in tasks, one a supplier, and read back -----------------------------------------------------------
+
+TILE = 121
+
+
+def _tile_files(spark: SparkSession, sf: str, ending: str, encode: Callable[[int], bytes]) -> str:
+    """A folder of the shared one with a file t<supplier>.<ending> for each supplier, written where its row is."""
+    folder = shared_dir(spark)
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                with fs.open_output_stream(f"{base}/t{k}.{ending}", compression=None) as f:
+                    f.write(encode(k))
+            yield b
+
+    D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("supp")).mapInArrow(run, "supp long").count()
+    return folder
+
+
+def _heights(k: int, rows: int, cols: int) -> np.ndarray:
+    r, c = np.indices((rows, cols))
+    return ((r * 7 + c * 3 + k * 11) % 900 - 100).astype(np.int16)
+
+
+def _tile_sql(rows: int, cols: int, cell: float) -> str:
+    return f"SELECT s_suppkey AS supp, count(*) AS n, sum((r * 7 + c * 3 + s_suppkey * 11) % 900 - 100)::DOUBLE AS total, sum(r * ((r * 7 + c * 3 + s_suppkey * 11) % 900 - 100))::DOUBLE AS by_row, " + r_(f"min(s_suppkey % 90 + (c + 0.5) * {cell})", "west") + f" FROM supplier, range({rows}) t(r), range({cols}) u(c) GROUP BY s_suppkey"
+
+
+def _tile_sums(cells: DataFrame) -> DataFrame:
+    supp = F.regexp_extract("file", "t([0-9]+)[.][^/]*$", 1).cast("long").alias("supp")
+    return cells.groupBy(supp).agg(F.count("h").alias("n"), F.sum("h").alias("total"), F.sum(F.col("r") * F.col("h")).alias("by_row"), rnd(F.min("lon"), "west"))
+
+
+@query(_tile_sql(TILE, TILE, 1 / 120))
+def dted_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _tile_files(spark, sf, "dt0", lambda k: codecs.write_dted(codecs.Grid(_heights(k, TILE, TILE), float(k % 90), 10.0, 1 / 120, 1 / 120)))
+    return _tile_sums(readers.read_rasters(spark, folder, "dted"))
+
+
+@query(_tile_sql(70, 90, 0.01))
+def packed_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _tile_files(spark, sf, "arpack", lambda k: codecs.write_pack(codecs.Grid(_heights(k, 70, 90), float(k % 90), 10.0, 0.01, 0.01), list(codecs.CODECS)[k % len(codecs.CODECS)]))
+    return _tile_sums(readers.read_rasters(spark, folder, "packed"))
+
+
+@query(_tile_sql(40, 50, 0.1))
+def geotiff_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _tile_files(spark, sf, "tif", lambda k: codecs.write_geotiff(_heights(k, 40, 50).astype(np.float32), float(k % 90), 10.0, 0.1, "deflate" if k % 2 else "raw"))
+    return _tile_sums(readers.read_rasters(spark, folder, "geotiff"))
+
+
+@query("SELECT count(*) AS files, count(*) AS whole FROM supplier")
+def packed_checksums(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _tile_files(spark, sf, "arpack", lambda k: codecs.write_pack(codecs.Grid(_heights(k, 9, 9), float(k % 90), 10.0, 0.01, 0.01)))
+    return readers.checksums(spark, folder).agg(F.count("*").alias("files"), F.count_if(F.col("stored") == F.col("found")).alias("whole"))
+
+
+@query("SELECT row, class, count(*) AS n, sum(c0)::BIGINT AS c0, sum(c1)::BIGINT AS c1 FROM (SELECT r AS row, (1 + (r + s_suppkey) % 2)::INT AS class, (r * 3 + s_suppkey) % 50 AS c0, (r * 3 + s_suppkey) % 50 + 1 + r % 7 AS c1 FROM supplier, range(60) t(r)) GROUP BY row, class")
+def mask_files(spark: SparkSession, sf: str) -> DataFrame:
+    def encode(k: int) -> bytes:
+        return codecs.write_mask(np.array([[r, 1 + (r + k) % 2, (r * 3 + k) % 50, (r * 3 + k) % 50 + 1 + r % 7] for r in range(60)]), 60, 60, float(k % 90), 10.0, 0.01)
+
+    m = readers.read_mask(spark, _tile_files(spark, sf, "mask", encode))
+    return m.groupBy("row", "class").agg(F.count("*").alias("n"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+@query("SELECT r::INT AS r, c::INT AS c, h FROM grid WHERE h IS NOT NULL", uses="grid")
+def packed_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The raster of the parts written as one packed file from its cells, and read by the data source."""
+    cells = D.grid(spark, sf).select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "h")
+    path = f"{shared_dir(spark)}.arpack"
+    readers.write_packed(cells, path, int(cells.agg(F.max("r")).first()[0]) + 1, D.GRID_COLS, 100.0, 30.0, D.CELL, D.CELL)
+    readers.register(spark)
+    return spark.read.format("packed_raster").load(path).where("h IS NOT NULL").select("r", "c", F.col("h").cast("double").alias("h"))
+
+
+@query("SELECT CASE s_suppkey % 4 WHEN 0 THEN 'dted' WHEN 1 THEN 'geotiff' WHEN 2 THEN 'packed' ELSE 'none' END AS kind, count(*) AS n FROM supplier GROUP BY kind")
+def file_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_dir(spark)
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                with fs.open_output_stream(f"{base}/f{k}.{('dt1', 'tif', 'arpack', 'txt')[k % 4]}", compression=None) as f:
+                    f.write(b"x")
+            yield b
+
+    D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("supp")).mapInArrow(run, "supp long").count()
+    return readers.list_files(spark, folder).groupBy(F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count("*").alias("n"))
