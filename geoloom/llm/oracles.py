@@ -70,7 +70,7 @@ met AS (
   SELECT w.doc_id, w.kind, w.rank, w.s, w.e, bool_or(o.kind = 'access') AS sure_id, bool_or(o.kind = 'id') AS weak_id,
     bool_or(o.kind IN ('assign', 'hex')) AS sure_secret, bool_or(o.kind = 'key') AS weak_secret,
     bool_or(o.kind = 'endpoint') AS place, bool_or(o.rank < 3 AND o.s < w.e AND o.e > w.s) AS inside
-  FROM part w JOIN part o ON o.doc_id = w.doc_id AND o.s >= w.s - 200 AND o.s < w.e + 200
+  FROM part w JOIN part o ON o.doc_id = w.doc_id AND o.e > w.s - 200 AND o.s < w.e + 200
   WHERE w.rank > 2 GROUP BY ALL),
 linked AS (
   SELECT doc_id, kind, rank, s, e FROM met WHERE CASE kind
