@@ -708,7 +708,8 @@ def scenario_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Scenarios in JSON, one for each nation, through the whole planning pipeline."""
     from geoloom.plans import scenario
 
-    return scenario.plan(scenario.from_customers(D.customers(spark, sf)))
+    planned = scenario.plan(scenario.from_customers(D.customers(spark, sf)))
+    return planned.select("scenario_id", "vehicle", "status", "error", "n_points", "distance_m", "clearance_km", F.size("path").alias("n_path"), F.size("warnings").alias("n_warnings"))
 
 
 
@@ -803,7 +804,7 @@ _PLUS = "sx AS (SELECT path, seq, lon AS ax, lat AS ay, lon2 AS bx, lat2 AS by_,
 @query(
     f"+{_PLUS}, near AS (SELECT a.path AS path_1, b.path AS path_2, a.ax, a.ay, a.bx, a.by_, a.alt_m AS p, a.alt2 AS q, b.alt_m AS r, b.alt2 AS s, "
     + _closest_sql("a.ax a.ay a.bx a.by_", "b.ax b.ay b.bx b.by_", "((a.lats + b.lats) / (a.n + b.n))")
-    + " AS c FROM sx a JOIN sx b ON a.path // 20 BETWEEN b.path // 20 - 1 AND b.path // 20 + 1 AND a.path < b.path AND least(a.ax, a.bx) <= greatest(b.ax, b.bx) + 0.02 AND least(b.ax, b.bx) <= greatest(a.ax, a.bx) + 0.02 AND least(a.ay, a.by_) <= greatest(b.ay, b.by_) + 0.02 AND least(b.ay, b.by_) <= greatest(a.ay, a.by_) + 0.02)"
+    + " AS c FROM sx a JOIN sx b ON a.path < b.path AND least(a.ax, a.bx) <= greatest(b.ax, b.bx) + 0.02 AND least(b.ax, b.bx) <= greatest(a.ax, a.bx) + 0.02 AND least(a.ay, a.by_) <= greatest(b.ay, b.by_) + 0.02 AND least(b.ay, b.by_) <= greatest(a.ay, a.by_) + 0.02)"
     ", hit AS (SELECT *, c.h AS h, abs(p + (q - p) * c.s - (r + (s - r) * c.t)) AS v FROM near)"
     " SELECT path_1, path_2, " + r_("min(h)", "h_km") + " FROM hit WHERE h <= 1 AND v <= 150 GROUP BY path_1, path_2",
     uses="xp",

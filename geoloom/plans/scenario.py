@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from geoloom.functions.geometry import in_circle, point_in_polygon, rect_intersects_polygon, segment_circle_km, segment_polygon_km
 from geoloom.functions.scalar import EARTH_RADIUS_M, haversine_m
-from geoloom.operators import paths, sequence
+from geoloom.operators import conflicts, paths, sequence
 from geoloom.runtime import materialize
 
 _WAYPOINT = "struct<lon: double, lat: double, alt_m: double>"
@@ -40,6 +40,39 @@ def only_keys(text: Column, keys: list[str]) -> Column:
     return F.size(F.array_except(F.json_object_keys(text), F.array(*map(F.lit, keys)))) == 0
 
 
+#: The keys of each kind of object.
+FIELDS = {
+    "vehicle": ["id", "profile", "start", "target", "mid_waypoints"],
+    "profile": ["aircraft_type", "cruise_speed_mps", "speed_range_mps", "min_turn_radius_m", "max_climb_angle_deg", "max_bank_deg", "ceiling_m"],
+    "waypoint": ["lon", "lat", "alt_m"],
+    "zone": ["id", "shape", "geometry", "alt_min_m", "alt_max_m"],
+    "geometry": ["center", "radius_km", "vertices"],
+    "terrain": ["source", "path", "mask_path"],
+}
+
+
+def strange_keys(text: Column) -> Column:
+    """Whether an object at any level has a key that the contract does not know; false where the text is no JSON."""
+
+    def objects(part: Column) -> Column:
+        return F.coalesce(F.from_json(part, "array<map<string, string>>"), F.array().cast("array<map<string, string>>"))
+
+    def odd(keys: Column, kind: str) -> Column:
+        return F.coalesce(F.size(F.array_except(keys, F.array(*map(F.lit, FIELDS[kind])))) > 0, F.lit(False))
+
+    def within(m: Column, key: str, kind: str) -> Column:
+        return odd(F.json_object_keys(m[key]), kind)
+
+    def vehicle(m: Column) -> Column:
+        stops = F.exists(objects(m["mid_waypoints"]), lambda w: odd(F.map_keys(w), "waypoint"))
+        return odd(F.map_keys(m), "vehicle") | within(m, "profile", "profile") | within(m, "start", "waypoint") | within(m, "target", "waypoint") | stops
+
+    found = F.exists(objects(F.get_json_object(text, "$.aircraft")), vehicle) | odd(F.json_object_keys(F.get_json_object(text, "$.terrain")), "terrain")
+    for zones in ("no_fly_zones", "restricted_zones", "obstacles"):
+        found = found | F.exists(objects(F.get_json_object(text, f"$.{zones}")), lambda m: odd(F.map_keys(m), "zone") | within(m, "geometry", "geometry"))
+    return found
+
+
 def reason(lon: Column, lat: Column, lon2: Column, lat2: Column, limit: Column, zone_lon: Column, zone_lat: Column, radius_km: Column) -> Column:
     """The first test that a start and target fail, or ok."""
     return (
@@ -52,7 +85,7 @@ def reason(lon: Column, lat: Column, lon2: Column, lat2: Column, limit: Column,
 
 def parse(texts: DataFrame, column: str = "scenario") -> DataFrame:
     """``s`` (the scenario) and ``rejected`` (a reason, or null) of each text."""
-    known = only_keys(F.col(column), KEYS)
+    known = only_keys(F.col(column), KEYS) & ~strange_keys(F.col(column))
     p = texts.select(F.from_json(F.col(column), SCENARIO).alias("s"), known.alias("known"))
     return p.select("s", F.when(F.col("known").isNull(), "malformed_json").when(~F.col("known"), "unknown_field").when(F.coalesce(F.size("s.aircraft"), F.lit(0)) < 1, "missing_aircraft").alias("rejected"))
 
@@ -148,7 +181,8 @@ def cost_cells(legs_: DataFrame, n: int = GRID) -> DataFrame:
 
 def plan(texts: DataFrame, column: str = "scenario") -> DataFrame:
     """One row per vehicle, or per rejected scenario: scenario_id, vehicle, status, error, n_points, distance_m,
-    clearance_km (least distance of a path to a wall, null without walls)."""
+    clearance_km (least distance of a path to a wall, null without walls), path (its points in order) and warnings
+    (the other vehicles of the scenario that its path comes into conflict with)."""
     valid = validate(parse(texts, column))
     valid = materialize(valid)
     fields, cells = cost_cells(legs(valid))
@@ -170,16 +204,26 @@ def plan(texts: DataFrame, column: str = "scenario") -> DataFrame:
     clear = F.array_min(F.transform("walls", gap))
     flown = seg.groupBy("scenario_id", "vehicle").agg(F.countDistinct("leg").alias("legs"), (F.count("*") + 1).alias("n_points"), F.sum("len").alias("distance_m"), F.min(clear).alias("clearance_km"))
     wanted = fields.groupBy("scenario_id", "vehicle").agg(F.count("*").alias("all_legs"))
-    done = wanted.join(flown, ["scenario_id", "vehicle"], "left")
+    both = seg.select("scenario_id", F.concat_ws("/", "scenario_id", "vehicle").alias("path"), (F.col("leg") * 1_000_000 + F.col("seq")).alias("seq"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("lon2").alias("bx"), F.col("lat2").alias("by"), F.col("alt_m").alias("alt1"), "alt2")
+    told = conflicts.conflict_warnings(conflicts.path_conflicts(both, within="scenario_id"))
+    near = F.format_string("crossing with %s near (%.4f,%.4f) h=%.1fkm v=%.0fm", F.substring_index("other", "/", -1), "lon", "lat", "h_km", "v_m")
+    told = told.groupBy(F.col("path").alias("_of")).agg(F.array_sort(F.collect_list(near)).alias("warnings"))
+    # A point where two legs meet is the end of one and the start of the next: it is listed once.
+    at = seg.select("scenario_id", "vehicle", "leg", F.struct("leg", "seq", F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"), "alt_m").alias("p")).alias("p"))
+    last = fields.groupBy("scenario_id", "vehicle").agg(F.max(F.struct("leg", F.struct(F.col("b.lon").alias("x"), F.col("b.lat").alias("y"), F.col("b.alt_m").alias("alt_m")).alias("p")))["p"].alias("_end"))
+    lines = at.groupBy("scenario_id", "vehicle").agg(F.transform(F.array_sort(F.collect_list("p")), lambda q: q["p"]).alias("_line")).join(last, ["scenario_id", "vehicle"])
+    lines = lines.select("scenario_id", "vehicle", F.concat("_line", F.array("_end")).alias("path"), F.concat_ws("/", "scenario_id", "vehicle").alias("_of"))
+    lines = lines.join(told, "_of", "left").select("scenario_id", "vehicle", "path", F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+    done = wanted.join(flown, ["scenario_id", "vehicle"], "left").join(lines, ["scenario_id", "vehicle"], "left")
     ok = F.col("legs") == F.col("all_legs")
-    done = done.select("scenario_id", "vehicle", F.when(ok, "success").otherwise("no_solution").alias("status"), F.lit(None).cast("string").alias("error"), F.when(ok, F.col("n_points")).alias("n_points"), F.when(ok, F.col("distance_m")).alias("distance_m"), F.when(ok, F.col("clearance_km")).alias("clearance_km"))
-    bad = valid.where("rejected IS NOT NULL").select("s.scenario_id", F.lit(None).cast("string").alias("vehicle"), F.lit("input_invalid").alias("status"), F.col("rejected").alias("error"), F.lit(None).cast("long").alias("n_points"), F.lit(None).cast("double").alias("distance_m"), F.lit(None).cast("double").alias("clearance_km"))
+    done = done.select("scenario_id", "vehicle", F.when(ok, "success").otherwise("no_solution").alias("status"), F.lit(None).cast("string").alias("error"), F.when(ok, F.col("n_points")).alias("n_points"), F.when(ok, F.col("distance_m")).alias("distance_m"), F.when(ok, F.col("clearance_km")).alias("clearance_km"), F.when(ok, F.col("path")).alias("path"), F.when(ok, F.col("warnings")).alias("warnings"))
+    bad = valid.where("rejected IS NOT NULL").select("s.scenario_id", F.lit(None).cast("string").alias("vehicle"), F.lit("input_invalid").alias("status"), F.col("rejected").alias("error"), F.lit(None).cast("long").alias("n_points"), F.lit(None).cast("double").alias("distance_m"), F.lit(None).cast("double").alias("clearance_km"), F.lit(None).cast(done.schema["path"].dataType).alias("path"), F.lit(None).cast("array<string>").alias("warnings"))
     return done.unionByName(bad)
 
 
 def output_json(planned: DataFrame) -> DataFrame:
     """One JSON text per scenario: status, error, and its vehicles by id."""
-    v = F.struct("vehicle", "status", "n_points", "distance_m")
+    v = F.struct(F.col("vehicle").alias("id"), "status", "path", "distance_m", "warnings")
     out = planned.groupBy("scenario_id").agg(F.min("error").alias("error"), F.array_sort(F.collect_list(v)).alias("aircraft"), F.min(F.when(F.col("status") == "success", 1).otherwise(0)).alias("_ok"))
     status = F.when(F.col("error").isNotNull(), "input_invalid").when(F.col("_ok") == 1, "success").otherwise("no_solution")
     return out.select("scenario_id", F.to_json(F.struct(status.alias("status"), "error", "aircraft")).alias("json"))

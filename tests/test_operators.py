@@ -94,6 +94,27 @@ def test_nearest_matches_brute_force(spark):
     assert joins.nearest(q, s.limit(0), "q", "s").isEmpty() and joins.nearest(q.limit(0), s, "q", "s").isEmpty()
 
 
+def test_scenario_paths_and_warnings(spark):
+    """Two vehicles that cross at one height, in two scenarios: each is told of the other of its own, paths go from
+    start to target and stay out of the wall; keys that nobody knows are rejected at every level."""
+    v = '{"id":"%s","start":{"lon":%s,"lat":%s,"alt_m":500},"target":{"lon":%s,"lat":%s,"alt_m":500}}'
+    one = '{"scenario_id":"%s","aircraft":[' + v % ("v1", 100, 30, 101, 30) + "," + v % ("v2", 100.2, 29.6, 100.2, 30.4) + '],"no_fly_zones":[{"id":"z","shape":"circle","geometry":{"center":[100.6,30.0],"radius_km":10}}]}'
+    odd = [one.replace('"alt_m":500}', '"alt_m":500,"speed":1}', 1), one.replace('"radius_km"', '"size":1,"radius_km"'), one.replace('"shape"', '"colour":"red","shape"'), one.replace('"id":"v2"', '"id":"v2","profile":{"wings":2}'), one.replace('"no_fly_zones"', '"terrain":{"planet":"x"},"no_fly_zones"')]
+    texts = [one % "a", one % "b", *(o % "c" for o in odd)]
+    df = scenario.plan(spark.createDataFrame([(t,) for t in texts], "scenario string")).cache()
+    got = df.collect()
+    assert sorted(o["error"] for o in got if o["error"]) == ["unknown_field"] * 5
+    flown = {(o["scenario_id"], o["vehicle"]): o for o in got if not o["error"]}
+    assert set(flown) == {(s, k) for s in "ab" for k in ("v1", "v2")} and all(o["status"] == "success" for o in flown.values())
+    for (_, k), o in flown.items():
+        ends = ((100, 30), (101, 30)) if k == "v1" else ((100.2, 29.6), (100.2, 30.4))
+        assert (o["path"][0]["x"], o["path"][0]["y"]) == ends[0] and (o["path"][-1]["x"], o["path"][-1]["y"]) == ends[1]
+        assert len(o["path"]) == o["n_points"] and o["clearance_km"] >= 0
+        assert len(o["warnings"]) == 1 and o["warnings"][0].startswith("crossing with " + ("v2" if k == "v1" else "v1"))
+    json = [o["json"] for o in scenario.output_json(df.where("error IS NULL")).collect()]
+    assert len(json) == 2 and all('"warnings":["crossing with' in j and '"path":[{"x":100.0' in j for j in json)
+
+
 def test_path_conflicts(spark):
     """Two paths that cross at one height, one above them, one that runs beside the first, and one far away."""
     rows = [("a", 0, 100.0, 30.0, 101.0, 30.0, 1000.0, 1000.0), ("b", 0, 100.5, 29.5, 100.5, 30.5, 1100.0, 1100.0), ("c", 0, 100.5, 29.5, 100.5, 30.5, 2000.0, 2000.0), ("d", 0, 100.2, 30.005, 100.9, 30.005, 900.0, 1000.0), ("e", 0, 50.0, 30.0, 51.0, 30.0, 1000.0, 1000.0)]
