@@ -26,8 +26,8 @@ from geoloom.llm import common
 from geoloom.llm.html_blocks import PATH_BUCKETS, WIDTH, Block, blocks, features
 
 HIDDEN = 24
-TRAIN_PAGES = 2000
-EPOCHS = 5
+TRAIN_PAGES = 3000
+EPOCHS = 6
 STRETCH = 2048
 SEED = 7
 
@@ -118,7 +118,7 @@ class _Maker:
             else:
                 out.append((" ".join(f'<a href="/{w}">{w}</a>' for w in words), 0))
         elif kind == "article":
-            bad, body = self.style(), _open(r.choice(_BODY)) if r.random() < 0.5 else ("", "")
+            bad, body = self.style(), _open(r.choice(_BODY)) if r.random() < 0.4 else ("", "")
             if r.random() < 0.8:
                 tag = r.choice(["h1", "h1", "h2"])
                 out.append((f"<{tag}>{self.sentence(9)}</{tag}>", 1))
