@@ -3,19 +3,24 @@
 A scenario has vehicles with a start, a target and waypoints between, no-fly zones and obstacles (walls), restricted
 zones with an altitude band, and parameters. One text row is one scenario; everything after the parse is relational
 and runs for all scenarios at once, the fields as groups of one Arrow function. Terrain and zones only.
+
+A restricted zone whose band holds a leg's altitude is passed under, or else over, where the climb fits between the leg's
+ends and the zone; else it is a wall for that leg. A leg whose climbs turn out not to fit the path that was found (too near
+an end, or to the next zone's) is planned once more with all its restricted zones as walls.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.functions.geometry import in_circle, point_in_polygon, rect_intersects_polygon, segment_circle_km, segment_polygon_km
-from geoloom.functions.scalar import EARTH_RADIUS_M, haversine_m
-from geoloom.operators import conflicts, paths, sequence
+from geoloom.functions.geometry import in_circle, point_in_polygon, polygon_boundary_km, rect_intersects_polygon, segment_circle_interval, segment_circle_km, segment_polygon_km
+from geoloom.functions.scalar import EARTH_RADIUS_M, clamp, haversine_m
+from geoloom.operators import conflicts, paths, profile, raster, sequence
+from geoloom.operators.vehicles import DEFAULTS
 from geoloom.runtime import materialize
 
 _WAYPOINT = "struct<lon: double, lat: double, alt_m: double>"
@@ -28,6 +33,8 @@ KEYS = ["scenario_id", "aircraft", "no_fly_zones", "restricted_zones", "obstacle
 REASONS = ("malformed_json", "unknown_field", "missing_aircraft", "vehicle_params_inconsistent", "out_of_bounds", "illegal_coordinate", "degenerate_start_equals_target", "target_in_no_fly", "mid_waypoint_in_no_fly")
 GRID, PAD_DEG = 48, 0.15
 TOLERANCE_M = 500.0
+#: Regions wider than this have cells of about so many metres, finer where a wall is a polygon.
+WIDE_DEG, CELL_M, POLYGON_CELL_M = 2.5, 1_100.0, 600.0
 
 
 def merged(value: Column, valid: Column, default) -> Column:
@@ -132,22 +139,50 @@ def validate(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("rejected", found)
 
 
+def _reach_m(p: Column, z: Column) -> Column:
+    """Metres from a waypoint to a zone's boundary; not above zero from inside."""
+    g = z["geometry"]
+    circle = haversine_m(p["lon"], p["lat"], g["center"][0], g["center"][1]) - g["radius_km"] * 1000
+    return F.when(z["shape"] == "circle", circle).otherwise(polygon_boundary_km(p["lon"], p["lat"], g["vertices"]) * 1000)
+
+
 def legs(valid: DataFrame) -> DataFrame:
-    """One row per leg: scenario_id, vehicle, leg, a and b (waypoints), walls."""
-    v = valid.where("rejected IS NULL").select("s.scenario_id", F.explode("s.aircraft").alias("v"), F.concat(F.coalesce("s.no_fly_zones", F.array()), F.coalesce("s.obstacles", F.array())).alias("walls"))
-    stops = v.select("scenario_id", F.col("v.id").alias("vehicle"), F.concat(F.array("v.start"), F.coalesce("v.mid_waypoints", F.array()), F.array("v.target")).alias("stops"), "walls")
-    each = stops.select("scenario_id", "vehicle", "walls", "stops", F.posexplode(F.slice("stops", 1, F.size("stops") - 1)).alias("leg", "a"))
-    return each.select("scenario_id", "vehicle", "leg", "a", F.get("stops", F.col("leg") + 1).alias("b"), "walls")
+    """One row per leg: field (its key), scenario_id, vehicle, leg, a and b (waypoints), walls, climb_deg, and passes: the
+    restricted zones (z) that it goes under or over, and the height (level) that it takes there. Zones that it has to go
+    round are among the walls; zones whose band holds neither end's altitude nor one between are no concern of it."""
+    none = F.array().cast(f"array<{_ZONE}>")
+    v = valid.where("rejected IS NULL").select("s.scenario_id", F.explode("s.aircraft").alias("v"), F.concat(F.coalesce("s.no_fly_zones", none), F.coalesce("s.obstacles", none)).alias("walls"), F.coalesce("s.restricted_zones", none).alias("zones"))
+    stops = v.select("scenario_id", F.col("v.id").alias("vehicle"), F.coalesce("v.profile.max_climb_angle_deg", F.lit(DEFAULTS["max_climb_angle_deg"])).alias("climb_deg"), F.coalesce("v.profile.ceiling_m", F.lit(float("inf"))).alias("ceiling_m"), F.concat(F.array("v.start"), F.coalesce("v.mid_waypoints", F.array()), F.array("v.target")).alias("stops"), "walls", "zones")
+    each = stops.select("*", F.posexplode(F.slice("stops", 1, F.size("stops") - 1)).alias("leg", "a")).withColumn("b", F.get("stops", F.col("leg") + 1))
+    a, b = F.col("a.alt_m"), F.col("b.alt_m")
+
+    def decided(z: Column) -> Column:
+        lo, hi = z["alt_min_m"], z["alt_max_m"]
+        way = profile.band_decision(lo, hi, F.col("ceiling_m"), F.lit(float("-inf")), _reach_m(F.col("a"), z), _reach_m(F.col("b"), z), a, b, F.col("climb_deg"))
+        level = F.when(way == "below", lo - profile.BAND_GAP_M).when(way == "above", hi + profile.BAND_GAP_M)
+        return F.struct(z.alias("z"), level.alias("level"))
+
+    held = F.filter("zones", lambda z: (F.least(a, b) <= z["alt_max_m"]) & (F.greatest(a, b) >= z["alt_min_m"]))
+    each = each.withColumn("decided", F.transform(held, decided))
+    round_ = F.transform(F.filter("decided", lambda d: d["level"].isNull()), lambda d: d["z"])
+    return each.select(
+        F.concat_ws("/", "scenario_id", "vehicle", "leg").alias("field"), "scenario_id", "vehicle", "leg", "a", "b", F.concat("walls", round_).alias("walls"),
+        "climb_deg", F.filter("decided", lambda d: d["level"].isNotNull()).alias("passes"),
+    )
 
 
 def cost_cells(legs_: DataFrame, n: int = GRID) -> DataFrame:
-    """Cells of a square field about each leg: field, r, c, cost (infinite in walls), and the leg's cells."""
+    """Each leg with its place in a square field about it, and the cells of the fields: field, r, c, cost (infinite within
+    half a cell of a wall, but for the cells of the leg's ends). A field has ``n`` cells a side, more in wide regions."""
     x0, x1 = F.least("a.lon", "b.lon"), F.greatest("a.lon", "b.lon")
     y0, y1 = F.least("a.lat", "b.lat"), F.greatest("a.lat", "b.lat")
     span = F.greatest(x1 - x0, y1 - y0) * 1.5 + 2 * PAD_DEG
-    f = legs_.withColumn("field", F.concat_ws("/", "scenario_id", "vehicle", "leg")).withColumn("cell", span / n)
+    wanted = F.when(F.exists("walls", lambda z: z["shape"] == "polygon"), POLYGON_CELL_M).otherwise(CELL_M)
+    side = F.when(span > WIDE_DEG, F.greatest(raster.grid_size(span, wanted), F.lit(n))).otherwise(F.lit(n))
+    f = legs_.withColumn("n", side).withColumn("cell", span / F.col("n"))
     f = f.withColumn("west", (x0 + x1) / 2 - span / 2).withColumn("south", (y0 + y1) / 2 - span / 2)
-    at = lambda v, o: F.least(F.greatest(F.floor((v - F.col(o)) / F.col("cell")), F.lit(0)), F.lit(n - 1)).cast("int")
+    at = lambda v, o: F.least(F.greatest(F.floor((v - F.col(o)) / F.col("cell")), F.lit(0)), F.col("n") - 1).cast("int")
+
     def box(z: Column) -> Column:
         """The wall with the box about it, padded by a cell, so that most cells need no more than four comparisons."""
         g, pad = z["geometry"], F.col("cell")
@@ -163,8 +198,8 @@ def cost_cells(legs_: DataFrame, n: int = GRID) -> DataFrame:
         )
 
     f = f.withColumn("boxes", F.transform("walls", box))
-    f = f.select("boxes", "field", "scenario_id", "vehicle", "leg", "a", "b", "walls", "west", "south", "cell", at(F.col("a.lat"), "south").alias("src_r"), at(F.col("a.lon"), "west").alias("src_c"), at(F.col("b.lat"), "south").alias("dst_r"), at(F.col("b.lon"), "west").alias("dst_c"))
-    cells = f.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1)))).withColumn("r", F.floor(F.col("i") / n).cast("int")).withColumn("c", (F.col("i") % n).cast("int"))
+    f = f.select("boxes", "field", "scenario_id", "vehicle", "leg", "a", "b", "walls", "n", "west", "south", "cell", at(F.col("a.lat"), "south").alias("src_r"), at(F.col("a.lon"), "west").alias("src_c"), at(F.col("b.lat"), "south").alias("dst_r"), at(F.col("b.lon"), "west").alias("dst_c"))
+    cells = f.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") * F.col("n") - 1))).withColumn("r", F.floor(F.col("i") / F.col("n")).cast("int")).withColumn("c", (F.col("i") % F.col("n")).cast("int"))
     x, y, cell = F.col("west") + F.col("c") * F.col("cell"), F.col("south") + F.col("r") * F.col("cell"), F.col("cell")
 
     def walled(w: Column) -> Column:
@@ -172,29 +207,88 @@ def cost_cells(legs_: DataFrame, n: int = GRID) -> DataFrame:
         g = z["geometry"]
         near = (x <= w["x1"]) & (x + cell >= w["x0"]) & (y <= w["y1"]) & (y + cell >= w["y0"])
         circle = haversine_m(x + cell / 2, y + cell / 2, g["center"][0], g["center"][1]) <= g["radius_km"] * 1000 + cell * (math.pi / 180 * EARTH_RADIUS_M * 0.75)
-        return F.when(~near, False).when(z["shape"] == "circle", F.coalesce(circle, F.lit(False))).otherwise(F.coalesce(rect_intersects_polygon(x, y, x + cell, y + cell, g["vertices"]), F.lit(False)))
+        return F.when(~near, False).when(z["shape"] == "circle", F.coalesce(circle, F.lit(False))).otherwise(F.coalesce(rect_intersects_polygon(x - cell / 2, y - cell / 2, x + cell * 1.5, y + cell * 1.5, g["vertices"]), F.lit(False)))
 
     ends = ((F.col("r") == F.col("src_r")) & (F.col("c") == F.col("src_c"))) | ((F.col("r") == F.col("dst_r")) & (F.col("c") == F.col("dst_c")))
     cost = F.when(~ends & F.exists("boxes", walled), float("inf")).otherwise(1.0)
     return f, cells.select("field", "r", "c", cost.cast("float").alias("cost"))
 
 
-def plan(texts: DataFrame, column: str = "scenario") -> DataFrame:
-    """One row per vehicle, or per rejected scenario: scenario_id, vehicle, status, error, n_points, distance_m,
-    clearance_km (least distance of a path to a wall, null without walls), path (its points in order) and warnings
-    (the other vehicles of the scenario that its path comes into conflict with)."""
-    valid = validate(parse(texts, column))
-    valid = materialize(valid)
-    fields, cells = cost_cells(legs(valid))
+def fly(legs_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A way for each leg by fast marching, simplified: the legs' fields, and points (path: the field; seq, lon, lat, alt_m:
+    from the one end's altitude to the other's by distance; along_m). Legs without a way have no points."""
+    fields, cells = cost_cells(legs_)
     ends = fields.select("field", "src_r", "src_c", "dst_r", "dst_c")
     traced = materialize(paths.traces(paths.arrivals(cells, ends.select("field", "src_r", "src_c")), ends))
-    own = fields.select("field", "scenario_id", "vehicle", "leg", "west", "south", "cell", "a", "b")
+    own = fields.select("field", "west", "south", "cell", "a", "b")
     pts = traced.join(own, "field")
     pts = pts.select(F.col("field").alias("path"), (F.col("seq") + 1).cast("long").alias("seq"), (F.col("west") + (F.col("c") + 0.5) * F.col("cell")).alias("lon"), (F.col("south") + (F.col("r") + 0.5) * F.col("cell")).alias("lat"), F.col("a.alt_m").alias("alt_m"))
     first = traced.groupBy("field").agg(F.max("seq").alias("top")).join(own, "field")
-    caps = first.select(F.col("field").alias("path"), F.lit(0).cast("long").alias("seq"), F.col("a.lon").alias("lon"), F.col("a.lat").alias("lat"), F.col("a.alt_m").alias("alt_m")).unionByName(first.select(F.col("field").alias("path"), (F.col("top") + 2).cast("long").alias("seq"), F.col("b.lon").alias("lon"), F.col("b.lat").alias("lat"), F.col("b.alt_m").alias("alt_m")))
-    smooth = materialize(paths.simplify(pts.unionByName(caps), TOLERANCE_M))
+    caps = first.select(F.col("field").alias("path"), F.lit(0).cast("long").alias("seq"), F.col("a.lon").alias("lon"), F.col("a.lat").alias("lat"), F.col("a.alt_m").alias("alt_m")).unionByName(first.select(F.col("field").alias("path"), (F.col("top") + 2).cast("long").alias("seq"), F.col("b.lon").alias("lon"), F.col("b.lat").alias("lat"), F.col("a.alt_m").alias("alt_m")))
+    done = sequence.cumulative_distance(paths.simplify(pts.unionByName(caps), TOLERANCE_M)).drop("step_m")
+    done = done.withColumn("_t", F.coalesce(F.try_divide("along_m", F.max("along_m").over(Window.partitionBy("path"))), F.lit(0.0)))
+    done = done.join(own.select(F.col("field").alias("path"), F.col("a.alt_m").alias("_a"), F.col("b.alt_m").alias("_b")), "path")
+    return materialize(fields.drop("boxes")), materialize(done.withColumn("alt_m", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")).drop("_a", "_b", "_t"))
+
+
+def climbs(points: DataFrame, legs_: DataFrame) -> DataFrame:
+    """Where paths pass their restricted zones: path, level, first_m and last_m (the stretch along the path that is in the
+    zone), way_m (the climb to the level, before and after it), fits (whether the climbs are on the path and clear of those
+    of the zones next to it). Zones that a path does not meet give no row."""
+    passes = legs_.select(F.col("field").alias("path"), F.col("a.alt_m").alias("_a"), F.col("b.alt_m").alias("_b"), "climb_deg", F.posexplode("passes").alias("no", "p")).select("path", "_a", "_b", "climb_deg", "no", "p.z", "p.level")
+    total = F.max("along_m").over(Window.partitionBy("path"))
+    seg = sequence.with_segments(points.withColumn("total_m", total)).withColumn("len", sequence.segment_length()).join(passes, "path")
+    g, s = F.col("z.geometry"), [F.col(c) for c in ("lon", "lat", "lon2", "lat2")]
+    circle = F.array_compact(F.array(segment_circle_interval(*s, g["center"][0], g["center"][1], g["radius_km"])))
+    bands = F.when(F.col("z.shape") == "circle", circle).otherwise(profile.segment_bands(*s, g["vertices"]))
+    met = seg.select("path", "no", "level", "total_m", "_a", "_b", "climb_deg", "along_m", "len", F.explode(bands).alias("t"))
+    rise = F.greatest(F.abs(F.col("level") - F.col("_a")), F.abs(F.col("level") - F.col("_b")))
+    out = met.groupBy("path", "no", "level", "total_m", (profile.CLIMB_SLACK * rise / F.tan(F.radians("climb_deg"))).alias("way_m")).agg(F.min(F.col("along_m") + F.col("len") * F.col("t.t0")).alias("first_m"), F.max(F.col("along_m") + F.col("len") * F.col("t.t1")).alias("last_m"))
+    begin, end = F.col("first_m") - F.col("way_m"), F.col("last_m") + F.col("way_m")
+    before = F.max(end).over(Window.partitionBy("path").orderBy("first_m", "no").rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumn("fits", (begin >= 0) & (end <= F.col("total_m")) & F.coalesce(before <= begin, F.lit(True))).drop("no", "total_m")
+
+
+def with_climbs(points: DataFrame, climbs_: DataFrame) -> DataFrame:
+    """Paths with points where their climbs begin and end, and altitudes that keep each level for all of its stretch."""
+    corners = F.array(F.col("first_m") - F.col("way_m"), F.col("first_m"), F.col("last_m"), F.col("last_m") + F.col("way_m"))
+    seg = sequence.with_segments(points).withColumn("len", sequence.segment_length())
+    new = seg.join(climbs_.select("path", F.explode(corners).alias("_at")), "path").where("_at > along_m + 0.01 AND _at < along_m + len - 0.01")
+    t = (F.col("_at") - F.col("along_m")) / F.col("len")
+    new = new.select("path", "seq", *[(F.col(c) + (F.col(d) - F.col(c)) * t).alias(c) for c, d in (("lon", "lon2"), ("lat", "lat2"), ("alt_m", "alt2"))], F.col("_at").alias("along_m"))
+    own = climbs_.groupBy("path").agg(F.collect_list(F.struct("first_m", "last_m", "way_m", "level")).alias("_climbs"))
+    every = points.select("path", "seq", "lon", "lat", "alt_m", "along_m").unionByName(new.distinct()).join(own, "path", "left")
+    at = F.col("along_m")
+
+    def lift(total: Column, c: Column) -> Column:
+        share = clamp(F.least((at - c["first_m"]) / c["way_m"], (c["last_m"] - at) / c["way_m"]) + 1, 0, 1)
+        return total + (c["level"] - F.col("alt_m")) * share
+
+    lifted = F.col("alt_m") + F.coalesce(F.aggregate("_climbs", F.lit(0.0), lift), F.lit(0.0))
+    order = Window.partitionBy("path").orderBy("along_m", "seq")
+    return every.withColumn("alt_m", lifted).withColumn("seq", (F.row_number().over(order) - 1).cast("long")).drop("_climbs")
+
+
+def plan(texts: DataFrame, column: str = "scenario") -> DataFrame:
+    """One row per vehicle, or per rejected scenario: scenario_id, vehicle, status, error, n_points, distance_m,
+    clearance_km (least distance of a path to a wall, null without walls), path (its points in order) and warnings
+    (the other vehicles of the scenario that its path comes into conflict with). A vehicle has a solution if each of its legs
+    has a way that touches no wall."""
+    valid = materialize(validate(parse(texts, column)))
+    all_legs = materialize(legs(valid))
+    fields, points = fly(all_legs)
+    found = materialize(climbs(points, all_legs))
+    bad = found.where("NOT fits").select("path").distinct()
+    if not bad.isEmpty():
+        again = all_legs.join(bad.withColumnRenamed("path", "field"), "field", "left_semi")
+        again = again.withColumn("walls", F.concat("walls", F.transform("passes", lambda p: p["z"]))).withColumn("passes", F.slice("passes", 1, 0))
+        fields2, points2 = fly(materialize(again))
+        fields = fields.join(bad.withColumnRenamed("path", "field"), "field", "left_anti").unionByName(fields2)
+        points = points.join(bad, "path", "left_anti").unionByName(points2)
+        found = found.join(bad, "path", "left_anti")
+    smooth = materialize(with_climbs(points, found))
     seg = sequence.with_segments(smooth).withColumn("len", sequence.segment_length()).join(fields.select(F.col("field").alias("path"), "scenario_id", "vehicle", "leg", "walls"), "path")
+    seg = materialize(seg)
 
     def gap(z: Column) -> Column:
         g = z["geometry"]
@@ -215,7 +309,7 @@ def plan(texts: DataFrame, column: str = "scenario") -> DataFrame:
     lines = lines.select("scenario_id", "vehicle", F.concat("_line", F.array("_end")).alias("path"), F.concat_ws("/", "scenario_id", "vehicle").alias("_of"))
     lines = lines.join(told, "_of", "left").select("scenario_id", "vehicle", "path", F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
     done = wanted.join(flown, ["scenario_id", "vehicle"], "left").join(lines, ["scenario_id", "vehicle"], "left")
-    ok = F.col("legs") == F.col("all_legs")
+    ok = (F.col("legs") == F.col("all_legs")) & F.coalesce(F.col("clearance_km") > 0, F.lit(True))
     done = done.select("scenario_id", "vehicle", F.when(ok, "success").otherwise("no_solution").alias("status"), F.lit(None).cast("string").alias("error"), F.when(ok, F.col("n_points")).alias("n_points"), F.when(ok, F.col("distance_m")).alias("distance_m"), F.when(ok, F.col("clearance_km")).alias("clearance_km"), F.when(ok, F.col("path")).alias("path"), F.when(ok, F.col("warnings")).alias("warnings"))
     bad = valid.where("rejected IS NOT NULL").select("s.scenario_id", F.lit(None).cast("string").alias("vehicle"), F.lit("input_invalid").alias("status"), F.col("rejected").alias("error"), F.lit(None).cast("long").alias("n_points"), F.lit(None).cast("double").alias("distance_m"), F.lit(None).cast("double").alias("clearance_km"), F.lit(None).cast(done.schema["path"].dataType).alias("path"), F.lit(None).cast("array<string>").alias("warnings"))
     return done.unionByName(bad)

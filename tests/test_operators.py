@@ -1,5 +1,6 @@
 """Equivalence with brute force, and edge cases, of the relational operators."""
 
+import math
 import random
 
 import pytest
@@ -143,3 +144,51 @@ def test_georefs_from_files(spark, tmp_path):
 def test_curve_success(spark):
     c = spark.createDataFrame([("x", 1.0), ("x", 3.0), ("x", None), ("y", None)], "k string, length double")
     assert {o["k"]: (o["n_ok"], o["n_all"], o["mean_length"]) for o in vehicles.curve_success(c, "k").collect()} == {"x": (2, 3, 2.0), "y": (0, 1, 0.0)}
+
+
+def test_scenario_restricted_bands(spark):
+    """Zones under, over and round which a leg goes: sampled along the paths, no point is in a wall or in a band."""
+    import json
+
+    def scene(name, zones, ceiling=None, alt=1000.0, walls=()):
+        shape = lambda i, z: {"id": f"z{i}", "shape": "polygon" if isinstance(z[0], list) else "circle", "geometry": {"vertices": z[0]} if isinstance(z[0], list) else {"center": [z[0], 30.0], "radius_km": z[1]}}
+        banded = [{**shape(i, z[:-1]), "alt_min_m": z[-1][0], "alt_max_m": z[-1][1]} for i, z in enumerate(zones)]
+        at = lambda lon, h: {"lon": lon, "lat": 30.0, "alt_m": h}
+        profile = {"max_climb_angle_deg": 15.0, **({"ceiling_m": ceiling} if ceiling else {})}
+        return {"scenario_id": name, "aircraft": [{"id": "v", "profile": profile, "start": at(100.0, alt), "target": at(101.0, alt)}], "no_fly_zones": [shape(i, (z,)) if isinstance(z, list) else shape(i, z) for i, z in enumerate(walls)], "restricted_zones": banded}
+
+    square = [[100.45, 29.9], [100.55, 29.9], [100.55, 30.1], [100.45, 30.1]]
+    scenes = [
+        scene("under", [(100.5, 8.0, (800, 3000))]), scene("over", [(100.5, 8.0, (400, 3000))]), scene("round", [(100.5, 8.0, (400, 3000))], ceiling=3200.0),
+        scene("polygon", [(square, (800, 3000))]), scene("free", [(100.5, 8.0, (2000, 3000))]), scene("near start", [(100.12, 9.0, (800, 3000))]),
+        scene("close", [(100.35, 8.0, (800, 3000)), (100.55, 8.0, (900, 3000))]), scene("both", [(100.5, 8.0, (800, 3000))], walls=[square]), scene("inside", [(100.0, 8.0, (800, 3000))]),
+    ]
+    got = {o["scenario_id"]: o for o in scenario.plan(spark.createDataFrame([(json.dumps(s),) for s in scenes], "scenario string")).collect()}
+    assert {k for k, o in got.items() if o["status"] != "success"} == {"inside"}  # a start within its only way's wall
+    heights = {k: {round(p["alt_m"]) for p in o["path"]} for k, o in got.items() if o["path"]}
+    assert heights["under"] == {1000, 300} and heights["over"] == {1000, 3500} and heights["polygon"] == {1000, 300}
+    assert all(heights[k] == {1000} for k in ("round", "free", "near start", "close"))
+    inside = lambda x, y, v: sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(v, v[1:] + v[:1])) % 2 == 1
+    for s in scenes:
+        path = got[s["scenario_id"]]["path"] or []
+        for p, q in zip(path, path[1:]):
+            run = math.hypot((q["x"] - p["x"]) * math.cos(math.radians(30)), q["y"] - p["y"]) * 111_195
+            assert abs(q["alt_m"] - p["alt_m"]) <= run * math.tan(math.radians(15)) + 1e-3
+            for t in (i / 50 for i in range(51)):
+                x, y, h = (p[c] + (q[c] - p[c]) * t for c in ("x", "y", "alt_m"))
+                for z in s["restricted_zones"] + s["no_fly_zones"]:
+                    g = z["geometry"]
+                    within = inside(x, y, g["vertices"]) if "vertices" in g else math.hypot((x - g["center"][0]) * math.cos(math.radians(30)), y - g["center"][1]) * 111.195 < g["radius_km"] - 0.05
+                    assert not (within and z.get("alt_min_m", -1e9) < h < z.get("alt_max_m", 1e9)), (s["scenario_id"], x, y, h)
+
+
+def test_scenario_grid_of_wide_regions(spark):
+    """Fields of wide regions have cells of about 1,100 m, 600 with a polygon among the walls; others 48 a side."""
+    at = "struct<lon double, lat double, alt_m double>"
+    zone = "struct<shape string, geometry: struct<center: array<double>, radius_km: double, vertices: array<array<double>>>>"
+    poly = ("polygon", (None, None, [[50.0, 50.0], [50.1, 50.0], [50.1, 50.1]]))
+    rows = [("small", (100.0, 30.0, 0.0), (100.5, 30.0, 0.0), []), ("wide", (100.0, 30.0, 0.0), (101.6, 30.0, 0.0), []), ("polygon", (100.0, 30.0, 0.0), (101.6, 30.0, 0.0), [poly])]
+    f, cells = scenario.cost_cells(spark.createDataFrame(rows, f"field string, a {at}, b {at}, walls array<{zone}>").withColumns({c: F.lit("") for c in ("scenario_id", "vehicle", "leg")}))
+    n = {o["field"]: (o["n"], round(o["cell"] * 111_320)) for o in f.collect()}
+    assert n["small"][0] == 48 and n["wide"] == (274, 1097) and n["polygon"] == (501, 600)
+    assert {o["field"]: o["count"] for o in cells.groupBy("field").count().collect()} == {k: v[0] ** 2 for k, v in n.items()}
