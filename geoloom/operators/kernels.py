@@ -60,6 +60,44 @@ def fast_march(cost: np.ndarray, src: tuple[int, int]) -> np.ndarray:
     return np.array(settled).reshape(rows + 2, wide)[1:-1, 1:-1].astype(np.float32)
 
 
+def straighten(cells: list[tuple[int, int]], blocked: np.ndarray) -> list[tuple[int, int]]:
+    """Those of a trace's cells that straight lines over free cells can join: from each kept one to a far one in sight,
+    found by doubling the step and halving it again. Lines are looked at every quarter of a cell."""
+
+    def clear(a: tuple[int, int], b: tuple[int, int]) -> bool:
+        t = np.linspace(0, 1, 4 * max(abs(b[0] - a[0]), abs(b[1] - a[1])) + 1)
+        at = [np.rint(p + (q - p) * t).astype(int) for p, q in zip(a, b)]
+        return not blocked[at[0], at[1]].any()
+
+    kept, i, n = cells[:1], 0, len(cells)
+    while i < n - 1:
+        step, last = 1, i + 1
+        while i + 2 * step < n and clear(cells[i], cells[i + 2 * step]):
+            step *= 2
+            last = i + step
+        while step:
+            if last + step < n and clear(cells[i], cells[last + step]):
+                last += step
+            step //= 2
+        kept.append(cells[last])
+        i = last
+    return kept
+
+
+def tighten(cells: list[tuple[int, int]], blocked: np.ndarray, rounds: int = 6) -> list[tuple[int, int]]:
+    """A trace straightened, then its lines' cells straightened from the other end, and so on; what is shorter stays."""
+    best = straighten(cells, blocked)
+    for back in [True, False] * (rounds // 2):
+        line = best[:1]
+        for a, b in zip(best, best[1:]):
+            n = max(abs(b[0] - a[0]), abs(b[1] - a[1]))
+            line += [(round(a[0] + (b[0] - a[0]) * k / n), round(a[1] + (b[1] - a[1]) * k / n)) for k in range(1, n + 1)]
+        found = straighten(line[::-1], blocked)[::-1] if back else straighten(line, blocked)
+        if sum(map(math.dist, found, found[1:])) < sum(map(math.dist, best, best[1:])) - 1e-9:
+            best = found
+    return best
+
+
 def back_trace(times: np.ndarray, dst: tuple[int, int], src: tuple[int, int]) -> list[tuple[int, int]] | None:
     """Cells from ``dst`` down the steepest neighbour to ``src``; None where the front did not get to ``dst``."""
     rows, cols = times.shape

@@ -223,8 +223,10 @@ def arrivals(fields: DataFrame, sources: DataFrame) -> DataFrame:
     return fields.join(sources, "field").select("field", "r", "c", "cost", "src_r", "src_c").groupBy("field").applyInPandas(run, f"field {kind}, r int, c int, t float")
 
 
-def traces(times: DataFrame, ends: DataFrame) -> DataFrame:
-    """Back-traces on arrival fields: ends (field, src_r, src_c, dst_r, dst_c) give (field, seq, r, c) from the source."""
+def traces(times: DataFrame, ends: DataFrame, straight: bool = False) -> DataFrame:
+    """Back-traces on arrival fields: ends (field, src_r, src_c, dst_r, dst_c) give (field, seq, r, c) from the source.
+    ``straight`` keeps only the cells between which straight lines stay on cells that were reached: right for fields whose
+    free cells cost the same."""
     kind = times.schema["field"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -232,6 +234,7 @@ def traces(times: DataFrame, ends: DataFrame) -> DataFrame:
         grid[pdf["r"], pdf["c"]] = pdf["t"]
         e = pdf.iloc[0]
         found = kernels.back_trace(grid, (int(e["dst_r"]), int(e["dst_c"])), (int(e["src_r"]), int(e["src_c"]))) or []
+        found = kernels.tighten(found, np.isinf(grid)) if straight else found
         return pd.DataFrame({"field": pdf["field"].iloc[:1].repeat(len(found)).to_numpy(), "seq": range(len(found)), "r": [p[0] for p in reversed(found)], "c": [p[1] for p in reversed(found)]})
 
     return times.join(ends, "field").select("field", "r", "c", "t", "src_r", "src_c", "dst_r", "dst_c").groupBy("field").applyInPandas(run, f"field {kind}, seq int, r int, c int")

@@ -705,11 +705,11 @@ def fillet(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def scenario_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Scenarios in JSON, one for each nation, through the whole planning pipeline."""
+    """Scenarios in JSON, one for each customer, through the whole planning pipeline."""
     from geoloom.plans import scenario
 
     planned = scenario.plan(scenario.from_customers(D.customers(spark, sf)))
-    return planned.select("scenario_id", "vehicle", "status", "error", "n_points", "distance_m", "clearance_km", F.size("path").alias("n_path"), F.size("warnings").alias("n_warnings"))
+    return planned.select("scenario_id", "vehicle", "status", "error", "n_points", "distance_m", "clearance_km", F.size("path").alias("n_path"), F.array_min(F.transform("path", lambda p: p["alt_m"])).alias("lowest_m"), F.size("warnings").alias("n_warnings"))
 
 
 

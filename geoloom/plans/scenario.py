@@ -215,11 +215,11 @@ def cost_cells(legs_: DataFrame, n: int = GRID) -> DataFrame:
 
 
 def fly(legs_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A way for each leg by fast marching, simplified: the legs' fields, and points (path: the field; seq, lon, lat, alt_m:
+    """A way for each leg by fast marching, straightened and simplified: the legs' fields, and points (path: the field; seq, lon, lat, alt_m:
     from the one end's altitude to the other's by distance; along_m). Legs without a way have no points."""
     fields, cells = cost_cells(legs_)
     ends = fields.select("field", "src_r", "src_c", "dst_r", "dst_c")
-    traced = materialize(paths.traces(paths.arrivals(cells, ends.select("field", "src_r", "src_c")), ends))
+    traced = materialize(paths.traces(paths.arrivals(cells, ends.select("field", "src_r", "src_c")), ends, straight=True))
     own = fields.select("field", "west", "south", "cell", "a", "b")
     pts = traced.join(own, "field")
     pts = pts.select(F.col("field").alias("path"), (F.col("seq") + 1).cast("long").alias("seq"), (F.col("west") + (F.col("c") + 0.5) * F.col("cell")).alias("lon"), (F.col("south") + (F.col("r") + 0.5) * F.col("cell")).alias("lat"), F.col("a.alt_m").alias("alt_m"))
@@ -329,10 +329,11 @@ def schema_json() -> str:
 
 
 def from_customers(customers: DataFrame) -> DataFrame:
-    """Scenario texts for tests and queries: a scenario for each of the first customers of every nation."""
-    first = customers.groupBy("nation").agg(F.min("cust").alias("k"))
-    k = F.col("k")
+    """Scenario texts for tests and queries: one for each customer, a third of them with a restricted band on the way."""
+    k = F.col("cust")
     point = lambda dx, dy: F.struct((F.lit(100.0) + k % 17 / F.lit(10.0) + dx).alias("lon"), (F.lit(30.0) + k % 13 / F.lit(10.0) + dy).alias("lat"), F.lit(1000.0).alias("alt_m"))
     zone = F.struct(F.lit("z").alias("id"), F.when(k % 2 == 0, "circle").otherwise("polygon").alias("shape"), F.struct(F.when(k % 2 == 0, F.array(F.lit(100.5) + k % 17 / F.lit(10.0), F.lit(30.05) + k % 13 / F.lit(10.0))).alias("center"), F.when(k % 2 == 0, F.lit(8.0)).alias("radius_km"), F.when(k % 2 == 1, F.transform(F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((0.4, -0.1), (0.6, -0.1), (0.6, 0.2), (0.4, 0.2))]), lambda p: F.array(F.lit(100.0) + k % 17 / F.lit(10.0) + p[0], F.lit(30.0) + k % 13 / F.lit(10.0) + p[1]))).alias("vertices")).alias("geometry"))
     vehicle = F.struct(F.lit("v1").alias("id"), F.struct(F.lit("FIXED_WING").alias("aircraft_type"), F.when(k % 11 == 0, 2000.0).otherwise(80.0).alias("cruise_speed_mps")).alias("profile"), point(0.0, 0.0).alias("start"), point(1.0, 0.1).alias("target"), F.array(point(0.8, 0.3)).alias("mid_waypoints"))
-    return first.select(F.to_json(F.struct(F.col("nation").cast("string").alias("scenario_id"), F.array(vehicle).alias("aircraft"), F.array(zone).alias("no_fly_zones"))).alias("scenario"))
+    band = F.struct(F.lit("b").alias("id"), F.lit("circle").alias("shape"), F.struct(F.array(F.lit(100.25) + k % 17 / F.lit(10.0), F.lit(30.17) + k % 13 / F.lit(10.0)).alias("center"), F.lit(5.0).alias("radius_km")).alias("geometry"), F.lit(800.0).alias("alt_min_m"), F.lit(3000.0).alias("alt_max_m"))
+    bands = F.when(k % 3 == 0, F.array(band))
+    return customers.select(F.to_json(F.struct(k.cast("string").alias("scenario_id"), F.array(vehicle).alias("aircraft"), F.array(zone).alias("no_fly_zones"), bands.alias("restricted_zones"))).alias("scenario"))

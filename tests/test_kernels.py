@@ -90,3 +90,28 @@ def test_fillet_is_tangent_and_push_out_leaves():
 def test_vincenty_known():
     d = K.vincenty_m([0, 0, 10], [0, 0, 10], [1, 0, 10], [0, 90, 10])
     assert np.allclose(d, [111319.491, 10001965.729, 0], atol=0.01)
+
+
+def test_straighten():
+    """Kept cells are the trace's, in order and with its ends, and the lines between them cross no blocked cell; without
+    obstacles only the ends stay."""
+    rng = np.random.default_rng(5)
+    for k in range(30):
+        blocked = rng.random((40, 40)) < (0.25 if k else 0)
+        blocked[0, 0] = blocked[39, 39] = False
+        t = K.fast_march(np.where(blocked, np.inf, 1).astype(np.float32), (0, 0))
+        if not np.isfinite(t[39, 39]):
+            continue
+        trace = K.back_trace(t, (39, 39), (0, 0))
+        kept = K.straighten(trace, blocked)
+        assert kept[0] == trace[0] and kept[-1] == trace[-1]
+        where = [trace.index(c) for c in kept]
+        assert where == sorted(set(where)) and (k or len(kept) == 2)
+        for (a, b), (i, j) in zip(zip(kept, kept[1:]), zip(where, where[1:])):
+            if j > i + 1:
+                for s in np.linspace(0, 1, 4 * max(abs(b[0] - a[0]), abs(b[1] - a[1])) + 1):
+                    assert not blocked[round(a[0] + (b[0] - a[0]) * s), round(a[1] + (b[1] - a[1]) * s)]
+        tight = K.tighten(trace, blocked)
+        assert tight[0] == trace[0] and tight[-1] == trace[-1] and not any(blocked[c] for c in tight)
+        assert sum(map(math.dist, tight, tight[1:])) <= sum(map(math.dist, kept, kept[1:])) + 1e-9
+    assert K.tighten([], np.zeros((2, 2), bool)) == [] and K.tighten([(1, 1)], np.zeros((2, 2), bool)) == [(1, 1)]
