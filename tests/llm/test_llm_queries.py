@@ -31,7 +31,7 @@ def test_matches_sql(spark, con, name):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "decontaminate", "mix_sources", "token_output"]
 
 
