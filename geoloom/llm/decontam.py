@@ -1,13 +1,18 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Items are partitioned by their number q of distinct shingles, a class for each power of two. A class has one size of
-MinHash signature: the shingles of smallest hash, one more than its largest item may lack. A document that contains a
-share c of an item lacks q - ceil(c q) of its shingles at most, so of a signature of s entries it holds
-s - (q - ceil(c q)) at least, which is one or more: the search loses no item, however long the document is.
-
-Documents are read once, whatever the number of items: the hash of each shingle is looked up in a bit filter over all
-signatures (``FILTER_BITS`` bits, whatever their number), and documents with hits are joined with the signatures of
-the classes by hash. Pairs with hits enough, of documents long enough, are verified on the shingles of words themselves.
+Items are partitioned by their number q of distinct shingles, a class for each power of two. A document that contains a
+share c of an item has ceil(c q) of its shingles at least, so each class has a least number of hits, below which a document
+is no candidate for any of its items. Documents are read once, whatever the number of items: each shingle is looked up in
+bit filters of the classes' shingles, which lie side by side (``FILTER_BITS`` slots of one bit for each class), and a
+document goes on only in the classes of which it has hits enough. A phrase that many items and many documents begin with
+is one hit, and brings no document into any class but those of items that are hardly more than the phrase.
+
+Those documents are joined with the classes' MinHash signatures by class and hash. An item's signature has its smallest
+hashes in an order that puts first what makes the fewest pairs, documents with the hash times items with it, counted
+over all of both; it has as many as an item of the class may lack, and ``MORE`` in addition, so that a document that
+contains the item has ``MORE`` at least: the search loses no item, however long the document is. Signature rows are
+repeated under salts, over which documents are dealt, since a third of all documents may hold one passage. Pairs with
+hits enough are verified on the shingles of words themselves.
 
 Texts are compared as lower-case words of letters and digits, five words a shingle. Items of one to four words are
 one shingle of their own length.
@@ -22,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +40,12 @@ from geoloom.llm import common
 
 SHINGLE = 5
 MIN_CONTAINMENT = 0.8
-#: Bits of the filter over signatures that each Python worker holds: 16 MB.
-FILTER_BITS = 1 << 27
+#: Slots of the filter over items that each Python worker holds: a byte each for up to eight classes, 32 MB.
+FILTER_BITS = 1 << 25
+#: Hashes of a signature beyond those that a containing document may lack, and hits that such a document has.
+MORE = 3
+#: Parts that documents of one signature hash are dealt over.
+SALTS = 16
 #: Bytes of text that are hashed at once.
 PART_BYTES = 1 << 20
 
@@ -97,19 +107,13 @@ def size_class(q: int) -> int:
     return (q - 1).bit_length()
 
 
-def signature_size(size: int, containment: float = MIN_CONTAINMENT) -> int:
-    """Entries that an item of the largest size of the class may lack, and one."""
-    q = 1 << size
-    return q - math.ceil(containment * q - 1e-9) + 1
-
-
 def _slots(h: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
     low = np.uint64(n_bits - 1)
     return (h & low).astype(np.int64), (h >> np.uint64(33) & low).astype(np.int64)
 
 
-def signatures(items: DataFrame, containment: float) -> DataFrame:
-    """For each item of ``items`` (item, text): item, class, k, q, need, and its signature ``mins``."""
+def shingled(items: DataFrame, containment: float) -> DataFrame:
+    """For each item of ``items`` (item, text): item, class, k, q, need, and the hashes ``hs`` of all its shingles."""
 
     def run(batches):
         for b in batches:
@@ -118,81 +122,132 @@ def signatures(items: DataFrame, containment: float) -> DataFrame:
                 w = words(text)
                 if w:
                     k = min(SHINGLE, len(w))
-                    h = np.unique(np.concatenate([x[1] for x in hashed([plain(text)], [k])]))  # sorted: the smallest first
+                    h = np.unique(np.concatenate([x[1] for x in hashed([plain(text)], [k])]))
                     q = len(word_grams(w, k))
-                    size = size_class(q)
-                    mins = h[: signature_size(size, containment)]
-                    out.append((item, size, k, q, math.ceil(containment * q - 1e-9), mins.view(np.int64)))
+                    out.append((item, size_class(q), k, q, math.ceil(containment * q - 1e-9), h.view(np.int64)))
             if out:
                 cols = [pa.array(c, pa.int64()) for c in list(zip(*out))[:5]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([o[5] for o in out], pa.list_(pa.int64()))], names=["item", "class", "k", "q", "need", "mins"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([o[5] for o in out], pa.list_(pa.int64()))], names=["item", "class", "k", "q", "need", "hs"])
+
+    return items.select("item", "text").mapInArrow(run, "item long, class long, k long, q long, need long, hs array<long>")
+
+
+@dataclass
+class Planes:
+    """Bit filters of the classes side by side: bit i of a slot is of the class ``classes[i]``."""
+
+    classes: list[int]
+    #: The fewest hits that any item of the class needs.
+    floors: list[int]
+    lengths: list[int]
+    slots: np.ndarray
 
-    return items.select("item", "text").mapInArrow(run, "item long, class long, k long, q long, need long, mins array<long>")
+    def masks(self, h: np.ndarray) -> np.ndarray:
+        a, b = _slots(h, len(self.slots))
+        found = self.slots[a]
+        at = np.flatnonzero(found)
+        found[at] &= self.slots[b[at]]
+        return found
 
 
-def bit_filter(signed: DataFrame) -> Broadcast:
-    """The bits of all signature hashes in 32768-bit pieces, put together in an array of fixed size."""
-    h = signed.select(F.explode("mins").alias("h"))
+def planes(held: DataFrame) -> Broadcast:
+    """The filters of ``held`` (items as `shingled`), put together in an array of fixed size from 32768-bit pieces."""
+    by_class = held.groupBy("class").agg(F.min("need"), F.collect_set("k")).orderBy("class").collect()  # one for each power of two
+    kind = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(by_class) <= bits)
+    slots = np.zeros(FILTER_BITS, kind)
+    h = held.select("class", F.explode("hs").alias("h"))
     low = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
     high = F.shiftrightunsigned("h", 33).bitwiseAND(F.lit(FILTER_BITS - 1))
-    slot = h.select(F.explode(F.array(low, high)).alias("slot")).select((F.col("slot") + 1).alias("slot"))
-    pieces = slot.groupBy(F.bitmap_bucket_number("slot").alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for no, piece in pieces.toLocalIterator():
-        bits[(no - 1) * 4096 : (no - 1) * 4096 + len(piece)] = np.frombuffer(piece, np.uint8)
-    return signed.sparkSession.sparkContext.broadcast(bits)
+    slot = h.select("class", F.explode(F.array(low, high)).alias("slot")).select("class", (F.col("slot") + 1).alias("slot"))
+    pieces = slot.groupBy("class", F.bitmap_bucket_number("slot").alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    rank = {r[0]: i for i, r in enumerate(by_class)}
+    for size, no, piece in pieces.toLocalIterator():
+        bits = np.unpackbits(np.frombuffer(piece, np.uint8), bitorder="little")
+        part = slots[(no - 1) * 32768 : (no - 1) * 32768 + len(bits)]
+        part |= bits[: len(part)].astype(kind) << kind(rank[size])
+    lengths = sorted({k for r in by_class for k in r[2]})
+    return held.sparkSession.sparkContext.broadcast(Planes([r[0] for r in by_class], [r[1] for r in by_class], lengths, slots))
 
 
-def hits(docs: DataFrame, bits: Broadcast, lengths: list[int], kind: T.DataType) -> DataFrame:
-    """Of ``docs`` (row, doc_id, text) those with a shingle in the filter: row, doc_id, text, n (shingles by length of
-    shingle), found (distinct hashes that the filter knows)."""
+def hits(docs: DataFrame, shared: Broadcast, kind: T.DataType) -> DataFrame:
+    """Of ``docs`` (row, doc_id, text) those with hits enough in a class: row, doc_id, text, and for every class with
+    enough, side by side, ``classes`` and the distinct ``hashes`` found in it."""
 
     def run(batches):
-        bit = bits.value
+        model = shared.value
         longs = pa.list_(pa.int64())
-
-        def known(h: np.ndarray) -> np.ndarray:
-            ok = np.ones(len(h), bool)
-            for s in _slots(h, 8 * len(bit)):
-                at = np.flatnonzero(ok)
-                ok[at] = bit[s[at] >> 3] >> (s[at] & 7).astype(np.uint8) & 1
-            return ok
-
         for b in batches:
             texts = [plain(t) for t in b.column(2).to_pylist()]
-            found: dict[int, list[np.ndarray]] = {}
-            n = np.zeros((len(texts), SHINGLE + 1), np.int64)
+            found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
             a = 0
             while a < len(texts):
                 z, size = a + 1, len(texts[a])
                 while z < len(texts) and size + len(texts[z]) <= PART_BYTES:
                     size, z = size + len(texts[z]), z + 1
-                for k, h, owner in hashed(texts[a:z], lengths):
-                    n[a:z, k] = np.bincount(owner, minlength=z - a)
-                    at = np.flatnonzero(known(h))
-                    for i in np.unique(owner[at]).tolist():
-                        found.setdefault(a + i, []).append(h[at[owner[at] == i]])
+                met = []
+                for _, h, owner in hashed(texts[a:z], model.lengths):
+                    mask = model.masks(h)
+                    at = np.flatnonzero(mask)
+                    met.append((h[at], owner[at], mask[at]))
+                if met:
+                    h, owner, mask = (np.concatenate(c) for c in zip(*met))
+                    order = np.lexsort((h, owner))
+                    h, owner, mask = h[order], owner[order], mask[order]
+                    if len(h):
+                        new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
+                        h, owner, mask = h[new], owner[new], mask[new]
+                    for i, (name, floor) in enumerate(zip(model.classes, model.floors)):
+                        at = np.flatnonzero(mask >> mask.dtype.type(i) & mask.dtype.type(1))
+                        for d in np.flatnonzero(np.bincount(owner[at], minlength=z - a) >= floor).tolist():
+                            own = h[at[np.searchsorted(owner[at], d) : np.searchsorted(owner[at], d, "right")]]
+                            found.setdefault(a + d, []).append((np.full(len(own), name, np.int64), own.view(np.int64)))
                 a = z
             if found:
                 rows = pa.array(sorted(found), pa.int64())
-                lists = [pa.array([n[i] for i in sorted(found)], longs), pa.array([np.unique(np.concatenate(found[i])).view(np.int64) for i in sorted(found)], longs)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in range(3)), *lists], names=["row", "doc_id", "text", "n", "found"])
+                lists = [pa.array([np.concatenate([f[c] for f in found[i]]) for i in sorted(found)], longs) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in range(3)), *lists], names=["row", "doc_id", "text", "classes", "hashes"])
 
-    schema = T.StructType().add("row", T.LongType()).add("doc_id", kind).add("text", T.StringType()).add("n", T.ArrayType(T.LongType())).add("found", T.ArrayType(T.LongType()))
+    schema = T.StructType().add("row", T.LongType()).add("doc_id", kind).add("text", T.StringType()).add("classes", T.ArrayType(T.LongType())).add("hashes", T.ArrayType(T.LongType()))
     return docs.mapInArrow(run, schema)
 
 
+def signatures(held: DataFrame, met: DataFrame, containment: float) -> DataFrame:
+    """For each entry of the signature of each item of ``held``: class, h, item, k, need, and the ``least`` hits that a
+    document needs in it. ``met``: row, class, h of the documents."""
+    each = held.select("item", "class", "k", "q", "need", F.explode("hs").alias("h"))
+    docs = met.groupBy("class", "h").agg(F.count("*").alias("docs"))
+    cost = each.groupBy("class", "h").agg(F.count("*").alias("items")).join(docs.hint("merge"), ["class", "h"], "left")
+    cost = cost.select("class", "h", (F.col("items") * F.coalesce("docs", F.lit(0))).alias("pairs"))
+    largest = F.pow(F.lit(2.0), F.col("class")).cast("long")
+    sizes = (largest - F.ceil(containment * largest - 1e-9) + MORE).cast("int")
+    own = each.join(cost.hint("merge"), ["class", "h"]).groupBy("item", "class", "k", "q", "need").agg(F.sort_array(F.collect_list(F.struct("pairs", "h"))).alias("all"))
+    own = own.withColumn("mins", F.slice("all", F.lit(1), sizes))
+    return own.select("item", "class", "k", "need", (F.size("mins") - (F.col("q") - F.col("need"))).alias("least"), F.explode("mins.h").alias("h"))
+
+
+def candidates(held: DataFrame, found: DataFrame, containment: float) -> DataFrame:
+    """Pairs of documents of ``found`` (as `hits`) and items of ``held`` with hits enough in the items' signatures:
+    row, item, k, need."""
+    met = found.select("row", F.explode(F.arrays_zip("classes", "hashes")).alias("hit")).select("row", F.col("hit.classes").alias("class"), F.col("hit.hashes").alias("h"))
+    wanted = common.materialize(signatures(held, met, containment))
+    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = met.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    pairs = dealt.join(salted.hint("merge"), ["class", "h", "salt"]).groupBy("row", "item", "k", "need", "least").count()
+    return pairs.where(F.col("count") >= F.col("least")).select("row", "item", "k", "need")
+
+
 def _found(docs: DataFrame, items: DataFrame, kind: T.DataType, containment: float) -> DataFrame:
     """Verified pairs of ``docs`` (doc_id, text) and ``items`` (item, text): doc_id, text, item, n_shared, n_shingles."""
     common.ship(docs.sparkSession)
-    signed = common.materialize(signatures(items, containment))
-    lengths = [r[0] for r in signed.select("k").distinct().orderBy("k").collect()]  # five at most
+    held = common.materialize(shingled(items, containment))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    held = common.materialize(hits(rows, bit_filter(signed), lengths, kind))
-    wanted = signed.select("item", "class", "k", "need", (F.size("mins") - (F.col("q") - F.col("need"))).alias("least"), F.explode("mins").alias("h"))
-    met = held.select("row", "n", F.explode("found").alias("h")).join(wanted, "h").where(F.col("n")[F.col("k").cast("int")] >= F.col("need"))
-    pairs = met.groupBy("row", "item", "k", "need", "least").count().where(F.col("count") >= F.col("least")).select("row", "item", "k", "need")
-    both = common.materialize(pairs).join(held.select("row", "doc_id", "text"), "row").join(items.select("item", F.col("text").alias("item_text")), "item")
+    found = common.materialize(hits(rows, planes(held), kind))
+    pairs = common.materialize(candidates(held, found, containment))
+    # An item may be in a third of all documents: its text is repeated under the salts, and only then meets theirs.
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    texts = items.select("item", F.col("text").alias("item_text"), F.explode(salts).alias("salt"))
+    named = pairs.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(texts.hint("merge"), ["item", "salt"]).drop("salt")
+    both = named.join(found.select("row", "doc_id", "text").hint("merge"), "row")
     both = both.select("row", "doc_id", "text", "item", "item_text", "k", "need").sortWithinPartitions("row")
 
     def verify(batches):

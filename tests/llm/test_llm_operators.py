@@ -394,7 +394,30 @@ def test_decontamination_by_size_class(spark, monkeypatch):
                 want[d, i] = max(want.get((d, i), (0, 0, 0)), (n / len(q), n, len(q)))
     got = decontam.contained_items(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
     assert {(o["doc_id"], o["item_id"]): (o["containment"], o["n_shared"], o["n_shingles"]) for o in got} == want and len(got) == len(want) > 50
-    assert [decontam.signature_size(c) for c in (0, 1, 2, 3, 4, 6)] == [1, 1, 1, 2, 4, 13]
+
+
+def test_decontamination_of_a_template(spark):
+    """Items and documents that all share a phrase: few documents go on, and pairs are not items times documents."""
+    r = random.Random(81)
+    word = lambda: f"w{r.randrange(100_000)}"
+    phrase = "the answer to the question is"
+    items = [(i, f"{phrase} {' '.join(word() for _ in range(r.choice([2, 6, 12])))}") for i in range(1000)]
+    texts = [(i, f"{sentence(r, 20)} {phrase} {' '.join(word() for _ in range(20))}") for i in range(1000)]
+    texts += [(1000 + i, f"{sentence(r, 5)} {items[i][1]} {sentence(r, 5)} {phrase}") for i in range(50)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(o["doc_id"], o["item_id"]) for o in decontam.contained_items(docs, bench).collect()}
+    assert {(1000 + i, i) for i in range(50)} == got
+    common.ship(spark)
+    own = common.materialize(decontam._numbered(bench, "text", "item_id"))
+    held = common.materialize(decontam.shingled(own, 0.8))
+    found = common.materialize(decontam.hits(docs.selectExpr("doc_id as row", "doc_id", "text"), decontam.planes(held), docs.schema["doc_id"].dataType))
+    assert found.count() <= 60  # hits enough are counted where texts are read
+    loose = found.unionByName(docs.selectExpr("doc_id as row", "doc_id", "text", "array(3L) as classes", "array(0L) as hashes"))
+    met = loose.select("row", F.explode(F.arrays_zip("classes", "hashes")).alias("x")).select("row", "x.classes", "x.hashes")
+    wanted = decontam.signatures(held, met.toDF("row", "class", "h"), 0.8)
+    joined = met.toDF("row", "class", "h").join(wanted, ["class", "h"])
+    assert joined.count() <= 10 * (len(items) + len(texts))
+    assert wanted.where("least < 1").isEmpty()
 
 
 # --- 7 -------------------------------------------------------------------------------------------------------
