@@ -47,6 +47,29 @@ def clip(df: DataFrame, lo: int, hi: int) -> DataFrame:
     return df.withColumn("c0", F.greatest("c0", F.lit(lo))).withColumn("c1", F.least("c1", F.lit(hi))).where("c0 < c1")
 
 
+def point_query(points: DataFrame, spans: DataFrame, key: str, at: str, value: str, values: list, block: int = 4096) -> DataFrame:
+    """``points`` (key, at, any other columns) with ``found``: of the spans (key, c0, c1, value) that hold the point, the value
+    that comes first in ``values``; null if none does.
+
+    Points and starts of spans are merged in one sorted pass over each block of ``block`` places of a key: a span of a
+    value holds the point if the furthest end among the starts up to it lies beyond it. Spans are cut at blocks, so a
+    crowded key is many groups, and the cost is points and spans, not their product.
+    """
+    rows = points.select(F.col(key).alias("_key"), F.col(at).cast("long").alias("_at"), F.lit(1).alias("_point"), F.lit(None).cast("long").alias("_end"), F.lit(None).cast("int").alias("_rank"), F.struct(*(F.col(f"`{c}`") for c in points.columns)).alias("_row"))
+    rows = rows.withColumn("_block", F.floor(F.col("_at") / block))
+    rank = (F.array_position(F.array(*map(F.lit, values)), F.col(value)) - 1).cast("int")
+    cut = spans.where("c0 < c1").select(F.col(key).alias("_key"), F.col("c0").cast("long").alias("c0"), F.col("c1").cast("long").alias("c1"), rank.alias("_rank")).where("_rank >= 0")
+    cut = cut.withColumn("_block", F.explode(F.sequence(F.floor(F.col("c0") / block), F.floor((F.col("c1") - 1) / block))))
+    starts = cut.select("_key", F.greatest("c0", F.col("_block") * block).alias("_at"), F.lit(0).alias("_point"), F.col("c1").alias("_end"), "_rank", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_block")
+    w = Window.partitionBy("_key", "_block").orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, 0)
+    merged = rows.unionByName(starts)
+    found = F.lit(None).cast(spans.schema[value].dataType)
+    for i in reversed(range(len(values))):
+        merged = merged.withColumn(f"_to{i}", F.max(F.when(F.col("_rank") == i, F.col("_end"))).over(w))
+        found = F.when(F.col(f"_to{i}") > F.col("_at"), F.lit(values[i]).cast(spans.schema[value].dataType)).otherwise(found)
+    return merged.withColumn("found", found).where("_point = 1").select("_row.*", "found")
+
+
 def scanline_fill(edges: DataFrame, rows: int, key: str = "key") -> DataFrame:
     """Even-odd fill of polygons given by edges (key, ax, ay, bx, by): key, row, x0, x1 at each row's centre line.
 

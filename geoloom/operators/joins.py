@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.geometry import in_circle, segments_intersect
 from geoloom.functions.scalar import EARTH_RADIUS_M, haversine_m
+from geoloom.operators import intervals
 from geoloom.operators.conflicts import along_cells
 from geoloom.runtime import materialize
 
+#: Classes of the mask format, land and lake, in the order in which they count.
+MASK_CLASSES = (1, 2)
 _DEG_M = math.pi / 180 * EARTH_RADIUS_M
 
 
@@ -139,13 +142,18 @@ def raster_corners(points: DataFrame, grid: DataFrame, key: str, height: str = "
     return met.groupBy(key).agg(F.first("fr").alias("fr"), F.first("fc").alias("fc"), *[F.max(F.when(F.col("_n") == n, F.col("_h"))).alias(n) for n in ("h00", "h01", "h10", "h11")])
 
 
-def mask_lookup(points: DataFrame, mask: DataFrame) -> DataFrame:
+def mask_lookup(points: DataFrame, mask: DataFrame, width: int | None = None, classes: tuple[int, ...] = MASK_CLASSES) -> DataFrame:
     """``points`` (row, col) with ``mask_class`` from segments (row, class, c0, c1), half-open; no segment: 0 (sea).
-    Of several segments the one of the lowest class, then start, counts."""
-    keyed = points.withColumn("_id", F.monotonically_increasing_id())
-    met = keyed.join(mask.select(F.col("row"), F.col("class").alias("_class"), "c0", "c1"), "row", "left").where(F.col("c0").isNull() | ((F.col("col") >= F.col("c0")) & (F.col("col") < F.col("c1"))))
-    hit = met.where(F.col("c0").isNotNull()).groupBy("_id").agg(F.min(F.struct("_class", "c0"))["_class"].alias("_hit"))
-    return keyed.join(hit, "_id", "left").withColumn("mask_class", F.coalesce("_hit", F.lit(0))).drop("_id", "_hit")
+    Of several segments the one of the lowest class counts. With a ``width`` columns go round it, as longitudes do: of
+    points, and of segments that reach over the end."""
+    at, segments = points, mask
+    if width is not None:
+        at = at.withColumn("_col", F.pmod(F.col("col"), F.lit(width)))
+        shift = F.floor(F.col("c0") / width) * width
+        segments = mask.select("row", "class", (F.col("c0") - shift).alias("c0"), F.least(F.col("c1") - shift, F.col("c0") - shift + width).alias("c1"))
+        segments = segments.unionByName(segments.where(F.col("c1") > width).select("row", "class", F.lit(0).cast("long").alias("c0"), (F.col("c1") - width).alias("c1")))
+    found = intervals.point_query(at, segments, "row", "_col" if width is not None else "col", "class", list(classes))
+    return found.withColumn("mask_class", F.coalesce("found", F.lit(0))).drop("found", "_col")
 
 
 def anchor_nearest(anchors: DataFrame, vertices: DataFrame, path: str = "path") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.functions import scalar as S
-from geoloom.operators import conflicts, intervals, joins, paths, profile, raster, sequence, vehicles
+from geoloom.operators import conflicts, intervals, joins, paths, profile, raster, sequence, vehicles, zones
 from geoloom.plans import derive as D
 from geoloom.runtime import shared_dir, ship
 from geoloom.sources import codecs, georef, readers
@@ -331,6 +331,28 @@ def mask_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return joins.mask_lookup(p, D.segments_of_mask(spark, sf)).select("cust", "mask_class")
 
 
+_ZONE_SIN = [0.0, 0.6, 1.0, 0.8, 0.0, -0.6, -1.0, -0.8]
+_ZONE_COS = [1.0, 0.8, 0.0, -0.6, -1.0, -0.8, 0.0, 0.6]
+_ZONE = [(c * (1.0 if i % 2 else 0.35), s * (1.0 if i % 2 else 0.35)) for i, (c, s) in enumerate(zip(_ZONE_COS, _ZONE_SIN))]
+_ZONES_SQL = (
+    "z AS (SELECT p_partkey AS zone, ((p_partkey * 13007) % 33000)::DOUBLE / 100 - 165 AS cx, ((p_partkey * 7411) % 15000)::DOUBLE / 100 - 75 AS cy, (1 + p_size)::DOUBLE / 4 AS r FROM part), "
+    + "e AS (" + " UNION ALL ".join(f"SELECT zone, cx + r * {a[0]!r} AS ax, cy + r * {a[1]!r} AS ay, cx + r * {b[0]!r} AS bx, cy + r * {b[1]!r} AS by_ FROM z" for a, b in zip([_ZONE[-1], *_ZONE[:-1]], _ZONE)) + ")"
+)
+
+
+def _zones(spark: SparkSession, sf: str) -> DataFrame:
+    """A star of eight vertices for each part."""
+    k = F.col("p_partkey")
+    z = D.table(spark, sf, "part").select(k.alias("zone"), ((k * 13007 % 33000) / F.lit(100.0) - 165).alias("cx"), ((k * 7411 % 15000) / F.lit(100.0) - 75).alias("cy"), ((1 + F.col("p_size")) / F.lit(4.0)).alias("r"))
+    return z.select("zone", F.array(*[F.array(F.col("cx") + F.col("r") * x, F.col("cy") + F.col("r") * y) for x, y in _ZONE]).alias("polygon"))
+
+
+@query(f"+{_ZONES_SQL}, hit AS (SELECT zone, cust FROM cust, e WHERE (by_ > lat) <> (ay > lat) AND lon < (ax - bx) * (lat - by_) / (ay - by_) + bx GROUP BY zone, cust HAVING count(*) % 2 = 1) SELECT zone, count(*) AS n, min(cust) AS first_cust, sum(cust)::BIGINT AS sum_cust FROM hit GROUP BY zone", uses="cust")
+def zone_containment(spark: SparkSession, sf: str) -> DataFrame:
+    found = zones.polygons_containing(D.customers(spark, sf), _zones(spark, sf), "cust")
+    return found.groupBy("zone").agg(F.count("*").alias("n"), F.min("cust").alias("first_cust"), F.sum("cust").alias("sum_cust"))
+
+
 @query(f"+{_MASKED} SELECT cust, CASE WHEN r IS NULL THEN 'OutOfBounds' WHEN mask_class = 0 THEN 'Water' WHEN h IS NULL THEN 'NoData' WHEN mask_class = 2 THEN 'Lake' ELSE 'Land' END AS surface FROM masked LEFT JOIN grid ON r = row AND c = col", uses="grid mask")
 def surface_class(spark: SparkSession, sf: str) -> DataFrame:
     p = _samples(spark, sf).select("cust", F.floor("y").alias("row"), F.floor("x").alias("col"))
