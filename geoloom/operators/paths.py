@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.operators import kernels, sequence
+from geoloom.operators import kernels, pathtree, sequence
 
 #: What a path may exceed its limits by before it fails.
 SOFT_TURN_DEG, SOFT_RADIUS_RATIO, SOFT_CHORD_M, SOFT_CLIMB_DEG = 2.0, 0.95, 50.0, 2.0
@@ -83,11 +83,7 @@ def choose_stage(stages: DataFrame) -> DataFrame:
 
 def point_to_path(points: DataFrame, path: DataFrame, key: str) -> DataFrame:
     """(key, path, distance_m) from points (key, path, plon, plat) to the nearest segment of their path."""
-    from geoloom.functions.geometry import point_segment_m
-
-    seg = sequence.with_segments(path).select("path", "lon", "lat", "lon2", "lat2")
-    d = point_segment_m(F.col("plon"), F.col("plat"), F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    return points.join(seg, "path").groupBy(key, "path").agg(F.min(d).alias("distance_m"))
+    return pathtree.nearest_segment(points, path, key).select(key, "path", "distance_m")
 
 
 def by_path(points: DataFrame, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.functions.geometry import edges, point_segment_m
+from geoloom.functions.geometry import edges
 from geoloom.functions.scalar import cross
-from geoloom.operators import intervals, paths, sequence
+from geoloom.operators import intervals, paths, pathtree, sequence
 
 #: Metres kept above or below a band, over terrain, and the slack on the way to a level.
 BAND_GAP_M, TERRAIN_GAP_M, CLIMB_SLACK = 500.0, 100.0, 1.25
@@ -78,14 +78,7 @@ def clearance_points(points: DataFrame, grid: DataFrame, west: float, south: flo
 
 def height_on_path(points: DataFrame, path: DataFrame, key: str) -> DataFrame:
     """(key, path, alt_m): the height of the nearest segment of a path at its nearest point; ties: the first segment."""
-    seg = sequence.with_segments(path)
-    met = points.join(seg, "path")
-    k = F.cos(F.radians((F.col("lat") + F.col("lat2")) / 2))
-    vx, vy, wx, wy = (F.col("lon2") - F.col("lon")) * k, F.col("lat2") - F.col("lat"), (F.col("plon") - F.col("lon")) * k, F.col("plat") - F.col("lat")
-    t = F.when(vx * vx + vy * vy > 0, F.least(F.greatest((wx * vx + wy * vy) / (vx * vx + vy * vy), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-    d = point_segment_m(F.col("plon"), F.col("plat"), F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    best = met.groupBy(key, "path").agg(F.min(F.struct(F.round(d, 6).alias("d"), "seq", (F.col("alt_m") + (F.col("alt2") - F.col("alt_m")) * t).alias("alt_m"))).alias("b"))
-    return best.select(key, "path", F.col("b.alt_m").alias("alt_m"))
+    return pathtree.nearest_segment(points, path, key).select(key, "path", "alt_m")
 
 
 def failure_category(events: DataFrame, key: str) -> DataFrame:

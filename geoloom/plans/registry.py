@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.functions import scalar as S
-from geoloom.operators import conflicts, intervals, joins, paths, profile, raster, sequence, vehicles, zones
+from geoloom.operators import conflicts, intervals, joins, paths, pathtree, profile, raster, sequence, vehicles, zones
 from geoloom.plans import derive as D
 from geoloom.runtime import shared_dir, ship
 from geoloom.sources import codecs, georef, readers
@@ -630,6 +630,25 @@ def point_polyline(spark: SparkSession, sf: str) -> DataFrame:
     return paths.point_to_path(probe, p, "probe").select("path", rnd(F.col("distance_m"), "distance_m", 3))
 
 
+_ANCHOR = "100 + ((path * 31 + no * 317) % 1000)::DOUBLE / 1000 AS alon, 30 + ((path * 17 + no * 411) % 997)::DOUBLE / 1000 AS alat"
+_FIRST_LAT = "(SELECT path, arg_min(lat, seq) AS lat0 FROM pts GROUP BY path)"
+_ANCHOR_D = "pow((p.lon - alon) * greatest(cos(radians(lat0)), 1e-6), 2) + pow(p.lat - alat, 2)"
+
+
+@query(
+    f"+f AS {_FIRST_LAT}, a AS (SELECT path, no, lat0, {_ANCHOR} FROM f, (VALUES (1), (2), (3)) v(no)), w AS (SELECT path, 0 AS no, 0::BIGINT AS seq FROM f UNION ALL "
+    f"SELECT w.path, w.no + 1, arg_min(p.seq, (sqrt({_ANCHOR_D}), p.seq)) FROM w JOIN a ON a.path = w.path AND a.no = w.no + 1 LEFT JOIN pts p ON p.path = w.path AND p.seq > w.seq GROUP BY w.path, w.no) "
+    "SELECT path, no AS anchor, seq FROM w WHERE no > 0",
+    uses="pts",
+)
+def anchor_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Three anchors for each path, matched to vertices in their order."""
+    p = D.points(spark, sf)
+    a = p.select("path").distinct().withColumn("anchor", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    a = a.select("path", "anchor", (F.lit(100.0) + ((F.col("path") * 31 + F.col("anchor") * 317) % 1000) / F.lit(1000.0)).alias("lon"), (F.lit(30.0) + ((F.col("path") * 17 + F.col("anchor") * 411) % 997) / F.lit(1000.0)).alias("lat"))
+    return pathtree.match_anchors(a, p.select("path", "seq", F.col("lon").alias("lon2"), F.col("lat").alias("lat2")))
+
+
 # --- scenarios ----------------------------------------------------------------------------------------------------
 
 

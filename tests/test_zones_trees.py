@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from geoloom.operators import intervals, joins, zones
+from geoloom.operators import intervals, joins, pathtree, paths, profile, zones
 
 
 def star(r, cx, cy, size, n):
@@ -93,3 +93,86 @@ def test_crowded_row(spark):
     points = spark.range(1_000_000).selectExpr("0L as row", "id * 3 + id % 3 as col")
     got = {x[0]: x[1] for x in joins.mask_lookup(points, mask).groupBy("mask_class").count().collect()}
     assert got[0] == 333_333 and abs(got[1] - got[2]) < 10 and time.time() - began < 60
+
+
+# --- box trees of paths ------------------------------------------------------------------------------------------
+
+
+def walk(r, n, step=0.01):
+    x, y, out = r.uniform(-10, 10), r.uniform(40, 60), []
+    for i in range(n):
+        x, y = x + r.uniform(-step, step), y + r.uniform(-step, step)
+        out.append((i * 3 + 1, x, y, r.uniform(0, 1000)))
+    return out
+
+
+def nearest(px, py, path):
+    best = None
+    for (s, ax, ay, ah), (_, bx, by, bh) in zip(path, path[1:]):
+        k = max(math.cos(math.radians((ay + by) / 2)), 1e-6)
+        vx, vy, wx, wy = (bx - ax) * k, by - ay, (px - ax) * k, py - ay
+        t = min(max((wx * vx + wy * vy) / (vx * vx + vy * vy), 0), 1) if vx or vy else 0.0
+        d = math.hypot(wx - t * vx, wy - t * vy) * math.pi / 180 * 6_371_000
+        if best is None or (round(d, 6), s) < best[:2]:
+            best = (round(d, 6), s, ah + (bh - ah) * t)
+    return best
+
+
+@pytest.fixture(scope="module")
+def tracks(spark):
+    r = random.Random(10)
+    made = {p: walk(r, n) for p, n in ((1, 1), (2, 2), (3, 40), (4, 1500), (5, 1200))}
+    made[6] = made[3][:20] + [(s + 200, x, y, h) for s, x, y, h in made[3][:20]]  # passes the same points twice
+    return made, spark.createDataFrame([(p, *v) for p, vs in made.items() for v in vs], "path long, seq long, lon double, lat double, alt_m double")
+
+
+def test_nearest_segment(spark, tracks):
+    r = random.Random(11)
+    made, df = tracks
+    points = [(i, p, *((v := r.choice(made[p]))[1] + r.uniform(-0.1, 0.1), v[2] + r.uniform(-0.1, 0.1))) for i, p in enumerate(r.choice([2, 3, 4, 5, 6]) for _ in range(300))]
+    points += [(900, 4, *made[4][700][1:3]), (901, 4, 170.0, -80.0), (902, 1, 0.0, 0.0), (903, 9, 0.0, 0.0), (904, 4, None, 1.0), (905, 6, *made[6][3][1:3])]
+    pts = spark.createDataFrame(points, "id long, path long, plon double, plat double")
+    got = {x["id"]: x for x in pathtree.nearest_segment(pts, df, "id").collect()}
+    assert set(got) == {i for i, p, x, _ in points if p in (2, 3, 4, 5, 6) and x is not None}
+    for i, p, x, y in points:
+        if i in got:
+            d, s, h = nearest(x, y, made[p])
+            assert got[i]["seq"] == s and got[i]["distance_m"] == pytest.approx(d, abs=1e-5) and got[i]["alt_m"] == pytest.approx(h, abs=1e-3)
+    assert {x["id"]: x["distance_m"] for x in paths.point_to_path(pts, df, "id").collect()} == {i: x["distance_m"] for i, x in got.items()}
+    assert profile.height_on_path(pts, df, "id").count() == len(got)
+    assert pathtree.nearest_segment(pts.limit(0), df, "id").isEmpty() and pathtree.nearest_segment(pts, df.limit(0), "id").isEmpty()
+
+
+def test_search_meets_few_boxes(spark, tracks):
+    made, df = tracks
+    points = spark.createDataFrame([(i, 4, v[1] + 0.001, v[2]) for i, v in enumerate(made[4][::10])], "key long, path long, px double, py double")
+    met = pathtree.search(points, pathtree.build(pathtree.segments(df)))
+    assert met.count() < 12 * pathtree.FANOUT * points.count()  # of 47 boxes of a path that winds over itself
+
+
+def test_match_anchors(spark, tracks):
+    r = random.Random(12)
+    made, df = tracks
+    anchors = []
+    for p, vs in made.items():
+        picked = sorted(r.sample(range(len(vs)), min(4, len(vs)))) if p != 5 else [1100, 3, 500, 499]  # path 5: not in order
+        anchors += [(p, i, vs[v][1] + 0.0001, vs[v][2]) for i, v in enumerate(picked)]
+    anchors += [(1, 7, 0.0, 0.0), (1, 8, 0.0, 0.0)]  # more anchors than vertices
+    want = {}
+    for p, vs in made.items():
+        k, at = math.cos(math.radians(vs[0][2])), -1
+        for _, a, x, y in sorted(v for v in anchors if v[0] == p):
+            left = [(math.hypot((v[1] - x) * k, v[2] - y), n) for n, v in enumerate(vs) if n > at]
+            at = min(left)[1] if left else len(vs)
+            want[p, a] = vs[at][0] if left else None
+    vertices = df.selectExpr("path", "seq", "lon as lon2", "lat as lat2")
+    got = {(x["path"], x["anchor"]): x["seq"] for x in pathtree.match_anchors(spark.createDataFrame(anchors, "path long, anchor long, lon double, lat double"), vertices).collect()}
+    assert got == want and None in want.values()
+
+
+def test_long_path(spark):
+    """20,000 points on a path of 20,000 segments: not their product."""
+    began = time.time()
+    path = spark.range(20_001).selectExpr("1L as path", "id as seq", "id / 2000 + 0.01 * sin(id) as lon", "50 + 0.01 * cos(id * 1.7) as lat", "0.0 as alt_m").selectExpr("path", "seq", "cast(lon as double) lon", "cast(lat as double) lat", "cast(alt_m as double) alt_m")
+    points = spark.range(20_000).selectExpr("id", "1L as path", "id / 2000 as plon", "cast(50.02 as double) as plat")
+    assert pathtree.nearest_segment(points, path, "id").count() == 20_000 and time.time() - began < 60
