@@ -150,43 +150,38 @@ def convex_hull(points) -> list[Point]:
 
 
 def offset_convex(poly: list[Point], by: float) -> list[Point]:
-    """Each edge moved outwards by ``by``; neighbours meet again. Empty where edges vanish or run parallel."""
-    n = len(poly)
-    if n < 3 or by <= 0:
+    """Each edge moved outwards by ``by``: a vertex goes along the sum of its edges' normals, as far as brings it to both
+    moved edges. Empty where edges vanish or run parallel."""
+    if len(poly) < 3 or by <= 0:
         return []
-    lines = []
-    for (ax, ay), (bx, by_) in zip(poly, poly[1:] + poly[:1]):
-        length = math.hypot(bx - ax, by_ - ay)
-        if length == 0:
-            return []
-        nx, ny = (by_ - ay) / length, (ax - bx) / length
-        lines.append((nx, ny, nx * ax + ny * ay + by))
-    out = []
-    for (a1, b1, c1), (a2, b2, c2) in zip(lines, lines[1:] + lines[:1]):
-        det = a1 * b2 - a2 * b1
-        if abs(det) < 1e-15:
-            return []
-        out.append(((c1 * b2 - c2 * b1) / det, (a1 * c2 - a2 * c1) / det))
-    return out
+    v = np.asarray(poly, float)
+    edge = np.roll(v, -1, axis=0) - v
+    length = np.hypot(edge[:, 0], edge[:, 1])
+    if not length.all():
+        return []
+    ahead = np.column_stack([edge[:, 1], -edge[:, 0]]) / length[:, None]
+    behind = np.roll(ahead, 1, axis=0)
+    if (np.abs(behind[:, 0] * ahead[:, 1] - behind[:, 1] * ahead[:, 0]) < 1e-15).any():
+        return []
+    out = v + by * (behind + ahead) / (1 + (behind * ahead).sum(1, keepdims=True))
+    return [(float(x), float(y)) for x, y in out]
 
 
 def passes_convex(a: Point, b: Point, poly: list[Point], eps: float = 1e-9) -> bool:
-    """Whether a segment goes through the interior of a counter-clockwise polygon, by more than ``eps``."""
+    """Whether a segment goes through the interior of a counter-clockwise polygon, by more than ``eps``; the same rule as
+    `geometry.segment_through_convex`."""
     if len(poly) < 3:
         return False
-    lo, hi = 0.0, 1.0
-    for p, q in zip(poly, poly[1:] + poly[:1]):
-        start, slope = _side(p, q, a) - eps, (q[0] - p[0]) * (b[1] - a[1]) - (q[1] - p[1]) * (b[0] - a[0])
-        if abs(slope) < 1e-15:
-            if start < 0:
-                return False
-        elif slope > 0:
-            lo = max(lo, -start / slope)
-        else:
-            hi = min(hi, -start / slope)
-        if lo > hi + 1e-12:
-            return False
-    return hi - lo > 1e-12
+    v = np.asarray(poly, float)
+    edge = np.roll(v, -1, axis=0) - v
+    depth = edge[:, 0] * (a[1] - v[:, 1]) - edge[:, 1] * (a[0] - v[:, 0])
+    gain = edge[:, 0] * (b[1] - a[1]) - edge[:, 1] * (b[0] - a[0])
+    flat = np.abs(gain) < 1e-15
+    if (depth[flat] < eps).any():
+        return False
+    at = (eps - depth[~flat]) / gain[~flat]
+    enters, leaves = at[gain[~flat] > 0], at[gain[~flat] < 0]
+    return bool(max(enters.max(initial=0.0), 0.0) <= min(leaves.min(initial=1.0), 1.0) + 1e-12)
 
 
 def shortest(n: int, edges: dict[int, list[tuple[int, float]]], src: int, dst: int) -> list[int] | None:
@@ -227,33 +222,6 @@ def visibility_path(start: Point, goal: Point, obstacles: list[list[Point]], inf
     return ("path", [nodes[i] for i in found]) if found else ("impossible", [])
 
 
-def point_circle_tangents(p: Point, centre: Point, r: float) -> list[Point]:
-    """Points where the tangents from ``p`` touch a circle; none from inside."""
-    dx, dy = p[0] - centre[0], p[1] - centre[1]
-    d2 = dx * dx + dy * dy
-    if d2 <= r * r or r <= 0:
-        return []
-    along, across = r * r / d2, r * math.sqrt(d2 - r * r) / d2
-    return [(centre[0] + along * dx - s * across * dy, centre[1] + along * dy + s * across * dx) for s in (1, -1)]
-
-
-def circle_circle_tangents(c1: Point, r1: float, c2: Point, r2: float) -> list[tuple[Point, Point]]:
-    """Outer, then inner common tangents as pairs of touching points."""
-    dx, dy = c2[0] - c1[0], c2[1] - c1[1]
-    d = math.hypot(dx, dy)
-    out: list[tuple[Point, Point]] = []
-    for sign in (1, -1):
-        gap = r1 - sign * r2
-        if d == 0 or abs(gap) > d:
-            continue
-        base, turn = math.atan2(dy, dx), math.acos(gap / d)
-        for s in (1, -1):
-            a = base + s * turn
-            u = (math.cos(a), math.sin(a))
-            out.append(((c1[0] + r1 * u[0], c1[1] + r1 * u[1]), (c2[0] + sign * r2 * u[0], c2[1] + sign * r2 * u[1])))
-    return out
-
-
 def arc_points(centre: Point, r: float, a0: float, a1: float, step: float) -> list[Point]:
     n = max(1, math.ceil(abs(a1 - a0) / step))
     return [(centre[0] + r * math.cos(a0 + (a1 - a0) * i / n), centre[1] + r * math.sin(a0 + (a1 - a0) * i / n)) for i in range(n + 1)]

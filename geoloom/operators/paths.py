@@ -71,7 +71,9 @@ def validate(points: DataFrame, max_turn_deg: float, min_radius_m: float, max_cl
     short = points.groupBy("path").agg(F.count("*").alias("_n"), F.min("seq").alias("seq")).where("_n < 2")
     out = judged(short, "too_short", F.lit(True), F.lit(False))
     out = out.unionByName(judged(sequence.turn_angles(points), "turn", turn > max_turn_deg + SOFT_TURN_DEG, turn > max_turn_deg))
-    out = out.unionByName(judged(sequence.vertex_radii(points), "radius", radius < min_radius_m * SOFT_RADIUS_RATIO, radius < min_radius_m * 0.99))
+    # An array of one, exploded: the filter on severity is not pushed below the steps of the radius, which it would repeat.
+    radii = sequence.vertex_radii(points).withColumn("radius_m", F.explode(F.array("radius_m")))
+    out = out.unionByName(judged(radii, "radius", radius < min_radius_m * SOFT_RADIUS_RATIO, radius < min_radius_m * 0.99))
     return out.unionByName(judged(sequence.climb_angles(points), "climb", climb > max_climb_deg + SOFT_CLIMB_DEG, climb > max_climb_deg))
 
 

@@ -649,6 +649,17 @@ def anchor_match(spark: SparkSession, sf: str) -> DataFrame:
     return pathtree.match_anchors(a, p.select("path", "seq", F.col("lon").alias("lon2"), F.col("lat").alias("lat2")))
 
 
+@query(
+    _MATCHED + ", d AS (SELECT cust, lon2, lat2, sqrt(pow(lon - lon2, 2) + pow(lat - lat2, 2)) AS d, atan2(lat - lat2, lon - lon2) AS a FROM m), t AS (SELECT *, acos(5.0 / d) AS w FROM d WHERE d > 5) "
+    "SELECT d.cust, " + ", ".join(r_(f"{c}2 + 5.0 * {f}(t.a {sign} w)", f"{name}_{side}", 5) for side, sign in (("left", "+"), ("right", "-")) for c, f, name in (("t.lon", "cos", "x"), ("t.lat", "sin", "y"))) + " FROM d LEFT JOIN t ON t.cust = d.cust",
+    uses="cust supp",
+)
+def circle_tangents(spark: SparkSession, sf: str) -> DataFrame:
+    """Where lines from each customer touch a circle about its supplier."""
+    m = _matched(spark, sf).withColumn("t", G.tangent_points(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"), F.lit(5.0)))
+    return m.select("cust", *[rnd(F.get("t", F.lit(i))[c], f"{c}_{side}", 5) for i, side in enumerate(("left", "right")) for c in "xy"])
+
+
 # --- scenarios ----------------------------------------------------------------------------------------------------
 
 

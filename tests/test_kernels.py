@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -56,13 +57,89 @@ def test_visibility_goes_round():
     assert K.visibility_path((0, 0), (10, 0), [[(4, -1), (6, -1), (6, 1), (4, 1)]], 0.5, 3)[0] == "search_truncated"
 
 
-def test_tangents_touch():
-    for p in K.point_circle_tangents((5, 1), (0, 0), 2):
-        assert abs(math.hypot(*p) - 2) < 1e-12 and abs(p[0] * (5 - p[0]) + p[1] * (1 - p[1])) < 1e-9
-    for (ax, ay), (bx, by) in K.circle_circle_tangents((0, 0), 1, (6, 2), 2):
-        assert abs(ax * (bx - ax) + ay * (by - ay)) < 1e-9
-        assert abs((bx - 6) * (bx - ax) + (by - 2) * (by - ay)) < 1e-9
-    assert len(K.circle_circle_tangents((0, 0), 1, (6, 2), 2)) == 4
+def hull_of(r, n=7):
+    return K.convex_hull([(r.uniform(-5, 5), r.uniform(-5, 5)) for _ in range(n)])
+
+
+def test_offset_moves_every_edge():
+    r = random.Random(3)
+    for _ in range(50):
+        hull, by = hull_of(r), r.uniform(0.1, 2)
+        out = K.offset_convex(hull, by)
+        assert len(out) == len(hull)
+        for (ax, ay), (bx, by_), p, q in zip(hull, hull[1:] + hull[:1], out, out[1:] + out[:1]):
+            for x, y in (p, q):  # both ends of the moved edge lie at that distance from the old one's line
+                assert ((y - ay) * (bx - ax) - (x - ax) * (by_ - ay)) / math.hypot(bx - ax, by_ - ay) == pytest.approx(-by)
+    assert K.offset_convex([(0, 0), (1, 1)], 1) == K.offset_convex([(0, 0), (1, 0), (1, 1)], 0) == K.offset_convex([(0, 0), (0, 0), (1, 1)], 1) == []
+
+
+def deepest(a, b, hull, n=4000):
+    """The depth inside a hull of the deepest of many points of a segment."""
+    best = -math.inf
+    for k in range(n + 1):
+        x, y = a[0] + (b[0] - a[0]) * k / n, a[1] + (b[1] - a[1]) * k / n
+        best = max(best, min((qx - px) * (y - py) - (qy - py) * (x - px) for (px, py), (qx, qy) in zip(hull, hull[1:] + hull[:1])))
+    return best
+
+
+def passing_cases():
+    r = random.Random(4)
+    for _ in range(80):
+        hull, a, b = hull_of(r), (r.uniform(-8, 8), r.uniform(-8, 8)), (r.uniform(-8, 8), r.uniform(-8, 8))
+        if abs(d := deepest(a, b, hull)) > 0.05:  # clear cases: points are sampled
+            yield hull, a, b, d > 0
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    yield square, (0.0, 0.0), (1.0, 0.0), False  # along a side
+    yield square, (2.0, 0.5), (3.0, 0.5), False
+    yield square, (0.2, 0.5), (0.8, 0.5), True  # within
+
+
+def test_passing_against_samples(spark):
+    from pyspark.sql import functions as F
+
+    from geoloom.functions import geometry
+
+    cases = list(passing_cases())
+    assert all(K.passes_convex(a, b, h) == want for h, a, b, want in cases) and 10 < sum(c[3] for c in cases) < len(cases) - 10
+    df = spark.createDataFrame([(i, [list(map(float, v)) for v in h], *a, *b) for i, (h, a, b, _) in enumerate(cases)], "i long, p array<array<double>>, ax double, ay double, bx double, by double")
+    got = {x[0]: x[1] for x in df.select("i", geometry.segment_through_convex(*(F.col(c) for c in ("ax", "ay", "bx", "by")), F.col("p"))).collect()}
+    assert got == {i: c[3] for i, c in enumerate(cases)}
+
+
+def test_circle_interval_against_samples(spark):
+    from pyspark.sql import functions as F
+
+    from geoloom.functions import geometry
+
+    r = random.Random(5)
+    rows = [(i, r.uniform(-1, 1), 50 + r.uniform(-1, 1), r.uniform(-1, 1), 50 + r.uniform(-1, 1), r.uniform(5, 80)) for i in range(100)] + [(100, 0.0, 50.0, 0.0, 50.0, 9.0)]
+    df = spark.createDataFrame(rows, "i long, ax double, ay double, bx double, by double, radius double")
+    iv = geometry.segment_circle_interval(*(F.col(c) for c in ("ax", "ay", "bx", "by")), F.lit(0.0), F.lit(50.0), F.col("radius"))
+    for i, got in df.select("i", iv).collect():
+        _, ax, ay, bx, by, radius = rows[i]
+        k = math.cos(math.radians((ay + by) / 2)) * 111.32
+        reach = radius + max(math.hypot((bx - ax) * k, (by - ay) * 111.32) * 0.005, 1.0)
+        n = [t / 2000 for t in range(2001) if math.hypot((ax + (bx - ax) * t / 2000) * k, (ay + (by - ay) * t / 2000 - 50) * 111.32) < reach] if i < 100 else []
+        if n:
+            assert got and got["t0"] == pytest.approx(min(n), abs=2e-3) and got["t1"] == pytest.approx(max(n), abs=2e-3)
+        else:
+            assert got is None or got["t1"] - got["t0"] < 1e-3
+
+
+def test_tangents_touch(spark):
+    from pyspark.sql import functions as F
+
+    from geoloom.functions import geometry
+
+    df = spark.createDataFrame([(5.0, 1.0, 2.0), (1.0, 0.0, 2.0), (2.0, 0.0, 2.0)], "x double, y double, r double")
+    got = df.select("x", "y", "r", geometry.tangent_points(F.col("x"), F.col("y"), F.lit(0.0), F.lit(0.0), F.col("r")).alias("t"), geometry.common_tangents(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("x"), F.col("y"), F.lit(2.0)).alias("c")).collect()
+    assert len(got[0]["t"]) == 2 and got[1]["t"] is None and got[2]["t"] is None
+    for p in got[0]["t"]:
+        assert abs(math.hypot(p["x"], p["y"]) - 2) < 1e-12 and abs(p["x"] * (5 - p["x"]) + p["y"] * (1 - p["y"])) < 1e-9
+    assert [len(g["c"]) for g in got] == [4, 1, 2]  # apart; touching from inside; overlapping
+    for t in got[0]["c"]:
+        dx, dy = t["bx"] - t["ax"], t["by"] - t["ay"]
+        assert abs(t["ax"] * dx + t["ay"] * dy) < 1e-9 and abs((t["bx"] - 5) * dx + (t["by"] - 1) * dy) < 1e-9
 
 
 def test_simplify_keeps_the_tolerance():
