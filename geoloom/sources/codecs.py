@@ -6,6 +6,7 @@ import hashlib
 import re
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -269,25 +270,29 @@ _TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i",
 
 def tiff_directories(data: bytes) -> list[dict[int, tuple]]:
     """The tags of each image of a classic TIFF file."""
-    need(data[:4] in (b"II*\0", b"MM\0*"), "not a TIFF file")
-    order, out = "<" if data[:2] == b"II" else ">", []
+    return tiff_tags(lambda at, n: data[at : at + n])
+
+
+def tiff_tags(read: Callable[[int, int], bytes]) -> list[dict[int, tuple]]:
+    """The same of a file of which ``read`` gives (offset, length): only its directories are read."""
+    head = read(0, 8)
+    need(head[:4] in (b"II*\0", b"MM\0*"), "not a TIFF file")
+    order, out = "<" if head[:2] == b"II" else ">", []
     try:
-        (at,) = struct.unpack_from(f"{order}I", data, 4)
+        (at,) = struct.unpack_from(f"{order}I", head, 4)
         while at and len(out) < 64:
-            (n,) = struct.unpack_from(f"{order}H", data, at)
-            tags: dict[int, tuple] = {}
+            (n,) = struct.unpack(f"{order}H", read(at, 2))
+            entries, tags = read(at + 2, 12 * n + 4), {}
             for k in range(n):
-                tag, kind, count = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * k)
+                tag, kind, count = struct.unpack_from(f"{order}HHI", entries, 12 * k)
                 code = _TIFF_TYPES.get(kind)
                 if code is None:
                     continue
                 fmt = f"{order}{count}s" if code == "s" else f"{order}{count * len(code)}{code[0]}"
-                place = at + 10 + 12 * k
-                if struct.calcsize(fmt) > 4:
-                    (place,) = struct.unpack_from(f"{order}I", data, place)
-                tags[tag] = struct.unpack_from(fmt, data, place)
+                size, held = struct.calcsize(fmt), entries[12 * k + 8 : 12 * k + 12]
+                tags[tag] = struct.unpack_from(fmt, held if size <= 4 else read(struct.unpack(f"{order}I", held)[0], size))
             out.append(tags | {0: (order,)})
-            (at,) = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)
+            (at,) = struct.unpack_from(f"{order}I", entries, 12 * n)
     except struct.error as e:
         raise FormatError(f"TIFF is cut short: {e}") from e
     return out
@@ -317,53 +322,102 @@ def _lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def read_geotiff(data: bytes, level: int = 0) -> Grid:
-    """Band 0 of one image of a GeoTIFF (strips or tiles; raw, LZW or deflate), with georeference and voids (NaN)."""
-    tags = tiff_directories(data)
+@dataclass
+class TiffLevel:
+    """How one image of a GeoTIFF lies in its file and on the globe; its chunks are strips or tiles."""
+
+    rows: int
+    cols: int
+    high: int
+    wide: int
+    tiled: bool
+    codec: int
+    predictor: int
+    bands: int
+    dtype: np.dtype
+    void: float | None
+    west: float
+    south: float
+    cell_lon: float
+    cell_lat: float
+    #: Whether row 0 is in the south.
+    south_up: bool
+
+    @property
+    def across(self) -> int:
+        return -(-self.cols // self.wide)
+
+    @property
+    def chunks(self) -> int:
+        """Chunks of the first band."""
+        return self.across * -(-self.rows // self.high)
+
+    def place(self, k: int) -> tuple[int, int, int, int]:
+        """First row, first column, rows and columns of a chunk in the image."""
+        r, c = k // self.across * self.high, k % self.across * self.wide
+        return r, c, min(self.high, self.rows - r), min(self.wide, self.cols - c)
+
+    def box(self, k: int) -> tuple[float, float, float, float]:
+        """Centres of the chunk's outermost cells: least and greatest longitude, least and greatest latitude."""
+        r, c, n, m = self.place(k)
+        low = r if self.south_up else self.rows - r - n
+        return self.west + (c + 0.5) * self.cell_lon, self.west + (c + m - 0.5) * self.cell_lon, self.south + (low + 0.5) * self.cell_lat, self.south + (low + n - 0.5) * self.cell_lat
+
+    def decode(self, k: int, raw: bytes) -> np.ndarray:
+        """Band 0 of a chunk, voids NaN, in the image's order of rows."""
+        _, _, n, m = self.place(k)
+        raw = raw if self.codec == 1 else _lzw(raw) if self.codec == 5 else zlib.decompress(raw) if self.codec in (8, 32946) else None
+        need(raw is not None, f"TIFF compression {self.codec} is not read")
+        high, row, size = self.high if self.tiled else n, self.wide * self.bands, self.dtype.itemsize
+        need(len(raw) >= high * row * size, "TIFF chunk is cut short")
+        if self.predictor == 3:
+            b = np.frombuffer(raw, np.uint8, high * row * size).reshape(high, -1)
+            b = np.cumsum(b, axis=1, dtype=np.uint8).reshape(high, size, row)
+            v = np.ascontiguousarray(b.transpose(0, 2, 1)).view(self.dtype.newbyteorder(">"))[..., 0]
+        else:
+            v = np.frombuffer(raw, self.dtype, high * row).reshape(high, row)
+        v = v.reshape(high, self.wide, self.bands)
+        if self.predictor == 2:
+            v = np.cumsum(v, axis=1, dtype=v.dtype.newbyteorder("="))
+        out = v[:n, :m, 0].astype(np.float64)
+        if self.void is not None:
+            out[out == self.void] = np.nan
+        return out
+
+
+def tiff_level(tags: list[dict[int, tuple]], level: int) -> tuple[TiffLevel, tuple, tuple]:
+    """One image of a GeoTIFF, and the offsets and lengths of its chunks."""
     need(level < len(tags), f"no level {level}")
     base, t = tags[0], tags[level]
-    order = t[0][0]
-    try:
-        cols, rows = t[256][0], t[257][0]
-    except KeyError as e:
-        raise FormatError("TIFF without a size") from e
-    bands, bits, kind = t.get(277, (1,))[0], t.get(258, (8,))[0], t.get(339, (1,))[0]
-    dtype = np.dtype(order + {1: "u", 2: "i", 3: "f"}[kind] + str(bits // 8))
+    need(256 in t and 257 in t, "TIFF without a size")
+    cols, rows = t[256][0], t[257][0]
+    bits, kind, planar = t.get(258, (8,))[0], t.get(339, (1,))[0], t.get(284, (1,))[0]
     tiled = 324 in t
-    tw, th = (t[322][0], t[323][0]) if tiled else (cols, t.get(278, (rows,))[0])
-    places, sizes = (t[324], t[325]) if tiled else (t[273], t[279])
-    codec, predictor, planar = t.get(259, (1,))[0], t.get(317, (1,))[0], t.get(284, (1,))[0]
-    out = np.zeros((rows, cols), np.float64)
-    across = -(-cols // tw)
-    own = 1 if planar == 2 else bands
-    for k in range(across * -(-rows // th)):
-        raw = data[places[k] : places[k] + sizes[k]]
-        raw = raw if codec == 1 else _lzw(raw) if codec == 5 else zlib.decompress(raw) if codec in (8, 32946) else None
-        need(raw is not None, f"TIFF compression {codec} is not read")
-        r0, c0 = k // across * th, k % across * tw
-        n = th if tiled else min(th, rows - r0)
-        need(len(raw) >= n * tw * own * dtype.itemsize, "TIFF chunk is cut short")
-        if predictor == 3:
-            b = np.frombuffer(raw, np.uint8, n * tw * own * dtype.itemsize).reshape(n, -1)
-            b = np.cumsum(b, axis=1, dtype=np.uint8).reshape(n, dtype.itemsize, tw * own)
-            v = np.ascontiguousarray(b.transpose(0, 2, 1)).view(dtype.newbyteorder(">"))[..., 0]
-        else:
-            v = np.frombuffer(raw, dtype, n * tw * own).reshape(n, tw * own)
-        v = v.reshape(n, tw, own)
-        if predictor == 2:
-            v = np.cumsum(v, axis=1, dtype=v.dtype.newbyteorder("="))
-        out[r0 : r0 + n, c0 : c0 + tw] = v[: rows - r0, : cols - c0, 0]
-    void = t.get(42113) or base.get(42113)
-    if void:
-        text = void[0].rstrip(b"\0 ").decode("ascii", "replace")
-        out[out == (float(text) if re.fullmatch(r"[-+0-9.eE]+", text) else np.nan)] = np.nan
+    wide, high = (t[322][0], t[323][0]) if tiled else (cols, t.get(278, (rows,))[0])
+    void, mark = None, t.get(42113) or base.get(42113)
+    if mark:
+        text = mark[0].rstrip(b"\0 ").decode("ascii", "replace")
+        void = float(text) if re.fullmatch(r"[-+0-9.eE]+", text) else None
     need(33550 in base and 33922 in base, "GeoTIFF without a georeference")
     sx, sy = base[33550][0] * base[256][0] / cols, base[33550][1] * base[257][0] / rows
     i, j, _, x, y = base[33922][:5]
-    west = x - i * base[33550][0]
     south_up = sy < 0 or south_row_first(base, y, j)
     south = y - j * abs(base[33550][1]) if south_up else y + j * base[33550][1] - rows * sy
-    return Grid(out if south_up else out[::-1], west, south, sx, abs(sy), {"levels": len(tags)})
+    dtype = np.dtype(t[0][0] + {1: "u", 2: "i", 3: "f"}[kind] + str(bits // 8))
+    bands = 1 if planar == 2 else t.get(277, (1,))[0]
+    found = TiffLevel(rows, cols, min(high, rows) if not tiled else high, wide, tiled, t.get(259, (1,))[0], t.get(317, (1,))[0], bands, dtype, void, x - i * base[33550][0], south, sx, abs(sy), south_up)
+    return found, *((t[324], t[325]) if tiled else (t[273], t[279]))
+
+
+def read_geotiff(data: bytes, level: int = 0) -> Grid:
+    """Band 0 of one image of a GeoTIFF (strips or tiles; raw, LZW or deflate), with georeference and voids (NaN)."""
+    tags = tiff_directories(data)
+    t, places, sizes = tiff_level(tags, level)
+    out = np.zeros((t.rows, t.cols), np.float64)
+    for k in range(t.chunks):
+        r, c, n, m = t.place(k)
+        out[r : r + n, c : c + m] = t.decode(k, data[places[k] : places[k] + sizes[k]])
+    return Grid(out if t.south_up else out[::-1], t.west, t.south, t.cell_lon, t.cell_lat, {"levels": len(tags)})
 
 
 def south_row_first(base: dict[int, tuple], y: float, j: float) -> bool:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from geoloom.sources import codecs
 
@@ -93,6 +93,107 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", kind.alias("kind"), "length").orderBy("path")
 
 
+#: Cells that one task of a GeoTIFF decodes, about.
+CELLS_PER_TASK = 1 << 22
+
+
+class GeoTiff(DataSource):
+    """``spark.read.format("geotiff").load(path)``: level, chunk, r, c, lon, lat, h (voids null, row 0 south) of one file.
+
+    The driver reads the file's directories only. Each task reads a few chunks (tiles or strips) by their ranges. Filters
+    on lon and lat drop chunks, filters on level whole images; of several images, without such a filter, the option
+    ``cell_deg`` takes the coarsest whose cell is at most so wide, or else the finest, and level 0 is read without it.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "geotiff"
+
+    def schema(self) -> str:
+        return "level int, chunk int, r int, c int, lon double, lat double, h double"
+
+    def reader(self, schema) -> DataSourceReader:
+        wanted = self.options.get("cell_deg")
+        return GeoTiffReader(self.options["path"], float(wanted) if wanted else None)
+
+
+class Chunks(InputPartition):
+    def __init__(self, level: int, layout: codecs.TiffLevel, chunks: list[tuple[int, int, int]]):
+        self.level, self.layout, self.chunks = level, layout, chunks
+
+
+class GeoTiffReader(DataSourceReader):
+    def __init__(self, path: str, cell_deg: float | None = None):
+        self.path = path if "://" in path or path.startswith("file:") else f"file://{path}"
+        self.cell_deg, self.level = cell_deg, None
+        self.bounds = {"lon": [-np.inf, np.inf], "lat": [-np.inf, np.inf]}
+
+    def pushFilters(self, filters: list[Filter]):
+        for f in filters:
+            name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if name == "level" and isinstance(f, EqualTo) and self.level in (None, f.value):
+                self.level = f.value
+                continue
+            if name in self.bounds:
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.bounds[name][0] = max(self.bounds[name][0], f.value)
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.bounds[name][1] = min(self.bounds[name][1], f.value)
+            yield f  # cells of a chunk that is read still have to be judged
+
+    def _pick(self, tags: list[dict]) -> list[int]:
+        if self.level is not None:
+            return [self.level] if 0 <= self.level < len(tags) else []
+        if self.cell_deg is None:
+            return [0]
+        cells = [codecs.tiff_level(tags, i)[0].cell_lon for i in range(len(tags))]
+        fits = [c for c in cells if c <= self.cell_deg + 1e-12]
+        return [cells.index(max(fits) if fits else min(cells))]
+
+    def partitions(self) -> list[InputPartition]:
+        fs, where = pafs.FileSystem.from_uri(self.path)
+        with fs.open_input_file(where) as f:
+
+            def read(at: int, n: int) -> bytes:
+                f.seek(at)
+                return f.read(n)
+
+            tags = codecs.tiff_tags(read)
+        out: list[InputPartition] = []
+        (w, e), (s, n) = self.bounds["lon"], self.bounds["lat"]
+        for level in self._pick(tags):
+            t, places, sizes = codecs.tiff_level(tags, level)
+            boxes = ((k, t.box(k)) for k in range(t.chunks))
+            wanted = [(k, places[k], sizes[k]) for k, b in boxes if b[1] >= w and b[0] <= e and b[3] >= s and b[2] <= n]
+            each = max(1, CELLS_PER_TASK // (t.wide * t.high))
+            out += [Chunks(level, t, wanted[i : i + each]) for i in range(0, len(wanted), each)]
+        return out or [Chunks(0, None, [])]
+
+    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
+        fs, where = pafs.FileSystem.from_uri(self.path)
+        t = partition.layout
+        with fs.open_input_file(where) as f:
+            for k, at, size in partition.chunks:
+                f.seek(at)
+                h = t.decode(k, f.read(size))
+                r0, c0, n, m = t.place(k)
+                rows = np.arange(r0, r0 + n) if t.south_up else t.rows - 1 - np.arange(r0, r0 + n)
+                for i in range(0, n, max(1, (1 << 18) // m)):  # a strip may be the whole image
+                    part = h[i : i + max(1, (1 << 18) // m)]
+                    r, c, v = np.repeat(rows[i : i + len(part)], m), np.tile(np.arange(c0, c0 + m), len(part)), part.ravel()
+                    cols = [pa.array(np.full(len(r), x), pa.int32()) for x in (partition.level, k)] + [pa.array(r, pa.int32()), pa.array(c, pa.int32())]
+                    cols += [pa.array(t.west + (c + 0.5) * t.cell_lon), pa.array(t.south + (r + 0.5) * t.cell_lat), pa.array(v, mask=np.isnan(v))]
+                    yield pa.record_batch(cols, names=["level", "chunk", "r", "c", "lon", "lat", "h"])
+
+
+def read_geotiff(spark: SparkSession, path: str, cell_deg: float | None = None) -> DataFrame:
+    """Cells (level, chunk, r, c, lon, lat, h) of a GeoTIFF of any size, read by chunks; see `GeoTiff` for what filters do."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(GeoTiff)
+    reader = spark.read.format("geotiff")
+    return (reader if cell_deg is None else reader.option("cell_deg", str(cell_deg))).load(path)
+
+
 class PackedRaster(DataSource):
     """``spark.read.format("packed_raster").load(path)``: block_row, block_col, r, c, h (voids null)."""
 
