@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.functions import scalar as S
-from geoloom.operators import conflicts, intervals, joins, paths, pathtree, profile, raster, sequence, vehicles, zones
+from geoloom.operators import conflicts, intervals, joins, paths, pathtree, profile, pyramid, raster, sequence, vehicles, zones
 from geoloom.plans import derive as D
 from geoloom.runtime import shared_dir, ship
 from geoloom.sources import codecs, georef, readers
@@ -541,6 +541,17 @@ def downsample(spark: SparkSession, sf: str) -> DataFrame:
     return raster.downsample(D.grid(spark, sf), 4).select("r", "c", rnd(F.col("mean"), "mean"), rnd(F.col("void_share"), "void_share"))
 
 
+@query("SELECT level, r >> level AS r, c >> level AS c, count(h) AS n, " + r_("avg(h)", "h") + " FROM grid, (SELECT unnest(range(0, 7))::INT AS level) GROUP BY level, r >> level, c >> level", uses="grid")
+def pyramid_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven levels of the raster, by way of their files: the fourth level's are read by a box, the others whole."""
+    path = shared_dir(spark)
+    pyramid.write(pyramid.build(D.grid(spark, sf), 6, block_levels=2), path, range_levels=3)
+    whole = spark.read.schema("key long, r long, c long, h double, n long, level int, range long").parquet(path).where("level <> 3").drop("range")
+    rows = (D.table(spark, sf, "part").agg(F.max("p_partkey")).first()[0] or 0) // D.GRID_COLS
+    box = pyramid.read_box(spark, path, 3, 0, 0, rows >> 3, (D.GRID_COLS - 1) >> 3, range_levels=3)
+    return whole.unionByName(box).select("level", "r", "c", "n", rnd(F.col("h"), "h"))
+
+
 @query("SELECT r, c, (CASE WHEN h + 100 >= 600 + 300 THEN 'infinity'::FLOAT ELSE 1 END)::FLOAT AS cost FROM grid", uses="grid")
 def ceiling_filter(spark: SparkSession, sf: str) -> DataFrame:
     return raster.ceiling_filter(D.grid(spark, sf).withColumn("cost", F.lit(1.0)), "h", 600.0, 100.0).select("r", "c", "cost")

@@ -1,12 +1,13 @@
-"""Containment by cells, merged point queries and searches of paths by box trees, against brute force."""
+"""Containment by cells, merged point queries, searches of paths by box trees, and pyramids, against brute force."""
 
 import math
 import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from geoloom.operators import intervals, joins, pathtree, paths, profile, zones
+from geoloom.operators import intervals, joins, pathtree, paths, profile, pyramid, zones
 
 
 def star(r, cx, cy, size, n):
@@ -176,3 +177,55 @@ def test_long_path(spark):
     path = spark.range(20_001).selectExpr("1L as path", "id as seq", "id / 2000 + 0.01 * sin(id) as lon", "50 + 0.01 * cos(id * 1.7) as lat", "0.0 as alt_m").selectExpr("path", "seq", "cast(lon as double) lon", "cast(lat as double) lat", "cast(alt_m as double) alt_m")
     points = spark.range(20_000).selectExpr("id", "1L as path", "id / 2000 as plon", "cast(50.02 as double) as plat")
     assert pathtree.nearest_segment(points, path, "id").count() == 20_000 and time.time() - began < 60
+
+
+# --- pyramids ----------------------------------------------------------------------------------------------------
+
+
+def test_morton(spark):
+    r = random.Random(13)
+    cells = [(r.randrange(1 << 31), r.randrange(1 << 31)) for _ in range(200)] + [(0, 0), (0, 1), (1, 0), ((1 << 31) - 1, (1 << 31) - 1)]
+    df = spark.createDataFrame(cells, "r long, c long")
+    key = pyramid.morton(df.r, df.c)
+    for x in df.select("r", "c", key.alias("k"), pyramid._gather(key).alias("c2")).collect():
+        assert x.k == pyramid._morton(x.r, x.c) and x.c2 == x.c
+
+
+@pytest.mark.parametrize("block_levels", [1, 3, 9])
+def test_pyramid(spark, tmp_path, block_levels):
+    r = random.Random(14)
+    cells = {(y, x): None if r.random() < 0.3 else r.uniform(0, 100) for y in range(50) for x in range(70) if r.random() < 0.9}
+    for y in range(8, 16):
+        for x in range(8, 16):
+            cells[y, x] = None  # void on all levels up to the third
+    grid = spark.createDataFrame([(y, x, h) for (y, x), h in cells.items()], "r long, c long, h double")
+    built = pyramid.build(grid, 5, block_levels=block_levels)
+    got = {(x.level, x.r, x.c): (x.h, x.n) for x in built.collect()}
+    want: dict = {}
+    for (y, x), h in cells.items():
+        for level in range(6):
+            want.setdefault((level, y >> level, x >> level), []).append(h)
+    assert set(got) == set(want)
+    for k, hs in want.items():
+        hs = [h for h in hs if h is not None]
+        assert got[k][1] == len(hs) and (got[k][0] is None if not hs else got[k][0] == pytest.approx(sum(hs) / len(hs)))
+    assert got[3, 1, 1] == (None, 0)
+    path = str(tmp_path / "pyramid")
+    pyramid.write(built, path, range_levels=3)
+    box = pyramid.read_box(spark, path, 1, 3, 9, 12, 20, range_levels=3)
+    assert {(x.r, x.c) for x in box.collect()} == {(y, x) for level, y, x in want if level == 1 and 3 <= y <= 12 and 9 <= x <= 20}
+    files = {x[0] for x in box.select(F.input_file_name()).collect()}
+    assert len(files) == 4 and all("level=1/" in f for f in files)  # two by two ranges of eight cells
+    plan = box._jdf.queryExecution().executedPlan().toString()
+    pruned = plan[plan.index("PartitionFilters") :].split("PushedFilters")[0]
+    assert "level" in pruned and "range" in pruned
+
+
+def test_pyramid_is_one_shuffle(spark):
+    grid = spark.range(1000).selectExpr("id div 32 as r", "id % 32 as c", "cast(id as double) as h")
+    plan = pyramid.build(grid, 4).where("level = 4")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_level_for():
+    assert [pyramid.level_for(w, 0.5, 4) for w in (0, 0.2, 0.5, 0.9, 1.0, 3.9, 4.0, 99)] == [0, 0, 0, 0, 1, 2, 3, 4]
