@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.functions.geometry import edges
 from geoloom.functions.scalar import cross
 from geoloom.operators import intervals, paths, pathtree, sequence
+from geoloom.runtime import materialize, release
 
 #: Metres kept above or below a band, over terrain, and the slack on the way to a level.
 BAND_GAP_M, TERRAIN_GAP_M, CLIMB_SLACK = 500.0, 100.0, 1.25
@@ -65,15 +66,46 @@ def terrain_along(points: DataFrame, grid: DataFrame, west: float, south: float,
     return at.join(grid.select("r", "c", "h"), ["r", "c"], "left").groupBy("path", "seq").agg(F.max("h").alias("terrain_max"))
 
 
-def clearance_points(points: DataFrame, grid: DataFrame, west: float, south: float, cell: float, clearance_m: float, every_m: float = 250.0, most: int = 64) -> DataFrame:
-    """One pass of raising paths over terrain: for each segment that comes too low its worst sample, lifted to clear:
-    path, seq (the segment), t, alt_m."""
-    dense = paths.densify(points, every_m, 2, most)
-    n = F.max("i").over(Window.partitionBy("path", "seq"))
-    at = dense.withColumn("t", F.col("i") / n).withColumn("r", F.floor((F.col("lat") - south) / cell)).withColumn("c", F.floor((F.col("lon") - west) / cell))
-    low = at.join(grid.select("r", "c", "h"), ["r", "c"]).withColumn("gap", F.col("h") + clearance_m - F.col("alt_m")).where("gap > 0")
-    worst = low.groupBy("path", "seq").agg(F.max(F.struct("gap", (-F.col("t")).alias("t"), (F.col("h") + clearance_m).alias("alt_m"))).alias("w"))
-    return worst.select("path", "seq", (-F.col("w.t")).alias("t"), F.col("w.alt_m").alias("alt_m"))
+#: Metres by which a sample may be below its clearance, for rounding.
+CLEARANCE_SLACK_M = 1e-6
+
+
+def clear_terrain(points: DataFrame, grid: DataFrame, west: float, south: float, cell: float, clearance_m: float, every_m: float = 250.0) -> DataFrame:
+    """``points`` with points put in where a segment comes lower than ``clearance_m`` over the cells under it, in rounds until
+    none does: path, seq (renumbered from 0), lon, lat, alt_m, added.
+
+    Segments are sampled every ``every_m`` metres, however long, and meet the grid once. In each round every stretch gets
+    one point at its worst sample, lifted to clear it, and is cut in two there; only the samples of stretches that were
+    cut go on, with the two halves' heights, so a round costs what is still too low, and independent peaks are found side
+    by side. Ends stay as they are. Cells without a height ask for nothing; of equally bad samples the first counts.
+    """
+    s = sequence.with_segments(points).withColumn("n", F.greatest(F.ceil(sequence.segment_length() / every_m), F.lit(2)).cast("int"))
+    at = s.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n") - 1))).withColumn("t", F.col("i") / F.col("n"))
+    at = at.withColumn("r", F.floor((F.col("lat") + (F.col("lat2") - F.col("lat")) * F.col("t") - south) / cell)).withColumn("c", F.floor((F.col("lon") + (F.col("lon2") - F.col("lon")) * F.col("t") - west) / cell))
+    floor = grid.where(F.col("h").isNotNull()).select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), (F.col("h") + clearance_m).alias("floor"))
+    held = at.join(floor, ["r", "c"]).select("path", "seq", "t", "floor", F.lit(0.0).alias("u"), F.col("alt_m").cast("double").alias("hu"), F.lit(1.0).alias("v"), F.col("alt2").cast("double").alias("hv"))
+    gap = F.col("floor") - (F.col("hu") + (F.col("hv") - F.col("hu")) * (F.col("t") - F.col("u")) / (F.col("v") - F.col("u")))
+    held, cuts = materialize(held), []
+    while True:
+        low = held.withColumn("gap", gap).where(F.col("gap") > CLEARANCE_SLACK_M)
+        worst = low.groupBy("path", "seq", "u").agg(F.max(F.struct("gap", (-F.col("t")).alias("less"), "floor")).alias("w"))
+        worst = materialize(worst.select("path", "seq", "u", (-F.col("w.less")).alias("wt"), F.col("w.floor").alias("wh")))
+        if worst.isEmpty():
+            break
+        cuts.append(worst.select("path", "seq", "wt", "wh"))
+        met = held.join(worst, ["path", "seq", "u"]).where("t <> wt")
+        before = F.col("t") < F.col("wt")
+        half = met.select("path", "seq", "t", "floor", *[F.when(before, F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in (("u", "u", "wt"), ("hu", "hu", "wh"), ("v", "wt", "v"), ("hv", "wh", "hv"))])
+        new = materialize(half)
+        release(held)
+        held = new
+    own = points.select("path", "seq", F.lit(0.0).alias("_t"), "lon", "lat", F.col("alt_m").cast("double").alias("alt_m"), F.lit(False).alias("added"))
+    for c in cuts:
+        t = F.col("wt")
+        made = c.join(s.select("path", "seq", "lon", "lat", "lon2", "lat2"), ["path", "seq"])
+        own = own.unionByName(made.select("path", "seq", t.alias("_t"), (F.col("lon") + (F.col("lon2") - F.col("lon")) * t).alias("lon"), (F.col("lat") + (F.col("lat2") - F.col("lat")) * t).alias("lat"), F.col("wh").alias("alt_m"), F.lit(True).alias("added")))
+    w = Window.partitionBy("path").orderBy("seq", "_t")
+    return own.select("path", (F.row_number().over(w) - 1).cast("long").alias("seq"), "lon", "lat", "alt_m", "added")
 
 
 def height_on_path(points: DataFrame, path: DataFrame, key: str) -> DataFrame:
