@@ -61,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir))
+        given, docs = docs, common.materialize(stage(spark, docs, sf_dir))
+        common.release(given)  # only the last stage's rows stay
     return docs
