@@ -21,20 +21,43 @@ Point = tuple[float, float]
 
 def fast_march(cost: np.ndarray, src: tuple[int, int]) -> np.ndarray:
     """Arrival times (float32, infinite where unreached) of a front from ``src`` through costs, by upwind updates on the
-    four neighbours; cells of equal time are settled in order of their index. The field has a rim of walls, so that no
-    neighbour needs a test of bounds, and ``settled`` holds times of settled cells only, so none needs a flag."""
+    four neighbours; cells of equal time are settled in order of their index."""
     rows, cols = cost.shape
     if not (rows and cols and 0 <= src[0] < rows and 0 <= src[1] < cols):
         return np.full((rows, cols), np.inf, np.float32)
+    return march(cost.astype(np.float32), src).astype(np.float32)
+
+
+def march(cost: np.ndarray, src: tuple[int, int] | None, rim: np.ndarray | None = None) -> np.ndarray:
+    """Arrival times (double) from ``src``, and from known times on a ``rim`` of one cell round the field (infinite where none
+    are). The rim's cells are walls otherwise, so that no neighbour needs a test of bounds; ``settled`` holds times of
+    settled cells only, so none needs a flag. A rim's time that comes too late for a cell does not change its update."""
+    rows, cols = cost.shape
     inf, wide, root = math.inf, cols + 2, math.sqrt
     padded = np.full((rows + 2, wide), inf)
-    padded[1:-1, 1:-1] = cost.astype(np.float32)
-    start = (src[0] + 1) * wide + src[1] + 1
-    padded.ravel()[start] = 0.0  # the source is settled whatever it costs
+    padded[1:-1, 1:-1] = cost
+    settled, best = [inf] * padded.size if rim is None else rim.ravel().tolist(), [inf] * padded.size
+    heap, pop, push = [], heapq.heappop, heapq.heappush
+    if src is not None:
+        start = (src[0] + 1) * wide + src[1] + 1
+        padded.ravel()[start] = 0.0  # the source is settled whatever it costs
+        best[start] = 0.0
+        heap.append((0.0, start))
     costs = padded.ravel().tolist()
-    settled, best = [inf] * len(costs), [inf] * len(costs)
-    best[start] = 0.0
-    heap, pop, push = [(0.0, start)], heapq.heappop, heapq.heappush
+
+    def update(n: int, w: float) -> float:
+        a, b = min(settled[n - wide], settled[n + wide]), min(settled[n - 1], settled[n + 1])
+        low, gap = (a, b - a) if a < b else (b, a - b)
+        return low + w if gap >= w else low + (gap + root(2 * w * w - gap * gap)) / 2
+
+    if rim is not None:
+        edge = np.zeros((rows + 2, wide), bool)
+        for there, here in (((0, slice(None)), (1, slice(None))), ((-1, slice(None)), (-2, slice(None))), ((slice(None), 0), (slice(None), 1)), ((slice(None), -1), (slice(None), -2))):
+            edge[here] |= np.isfinite(rim[there])
+        for n in np.flatnonzero(edge & np.isfinite(padded)).tolist():
+            if (new := update(n, costs[n])) < best[n]:
+                best[n] = new
+                push(heap, (new, n))
     around = (-wide, wide, -1, 1)
     while heap:
         at, i = pop(heap)
@@ -57,7 +80,7 @@ def fast_march(cost: np.ndarray, src: tuple[int, int]) -> np.ndarray:
             if new < best[n]:
                 best[n] = new
                 push(heap, (new, n))
-    return np.array(settled).reshape(rows + 2, wide)[1:-1, 1:-1].astype(np.float32)
+    return np.array(settled).reshape(rows + 2, wide)[1:-1, 1:-1]
 
 
 def straighten(cells: list[tuple[int, int]], blocked: np.ndarray) -> list[tuple[int, int]]:
