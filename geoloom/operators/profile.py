@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.geometry import edges
-from geoloom.functions.scalar import cross
+from geoloom.functions.scalar import EARTH_RADIUS_M, cross
 from geoloom.operators import intervals, paths, pathtree, sequence
 from geoloom.runtime import materialize, release
 
@@ -161,6 +165,35 @@ def cluster_along(points: DataFrame, gap_m: float) -> DataFrame:
     return marked.groupBy("path", "cluster").agg(F.min("along_m").alias("first_m"), F.max("along_m").alias("last_m"), F.count("*").alias("n"))
 
 
+def greedy_clusters(points: DataFrame, key: str, radius_m: float) -> DataFrame:
+    """(key, cluster, lon, lat): centres of each key's points (key, lon, lat; nulls are left out), numbered from 0. Points
+    are taken by longitude, then latitude; one within ``radius_m`` of a centre belongs to it, else it is a centre. An ordered fold
+    over the sorted stream of a task: it holds a key's centres, in a grid as wide as the radius, but no group."""
+    kind = points.schema[key].dataType.simpleString()
+    wide = max(2 * math.sin(min(radius_m / EARTH_RADIUS_M, math.pi) / 2), 1e-9)  # as a chord of the unit sphere
+
+    def run(batches):
+        name, grid, n = None, {}, 0
+        for pdf in batches:
+            out = []
+            lam, phi = np.radians(pdf["lon"].to_numpy(float)), np.radians(pdf["lat"].to_numpy(float))
+            xyz = np.column_stack([np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)])
+            cells = np.floor(xyz / wide).astype(np.int64).tolist()
+            for k, lon, lat, l, f, (x, y, z) in zip(pdf[key].tolist(), pdf["lon"].tolist(), pdf["lat"].tolist(), lam.tolist(), phi.tolist(), cells):
+                if k != name:
+                    name, grid, n = k, {}, 0
+                near = (c for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) for d in (z - 1, z, z + 1) for c in grid.get((a, b, d), ()))
+                if any(2 * EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(math.sin((f - g) / 2) ** 2 + math.cos(f) * math.cos(g) * math.sin((l - m) / 2) ** 2))) <= radius_m for m, g in near):
+                    continue
+                grid.setdefault((x, y, z), []).append((l, f))
+                out.append((k, n, lon, lat))
+                n += 1
+            yield pd.DataFrame(out, columns=[key, "cluster", "lon", "lat"])
+
+    known = points.select(key, F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).dropna().distinct()
+    return known.repartition(key).sortWithinPartitions(key, "lon", "lat").mapInPandas(run, f"{key} {kind}, cluster long, lon double, lat double")
+
+
 def build_mask(edges_: DataFrame, rows: int, cols: int) -> DataFrame:
     """Mask segments (row, class, c0, c1) from coast polygons given by edges (polygon, level, ax, ay, bx, by in cells):
     land is what the land levels cover less the others; lakes are where the two overlap."""

@@ -86,10 +86,27 @@ def anchor_interpolate(points: DataFrame, anchor: str, at: str, floor: Column |
 
 
 def drop_repeats(points: DataFrame, eps: float = 1e-12) -> DataFrame:
-    """Points that differ from the one before by more than ``eps`` in some coordinate, renumbered from 0."""
-    same = (F.abs(F.col("lon") - prv("lon")) <= eps) & (F.abs(F.col("lat") - prv("lat")) <= eps) & (F.abs(F.col("alt_m") - prv("alt_m")) <= eps)
-    p = points.withColumn("_same", F.coalesce(same, F.lit(False))).where("NOT _same").drop("_same")
-    return p.withColumn("seq", F.row_number().over(along()) - 1)
+    """Points that are at least ``eps`` from the last one kept in longitude or latitude, renumbered from 0; a point with a null
+    coordinate stays. What comes far enough from the one before it stays whatever came earlier, so a path falls into
+    runs that do not depend on each other, most of one point; an ordered fold goes through each."""
+    rest = [c for c in points.columns if c not in ("path", "seq")]
+    apart = lambda lon, lat, lon2, lat2: F.greatest(F.abs(lon - lon2), F.abs(lat - lat2))
+    step = F.when(prv("lon").isNotNull() & prv("lat").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull(), apart(F.col("lon"), F.col("lat"), prv("lon"), prv("lat")))
+    # Equal neighbours first, so that a run without a move is one point and not an array.
+    p = points.withColumn("_step", step).where("_step IS NULL OR _step > 0").drop("_step").withColumn("_step", step)
+    # One within eps of what was kept, and one more than 2 eps from that: the latter is more than eps from what was kept.
+    new = F.when(F.col("_step") <= 2.5 * eps, 0).otherwise(1)
+    p = p.withColumn("_run", F.sum(new).over(along().rowsBetween(Window.unboundedPreceding, 0)))
+    runs = p.groupBy("path", "_run").agg(F.array_sort(F.collect_list(F.struct("seq", *rest))).alias("_all"))
+
+    def keep(kept: Column, v: Column) -> Column:
+        last = F.element_at(kept, -1)
+        return F.when(apart(v["lon"], v["lat"], last["lon"], last["lat"]) < eps, kept).otherwise(F.array_append(kept, v))
+
+    one = F.size("_all") == 1
+    kept = F.when(one, F.col("_all")).otherwise(F.aggregate(F.slice("_all", 2, F.size("_all")), F.slice("_all", 1, 1), keep))
+    out = runs.select("path", F.inline(kept))
+    return out.withColumn("seq", (F.row_number().over(along()) - 1).cast("long")).select(*points.columns)
 
 
 def delta_encode(df: DataFrame, value: str, key: str, order: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.functions import scalar as S
-from geoloom.operators import conflicts, intervals, joins, paths, pathtree, profile, pyramid, raster, sequence, vehicles, zones
+from geoloom.operators import blocks, conflicts, intervals, joins, paths, pathtree, profile, pyramid, raster, sequence, vehicles, zones
 from geoloom.plans import derive as D
 from geoloom.runtime import shared_dir, ship
 from geoloom.sources import codecs, georef, readers
@@ -74,8 +74,8 @@ def radius_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def _matched(spark: SparkSession, sf: str) -> DataFrame:
     """Every customer with one supplier, by key."""
-    n = D.suppliers(spark, sf)
-    return D.customers(spark, sf).withColumn("supp", F.col("cust") % n.count()).join(n, "supp")
+    supp = D.suppliers(spark, sf)
+    return D.customers(spark, sf).withColumn("supp", F.col("cust") % supp.agg(F.count("*")).scalar()).join(supp, "supp")
 
 
 _MATCHED = "+m AS (SELECT * FROM (SELECT *, cust % (SELECT count(*) FROM supp) AS k FROM cust) JOIN supp ON supp = k) "
@@ -307,12 +307,19 @@ def tile_cover(spark: SparkSession, sf: str) -> DataFrame:
     return joins.tile_cover(b, 2.5).select("supp", "tile_col", "tile_row")
 
 
+def _last_row(spark: SparkSession, sf: str) -> Column:
+    """The raster's last row."""
+    return D.grid(spark, sf).agg(F.max("r")).scalar()
+
+
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    """A place on the raster for every customer, over all its rows."""
     k = F.col("c_custkey")
-    return D.table(spark, sf, "customer").select(k.alias("cust"), ((k * 7919 % 2900) / F.lit(100.0)).alias("y"), ((k * 104729 % 6400) / F.lit(100.0)).alias("x"))
+    return D.table(spark, sf, "customer").select(k.alias("cust"), ((k * 7919 % (F.greatest(_last_row(spark, sf), F.lit(1)) * 100)) / F.lit(100.0)).alias("y"), ((k * 104729 % 6400) / F.lit(100.0)).alias("x"))
 
 
-_SAMPLES = "s AS (SELECT c_custkey AS cust, ((c_custkey * 7919) % 2900)::DOUBLE / 100 AS y, ((c_custkey * 104729) % 6400)::DOUBLE / 100 AS x FROM customer)"
+_LAST_ROW = "(SELECT max(p_partkey) // 64 FROM part)"
+_SAMPLES = f"s AS (SELECT c_custkey AS cust, ((c_custkey * 7919) % (greatest({_LAST_ROW}, 1) * 100))::DOUBLE / 100 AS y, ((c_custkey * 104729) % 6400)::DOUBLE / 100 AS x FROM customer)"
 _CORNERS = " ".join(f"LEFT JOIN grid g{i}{j} ON g{i}{j}.r = floor(y) + {i} AND g{i}{j}.c = floor(x) + {j}" for i in (0, 1) for j in (0, 1))
 
 
@@ -552,6 +559,22 @@ def pyramid_levels(spark: SparkSession, sf: str) -> DataFrame:
     return whole.unionByName(box).select("level", "r", "c", "n", rnd(F.col("h"), "h"))
 
 
+#: The raster as a Mercator image of cells of 1 km, drawn on longitudes and latitudes.
+_IMAGE_X, _IMAGE_Y, _IMAGE_CELL = 11_131_949.0, 3_990_000.0, 1000.0
+_LON, _LAT, _DLON, _DLAT, _NX = 99.9913, 33.7207, 0.0067, 0.0037, 96
+_PLACES = f"dim AS (SELECT max(r) + 1 AS n FROM grid), p AS (SELECT j, i, n, ({_IMAGE_Y} - 6378137.0 * ln(tan(pi() / 4 + radians({_LAT} - j * {_DLAT}) / 2))) / {_IMAGE_CELL} AS y, (6378137.0 * radians({_LON} + i * {_DLON}) - {_IMAGE_X}) / {_IMAGE_CELL} AS x FROM dim, unnest(range(0, 2 * n)) AS a(j), unnest(range(0, {_NX})) AS b(i)), q AS (SELECT *, floor(y) AS r0, floor(x) AS c0, least(floor(y) + 1, n - 1) AS r1, least(floor(x) + 1, 63) AS c1, y BETWEEN 0 AND n - 1 AND x BETWEEN 0 AND 63 AS inside FROM p)"
+_FOUR = " ".join(f"LEFT JOIN grid g{i}{j} ON inside AND g{i}{j}.r = r{i} AND g{i}{j}.c = c{j}" for i in (0, 1) for j in (0, 1))
+
+
+@query(f"+{_PLACES} SELECT j, i, " + r_("(g00.h + (g01.h - g00.h) * (x - c0)) + ((g10.h + (g11.h - g10.h) * (x - c0)) - (g00.h + (g01.h - g00.h) * (x - c0))) * (y - r0)", "height", 4) + f" FROM q {_FOUR}", uses="grid")
+def image_warp(spark: SparkSession, sf: str) -> DataFrame:
+    grid = D.grid(spark, sf)
+    rows = (grid.agg(F.max("r")).first()[0] or 0) + 1
+    image = blocks.to_blocks(grid, ["h"], 32)
+    drawn = blocks.warp(image, (rows, D.GRID_COLS), (_IMAGE_X, _IMAGE_Y), (_IMAGE_CELL, _IMAGE_CELL), (_LON, _LAT, _DLON, _DLAT, _NX, 2 * rows), "web_mercator", block=32)
+    return blocks.target_cells(drawn, _NX, 2 * rows, 32).select("j", "i", rnd(F.col("value"), "height", 4))
+
+
 @query("SELECT r, c, (CASE WHEN h + 100 >= 600 + 300 THEN 'infinity'::FLOAT ELSE 1 END)::FLOAT AS cost FROM grid", uses="grid")
 def ceiling_filter(spark: SparkSession, sf: str) -> DataFrame:
     return raster.ceiling_filter(D.grid(spark, sf).withColumn("cost", F.lit(1.0)), "h", 600.0, 100.0).select("r", "c", "cost")
@@ -586,13 +609,13 @@ def bbox_region(spark: SparkSession, sf: str) -> DataFrame:
     return b.select(rnd(x - h, "min_lon"), rnd(x + h, "max_lon"), rnd(y - h, "min_lat"), rnd(y + h, "max_lat"))
 
 
-_RAYS = "ray AS (SELECT c_custkey AS cust, ((c_custkey * 7919) % 28)::DOUBLE + 0.3 AS y1, ((c_custkey * 31) % 60)::DOUBLE + 0.4 AS x1, ((c_custkey * 104729) % 28)::DOUBLE + 0.6 AS y2, ((c_custkey * 17) % 60)::DOUBLE + 0.7 AS x2, 900.0 + c_custkey % 300 AS z1, 700.0 + c_custkey % 400 AS z2 FROM customer)"
+_RAYS = f"ray AS (SELECT c_custkey AS cust, ((c_custkey * 7919) % ({_LAST_ROW} + 1))::DOUBLE + 0.3 AS y1, ((c_custkey * 31) % 60)::DOUBLE + 0.4 AS x1, ((c_custkey * 104729) % ({_LAST_ROW} + 1))::DOUBLE + 0.6 AS y2, ((c_custkey * 17) % 60)::DOUBLE + 0.7 AS x2, 900.0 + c_custkey % 300 AS z1, 700.0 + c_custkey % 400 AS z2 FROM customer)"
 
 
 @query(f"+{_RAYS} SELECT cust, bool_or(coalesce(z1 + (z2 - z1) * (i / 24.0) <= h, false)) AS blocked FROM ray, unnest(range(1, 25)) AS t(i) LEFT JOIN grid ON r = floor(y1 + (y2 - y1) * (i / 24.0)) AND c = floor(x1 + (x2 - x1) * (i / 24.0)) GROUP BY cust", uses="grid")
 def line_of_sight(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("c_custkey")
-    rays = D.table(spark, sf, "customer").select(k.alias("cust"), (k * 7919 % 28 + F.lit(0.3)).alias("y1"), (k * 31 % 60 + F.lit(0.4)).alias("x1"), (k * 104729 % 28 + F.lit(0.6)).alias("y2"), (k * 17 % 60 + F.lit(0.7)).alias("x2"), (F.lit(900.0) + k % 300).alias("z1"), (F.lit(700.0) + k % 400).alias("z2"))
+    k, rows = F.col("c_custkey"), _last_row(spark, sf) + 1
+    rays = D.table(spark, sf, "customer").select(k.alias("cust"), (k * 7919 % rows + F.lit(0.3)).alias("y1"), (k * 31 % 60 + F.lit(0.4)).alias("x1"), (k * 104729 % rows + F.lit(0.6)).alias("y2"), (k * 17 % 60 + F.lit(0.7)).alias("x2"), (F.lit(900.0) + k % 300).alias("z1"), (F.lit(700.0) + k % 400).alias("z2"))
     return raster.line_of_sight(rays, D.grid(spark, sf), 24, "cust")
 
 
@@ -717,6 +740,14 @@ def fmm_arrival(spark: SparkSession, sf: str) -> DataFrame:
     return paths.arrivals(f, _ends(f))
 
 
+@query()
+def fmm_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole raster as one field, in blocks of 32 x 32."""
+    whole = _fields(spark, sf).select(F.lit(0).alias("field"), (F.col("field") * 16 + F.col("r")).alias("r"), "c", "cost")
+    source = spark.range(1).select(F.lit(0).alias("field"), F.lit(1).alias("src_r"), F.lit(1).alias("src_c"))
+    return blocks.arrivals_by_block(whole, source, 32)[0]
+
+
 @query()
 def backtrace(spark: SparkSession, sf: str) -> DataFrame:
     f = _fields(spark, sf)
@@ -809,6 +840,22 @@ def failure_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return profile.cluster_along(p, 60_000.0)
 
 
+_REACH_M = 1_500_000.0
+
+
+@query("+o AS (SELECT nation, lon, lat, row_number() OVER (PARTITION BY nation ORDER BY lon, lat) AS i FROM (SELECT DISTINCT nation, lon, lat FROM cust)), f AS (SELECT nation, i, [{'lon': lon, 'lat': lat}] AS cs FROM o WHERE i = 1 UNION ALL SELECT o.nation, o.i, CASE WHEN len(list_filter(f.cs, lambda c: " + D.haversine_sql("c.lon", "c.lat", "o.lon", "o.lat") + f" <= {_REACH_M})) > 0 THEN f.cs ELSE list_append(f.cs, {{'lon': o.lon, 'lat': o.lat}}) END FROM f JOIN o ON o.nation = f.nation AND o.i = f.i + 1) SELECT nation, k - 1 AS cluster, cs[k].lon AS lon, cs[k].lat AS lat FROM (SELECT nation, cs, unnest(range(1, len(cs) + 1)) AS k FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY i DESC) AS back FROM f) WHERE back = 1)", uses="cust")
+def greedy_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.greedy_clusters(D.customers(spark, sf), "nation", _REACH_M)
+
+
+_FAR = "greatest(abs(p.lon - f.x), abs(p.lat - f.y)) >= 0.1505"
+
+
+@query(f"+f AS (SELECT path, seq, lon, lat, alt_m, lon AS x, lat AS y, true AS keep FROM pts WHERE seq = 1 UNION ALL SELECT p.path, p.seq, p.lon, p.lat, p.alt_m, CASE WHEN {_FAR} THEN p.lon ELSE f.x END, CASE WHEN {_FAR} THEN p.lat ELSE f.y END, {_FAR} FROM f JOIN pts p ON p.path = f.path AND p.seq = f.seq + 1) SELECT path, row_number() OVER (PARTITION BY path ORDER BY seq) - 1 AS seq, lon, lat, alt_m FROM f WHERE keep", uses="pts")
+def drop_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return sequence.drop_repeats(D.points(spark, sf), 0.1505)
+
+
 @query("+nd AS (SELECT *, least(greatest(ceil(" + D.haversine_sql("lon", "lat", "lon2", "lat2") + " / 20000), 2), 8)::INT AS n FROM seg), sm AS (SELECT path, seq, floor((lat + (lat2 - lat) * (i / n::DOUBLE) - 30) / 0.0371) AS r, floor((lon + (lon2 - lon) * (i / n::DOUBLE) - 100) / 0.0371) AS c FROM nd, unnest(range(1, n + 1)) AS t(i)) SELECT path, seq, max(h) AS terrain_max FROM sm LEFT JOIN grid ON grid.r = sm.r AND grid.c = sm.c GROUP BY path, seq", uses="pts seg grid")
 def max_terrain(spark: SparkSession, sf: str) -> DataFrame:
     return profile.terrain_along(D.points(spark, sf), D.grid(spark, sf), 100.0, 30.0, 0.0371, 20_000.0, 8)

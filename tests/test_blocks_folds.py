@@ -1,12 +1,13 @@
 """Block rasters, images drawn in other coordinates, fields marched by block, and ordered folds, against brute force."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import blocks, kernels, paths
+from geoloom.operators import blocks, kernels, paths, profile, sequence
 from geoloom.runtime import ship
 
 
@@ -108,3 +109,51 @@ def test_fields_by_blocks_beside_each_other(spark):
     assert all(g == pytest.approx(want[k], rel=1e-5) for k, g in got.items())
     none, solves = blocks.arrivals_by_block(f.limit(0), s, 5)
     assert none.count() == 0 and solves == []
+
+
+def last_kept(points, eps):
+    out = []
+    for p in points:
+        if not out or None in (p[0], p[1], out[-1][0], out[-1][1]) or abs(p[0] - out[-1][0]) >= eps or abs(p[1] - out[-1][1]) >= eps:
+            out.append(p)
+    return out
+
+
+def test_repeats_are_those_of_the_last_kept_point(spark):
+    """Slow drift, jitter, parked stretches, jumps there and back, and nulls; each compared with the last point kept."""
+    r = random.Random(8)
+    tracks = {1: [(0.0, 0.0)] * 50 + [(1.0, 1.0)], 2: [(i * 0.4, 0.0) for i in range(200)], 3: [(5.0, 5.0)], 5: [(0.0, 0.0), (None, 0.0), (0.0, 0.0), (0.0, None), (0.0, None), (0.2, 0.1)]}
+    x = y = 0.0
+    tracks[4] = []
+    for _ in range(3_000):
+        kind = r.random()
+        x, y = (x, y) if kind < 0.3 else (x + r.uniform(-1.2, 1.2), y + r.uniform(-1.2, 1.2)) if kind < 0.9 else (x + r.uniform(-9, 9), y)
+        tracks[4].append((x, y))
+    rows = [(k, i * 3, a, b, float(i)) for k, t in tracks.items() for i, (a, b) in enumerate(t)]
+    r.shuffle(rows)
+    got = {}
+    for v in sequence.drop_repeats(spark.createDataFrame(rows, "path long, seq long, lon double, lat double, alt_m double"), 1.0).orderBy("path", "seq").collect():
+        got.setdefault(v["path"], []).append((v["seq"], v["lon"], v["lat"], v["alt_m"]))
+    for k, t in tracks.items():
+        want = last_kept([(a, b, float(i)) for i, (a, b) in enumerate(t)], 1.0)
+        assert got[k] == [(i, *w) for i, w in enumerate(want)], k
+
+
+def test_greedy_clusters_equal_the_fold(spark):
+    """Over the date line and the poles, in dense spots, with repeats and nulls; a key of many points on few batches."""
+    ship(spark)
+    r = random.Random(4)
+    rows = [(k, r.uniform(-180, 180), r.uniform(-90, 90)) for k in (1, 2) for _ in range(1_500)]
+    rows += [(3, r.choice([-180.0, 179.99, 0.0]) + r.uniform(0, 0.01), r.choice([89.999, -89.9995, 10.0])) for _ in range(800)]
+    rows += [(4, 7.0, 8.0)] * 50 + [(5, None, 1.0), (None, 1.0, 1.0)]
+    radius = 700_000.0
+    got = [tuple(v) for v in profile.greedy_clusters(spark.createDataFrame(rows, "k long, lon double, lat double"), "k", radius).collect()]
+    want = []
+    for k in (1, 2, 3, 4):
+        centres = []
+        for _, lon, lat in sorted(v for v in rows if v[0] == k):
+            a, b = math.radians(lon), math.radians(lat)
+            if not any(2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(math.sin((b - d) / 2) ** 2 + math.cos(b) * math.cos(d) * math.sin((a - c) / 2) ** 2))) <= radius for c, d in centres):
+                want.append((k, len(centres), lon, lat))
+                centres.append((a, b))
+    assert sorted(got) == want
