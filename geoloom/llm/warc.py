@@ -33,6 +33,8 @@ from geoloom.llm import common
 
 ARCHIVE_BYTES = 64 << 20
 INDEX_ROWS_PER_TASK = 200_000
+#: Compressed bytes of records that a task reads back.
+READ_BYTES_PER_TASK = 256 << 20
 MIN_REVISIT_BYTES = 0
 #: Captures without a time of their own are dated by page id, in seconds after this instant.
 EPOCH = datetime.datetime(2024, 1, 1)
@@ -231,7 +233,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     record_type, refers_to, payload (of responses). The digest of a response is computed from what was read."""
     spark = index.sparkSession
     common.ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = common.tasks_for(spark, index.agg(F.sum("length")).first()[0] or 0, READ_BYTES_PER_TASK)
     dealt = index.select("file", "offset", "length", "url_key", "ts").repartition(n, "file").sortWithinPartitions("file", "offset")
 
     def read(batches):
