@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry
-from geoloom.operators import joins
+from geoloom.functions.scalar import EARTH_RADIUS_M
+from geoloom.operators import joins, pathtree, sequence
 from geoloom.runtime import materialize
 
 #: The cell of level 0 in degrees, and its corner, away from round numbers so that few vertices lie on sides of cells.
@@ -206,3 +207,41 @@ def zones_containing(points: DataFrame, zones: DataFrame, key: str, cell_deg: fl
     found = round_.unionByName(polygons_containing(own, zones.where("shape = 'polygon'").select("zone", "polygon"), key))
     met = found.join(own.select(key, "alt_m"), key).join(bands, "zone")
     return met.where(geometry.in_band(F.col("alt_m"), F.col("alt_min_m"), F.col("alt_max_m"))).select(key, "zone")
+
+
+def push_out(points: DataFrame, zones: DataFrame, key: str, by_m: float, rounds: int = 8) -> DataFrame:
+    """(``key``, lon, lat, moves, inside): points (key, lon, lat; keys are distinct) moved out of the polygons of ``zones``
+    (zone, polygon; zones are distinct and not null).
+
+    A point goes to the nearest place on the boundary of the first zone that holds it and ``by_m`` metres beyond, or, where it stands on
+    the boundary, to the left of the edge. Only what was moved is looked at again, as it may have come into another zone or
+    crossed a narrow gap, for ``rounds`` rounds at most; ``inside`` tells what no round got out. Zones are looked up by
+    cells, boundaries by trees of boxes: a point meets a few edges, however many a zone has. Nulls stay where they are.
+    """
+    ring = zones.where(F.size("polygon") >= 3).select(F.col("zone").alias("path"), F.posexplode(F.concat("polygon", F.slice("polygon", 1, 1))).alias("seq", "v"))
+    # A vertex's number as its height: the height at a place is then the edge's number and how far along it is.
+    ring = ring.select("path", F.col("seq").cast("long").alias("seq"), F.col("v")[0].alias("lon"), F.col("v")[1].alias("lat"), F.col("seq").cast("double").alias("alt_m"))
+    sides = sequence.with_segments(ring).select(F.col("path").alias("zone"), "seq", "lon", "lat", "lon2", "lat2")
+    at = materialize(points.select(key, F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.lit(0).alias("moves")))
+    rest = at
+    out = None
+    for turn in range(rounds + 1):
+        held = materialize(polygons_containing(rest, zones, key).groupBy(key).agg(F.min("zone").alias("zone")))
+        free = rest.join(held, key, "left_anti").withColumn("inside", F.lit(False))
+        out = free if out is None else out.unionByName(free)
+        if turn == rounds or held.isEmpty():
+            out = out.unionByName(rest.join(held.select(key), key, "left_semi").withColumn("inside", F.lit(True)))
+            break
+        asked = rest.join(held, key).select(key, "moves", F.col("zone").alias("path"), F.col("lon").alias("plon"), F.col("lat").alias("plat"))
+        near = pathtree.nearest_segment(asked, ring, key).select(key, F.col("path").alias("zone"), "seq", (F.col("alt_m") - F.col("seq")).alias("t"))
+        met = near.join(sides, ["zone", "seq"]).join(asked.drop("path"), key)
+        met = met.withColumn("k", F.greatest(F.cos(F.radians((F.col("lat") + F.col("lat2")) / 2)), F.lit(1e-6)))
+        met = met.withColumn("qx", F.col("lon") + (F.col("lon2") - F.col("lon")) * F.col("t")).withColumn("qy", F.col("lat") + (F.col("lat2") - F.col("lat")) * F.col("t"))
+        met = met.withColumn("wx", (F.col("qx") - F.col("plon")) * F.col("k")).withColumn("wy", F.col("qy") - F.col("plat"))
+        on = F.hypot("wx", "wy") < 1e-12
+        left = (-(F.col("lat2") - F.col("lat")), (F.col("lon2") - F.col("lon")) * F.col("k"))
+        met = met.withColumn("vx", F.when(on, left[0]).otherwise(F.col("wx"))).withColumn("vy", F.when(on, left[1]).otherwise(F.col("wy")))
+        by = F.try_divide(F.degrees(F.lit(by_m / EARTH_RADIUS_M)), F.hypot("vx", "vy"))
+        lon = F.col("qx") + F.coalesce(by * F.col("vx"), F.lit(0.0)) / F.col("k")
+        rest = materialize(met.select(key, lon.alias("lon"), (F.col("qy") + F.coalesce(by * F.col("vy"), F.lit(0.0))).alias("lat"), (F.col("moves") + 1).alias("moves")))
+    return out.select(key, "lon", "lat", "moves", "inside")

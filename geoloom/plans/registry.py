@@ -360,6 +360,27 @@ def zone_containment(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("zone").agg(F.count("*").alias("n"), F.min("cust").alias("first_cust"), F.sum("cust").alias("sum_cust"))
 
 
+_SIDES_SQL = "es AS (" + " UNION ALL ".join(f"SELECT zone, {i} AS seq, cx + r * {a[0]!r} AS ax, cy + r * {a[1]!r} AS ay, cx + r * {b[0]!r} AS bx, cy + r * {b[1]!r} AS by_ FROM z" for i, (a, b) in enumerate(zip(_ZONE, _ZONE[1:] + _ZONE[:1]))) + ")"
+_ODD = "(by_ > lat) <> (ay > lat) AND lon < (ax - bx) * (lat - by_) / (ay - by_) + bx GROUP BY zone, cust HAVING count(*) % 2 = 1"
+
+
+@query(
+    f"+{_ZONES_SQL}, {_SIDES_SQL}, hit AS (SELECT cust, min(zone) AS zone FROM (SELECT zone, cust FROM cust, e WHERE {_ODD}) GROUP BY cust), "
+    "d AS (SELECT cust, lon, lat, es.*, greatest(cos(radians((ay + by_) / 2)), 1e-6) AS k FROM hit JOIN cust USING (cust) JOIN es USING (zone)), "
+    "f AS (SELECT *, greatest(least(((lon - ax) * k * (bx - ax) * k + (lat - ay) * (by_ - ay)) / (pow((bx - ax) * k, 2) + pow(by_ - ay, 2)), 1), 0) AS t FROM d), "
+    "q AS (SELECT *, ax + (bx - ax) * t AS qx, ay + (by_ - ay) * t AS qy FROM f), w AS (SELECT *, sqrt(pow((qx - lon) * k, 2) + pow(qy - lat, 2)) AS way FROM q), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY round(111194.92664455873 * way, 6), seq) AS no FROM w), "
+    "m AS (SELECT cust, coalesce(qx + degrees(5000 / 6371000.0) * (qx - o.lon) / way, c.lon) AS lon, coalesce(qy + degrees(5000 / 6371000.0) * (qy - o.lat) / way, c.lat) AS lat, CASE WHEN no IS NULL THEN 0 ELSE 1 END AS moves FROM cust c LEFT JOIN (SELECT * FROM o WHERE no = 1) o USING (cust)), "
+    f"still AS (SELECT DISTINCT cust FROM (SELECT zone, cust FROM m, e WHERE moves = 1 AND {_ODD})) "
+    "SELECT cust, " + r_("lon", "lon") + ", " + r_("lat", "lat") + ", moves, still.cust IS NOT NULL AS inside FROM m LEFT JOIN still USING (cust)",
+    uses="cust",
+)
+def push_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers moved out of the zones that hold them, one move each."""
+    out = zones.push_out(D.customers(spark, sf).select("cust", "lon", "lat"), _zones(spark, sf), "cust", 5_000.0, 1)
+    return out.select("cust", rnd(F.col("lon"), "lon"), rnd(F.col("lat"), "lat"), "moves", "inside")
+
+
 @query(f"+{_MASKED} SELECT cust, CASE WHEN r IS NULL THEN 'OutOfBounds' WHEN mask_class = 0 THEN 'Water' WHEN h IS NULL THEN 'NoData' WHEN mask_class = 2 THEN 'Lake' ELSE 'Land' END AS surface FROM masked LEFT JOIN grid ON r = row AND c = col", uses="grid mask")
 def surface_class(spark: SparkSession, sf: str) -> DataFrame:
     p = _samples(spark, sf).select("cust", F.floor("y").alias("row"), F.floor("x").alias("col"))

@@ -229,3 +229,34 @@ def test_pyramid_is_one_shuffle(spark):
 
 def test_level_for():
     assert [pyramid.level_for(w, 0.5, 4) for w in (0, 0.2, 0.5, 0.9, 1.0, 3.9, 4.0, 99)] == [0, 0, 0, 0, 1, 2, 3, 4]
+
+
+def test_points_pushed_out_of_zones(spark):
+    """After the rounds nothing is inside but what lies in a nest of zones; what was outside stays; the way is the shortest."""
+    r = random.Random(12)
+    polys = [(z, star(r, (z % 8) * 20.0 - 70, (z // 8) * 20.0 - 30, 6.0, 5 + z % 9)) for z in range(32)]
+    pts = [(i, r.uniform(-80, 80), r.uniform(-40, 40)) for i in range(1_500)] + [(9_001, None, 1.0), (9_002, polys[0][1][0][0], polys[0][1][0][1])]
+    got = {v["id"]: v for v in zones.push_out(spark.createDataFrame(pts, POINT), spark.createDataFrame(polys, ZONE), "id", 200.0).collect()}
+    assert got.keys() == {p[0] for p in pts} and not any(v["inside"] for v in got.values())
+    held = dict(brute(pts, polys))
+    assert not brute([(k, v["lon"], v["lat"]) for k, v in got.items()], polys)
+    for k, x, y in pts:
+        v = got[k]
+        assert (v["moves"] > 0) == (k in held)
+        if k not in held:
+            assert (v["lon"], v["lat"]) == (x, y)
+        elif v["moves"] == 1:
+            ways = []
+            for (ax, ay), (bx, by) in zip(dict(polys)[held[k]], dict(polys)[held[k]][1:] + dict(polys)[held[k]][:1]):
+                c = math.cos(math.radians((ay + by) / 2))
+                dx, dy = (bx - ax) * c, by - ay
+                t = min(max(((x - ax) * c * dx + (y - ay) * dy) / (dx * dx + dy * dy), 0), 1)
+                ways.append((math.hypot((x - ax) * c - t * dx, y - ay - t * dy), c))
+            way, c = min(ways)
+            assert math.hypot((v["lon"] - x) * c, v["lat"] - y) == pytest.approx(way + math.degrees(200 / 6_371_000), abs=1e-7)
+    nested = [(1, [[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0]]), (2, [[-9.0, -9.0], [18.0, -9.0], [18.0, 18.0], [-9.0, 18.0]])]
+    one = zones.push_out(spark.createDataFrame([(1, 4.0, 1.0)], POINT), spark.createDataFrame(nested, ZONE), "id", 100.0, 1).first()
+    two = zones.push_out(spark.createDataFrame([(1, 4.0, 1.0)], POINT), spark.createDataFrame(nested, ZONE), "id", 100.0, 2).first()
+    assert (one["moves"], one["inside"]) == (1, True) and (two["moves"], two["inside"]) == (2, False)
+    none = zones.push_out(spark.createDataFrame([(1, 4.0, 1.0)], POINT), spark.createDataFrame([], ZONE), "id", 100.0).first()
+    assert (none["moves"], none["inside"], none["lon"]) == (0, False, 4.0)
