@@ -95,8 +95,13 @@ def nearest_segment(points: DataFrame, path: DataFrame, key: str) -> DataFrame:
     """(``key``, path, seq, distance_m, alt_m): for each of ``points`` (key, path, plon, plat; keys are distinct) the nearest
     segment of its path by distances rounded to a micrometre, ties to the first, and the height at its nearest point.
     Points without coordinates and paths of fewer than two points give none."""
+    return nearest_in(points, build(segments(path)), key)
+
+
+def nearest_in(points: DataFrame, levels: list[DataFrame], key: str) -> DataFrame:
+    """``nearest_segment`` of paths whose tree is built already."""
     queries = points.select(F.col(key).alias("key"), "path", F.col("plon").alias("px"), F.col("plat").alias("py")).where("px IS NOT NULL AND py IS NOT NULL")
-    met = search(queries, build(segments(path)))
+    met = search(queries, levels)
     i = F.col("item")
     d = point_segment_m(F.col("px"), F.col("py"), i["lon"], i["lat"], i["lon2"], i["lat2"])
     best = met.groupBy("key", "path").agg(F.min(F.struct(F.round(d, 6).alias("rounded"), i["seq"].alias("seq"), d.alias("d"), i.alias("item"))).alias("b"), F.first("px").alias("px"), F.first("py").alias("py"))

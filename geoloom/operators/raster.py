@@ -64,17 +64,6 @@ def downsample(grid: DataFrame, k: int, value: str = "h") -> DataFrame:
     return grid.groupBy(F.floor(F.col("r") / k).alias("r"), F.floor(F.col("c") / k).alias("c")).agg(F.avg(value).alias("mean"), F.avg(F.when(F.col(value).isNull(), 1.0).otherwise(0.0)).alias("void_share"))
 
 
-def sample_targets(nx: int, ny: int, rows: int, cols: int) -> DataFrame:
-    """The ny x nx sample points of a resampled tile in cell units, the north row first."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    n = spark.range(nx * ny).withColumn("i", F.floor(F.col("id") / nx)).withColumn("j", F.col("id") % nx)
-    y = (1 - (F.col("i") + 0.5) / ny) * rows - 0.5
-    x = (F.col("j") + 0.5) / nx * cols - 0.5
-    return n.select("i", "j", "id", F.least(F.greatest(y, F.lit(0.0)), F.lit(rows - 1.0)).alias("y"), F.least(F.greatest(x, F.lit(0.0)), F.lit(cols - 1.0)).alias("x"))
-
-
 def synthetic_field(n: int) -> DataFrame:
     """A smooth test field of n x n costs from sines, with no random parts."""
     from pyspark.sql import SparkSession

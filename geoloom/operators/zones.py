@@ -177,9 +177,20 @@ def _walk(px: Column, py: Column, x1: Column, y1: Column, edges: Column) -> Colu
 def polygons_containing(points: DataFrame, zones: DataFrame, key: str, few_edges: int = FEW_EDGES) -> DataFrame:
     """(``key``, zone): each point of ``points`` (key, lon, lat; keys are distinct) with the polygons of ``zones`` (zone,
     polygon; zones are distinct) that contain it by the even-odd rule; points without coordinates are in none."""
+    return contained(points, covered(zones, few_edges), key)
+
+
+def covered(zones: DataFrame, few_edges: int = FEW_EDGES) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+    """(edges, inner cells, edge cells, levels) of ``zones``, written: what any number of ``contained`` can use."""
     edges = materialize(polygon_edges(zones))
     inner, rim = cover(edges, few_edges)
     levels = [r[0] for r in inner.select("level").union(rim.select("level")).distinct().orderBy("level").collect()]  # MOST_CUTS + FINEST at most
+    return edges, inner, rim, levels
+
+
+def contained(points: DataFrame, cells: tuple[DataFrame, DataFrame, DataFrame, list[int]], key: str) -> DataFrame:
+    """``polygons_containing`` of zones that are ``covered`` already."""
+    edges, inner, rim, levels = cells
     own = points.select(key, "lon", "lat").where(F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat"))
     if not levels:
         return own.join(edges.select("zone").limit(0), F.lit(False), "inner").select(key, "zone")
@@ -221,19 +232,21 @@ def push_out(points: DataFrame, zones: DataFrame, key: str, by_m: float, rounds:
     ring = zones.where(F.size("polygon") >= 3).select(F.col("zone").alias("path"), F.posexplode(F.concat("polygon", F.slice("polygon", 1, 1))).alias("seq", "v"))
     # A vertex's number as its height: the height at a place is then the edge's number and how far along it is.
     ring = ring.select("path", F.col("seq").cast("long").alias("seq"), F.col("v")[0].alias("lon"), F.col("v")[1].alias("lat"), F.col("seq").cast("double").alias("alt_m"))
+    ring = materialize(ring)
+    cells, tree = covered(zones), pathtree.build(pathtree.segments(ring))
     sides = sequence.with_segments(ring).select(F.col("path").alias("zone"), "seq", "lon", "lat", "lon2", "lat2")
     at = materialize(points.select(key, F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.lit(0).alias("moves")))
     rest = at
     out = None
     for turn in range(rounds + 1):
-        held = materialize(polygons_containing(rest, zones, key).groupBy(key).agg(F.min("zone").alias("zone")))
+        held = materialize(contained(rest, cells, key).groupBy(key).agg(F.min("zone").alias("zone")))
         free = rest.join(held, key, "left_anti").withColumn("inside", F.lit(False))
         out = free if out is None else out.unionByName(free)
         if turn == rounds or held.isEmpty():
             out = out.unionByName(rest.join(held.select(key), key, "left_semi").withColumn("inside", F.lit(True)))
             break
         asked = rest.join(held, key).select(key, "moves", F.col("zone").alias("path"), F.col("lon").alias("plon"), F.col("lat").alias("plat"))
-        near = pathtree.nearest_segment(asked, ring, key).select(key, F.col("path").alias("zone"), "seq", (F.col("alt_m") - F.col("seq")).alias("t"))
+        near = pathtree.nearest_in(asked, tree, key).select(key, F.col("path").alias("zone"), "seq", (F.col("alt_m") - F.col("seq")).alias("t"))
         met = near.join(sides, ["zone", "seq"]).join(asked.drop("path"), key)
         met = met.withColumn("k", F.greatest(F.cos(F.radians((F.col("lat") + F.col("lat2")) / 2)), F.lit(1e-6)))
         met = met.withColumn("qx", F.col("lon") + (F.col("lon2") - F.col("lon")) * F.col("t")).withColumn("qy", F.col("lat") + (F.col("lat2") - F.col("lat")) * F.col("t"))
