@@ -89,6 +89,7 @@ def warp(blocks: DataFrame, shape: tuple[int, int], origin: tuple[float, float],
                 j, i = np.arange(tr * block, min(tr * block + block, ny)), np.arange(tc * block, min(tc * block + block, nx))
                 pos, val = np.empty(0, np.int32), np.empty(0)
                 if data is not None:
+                    br, bc = int(br), int(bc)  # floats where the batch also has a target block without an image
                     x, y = _place(projection, lon0 + i * dlon, lat0 - j * dlat, True)
                     y, x = (origin[1] - y) / cell[1], (x - origin[0]) / cell[0]
                     jj = np.flatnonzero((y >= 0) & (y <= rows - 1) & (np.floor(y / block) == br))

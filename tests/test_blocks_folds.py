@@ -55,6 +55,15 @@ def test_warp_equals_brute_force(spark, projection):
     assert known > 4_000
 
 
+def test_warp_where_a_task_has_blocks_with_and_without_an_image(spark):
+    ship(spark)
+    img = np.arange(400.0).reshape(20, 20)
+    drawn = blocks.warp(blocks.to_blocks(frame(spark, img), ["h"], 8).coalesce(1), (20, 20), (0.0, 1.0), (0.1, 0.1), (0.0, 1.0, 0.1, 0.1, 20, 80), block=8)
+    got = {(v["j"], v["i"]): v["value"] for v in blocks.target_cells(drawn, 20, 80, 8).collect()}
+    assert len(got) == 1600 and all(got[j, i] is None for j in range(20, 80) for i in range(20))
+    assert all(got[j, i] == pytest.approx(img[j, i], abs=1e-9) for j in range(1, 19) for i in range(1, 19))
+
+
 def test_warp_of_nothing_and_far_away(spark):
     empty = spark.createDataFrame([], "r long, c long, h double")
     drawn = blocks.warp(blocks.to_blocks(empty, ["h"], 8), (20, 20), (0.0, 1.0), (0.1, 0.1), (0.0, 1.0, 0.1, 0.1, 10, 9), block=8)
