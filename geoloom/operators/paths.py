@@ -184,15 +184,18 @@ def hulls(points: DataFrame, key: str) -> DataFrame:
 
 
 def visibility(legs: DataFrame, obstacles: list[list[tuple[float, float]]], inflate: float) -> DataFrame:
-    """For legs (leg, x1, y1, x2, y2): leg, status, n_points, length in the legs' units. Vectorised by Arrow batch."""
+    """For legs (leg, x1, y1, x2, y2): leg, status, n_points, length in the legs' units. Legs are dealt over tasks, as they may
+    lie in one file, and vectorised by Arrow batch; the obstacles' part of the graph is made once a task."""
     kind = legs.schema["leg"].dataType.simpleString()
 
     def run(batches):
+        sights = kernels.Sights(obstacles, inflate)
         for pdf in batches:
-            found = [kernels.visibility_path((a, b), (c, d), obstacles, inflate) for a, b, c, d in pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False)]
+            found = sights.paths(pdf[["x1", "y1"]].to_numpy(float), pdf[["x2", "y2"]].to_numpy(float))
             yield pd.DataFrame({"leg": pdf["leg"], "status": [s for s, _ in found], "n_points": [len(p) for _, p in found], "length": [sum(map(math.dist, p, p[1:])) for _, p in found]})
 
-    return legs.select("leg", "x1", "y1", "x2", "y2").mapInPandas(run, f"leg {kind}, status string, n_points long, length double")
+    dealt = legs.select("leg", "x1", "y1", "x2", "y2").repartition("leg")
+    return dealt.mapInPandas(run, f"leg {kind}, status string, n_points long, length double")
 
 
 def dubins_paths(legs: DataFrame, radius: float) -> DataFrame:

@@ -192,3 +192,23 @@ def test_straighten():
         assert tight[0] == trace[0] and tight[-1] == trace[-1] and not any(blocked[c] for c in tight)
         assert sum(map(math.dist, tight, tight[1:])) <= sum(map(math.dist, kept, kept[1:])) + 1e-9
     assert K.tighten([], np.zeros((2, 2), bool)) == [] and K.tighten([(1, 1)], np.zeros((2, 2), bool)) == [(1, 1)]
+
+
+def test_sights_equal_one_leg_at_a_time():
+    r = np.random.default_rng(8)
+    some = [[(x, y) for x, y in r.uniform(0, 1, 2) + r.uniform(-0.1, 0.1, (6, 2))] for _ in range(4)]
+    ends = r.uniform(-0.2, 1.2, (400, 4)).round(2)
+    ends[::50, 2:] = ends[::50, :2]
+    for obstacles, inflate, most in ((some, 0.02, None), (some[:1], 0.02, None), ([], 0.02, None), (some, 0.02, 10), ([[(0.4, 0.4), (0.6, 0.4), (0.6, 0.6), (0.4, 0.6)]], 0.1, None)):
+        got = K.Sights(obstacles, inflate, most).paths(ends[:, :2], ends[:, 2:])
+        assert got == [K.visibility_path((a, b), (c, d), obstacles, inflate, most) for a, b, c, d in ends.tolist()]
+
+
+def test_sights_of_many_legs_take_little_time():
+    import time
+
+    zone = [(100.2, 30.2), (100.6, 30.25), (100.55, 30.7), (100.3, 30.6)]
+    y = 30 + np.arange(20_000) % 97 / 100
+    began = time.time()
+    assert len(K.Sights([zone], 0.02).paths(np.column_stack([y * 0 + 100, y]), np.column_stack([y * 0 + 101, y[::-1]]))) == 20_000
+    assert time.time() - began < 3  # one at a time: some 0.4 ms each
