@@ -18,6 +18,8 @@ from geoloom.runtime import materialize, release
 BLOCK = 128
 #: A rim has fallen where it is less than before by more than this share: rounding alone wakes no block.
 FELL = 1e-12
+#: Cells along a side of a district, whose blocks are marched in one task until they rest among themselves: 4 MB of costs.
+DISTRICT = 1024
 _SIDES = {"up": (-1, 0), "down": (1, 0), "left": (0, -1), "right": (0, 1)}
 _FACING = {"up": "down", "down": "up", "left": "right", "right": "left"}
 
@@ -138,15 +140,19 @@ def target_cells(drawn: DataFrame, nx: int, ny: int, block: int = BLOCK) -> Data
 
 def arrivals_by_block(fields: DataFrame, sources: DataFrame, block: int = 256) -> tuple[DataFrame, list[int]]:
     """Fast marching of fields larger than a task: (field, r, c, t) as ``paths.arrivals`` gives them, and how many blocks
-    were solved in each round.
+    were awake at the start of each round.
 
     Cells (field, r, c from 0, cost) stand in square blocks; sources (field, src_r, src_c). A block is solved alone from the times
     on its rim, which are those of its neighbours' edges. What it finds on its own edges becomes their rims, and only
     blocks of which a rim fell are solved again, until none does. Times only fall, towards the one solution that
-    all cells' updates agree on. A front that crosses k blocks settles in about k rounds. Cells that no row names are walls.
+    all cells' updates agree on. Blocks of one district of ``DISTRICT`` cells a side wake each other within a task, and a round
+    ends when they all rest: a front that crosses k districts settles in about k rounds, however small the blocks are. Cells
+    that no row names are walls.
     """
     kind = fields.schema["field"].dataType.simpleString()
     key = ["field", "br", "bc"]
+    rim_key, ddl = [*key, "side"], f"field {kind}, br long, bc long, side string, times array<double>, outer boolean"
+    district = lambda: [F.floor(F.col(b) / side).alias(d) for b, d in (("br", "dr"), ("bc", "dc"))]
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["r"].to_numpy() % block, pdf["c"].to_numpy() % block
@@ -169,35 +175,54 @@ def arrivals_by_block(fields: DataFrame, sources: DataFrame, block: int = 256) -
         cost = np.nan_to_num(np.asarray(data, float), nan=np.inf, posinf=np.inf).reshape(block, block)
         return kernels.march(cost, None if pd.isna(sr) else (int(sr), int(sc)), rim)
 
-    def edges(batches):
-        for pdf in batches:
-            out = []
-            for field, br, bc, data, sr, sc, rims in pdf.itertuples(index=False):
-                t = solved(data, sr, sc, rims)
-                own = {"up": t[0], "down": t[-1], "left": t[:, 0], "right": t[:, -1]}
-                out += [(field, br + dr, bc + dc, _FACING[side], own[side]) for side, (dr, dc) in _SIDES.items() if np.isfinite(own[side]).any()]
-            yield pd.DataFrame(out, columns=[*key, "side", "times"])
+    side = max(DISTRICT // block, 1)
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Rims that fell in or about a district, and whether from another district's block."""
+        field, held, awake, fell = pdf["field"].iloc[0], {}, {}, {}
+        for br, bc, data, sr, sc, rims, up in pdf[["br", "bc", "data", "sr", "sc", "rims", "awake"]].itertuples(index=False):
+            held[br, bc] = data, sr, sc, {at["side"]: np.asarray(at["times"], float) for at in rims} if rims is not None else {}
+            if up:
+                awake[br, bc] = 0.0
+        while awake:
+            at = min(awake, key=lambda k: (awake[k], k))  # what fell to the least time first: it changes no more
+            del awake[at]
+            data, sr, sc, rims = held[at]
+            t = solved(data, sr, sc, [{"side": k, "times": v} for k, v in rims.items()])
+            for name, own in {"up": t[0], "down": t[-1], "left": t[:, 0], "right": t[:, -1]}.items():
+                if not np.isfinite(own).any():
+                    continue
+                there, facing = (at[0] + _SIDES[name][0], at[1] + _SIDES[name][1]), _FACING[name]
+                if there in held:
+                    old = held[there][3].get(facing)
+                    lower = np.isfinite(own) if old is None else own < old * (1 - FELL)
+                    if not lower.any():
+                        continue
+                    held[there][3][facing] = own
+                    awake[there] = min(awake.get(there, np.inf), float(own[lower].min()))
+                fell[(*there, facing)] = there not in held, own
+        return pd.DataFrame([(field, *k, own, outer) for k, (outer, own) in fell.items()], columns=[*rim_key, "times", "outer"])
 
     def with_rims(some: DataFrame, rims: DataFrame | None) -> DataFrame:
         if rims is None:
             return some.withColumn("rims", F.lit(None).cast("array<struct<side:string,times:array<double>>>"))
         return some.join(rims.groupBy(*key).agg(F.collect_list(F.struct("side", "times")).alias("rims")), key, "left")
 
-    rim_key, ddl = [*key, "side"], f"field {kind}, br long, bc long, side string, times array<double>"
-    rim_key, ddl = [*key, "side"], f"field {kind}, br long, bc long, side string, times array<double>"
     rims, fell, solves = None, None, []
     awake = blocks.where("sr IS NOT NULL")
     while n := awake.count():
         solves.append(n)
-        found = with_rims(awake, rims).select(*key, "data", "sr", "sc", "rims").mapInPandas(edges, ddl)
+        near = blocks.withColumns(dict(zip(("dr", "dc"), district()))).join(awake.select("field", *district()).distinct(), ["field", "dr", "dc"], "left_semi")
+        near = near.join(awake.select(*key, F.lit(True).alias("awake")), key, "left").withColumn("awake", F.coalesce("awake", F.lit(False)))
+        found = with_rims(near, rims).groupBy("field", "dr", "dc").applyInPandas(settle, ddl)
         found = found.join(blocks.select(*key), key, "left_semi")
         if rims is not None:
             lower = F.exists(F.zip_with("times", "old", lambda a, b: a < b * (1 - FELL)), lambda x: x)
-            found = found.join(rims.withColumnRenamed("times", "old"), rim_key, "left").where(F.col("old").isNull() | lower).select(*rim_key, "times")
+            found = found.join(rims.select(*rim_key, F.col("times").alias("old")), rim_key, "left").where(F.col("old").isNull() | lower).select(*rim_key, "times", "outer")
         before, fell = fell, materialize(found)
         kept = fell if rims is None else materialize(rims.join(fell.select(*rim_key), rim_key, "left_anti").unionByName(fell))
         release(*[old for old in (before, rims) if old is not None])
-        rims, awake = kept, blocks.join(fell.select(*key).distinct(), key, "left_semi")
+        rims, awake = kept, blocks.join(fell.where("outer").select(*key).distinct(), key, "left_semi")
 
     def times(batches):
         for pdf in batches:

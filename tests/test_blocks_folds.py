@@ -166,3 +166,18 @@ def test_greedy_clusters_equal_the_fold(spark):
                 want.append((k, len(centres), lon, lat))
                 centres.append((a, b))
     assert sorted(got) == want
+
+
+def test_small_blocks_rest_in_few_rounds(spark, monkeypatch):
+    """Rounds follow districts, not blocks: 60 blocks in a row are one round, and as many again as a district has sides to cross."""
+    r = np.random.default_rng(4)
+    cost = r.uniform(1, 3, (240, 8))
+    f = spark.createDataFrame([(1, i, j, float(cost[i, j])) for i in range(240) for j in range(8)], "field int, r int, c int, cost double")
+    s = spark.createDataFrame([(1, 1, 1)], "field int, src_r int, src_c int")
+    want = kernels.fast_march(cost, (1, 1))
+    for cells, most in ((1024, 1), (40, 8)):
+        monkeypatch.setattr(blocks, "DISTRICT", cells)
+        t, solves = blocks.arrivals_by_block(f, s, 4)
+        assert len(solves) <= most
+        got = {(v["r"], v["c"]): v["t"] for v in t.collect()}
+        assert len(got) == 240 * 8 and all(v == pytest.approx(want[k], rel=1e-5) for k, v in got.items())
