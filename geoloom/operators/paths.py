@@ -137,7 +137,7 @@ def simplify(points: DataFrame, tolerance_m: float) -> DataFrame:
 def shortcut(points: DataFrame, obstacles: list[list[tuple[float, float]]]) -> DataFrame:
     """Any-angle shortcuts that do not pass through the convex hulls of ``obstacles`` (a bounded list of polygons)."""
     hulls = [kernels.convex_hull(o) for o in obstacles]
-    return by_path(points, lambda p: p[kernels.shortcut(p, lambda a, b: not any(kernels.passes_convex(tuple(a[:2]), tuple(b[:2]), h) for h in hulls))])
+    return by_path(points, lambda p: p[kernels.shortcut(p[:, :2].tolist(), lambda a, b: not any(kernels.passes_convex(a, b, h) for h in hulls))])
 
 
 def grade_limit(points: DataFrame, max_climb_deg: float, floor_m: float) -> DataFrame:

@@ -212,3 +212,25 @@ def test_sights_of_many_legs_take_little_time():
     began = time.time()
     assert len(K.Sights([zone], 0.02).paths(np.column_stack([y * 0 + 100, y]), np.column_stack([y * 0 + 101, y[::-1]]))) == 20_000
     assert time.time() - began < 3  # one at a time: some 0.4 ms each
+
+
+def test_one_segment_is_judged_as_many_are():
+    r = np.random.default_rng(12)
+    hull = K.convex_hull(r.uniform(0, 1, (12, 2)).tolist())
+    ends = np.concatenate([r.uniform(-0.5, 1.5, (3000, 4)), np.array([[*a, *b] for a in hull for b in hull])])
+    want = K.all_pass_convex(ends[:, :2], ends[:, 2:], hull).tolist()
+    assert 200 < sum(want) < 2800 and [K.passes_convex((a, b), (c, d), hull) for a, b, c, d in ends.tolist()] == want
+
+
+def test_corners_and_sights_cost_microseconds():
+    import time
+
+    hull = [(100.2, 30.2), (100.6, 30.25), (100.55, 30.7), (100.3, 30.6)]
+    for work, n, most in ((lambda: K.passes_convex((100.0, 30.5), (101.0, 30.4), hull), 20_000, 0.3), (lambda: K.fillet((0.0, 0.0), (5.0, 1.0), (4.0, 7.0), 1.0, 1.0), 10_000, 0.25)):
+        best = 9.9
+        for _ in range(3):
+            began = time.perf_counter()
+            for _ in range(n):
+                work()
+            best = min(best, time.perf_counter() - began)
+        assert best < most
