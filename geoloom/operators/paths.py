@@ -158,14 +158,14 @@ def fillet(points: DataFrame, radius_m: float, min_turn_deg: float = 15.0) -> Da
         if len(p) < 3:
             return p
         lat0 = p[:, 1].mean()
-        k = np.array([math.cos(math.radians(lat0)) * kernels.DEG_M, kernels.DEG_M])
-        xy, out = p[:, :2] * k, [p[0]]
-        for i in range(1, len(p) - 1):
-            u, v = xy[i] - xy[i - 1], xy[i + 1] - xy[i]
-            turn = abs((math.degrees(math.atan2(v[1], v[0]) - math.atan2(u[1], u[0])) + 180) % 360 - 180)
-            arc = kernels.fillet(tuple(xy[i - 1]), tuple(xy[i]), tuple(xy[i + 1]), radius_m, radius_m / 8) if turn > min_turn_deg else [tuple(xy[i])]
-            out += [np.array([*(np.array(q) / k), p[i, 2]]) for q in arc]
-        return np.array([*out, p[-1]])
+        kx, ky = math.cos(math.radians(lat0)) * kernels.DEG_M, kernels.DEG_M
+        points = p.tolist()
+        xy, out = [(v[0] * kx, v[1] * ky) for v in points], [points[0]]
+        for a, b, c, (_, _, alt) in zip(xy, xy[1:], xy[2:], points[1:]):
+            turn = abs((math.degrees(math.atan2(c[1] - b[1], c[0] - b[0]) - math.atan2(b[1] - a[1], b[0] - a[0])) + 180) % 360 - 180)
+            arc = kernels.fillet(a, b, c, radius_m, radius_m / 8) if turn > min_turn_deg else [b]
+            out += [(x / kx, y / ky, alt) for x, y in arc]
+        return np.array([*out, points[-1]])
 
     return by_path(points, work)
 
