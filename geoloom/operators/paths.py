@@ -98,14 +98,14 @@ def by_path(points: DataFrame, work: Callable[[np.ndarray], np.ndarray]) -> Data
 
     def run(batches):
         held: list[tuple] = []
-        name = None
+        name, kind_ = None, object
 
         def solve(parts):
             out = np.asarray(work(np.concatenate(parts)), float).reshape(-1, 3)
             return name, out
 
         def frame(done):
-            names = np.repeat(np.array([n for n, _ in done], dtype=object), [len(o) for _, o in done])
+            names = np.repeat(np.array([n for n, _ in done], dtype=kind_), [len(o) for _, o in done])
             rows = np.concatenate([o for _, o in done])
             seq = np.concatenate([np.arange(len(o)) for _, o in done])
             return pd.DataFrame({"path": names, "seq": seq, "lon": rows[:, 0], "lat": rows[:, 1], "alt_m": rows[:, 2]})
@@ -113,6 +113,7 @@ def by_path(points: DataFrame, work: Callable[[np.ndarray], np.ndarray]) -> Data
         for pdf in batches:
             if not len(pdf):
                 continue
+            kind_ = pdf["path"].dtype if pdf["path"].dtype.kind in "iuf" else object
             keys, xyz, done = pdf["path"].to_numpy(), pdf[["lon", "lat", "alt_m"]].to_numpy(float), []
             cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
