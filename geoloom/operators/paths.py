@@ -242,6 +242,50 @@ def traces(times: DataFrame, ends: DataFrame, straight: bool = False) -> DataFra
     return times.join(ends, "field").select("field", "r", "c", "t", "src_r", "src_c", "dst_r", "dst_c").groupBy("field").applyInPandas(run, f"field {kind}, seq int, r int, c int")
 
 
+def ways(cells: DataFrame) -> DataFrame:
+    """Straight back-traces (field, seq, r, c) from source to target of fields whose free cells cost the same, as ``arrivals``
+    and ``traces`` would give: ``cells`` (field, n, src_r, src_c, dst_r, dst_c, r, c, cost), of which a field's n x n follow
+    each other in one partition. Only blocked cells, and the first of each field, go to Python; nothing is shuffled."""
+    kind = cells.schema["field"].dataType.simpleString()
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
+
+        def way() -> pd.DataFrame:
+            name, n, *ends = now
+            grid = np.ones((n, n), np.float32)
+            for r, c in held:
+                grid[r, c] = np.inf
+            src, dst = (ends[0], ends[1]), (ends[2], ends[3])
+            times = kernels.fast_march(grid, src)
+            found = kernels.back_trace(times, dst, src) or []
+            found = kernels.tighten(found, np.isinf(times))[::-1]
+            at = np.array(found, np.int32).reshape(-1, 2)
+            return pd.DataFrame({"field": np.array([name] * len(at), object), "seq": np.arange(len(at), dtype=np.int32), "r": at[:, 0], "c": at[:, 1]})
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys, r, c, walls = pdf["field"].to_numpy(), pdf["r"].to_numpy(), pdf["c"].to_numpy(), pdf["wall"].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            done = []
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if now is None or keys[i] != now[0]:
+                    if now is not None:
+                        done.append(way())
+                    held, now = [], (keys[i], *(int(pdf[k].iat[i]) for k in ("n", "src_r", "src_c", "dst_r", "dst_c")))
+                shut = walls[i:j]
+                held.append((r[i:j][shut], c[i:j][shut]))
+            if done:
+                yield pd.concat(done)
+        if now is not None:
+            yield way()
+
+    wall = cells.withColumn("wall", F.isnan("cost") | (F.col("cost") == float("inf"))).where("wall OR (r = 0 AND c = 0)")
+    return wall.select("field", "n", "src_r", "src_c", "dst_r", "dst_c", "r", "c", "wall").mapInPandas(run, f"field {kind}, seq int, r int, c int")
+
+
 def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Ellipsoidal distance (WGS84), vectorised over Arrow batches."""
 

@@ -33,6 +33,8 @@ KEYS = ["scenario_id", "aircraft", "no_fly_zones", "restricted_zones", "obstacle
 REASONS = ("malformed_json", "unknown_field", "missing_aircraft", "vehicle_params_inconsistent", "out_of_bounds", "illegal_coordinate", "degenerate_start_equals_target", "target_in_no_fly", "mid_waypoint_in_no_fly")
 GRID, PAD_DEG = 48, 0.15
 TOLERANCE_M = 500.0
+#: Legs of which a task makes the fields, at most: about ten seconds.
+LEGS_PER_TASK = 500
 #: Regions wider than this have cells of about so many metres, finer where a wall is a polygon.
 WIDE_DEG, CELL_M, POLYGON_CELL_M = 2.5, 1_100.0, 600.0
 
@@ -172,8 +174,9 @@ def legs(valid: DataFrame) -> DataFrame:
 
 
 def cost_cells(legs_: DataFrame, n: int = GRID) -> DataFrame:
-    """Each leg with its place in a square field about it, and the cells of the fields: field, r, c, cost (infinite within
-    half a cell of a wall, but for the cells of the leg's ends). A field has ``n`` cells a side, more in wide regions."""
+    """Each leg with its place in a square field about it, and the cells of the fields: field, n, src_r, src_c, dst_r, dst_c, r, c,
+    cost (infinite within half a cell of a wall, but for the cells of the leg's ends). A field has ``n`` cells a side, more in
+    wide regions. The cells of a field follow each other, row by row, in one partition."""
     x0, x1 = F.least("a.lon", "b.lon"), F.greatest("a.lon", "b.lon")
     y0, y1 = F.least("a.lat", "b.lat"), F.greatest("a.lat", "b.lat")
     span = F.greatest(x1 - x0, y1 - y0) * 1.5 + 2 * PAD_DEG
@@ -211,15 +214,19 @@ def cost_cells(legs_: DataFrame, n: int = GRID) -> DataFrame:
 
     ends = ((F.col("r") == F.col("src_r")) & (F.col("c") == F.col("src_c"))) | ((F.col("r") == F.col("dst_r")) & (F.col("c") == F.col("dst_c")))
     cost = F.when(~ends & F.exists("boxes", walled), float("inf")).otherwise(1.0)
-    return f, cells.select("field", "r", "c", cost.cast("float").alias("cost"))
+    return f, cells.select("field", "n", "src_r", "src_c", "dst_r", "dst_c", "r", "c", cost.cast("float").alias("cost"))
 
 
 def fly(legs_: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A way for each leg by fast marching, straightened and simplified: the legs' fields, and points (path: the field; seq, lon, lat, alt_m:
     from the one end's altitude to the other's by distance; along_m). Legs without a way have no points."""
+    # A leg is a short row but a long job: legs are dealt by their number, not by their bytes.
+    tasks = max(int(legs_.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-legs_.count() // LEGS_PER_TASK))
+    # By a hash of the field and not by the field: a union of frames that are all dealt by it is taken to be dealt so as well,
+    # and `simplify` then met a path's points in several tasks.
+    legs_ = legs_.repartition(tasks, F.xxhash64("field"))
     fields, cells = cost_cells(legs_)
-    ends = fields.select("field", "src_r", "src_c", "dst_r", "dst_c")
-    traced = materialize(paths.traces(paths.arrivals(cells, ends.select("field", "src_r", "src_c")), ends, straight=True))
+    traced = materialize(paths.ways(cells))
     own = fields.select("field", "west", "south", "cell", "a", "b")
     pts = traced.join(own, "field")
     pts = pts.select(F.col("field").alias("path"), (F.col("seq") + 1).cast("long").alias("seq"), (F.col("west") + (F.col("c") + 0.5) * F.col("cell")).alias("lon"), (F.col("south") + (F.col("r") + 0.5) * F.col("cell")).alias("lat"), F.col("a.alt_m").alias("alt_m"))
