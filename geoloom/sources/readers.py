@@ -42,7 +42,7 @@ def _cells(g: codecs.Grid, name: str, rows: int = 128) -> Iterator[pa.RecordBatc
         n, m = part.shape
         r, c = np.repeat(np.arange(r0, r0 + n), m), np.tile(np.arange(m), n)
         h = part.ravel().astype(float)
-        yield pa.record_batch([pa.array([name] * (n * m), pa.string()), pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(g.lon + (c + 0.5) * g.cell_lon), pa.array(g.lat + (r + 0.5) * g.cell_lat), pa.array(h, mask=np.isnan(h) | (h == void))], schema=CELL)
+        yield pa.record_batch([pa.repeat(pa.scalar(name, pa.string()), n * m), pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(g.lon + (c + 0.5) * g.cell_lon), pa.array(g.lat + (r + 0.5) * g.cell_lat), pa.array(h, mask=np.isnan(h) | (h == void))], schema=CELL)
 
 
 def read_rasters(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
