@@ -17,40 +17,48 @@ SOFT_TURN_DEG, SOFT_RADIUS_RATIO, SOFT_CHORD_M, SOFT_CLIMB_DEG = 2.0, 0.95, 50.0
 _POINT = "path {kind}, seq long, lon double, lat double, alt_m double"
 
 
-def _numbered(points: DataFrame, order: list[str]) -> DataFrame:
-    return points.withColumn("seq", (F.row_number().over(Window.partitionBy("path").orderBy(*order)) - 1).cast("long"))
+def _drawn(rows: DataFrame, parts: Column, value: Callable[[str], Column]) -> DataFrame:
+    """The points that each row of a path stands for: one for each of ``parts`` (an array), with the coordinates that ``value``
+    makes of its column ``_t``. They are numbered by how many the rows before have, so nothing is sorted again."""
+    p = rows.withColumn("_parts", parts)
+    before = F.sum(F.size("_parts")).over(sequence.along().rowsBetween(Window.unboundedPreceding, -1))
+    p = p.withColumn("_before", F.coalesce(before, F.lit(0)))
+    p = p.select(*rows.columns, "_before", F.posexplode("_parts").alias("_pos", "_t"))
+    return p.select("path", (F.col("_before") + F.col("_pos")).cast("long").alias("seq"), *(value(c).alias(c) for c in ("lon", "lat", "alt_m")))
+
+
+def _whole(p: DataFrame) -> DataFrame:
+    """With the number of the path's points (_n) and its first ``seq`` (_first)."""
+    w = Window.partitionBy("path")
+    return p.withColumn("_n", F.count("*").over(w)).withColumn("_first", F.min("seq").over(w))
 
 
 def chaikin(points: DataFrame) -> DataFrame:
     """One round of corner cutting: the ends stay, every segment gives its quarter points. Short paths stay as they are."""
-    n = F.count("*").over(Window.partitionBy("path"))
-    p = points.withColumn("_n", n)
+    p = points.select("path", "seq", "lon", "lat", "alt_m")
     for c in ("lon", "lat", "alt_m"):
         p = p.withColumn(f"_{c}", sequence.nxt(c))
-    short = p.where("_n < 3").select("path", "lon", "lat", "alt_m", F.col("seq").alias("_i"), F.lit(0.0).alias("_t"))
-    long = p.where("_n >= 3")
-    cut = long.where("_lon IS NOT NULL").withColumn("_t", F.explode(F.array(F.lit(0.25), F.lit(0.75))))
-    cut = cut.select("path", *[(F.col(c) + (F.col(f"_{c}") - F.col(c)) * F.col("_t")).alias(c) for c in ("lon", "lat", "alt_m")], F.col("seq").alias("_i"), "_t")
-    first = F.min("seq").over(Window.partitionBy("path"))
-    ends = long.withColumn("_first", first).where("seq = _first OR _lon IS NULL").select("path", "lon", "lat", "alt_m", F.col("seq").alias("_i"), F.lit(0.0).alias("_t"))
-    return _numbered(short.unionByName(cut).unionByName(ends), ["_i", "_t"]).select("path", "seq", "lon", "lat", "alt_m")
+    none = F.array().cast("array<double>")
+    end = F.when((F.col("_n") < 3) | (F.col("seq") == F.col("_first")) | F.col("_lon").isNull(), F.array(F.lit(0.0))).otherwise(none)
+    cuts = F.when((F.col("_n") >= 3) & F.col("_lon").isNotNull(), F.array(F.lit(0.25), F.lit(0.75))).otherwise(none)
+    return _drawn(_whole(p), F.concat(end, cuts), lambda c: F.when(F.col("_t") == 0, F.col(c)).otherwise(F.col(c) + (F.col(f"_{c}") - F.col(c)) * F.col("_t")))
 
 
 def catmull_rom(points: DataFrame, samples: int) -> DataFrame:
     """A spline through all points with ``samples`` points a segment; paths of fewer than three stay as they are."""
-    p = points.withColumn("_n", F.count("*").over(Window.partitionBy("path")))
+    p = points.select("path", "seq", "lon", "lat", "alt_m")
     for c in ("lon", "lat", "alt_m"):
         p = p.withColumn(f"_0{c}", F.coalesce(sequence.prv(c), F.col(c))).withColumn(f"_2{c}", sequence.nxt(c)).withColumn(f"_3{c}", F.coalesce(sequence.nxt(c, 2), sequence.nxt(c)))
-    first = p.withColumn("_first", F.min("seq").over(Window.partitionBy("path"))).where("_n < 3 OR seq = _first").select("path", "lon", "lat", "alt_m", F.col("seq").alias("_i"), F.lit(0).alias("_k"))
-    seg = p.where("_n >= 3 AND _2lon IS NOT NULL").withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    t = F.col("_k") / float(samples)
+    none = F.array().cast("array<int>")
+    first = F.when((F.col("_n") < 3) | (F.col("seq") == F.col("_first")), F.array(F.lit(0))).otherwise(none)
+    curve = F.when((F.col("_n") >= 3) & F.col("_2lon").isNotNull(), F.sequence(F.lit(1), F.lit(samples))).otherwise(none)
+    t = F.col("_t") / float(samples)
 
     def at(c: str) -> Column:
         a, b, d, e = F.col(f"_0{c}"), F.col(c), F.col(f"_2{c}"), F.col(f"_3{c}")
-        return ((2 * b + t * ((d - a) + t * ((2 * a - 5 * b + 4 * d - e) + t * (3 * b - a - 3 * d + e)))) * 0.5).alias(c)
+        return F.when(F.col("_t") == 0, b).otherwise((2 * b + t * ((d - a) + t * ((2 * a - 5 * b + 4 * d - e) + t * (3 * b - a - 3 * d + e)))) * 0.5)
 
-    curve = seg.select("path", at("lon"), at("lat"), at("alt_m"), F.col("seq").alias("_i"), "_k")
-    return _numbered(first.unionByName(curve), ["_i", "_k"]).select("path", "seq", "lon", "lat", "alt_m")
+    return _drawn(_whole(p), F.concat(first, curve), at)
 
 
 def densify(points: DataFrame, every_m: float = 200.0, least: int = 2, most: int = 64) -> DataFrame:
