@@ -68,6 +68,12 @@ def write(levels: DataFrame, path: str, range_levels: int = RANGE_LEVELS) -> Non
     ranged.repartition("level", "range").sortWithinPartitions("level", "range", "key").write.mode("errorifexists").partitionBy("level", "range").parquet(path)
 
 
+def range_levels_for(side: int, ranges: int = 64, least: int = 0) -> int:
+    """The levels below a range's key with which the longer ``side`` of a raster has at most ``ranges`` ranges, up to RANGE_LEVELS:
+    files then follow the raster in full ones, not in small ones that cost more to open than to read."""
+    return min(RANGE_LEVELS, max(least, (-(-side // ranges) - 1).bit_length()))
+
+
 def level_for(wanted: float, cell: float, levels: int) -> int:
     """The coarsest level whose cells are at most ``wanted`` wide, or else the finest; level 0 has cells of ``cell``."""
     return max(0, min(levels, math.floor(math.log2(wanted / cell) + 1e-9))) if wanted > 0 else 0
