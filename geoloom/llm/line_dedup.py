@@ -59,7 +59,8 @@ class RunStore:
         self.levels: list[list[tuple[str, str]]] = []
         #: A bucket is what one task of an aggregation by line holds, so each bucket is one file.
         wanted = {self._ORDERED: "true", self._TASKS: str(self.buckets)}
-        self.before = {k: spark.conf.get(k, "false") for k in wanted}
+        # Without a default of our own: one that does not fit the setting's type is refused where the setting was never made.
+        self.before = {k: spark.conf.get(k) for k in wanted}
         for k, v in wanted.items():
             spark.conf.set(k, v)
 
