@@ -262,13 +262,16 @@ def ways(cells: DataFrame) -> DataFrame:
 
         def way() -> pd.DataFrame:
             name, n, *ends = now
-            grid = np.ones((n, n), np.float32)
-            for r, c in held:
-                grid[r, c] = np.inf
             src, dst = (ends[0], ends[1]), (ends[2], ends[3])
-            times = kernels.fast_march(grid, src)
-            found = kernels.back_trace(times, dst, src) or []
-            found = kernels.tighten(found, np.isinf(times))[::-1]
+            if any(len(r) for r, _ in held):
+                grid = np.ones((n, n), np.float32)
+                for r, c in held:
+                    grid[r, c] = np.inf
+                times = kernels.fast_march(grid, src)
+                found = kernels.back_trace(times, dst, src) or []
+                found = kernels.tighten(found, np.isinf(times))[::-1]
+            else:  # every line is clear, so the trace is straightened to its ends
+                found = [src, dst][: 1 + (src != dst)]
             at = np.array(found, np.int32).reshape(-1, 2)
             return pd.DataFrame({"field": np.array([name] * len(at), object), "seq": np.arange(len(at), dtype=np.int32), "r": at[:, 0], "c": at[:, 1]})
 

@@ -21,7 +21,7 @@ from geoloom.functions.geometry import in_circle, point_in_polygon, polygon_boun
 from geoloom.functions.scalar import EARTH_RADIUS_M, clamp, haversine_m
 from geoloom.operators import conflicts, paths, profile, raster, sequence
 from geoloom.operators.vehicles import DEFAULTS
-from geoloom.runtime import materialize
+from geoloom.runtime import materialize, tasks_for
 
 _WAYPOINT = "struct<lon: double, lat: double, alt_m: double>"
 _PROFILE = "struct<aircraft_type: string, cruise_speed_mps: double, speed_range_mps: array<double>, min_turn_radius_m: double, max_climb_angle_deg: double, max_bank_deg: double, ceiling_m: double>"
@@ -35,6 +35,8 @@ GRID, PAD_DEG = 48, 0.15
 TOLERANCE_M = 500.0
 #: Legs of which a task makes the fields, at most: about ten seconds.
 LEGS_PER_TASK = 500
+#: Texts that a task parses, at most: a few seconds.
+TEXTS_PER_TASK = 10_000
 #: Regions wider than this have cells of about so many metres, finer where a wall is a polygon.
 WIDE_DEG, CELL_M, POLYGON_CELL_M = 2.5, 1_100.0, 600.0
 
@@ -173,6 +175,13 @@ def legs(valid: DataFrame) -> DataFrame:
     )
 
 
+def alike(legs_: DataFrame) -> DataFrame:
+    """``legs_`` with ``way``, a digest of all that a leg's way follows from: its ends, the shapes of its walls and passes, the climb."""
+    shape = lambda z: F.struct(z["shape"].alias("shape"), z["geometry"].alias("geometry"))
+    passes = F.transform("passes", lambda p: F.struct(shape(p["z"]).alias("z"), p["level"].alias("level")))
+    return legs_.withColumn("way", F.sha2(F.to_json(F.struct("a", "b", "climb_deg", F.transform("walls", shape).alias("walls"), passes.alias("passes"))), 256))
+
+
 def cost_cells(legs_: DataFrame, n: int = GRID) -> DataFrame:
     """Each leg with its place in a square field about it, and the cells of the fields: field, n, src_r, src_c, dst_r, dst_c, r, c,
     cost (infinite within half a cell of a wall, but for the cells of the leg's ends). A field has ``n`` cells a side, more in
@@ -281,21 +290,25 @@ def plan(texts: DataFrame, column: str = "scenario") -> DataFrame:
     clearance_km (least distance of a path to a wall, null without walls), path (its points in order) and warnings
     (the other vehicles of the scenario that its path comes into conflict with). A vehicle has a solution if each of its legs
     has a way that touches no wall."""
+    # A text is small and takes long to parse: texts are dealt by their number, too.
+    texts = texts.repartition(tasks_for(texts.sparkSession, texts.count(), TEXTS_PER_TASK), column)
     valid = materialize(validate(parse(texts, column)))
-    all_legs = materialize(legs(valid))
-    fields, points = fly(all_legs)
-    found = materialize(climbs(points, all_legs))
+    all_legs = materialize(alike(legs(valid)))
+    # Legs that are alike have one way, which is found once.
+    ones = materialize(all_legs.withColumn("field", F.col("way")).dropDuplicates(["field"]))
+    fields, points = fly(ones)
+    found = materialize(climbs(points, ones))
     bad = found.where("NOT fits").select("path").distinct()
     if not bad.isEmpty():
-        again = all_legs.join(bad.withColumnRenamed("path", "field"), "field", "left_semi")
+        again = ones.join(bad.withColumnRenamed("path", "field"), "field", "left_semi")
         again = again.withColumn("walls", F.concat("walls", F.transform("passes", lambda p: p["z"]))).withColumn("passes", F.slice("passes", 1, 0))
         fields2, points2 = fly(materialize(again))
         fields = fields.join(bad.withColumnRenamed("path", "field"), "field", "left_anti").unionByName(fields2)
         points = points.join(bad, "path", "left_anti").unionByName(points2)
         found = found.join(bad, "path", "left_anti")
     smooth = materialize(with_climbs(points, found))
-    seg = sequence.with_segments(smooth).withColumn("len", sequence.segment_length()).join(fields.select(F.col("field").alias("path"), "scenario_id", "vehicle", "leg", "walls"), "path")
-    seg = materialize(seg)
+    seg = sequence.with_segments(smooth).withColumn("len", sequence.segment_length()).join(fields.select(F.col("field").alias("path"), "walls"), "path")
+    seg = materialize(seg.withColumnRenamed("path", "way"))
 
     def gap(z: Column) -> Column:
         g = z["geometry"]
@@ -303,19 +316,23 @@ def plan(texts: DataFrame, column: str = "scenario") -> DataFrame:
         return F.when(z["shape"] == "circle", segment_circle_km(*s, g["center"][0], g["center"][1], g["radius_km"])).otherwise(segment_polygon_km(*s, g["vertices"]))
 
     clear = F.array_min(F.transform("walls", gap))
-    flown = seg.groupBy("scenario_id", "vehicle").agg(F.countDistinct("leg").alias("legs"), (F.count("*") + 1).alias("n_points"), F.sum("len").alias("distance_m"), F.min(clear).alias("clearance_km"))
-    wanted = fields.groupBy("scenario_id", "vehicle").agg(F.count("*").alias("all_legs"))
-    both = seg.select("scenario_id", F.concat_ws("/", "scenario_id", "vehicle").alias("path"), (F.col("leg") * 1_000_000 + F.col("seq")).alias("seq"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("lon2").alias("bx"), F.col("lat2").alias("by"), F.col("alt_m").alias("alt1"), "alt2")
-    told = conflicts.conflict_warnings(conflicts.path_conflicts(both, within="scenario_id"))
+    at = F.struct("seq", F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"), "alt_m").alias("p"))
+    ways = seg.groupBy("way").agg(F.count("*").alias("n"), F.sum("len").alias("len"), F.min(clear).alias("clear"), F.transform(F.array_sort(F.collect_list(at)), lambda q: q["p"]).alias("line"))
+    each = all_legs.select("scenario_id", "vehicle", "leg", "way", F.struct(F.col("b.lon").alias("x"), F.col("b.lat").alias("y"), "b.alt_m").alias("end")).join(ways, "way", "left")
+    has = lambda v: F.when(F.col("n").isNotNull(), v)
+    # A point where two legs meet is the end of one and the start of the next: it is listed once.
+    flown = each.groupBy("scenario_id", "vehicle").agg(
+        F.count("*").alias("all_legs"), F.size(F.collect_set(has(F.col("leg")))).alias("legs"), (F.sum("n") + 1).alias("n_points"), F.sum("len").alias("distance_m"), F.min("clear").alias("clearance_km"),
+        F.concat(F.flatten(F.transform(F.array_sort(F.collect_list(has(F.struct("leg", "line")))), lambda q: q["line"])), F.array(F.max(F.struct("leg", "end"))["end"])).alias("path"),
+    )
+    # Conflicts need a scenario with more than one vehicle.
+    several = all_legs.groupBy("scenario_id").agg(F.min("vehicle").alias("_a"), F.max("vehicle").alias("_b")).where("_a < _b").select("scenario_id")
+    both = all_legs.select("scenario_id", "vehicle", "leg", "way").join(several, "scenario_id", "left_semi").join(seg, "way")
+    both = both.select("scenario_id", F.concat_ws("/", "scenario_id", "vehicle").alias("path"), (F.col("leg") * 1_000_000 + F.col("seq")).alias("seq"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("lon2").alias("bx"), F.col("lat2").alias("by"), F.col("alt_m").alias("alt1"), "alt2")
+    told = conflicts.conflict_warnings(conflicts.path_conflicts(materialize(both), within="scenario_id"))
     near = F.format_string("crossing with %s near (%.4f,%.4f) h=%.1fkm v=%.0fm", F.substring_index("other", "/", -1), "lon", "lat", "h_km", "v_m")
     told = told.groupBy(F.col("path").alias("_of")).agg(F.array_sort(F.collect_list(near)).alias("warnings"))
-    # A point where two legs meet is the end of one and the start of the next: it is listed once.
-    at = seg.select("scenario_id", "vehicle", "leg", F.struct("leg", "seq", F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"), "alt_m").alias("p")).alias("p"))
-    last = fields.groupBy("scenario_id", "vehicle").agg(F.max(F.struct("leg", F.struct(F.col("b.lon").alias("x"), F.col("b.lat").alias("y"), F.col("b.alt_m").alias("alt_m")).alias("p")))["p"].alias("_end"))
-    lines = at.groupBy("scenario_id", "vehicle").agg(F.transform(F.array_sort(F.collect_list("p")), lambda q: q["p"]).alias("_line")).join(last, ["scenario_id", "vehicle"])
-    lines = lines.select("scenario_id", "vehicle", F.concat("_line", F.array("_end")).alias("path"), F.concat_ws("/", "scenario_id", "vehicle").alias("_of"))
-    lines = lines.join(told, "_of", "left").select("scenario_id", "vehicle", "path", F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
-    done = wanted.join(flown, ["scenario_id", "vehicle"], "left").join(lines, ["scenario_id", "vehicle"], "left")
+    done = flown.withColumn("_of", F.concat_ws("/", "scenario_id", "vehicle")).join(told, "_of", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
     ok = (F.col("legs") == F.col("all_legs")) & F.coalesce(F.col("clearance_km") > 0, F.lit(True))
     done = done.select("scenario_id", "vehicle", F.when(ok, "success").otherwise("no_solution").alias("status"), F.lit(None).cast("string").alias("error"), F.when(ok, F.col("n_points")).alias("n_points"), F.when(ok, F.col("distance_m")).alias("distance_m"), F.when(ok, F.col("clearance_km")).alias("clearance_km"), F.when(ok, F.col("path")).alias("path"), F.when(ok, F.col("warnings")).alias("warnings"))
     bad = valid.where("rejected IS NOT NULL").select("s.scenario_id", F.lit(None).cast("string").alias("vehicle"), F.lit("input_invalid").alias("status"), F.col("rejected").alias("error"), F.lit(None).cast("long").alias("n_points"), F.lit(None).cast("double").alias("distance_m"), F.lit(None).cast("double").alias("clearance_km"), F.lit(None).cast(done.schema["path"].dataType).alias("path"), F.lit(None).cast("array<string>").alias("warnings"))
